@@ -281,6 +281,12 @@ def covered(n: int, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def runs_of(gone: np.ndarray) -> list[dict]:
+    """Maximal runs (start, end) of a mask."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
+    return [{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+
+
 def remove_repeats(docs: DataFrame, w: Windows, report: Callable, schema: str) -> DataFrame:
     """report(doc ids, texts, spans of a doc id) makes the pyarrow table of ``schema`` for a bucket of documents."""
     n = parts(docs.sparkSession)

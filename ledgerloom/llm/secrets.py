@@ -1,0 +1,173 @@
+"""Secret scans with assignment-aware lexing.
+
+Base patterns find keyword assignments, access keys and long hex runs. Beyond them, source and
+configuration syntax (``name = "x" + OTHER``, ``"name": "x"``, ``name: x``, ``export NAME=x``) is
+read into name-literal pairs, constants are carried to the names that use them, and each literal
+is scored by the names that it reaches: a literal is a secret if a sensitive name gets it.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from .common import id_text
+
+SCHEMA = "doc_id long, spans array<struct<kind:string,start:int,end:int,score:double>>"
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+#: Kinds in the order in which spans of one start are listed.
+KINDS = ("assign", "access", "hex", "literal")
+
+_ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+_KEYWORD = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
+_ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+_HEX = re.compile(r"[0-9a-f]{24,}")
+
+_TARGET = re.compile(r"""(?<![\w.\-])["']?([A-Za-z_][\w.\-]{0,80})["']?[ \t]*(?::=|=>|[:=])(?![=/])[ \t]*""", re.A)
+_TERM = re.compile(r""""([^"\n]*)"|'([^'\n]*)'|`([^`\n]*)`|((?:\$\{\w+\}|[A-Za-z0-9_$])(?:\$\{\w+\}|[^\s"'`,;()\[\]{}])*)""", re.A)
+_PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*")
+_USES = re.compile(r"\$\{(\w+)\}|\$(\w+)|%\((\w+)\)s|\{(\w+)\}", re.A)
+_NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+
+#: How much a part of a name says that its value is secret.
+SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.7, "bearer": 0.9, "private": 0.6, "signing": 0.6, "pin": 0.4}
+#: Parts that make "key" sensitive.
+KEY_OF = {"api", "access", "private", "secret", "signing", "encryption", "master", "auth", "account"}
+#: Values that stand for none.
+PLACEHOLDERS = re.compile(r"(?i)(change_?me|example|placeholder|your[_-].*|x+|\*+|none|null|true|false|todo|<.*>|\.*)$")
+
+
+def name_score(name: str) -> float:
+    parts = [p.lower() for p in _NAME_PART.findall(name)]
+    best = max((SENSITIVE.get(p, 0.0) for p in parts), default=0.0)
+    if "key" in parts and KEY_OF & set(parts):
+        best = 1.0
+    if parts and parts[-1] in ("name", "file", "path", "url", "id", "length", "type", "count"):  # about a secret, not one
+        best *= 0.4
+    return best
+
+
+def literal_score(value: str) -> float:
+    """0 to 1 by length and the entropy of its characters."""
+    if len(value) < 6 or PLACEHOLDERS.match(value) or " " in value:
+        return 0.0
+    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+    return min(1.0, entropy / 2.5) * (1.0 if len(value) >= 8 else 0.8)
+
+
+def _pairs(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]:
+    """(name, terms) of each assignment; a term is (text, start, end, quoted)."""
+    out, at = [], 0
+    while m := _TARGET.search(text, at):
+        at, terms = m.end(), []
+        while t := _TERM.match(text, at):
+            k = t.lastindex
+            terms.append((t[k], t.start(k), t.end(k), k < 4))
+            at = t.end()
+            plus = _PLUS.match(text, at)
+            if not plus:
+                break
+            at = plus.end()
+        if terms:
+            out.append((m[1], terms))
+    return out
+
+
+def literals(text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
+    """(start, end, score) of literals that reach a sensitive name."""
+    pairs = _pairs(text)
+    if not any(name_score(name) > 0 for name, _ in pairs):
+        return []
+    defined: dict[str, list] = {}
+    for name, terms in pairs:
+        defined.setdefault(name, terms)
+
+    def values(terms: list, seen: frozenset) -> tuple[str, list[tuple[int, int]]]:
+        whole, spans = "", []
+        for value, start, end, quoted in terms:
+            used = [value] if not quoted and value in defined else [next(filter(None, g)) for g in _USES.findall(value)]
+            used = [u for u in used if u in defined and u not in seen]
+            if used:
+                for u in used:
+                    v, s = values(defined[u], seen | {u})
+                    whole += v
+                    spans += s
+            else:
+                whole += value
+                spans.append((start, end))
+        return whole, spans
+
+    found: dict[tuple[int, int], float] = {}
+    for name, terms in pairs:
+        weight = name_score(name)
+        if weight > 0:
+            value, spans = values(terms, frozenset([name]))
+            score = weight * literal_score(value)
+            if score >= least:
+                for s in spans:
+                    found[s] = max(found.get(s, 0.0), score)
+    return sorted((a, b, round(s, 4)) for (a, b), s in found.items())
+
+
+def scan(text: str, least: float = 0.5) -> list[dict]:
+    """All spans by start, then by kind; a literal within a base span is not repeated."""
+    base = []
+    if _KEYWORD.search(text):
+        base += [(m.start(), 0, m.end(), 1.0) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+    if "AKIA" in text:
+        base += [(m.start(), 1, m.end(), 1.0) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    base += [(m.start(), 2, m.end(), 1.0) for m in _HEX.finditer(text)]
+    more = []
+    if "=" in text or ":" in text:
+        more = [(a, 3, b, s) for a, b, s in literals(text, least) if not any(x <= a and b <= y for x, _, y, _ in base)]
+    return [{"kind": KINDS[k], "start": a, "end": b, "score": s} for a, k, b, s in sorted(base + more)]
+
+
+def find_secrets(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """doc_id and spans (kind, start, end in code points, score) for each row with an id; null and empty texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch({"doc_id": batch["doc_id"], "spans": pa.array([scan(t, least) for t in batch["text"].to_pylist()], _SPANS)})
+
+    return id_text(docs).mapInArrow(run, SCHEMA)
+
+
+def digests(found: DataFrame) -> DataFrame:
+    """Counts by kind, a hash of the base spans and a list of all."""
+    line = "transform({0}, x -> concat_ws(':', x.kind, x.start, x.end))"
+    base = "filter(spans, x -> x.kind <> 'literal')"
+    return found.selectExpr(
+        "doc_id",
+        *(f"cast(size(filter(spans, x -> x.kind = '{k}')) as long) n_{k}" for k in KINDS),
+        f"sha2(array_join({line.format(base)}, ','), 256) base_sha256",
+        f"array_join({line.format('spans')}, ',') spans",
+    )
+
+
+def redact(docs: DataFrame, least: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
+    """The documents with each found span replaced by ``mark``; n_chars follows the text. Null texts stay null."""
+    schema = docs.schema
+
+    def clean(text: str | None) -> str | None:
+        if text is None:
+            return None
+        out, at = [], 0
+        for s in scan(text, least):
+            if s["end"] > at:
+                out += [text[at : max(at, s["start"])], mark]
+                at = s["end"]
+        return "".join([*out, text[at:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = batch.schema.get_field_index("text")
+            yield batch.set_column(i, "text", pa.array([clean(t) for t in batch["text"].to_pylist()], batch.schema.field(i).type))
+
+    out = docs.mapInArrow(run, schema)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

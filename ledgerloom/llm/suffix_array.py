@@ -11,7 +11,6 @@ around it (see repeats).
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -19,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import byte_tokens, text_buffer
-from .repeats import Windows, covered, remove_repeats
+from .repeats import Windows, covered, remove_repeats, runs_of
 
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+SCHEMA = "doc_id long, n_bytes long, kept binary, spans array<struct<start:int,end:int>>"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
 
 def _sliding(f: Callable, x: np.ndarray, width: int) -> np.ndarray:
@@ -50,7 +50,7 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def suffix_array_dedup(docs: DataFrame, size: int = 100, gram: int = 32) -> DataFrame:
     """Removes each byte that a ``size``-byte string covers which also starts earlier (smaller doc_id, or earlier in the same document).
 
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and so for each row with an id.
+    Returns doc_id, n_bytes, kept (the remaining bytes) and spans (maximal removed runs) for each row with an id.
     Null and empty texts have no bytes; texts shorter than ``size`` keep all theirs; rows that share a doc_id count
     as one document. Strings are judged on the input. Strings are compared by 64-bit hashes of their whole text.
     """
@@ -62,8 +62,11 @@ def suffix_array_dedup(docs: DataFrame, size: int = 100, gram: int = 32) -> Data
         for i, doc_id in enumerate(ids):
             own = data[offsets[i] : offsets[i + 1]]
             gone = covered(len(own), *spans_of(doc_id))
-            runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            rows.append((int(doc_id), len(own), int(gone.sum()), runs, hashlib.sha256(own[~gone].tobytes() if runs else own.tobytes()).hexdigest()))
-        return pa.table(dict(zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), map(list, zip(*rows)))) if rows else {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
+            rows.append({"doc_id": int(doc_id), "n_bytes": len(own), "kept": own[~gone].tobytes(), "spans": runs_of(gone)})
+        return pa.Table.from_pylist(rows, schema=_ARROW)
 
     return remove_repeats(docs, Windows(size, gram, (most, max(1, most // 8), 1) if most > 8 else (most, 1), _tokens, _smallest), report, SCHEMA)
+
+
+def digests(cleaned: DataFrame) -> DataFrame:
+    return cleaned.selectExpr("doc_id", "n_bytes", "n_bytes - length(kept) n_removed", "cast(size(spans) as long) n_spans", "sha2(kept, 256) kept_sha256")
