@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from ledgerloom.llm.secrets import digests, find_secrets, literals, redact, scan
+from ledgerloom.llm.secret_scan import digests, find_secrets, literals, redact, scan
 
 
 def base(text):
