@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+_MODULES = ("business", "intake", "knowledge", "traces")
 
-def oracle_sql():
-    return {}
+
+def _all(name: str) -> dict:
+    out: dict = {}
+    for m in _MODULES:
+        out |= getattr(importlib.import_module(f"{__package__}.plans.{m}"), name)
+    return out
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _all("QUERIES")
+
+
+def oracle_sql() -> dict[str, str]:
+    return _all("ORACLE")
