@@ -58,9 +58,10 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def parts(spark: SparkSession) -> int:
-    """Number of buckets for packed data: some for each shuffle partition, so that one bucket stays small."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+def parts(docs: DataFrame, each: int = 2 << 20) -> int:
+    """Number of buckets for packed data: one for each 2 MiB of text, up to four for each shuffle partition."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, size // each + 1)
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

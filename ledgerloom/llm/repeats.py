@@ -11,7 +11,7 @@ windows (difference_cover) settles. Passes, from the most significant digit to t
    those alone in their group are dropped, the rest are cut into smaller intervals.
 3. At intervals of one start the groups are exactly the repeated windows.
 
-Items travel packed in binary columns, a bucket of the key's range at a time. A task first
+Items travel packed in binary columns, a bucket of the key's range at a time; documents travel as compressed Arrow streams. A task first
 groups its own items, so of a text that makes up a third of all rows each task sends one item,
 and the bucket of that text is no larger than others. Nothing is capped, and no pairs are made.
 """
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from .common import cut, id_text, join_hash, mix, parts, runs, text_buffer
 
@@ -219,10 +219,11 @@ def _interval_rows(w: Windows, n: int, k: int, codes: list[list[int]]) -> Callab
     back = np.array([b for _, b in spans])
     inside = {c: [d for d in codes[k] if spans[c][0] <= spans[d][0] and spans[d][1] <= spans[c][1]] for c in (codes[k - 1] if k else [0])}
 
-    def run(docs: pa.Table, items: pa.Table) -> pa.Table:
+    def run(packed: pa.Table, items: pa.Table) -> pa.Table:
         doc, ref = _read(items, 1, "doc", "ref")
         order = np.argsort(doc, kind="stable")
         doc, ref = doc[order], ref[order]
+        docs = _unpack_docs(packed)
         docs = docs.filter(pa.compute.is_in(docs["doc_id"], pa.array(np.unique(doc), pa.int64())))
         held = []
         for ids, _, _, tokens, at, *_ in _chunks(docs["doc_id"].to_numpy(), docs["text"], w.tokens):
@@ -281,6 +282,43 @@ def covered(n: int, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _pack_docs(n: int) -> Callable:
+    """Rows (part, data): the documents of a part, about 16 MB of a task's texts at a time, as a compressed Arrow stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            docs = pa.Table.from_batches(held)
+            part = docs["doc_id"].to_numpy() % n
+            order = np.argsort(part, kind="stable")
+            docs, part = docs.take(pa.array(order)), part[order]
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            data = []
+            for i, j in zip(cuts, cuts[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(docs.slice(i, j - i).combine_chunks())
+                data.append(sink.getvalue().to_pybytes())
+            return pa.record_batch({"part": pa.array(part[cuts[:-1]], pa.int32()), "data": pa.array(data, pa.binary())})
+
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size > 16 << 20:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def _unpack_docs(packed: pa.Table) -> pa.Table:
+    empty = pa.schema([("doc_id", pa.int64()), ("text", pa.string())]).empty_table()
+    return pa.concat_tables([empty, *(pa.ipc.open_stream(x.as_buffer()).read_all().cast(empty.schema) for x in packed["data"])])
+
+
 def runs_of(gone: np.ndarray) -> list[dict]:
     """Maximal runs (start, end) of a mask."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
@@ -289,9 +327,9 @@ def runs_of(gone: np.ndarray) -> list[dict]:
 
 def remove_repeats(docs: DataFrame, w: Windows, report: Callable, schema: str) -> DataFrame:
     """report(doc ids, texts, spans of a doc id) makes the pyarrow table of ``schema`` for a bucket of documents."""
-    n = parts(docs.sparkSession)
     docs = id_text(docs)
-    by_part = docs.withColumn("part", F.pmod("doc_id", F.lit(n)).cast("int"))
+    n = parts(docs)
+    by_part = cut(docs.mapInArrow(_pack_docs(n), "part int, data binary"))
     plan, codes = w.intervals(), []
     for step in plan:
         at = sum(map(len, codes))
@@ -307,7 +345,8 @@ def remove_repeats(docs: DataFrame, w: Windows, report: Callable, schema: str) -
         found.append(going.where("kind = 2"))
     found = functools.reduce(DataFrame.unionByName, found)
 
-    def finish(docs: pa.Table, items: pa.Table) -> pa.Table:
+    def finish(packed: pa.Table, items: pa.Table) -> pa.Table:
+        docs = _unpack_docs(packed)
         return report(docs["doc_id"].to_numpy(), docs["text"], removed_spans(items, w))
 
     return by_part.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(finish, schema)
