@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -47,14 +48,17 @@ def scratch(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: later stages survive lost executors without recomputing it.
 
-    The shuffle files behind df are garbage from then on; Spark removes them when the driver collects its own.
+    The shuffle files behind df are garbage from then on; Spark removes them when the driver collects its own, which is
+    asked for here once the listeners have let go of the query.
     """
     spark = df.sparkSession
     path, schema = scratch(spark), df.schema
     df.write.parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for wait in (0.4, 0.8):
+        time.sleep(wait)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
