@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 MAX_CHUNK = 600
-_HEADING = re.compile(r"^(#{2,3})\s+(\S.*)$", re.M)
+_HEADING = re.compile(r"^(#{2,3})[ \t]+(\S.*)(?:\n|\Z)", re.M)
 _CLAUSE_NO = re.compile(r"第[一二三四五六七八九十百千\d]+条")
 _SENTENCE = re.compile(r"[^。！？；!?;]*[。！？；!?;]|[^。！？；!?;]+$")
 

@@ -14,9 +14,14 @@ CHUNKER_VERSION = "clause-1"
 CHUNK_SCHEMA = "chunk_index int, chunk_key string, chapter string, section string, clause_no string, parent_key string, content string"
 
 
-@F.pandas_udf("meta map<string,string>, body string")
-def parse_front_matter(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([kernels.front_matter(t or "") for t in text], columns=["meta", "body"])
+def parse_front_matter(text: Column) -> Column:
+    """struct(meta, body) of a document's text."""
+
+    @F.pandas_udf("meta map<string,string>, body string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([kernels.front_matter(t or "") for t in texts], columns=["meta", "body"])
+
+    return run(text)
 
 
 def extract_title(text: Column) -> Column:
@@ -38,9 +43,14 @@ def load_documents(files: DataFrame) -> DataFrame:
     return parsed.select("file_name", "title", F.col("p.body").alias("body"), meta.alias("metadata"), parse_effective_date(F.col("p.meta")["生效日期"]).alias("effective_date"))
 
 
-@F.pandas_udf("array<struct<title:string,preamble:string,clauses:array<struct<heading:string,body:string>>>>")
-def split_headings(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [{**c, "clauses": [{"heading": h, "body": b} for h, b in c["clauses"]]} for c in kernels.headings(t or "")])
+def split_headings(text: Column) -> Column:
+    """Chapters (title, preamble, clauses) of a body."""
+
+    @F.pandas_udf("array<struct<title:string,preamble:string,clauses:array<struct<heading:string,body:string>>>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{**c, "clauses": [{"heading": h, "body": b} for h, b in c["clauses"]]} for c in kernels.headings(t or "")])
+
+    return run(text)
 
 
 def clean_body(c: Column) -> Column:
@@ -54,9 +64,12 @@ def clause_no(heading: Column) -> Column:
     return F.regexp_extract(heading, r"^(第[一二三四五六七八九十百千\d]+条)", 1)
 
 
-@F.pandas_udf("array<string>")
-def split_sentences(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: kernels.sentences(t or ""))
+def split_sentences(text: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: kernels.sentences(t or ""))
+
+    return run(text)
 
 
 def pack_paragraphs(limit: int) -> Callable[[Column], Column]:

@@ -28,7 +28,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     common = ["id", "batch_id", "source_id", "data_type", "employee_name", "department", "record_date", "quality_score", "is_anomaly", "anomaly_status", "anomaly_reason", "pending_check_fields", "business_data", "created_at"]
     pending = "if({0} % 19 = 0 and {0} % 7 <> 0, named_struct('field', 'v', 'value', cast(1 as double)), null) pending_check_fields"
     state = ["{0} % 7 = 0 is_anomaly", "case when {0} % 7 = 0 then 'confirmed' when {0} % 19 = 0 then 'pending_review' else 'normal' end anomaly_status", "if({0} % 21 = 0, repeat('r', 130), if({0} % 14 = 0, '', if({0} % 7 = 0, 'odd value', null))) anomaly_reason"]
-    score = "case when {0} % 11 = 0 then null when {0} % 13 = 0 then 0.0d else ({0} % 100) / 100d end quality_score"
+    score = "case when {0} % 11 = 0 then null when {0} % 13 = 0 then 0.0d else ({0} % 100) / 97d end quality_score"
     parts = {
         "events": ("event_id", ["event_id * 4 id", "concat('att_', event_type) batch_id", "1 source_id", "'attendance' data_type", "cast(null as string) employee_name", "cast(null as string) department", "cast(null as date) record_date", "map('员工编号', cast(user_id as string), '所属部门', if(event_id % 29 = 0, ' ', event_type), '考勤日期', date_format(ts, 'yyyy/MM/dd'), '加班时长', cast(value as string)) business_data", "ts created_at"]),
         "orders": ("o_orderkey", ["o_orderkey * 4 + 1 id", "'sales_1' batch_id", "2 source_id", "'sales' data_type", "cast(null as string) employee_name", "cast(null as string) department", "if(o_orderkey % 3 = 0, cast(o_orderdate as date), null) record_date", "map('工号', cast(o_custkey as string), '部门', o_orderpriority, '考勤日期', if(o_orderkey % 5 = 0, 'soon', null), '日期', date_format(o_orderdate, 'yyyy-MM-dd'), '订单金额', cast(o_totalprice as string)) business_data", "o_orderdate created_at"]),
@@ -45,8 +45,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _state(key: str) -> str:
     return f"""{key} % 7 = 0 is_anomaly, case when {key} % 7 = 0 then 'confirmed' when {key} % 19 = 0 then 'pending_review' else 'normal' end anomaly_status,
  case when {key} % 21 = 0 then repeat('r', 130) when {key} % 14 = 0 then '' when {key} % 7 = 0 then 'odd value' end anomaly_reason,
- case when {key} % 11 = 0 then null when {key} % 13 = 0 then 0.0 else ({key} % 100) / 100.0::double end quality_score,
- case when {key} % 11 = 0 or {key} % 13 = 0 then 1.0::double when {key} % 100 = 0 then 1.0::double else ({key} % 100) / 100.0::double end q"""
+ case when {key} % 11 = 0 then null when {key} % 13 = 0 then 0.0 else ({key} % 100) / 97.0::double end quality_score,
+ case when {key} % 11 = 0 or {key} % 13 = 0 then 1.0::double when {key} % 100 = 0 then 1.0::double else ({key} % 100) / 97.0::double end q"""
 
 
 #: rec: the same records, their payload keys as columns (k_dept, k_name, k_date, ...); lookup and report values derived by hand.

@@ -29,7 +29,7 @@ _T = [
     "event_id id", "event_id trace_id", "concat(if(event_id % 8 = 0, 'eval_', 's'), user_id % 20) session_id", f"{_QUESTION} question", f"{_ANSWER} answer", "event_type intent", "if(event_id % 3 = 0, 'agent', 'data') mode",
     "cast(event_id % 7 as int) iterations", "if(event_id % 2 = 0, array('query_cleaned_records', 'get_summary_stats'), array('search_documents')) tools_used",
     "array(named_struct('name', 'query_cleaned_records', 'args', map('data_type', if(event_id % 9 = 0, 'products', 'sales'), 'department', if(event_id % 11 = 0, '市场部', '2-HIGH')))) tool_calls",
-    "map('route', value, 'answer', value * 2) stage_timings", "if(event_id % 4 = 0, 'rule', 'logprobs') route_path", "value p_top", "value label_mass", "value route_margin", "value latency_ms", "ts created_at",
+    "map('route', value, 'answer', value * 2) stage_timings", "if(event_id % 4 = 0, 'rule', 'logprobs') route_path", "value p_top", "value label_mass", "value route_margin", "value / 7 latency_ms", "ts created_at",
 ]
 
 
@@ -66,7 +66,7 @@ _E = f"event_id % 9 <> 0 and event_id % 11 <> 0 and event_id % 5 in (0, 2) and e
 query("exec_check", f"""select event_id trace_id, {_E} "empty", event_id % 6 = 5 and event_id % 5 <> 1 reference, event_id % 9 = 0 or event_id % 11 = 0 or ({_E}) blocked, true vocab, case when event_id % 3 = 0 and (event_id % 9 = 0 or event_id % 11 = 0 or ({_E})) then 'hybrid' when event_id % 3 = 0 then 'agent' else 'data' end mode from events""")(
     lambda s, d: routing.inspect_execution(_traces(s, d), routing.vocabulary(records(s, d))).selectExpr("trace_id", "exec_check.empty `empty`", "exec_check.reference reference", "exec_check.blocked blocked", "exec_check.vocab vocab", "mode").withColumn("reference", F.col("reference"))
 )
-query("build_traces", "select event_id trace_id, round(value, 1) latency_ms, round(value * 2, 1) answer from events")(lambda s, d: routing.build_traces(_traces(s, d)).selectExpr("trace_id", "latency_ms", "stage_timings['answer'] answer"))
+query("build_traces", "select event_id trace_id, round(value / 7, 1) latency_ms, round(value * 2, 1) answer from events")(lambda s, d: routing.build_traces(_traces(s, d)).selectExpr("trace_id", "latency_ms", "stage_timings['answer'] answer"))
 query("build_chat", f"select event_id, 0 part, 'user' \"role\", {_SQLQ} content from events union all select event_id, 1, 'assistant', {_SQLA} from events")(
     lambda s, d: routing.build_chat(_traces(s, d).withColumn("session_id", F.col("trace_id"))).select(F.col("session_id").alias("event_id"), "part", "role", "content")
 )
@@ -83,7 +83,7 @@ query("link_feedback", """with f as (select event_id id, case when event_id % 2
     lambda s, d: routing.link_feedback(table(s, d, "events").where("event_id % 50 = 7").selectExpr(*_FB), table(s, d, "events").where("event_id % 3 = 1").selectExpr("event_id id", "concat('s', user_id % 20) session_id", "concat('q', user_id) question", "ts created_at")).select("id", "trace_id")
 )
 query("list_feedback", "select event_id id from events where event_id % 3 <> 0 order by ts desc, event_id desc limit 50")(lambda s, d: routing.list_feedback(table(s, d, "events").selectExpr(*_FB), -1).select("id"))
-query("trace_usage", "select event_type intent, case when event_id % 3 = 0 then 'agent' else 'data' end mode, case when event_id % 4 = 0 then 'rule' else 'logprobs' end route_path, count(*) n, round(avg(event_id % 7), 4) iterations, round(avg(value), 4) latency_ms, round(quantile_cont(value, 0.9), 4) p90 from events where event_id % 8 <> 0 group by 1, 2, 3")(lambda s, d: routing.trace_usage(_traces(s, d)))
+query("trace_usage", "select event_type intent, case when event_id % 3 = 0 then 'agent' else 'data' end mode, case when event_id % 4 = 0 then 'rule' else 'logprobs' end route_path, count(*) n, round(avg(event_id % 7), 4) iterations, round(avg(value / 7), 4) latency_ms, round(quantile_cont(value / 7, 0.9), 4) p90 from events where event_id % 8 <> 0 group by 1, 2, 3")(lambda s, d: routing.trace_usage(_traces(s, d)))
 query("tool_usage", "select tool, count(*) n from (select unnest(case when event_id % 2 = 0 then ['query_cleaned_records', 'get_summary_stats'] else ['search_documents'] end) tool from events where event_id % 8 <> 0) group by 1")(lambda s, d: routing.tool_usage(_traces(s, d)))
 query("parse_model_json", "select event_id, case when event_id % 4 = 3 then null else event_id % 100 end v from events")(
     lambda s, d: table(s, d, "events").select("event_id", routing.parse_model_json(F.expr("""case event_id % 4 when 0 then concat('```json\n{"v": ', event_id % 100, '}\n```') when 1 then concat('The answer: {"v": ', event_id % 100, '} .') when 2 then concat('{"v": ', event_id % 100, '}') else 'no {json here' end"""), "v long")["v"].alias("v"))
@@ -111,7 +111,7 @@ _TOOL = ["event_id id", "case event_id % 3 when 0 then array('a', 'b', 'a') when
 _TSQL = """ts as (select event_id id, case event_id % 3 when 0 then ['a', 'b'] else ['c'] end e, case event_id % 5 when 0 then []::varchar[] when 1 then ['a'] when 2 then ['b', 'c'] else ['a', 'b', 'd'] end u from events where event_id % 3 <> 2),
  tt as (select id, case when len(u) = 0 then 0.0 else round(len(list_intersect(e, u)) / len(u), 2) end::double as "precision", round(len(list_intersect(e, u)) / len(e), 2)::double recall from ts)"""
 query("tool_scores", f"with {_TSQL} select * from tt")(lambda s, d: ev.tool_scores(table(s, d, "events").selectExpr(*_TOOL)))
-query("tool_means", f"with {_TSQL} select count(*) n, round(avg("precision"), 4) as "precision", round(avg(recall), 4) recall from tt")(lambda s, d: ev.tool_means(ev.tool_scores(table(s, d, "events").selectExpr(*_TOOL))))
+query("tool_means", f"with {_TSQL} select count(*) n, round(avg(tt.precision), 4) as \"precision\", round(avg(recall), 4) recall from tt")(lambda s, d: ev.tool_means(ev.tool_scores(table(s, d, "events").selectExpr(*_TOOL))))
 query("arg_check", "select event_id id, event_id % 4 <> 0 and event_id % 3 <> 1 matched from events where event_id % 5 <> 0")(
     lambda s, d: ev.arg_check(table(s, d, "events").selectExpr("event_id id", "if(event_id % 5 = 0, cast(map() as map<string, map<string, string>>), map('t', map('k', ' v '))) expected_args", "array(named_struct('name', 'o', 'args', map('k', 'v')), named_struct('name', if(event_id % 4 = 0, 'x', 't'), 'args', map('k', if(event_id % 3 = 1, 'w', 'v ')))) calls"))
 )
@@ -134,7 +134,7 @@ query("pipeline_diagnostics", """select count(*) n, round(avg((event_id % 4 = 0)
  round(avg((event_id % 7 = 0 and event_id % 10 <> 9)::int), 6) escalated_after, count(*) filter (event_id % 7 = 0 and event_id % 10 <> 9) structure, count(*) filter (event_id % 11 = 0 and event_id % 10 <> 9) "empty", count(*) filter (event_id % 13 = 0 and event_id % 10 <> 9) reference, count(*) filter (event_id % 10 = 9 or event_id % 17 = 0) blind from events""")(
     lambda s, d: ev.pipeline_diagnostics(table(s, d, "events").selectExpr("if(event_id % 4 = 0, 'rule', 'logprobs') path", "if(event_id % 3 = 0, 'hybrid', 'data_query') mode", "if(event_id % 5 = 0, 'hybrid', 'data_query') intent", "if(event_id % 10 = 9, null, named_struct('structure', if(event_id % 7 = 0, array('x'), cast(array() as array<string>)), 'empty', event_id % 11 = 0, 'reference', event_id % 13 = 0, 'blocked', event_id % 7 = 0, 'vocab', event_id % 17 <> 0)) exec_check"))
 )
-query("overall_score", f"with {_EV}, a as (select round(count(*) filter (correct) / count(*), 6) accuracy from er), {_TSQL}, p as (select round(avg("precision"), 4) as "precision" from tt), r as (select round(avg(quality), 4) rate from labels), q as (select round(avg(value), 4) overall from events) select accuracy, "precision", rate, overall, round(0.25 * accuracy + 0.25 * "precision" + 0.15 * rate + 0.35 * overall / 5, 4) score from a, p, r, q")(
+query("overall_score", f"with {_EV}, a as (select round(count(*) filter (correct) / count(*), 6) accuracy from er), {_TSQL}, p as (select round(avg(tt.precision), 4) as \"precision\" from tt), r as (select round(avg(quality), 4) rate from labels), q as (select round(avg(value), 4) overall from events) select accuracy, p.precision as \"precision\", rate, overall, round(0.25 * accuracy + 0.25 * p.precision + 0.15 * rate + 0.35 * overall / 5, 4) score from a, p, r, q")(
     lambda s, d: ev.overall_score(ev.intent_accuracy(_rows(s, d)), ev.tool_means(ev.tool_scores(table(s, d, "events").selectExpr(*_TOOL))), table(s, d, "labels").agg(F.round(F.avg("quality"), 4).alias("rate")), table(s, d, "events").agg(F.round(F.avg("value"), 4).alias("overall")))
 )
 _TH = [0.25, 0.5, 0.75, 0.9, 0.99]
