@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, difference_cover, secret_scan, suffix_array
+from . import bpe, decontam, difference_cover, oracle, secret_scan, suffix_array
 from .common import table
 from .quality import quality_scores
 from .rules import quality_rules
@@ -21,7 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_classifier": lambda s, d: quality_scores(table(s, d, "documents"), table(s, d, "labels")),
         "op3_simhash_near_dedup": lambda s, d: simhash_dedup(table(s, d, "documents")),
         "op4_benchmark_decontamination": lambda s, d: decontam.digests(decontam.contaminated(table(s, d, "documents"), table(s, d, "benchmark"))),
-        "op5_quality_rules": lambda s, d: quality_rules(table(s, d, "documents"), table(s, d, "labels")),
+        "op5_quality_rules": lambda s, d: quality_rules(table(s, d, "documents"), table(s, d, "labels")).drop("failed_rules"),
         "op6_substring_dedup": lambda s, d: difference_cover.digests(difference_cover.difference_cover_dedup(table(s, d, "documents"))),
         "op7_sharding": lambda s, d: minimax_shards(table(s, d, "documents")),
         "op8_toxicity": lambda s, d: toxicity_scores(table(s, d, "documents"), table(s, d, "labels")),
@@ -31,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_suffix_array_dedup": oracle.SUFFIX_ARRAY, "op5_quality_rules": oracle.quality_rules(), "op6_substring_dedup": oracle.SUBSTRINGS, "op7_sharding": oracle.sharding()}
