@@ -23,7 +23,7 @@ from .common import cut, id_text, runs, text_buffer, word_hashes
 #: Slots of the token table and length of a vector: the table has 4 bytes x SLOTS x DIM, whatever the corpus.
 SLOTS, DIM, NONZERO, REACH = 1 << 15, 32, 4, 2
 BLOCK = 1 << 9
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _CLASS = np.full(256, 1, np.uint8)  # letters, digits and bytes beyond ASCII
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
 _CLASS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = 2
@@ -33,7 +33,7 @@ N_FEATURES = 2 * DIM + 4
 def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(7)
     place = np.argsort(r.random((SLOTS, DIM)), axis=1)[:, :NONZERO]
-    return place.astype(np.int64), r.choice(np.array([-1.0, 1.0], np.float32), (SLOTS, NONZERO))
+    return place.astype(np.int32), r.choice(np.array([-1.0, 1.0], np.float32), (SLOTS, NONZERO))
 
 
 _PLACE, _SIGN = _index_vectors()
@@ -64,17 +64,16 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit word vectors of all slots, from every document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS * DIM, np.int64)
+        total = np.zeros(SLOTS * DIM, np.int32)
         for batch in batches:
             for _, _, slot, at in _slots(batch):
                 doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                for reach in range(1, REACH + 1):
-                    same = doc[reach:] == doc[:-reach]
-                    a, b = slot[:-reach][same], slot[reach:][same]
-                    for x, y in ((a, b), (b, a)):
-                        for k in range(NONZERO):
-                            total += np.bincount(x * DIM + _PLACE[y, k], _SIGN[y, k], SLOTS * DIM).astype(np.int64)
-        blocks = total.astype(np.int32).reshape(-1, BLOCK * DIM)
+                pairs = [(slot[:-r][same], slot[r:][same]) for r in range(1, REACH + 1) for same in (doc[r:] == doc[:-r],)]
+                of = np.concatenate([x for a, b in pairs for x in (a, b)])
+                near = np.concatenate([x for a, b in pairs for x in (b, a)])
+                place = ((of * DIM).astype(np.int32)[:, None] + _PLACE[near]).ravel()
+                total += np.bincount(place, _SIGN[near].ravel(), SLOTS * DIM).astype(np.int32)
+        blocks = total.reshape(-1, BLOCK * DIM)
         some = np.flatnonzero(blocks.any(1))
         salt = TaskContext.get().partitionId() % 256
         yield pa.record_batch({"block": pa.array(some, pa.int32()), "salt": pa.array(np.full(len(some), salt), pa.int32()), "sums": pa.array([blocks[i].tobytes() for i in some], pa.binary())})
@@ -97,7 +96,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     """(doc_id, features): means over the document's tokens."""
     own = np.zeros((SLOTS, DIM), np.float32)
-    np.put_along_axis(own, _PLACE, _SIGN, 1)
+    np.put_along_axis(own, _PLACE.astype(np.int64), _SIGN, 1)
     both = docs.sparkSession.sparkContext.broadcast(np.hstack([vectors, own]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
