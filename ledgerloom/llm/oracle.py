@@ -6,11 +6,12 @@ from .rules import CUTOFFS, MEASURES
 
 _WORDS = "docs as (select doc_id, lang, coalesce(text, '') text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '') w from documents)"
 
-SUFFIX_ARRAY = """with docs as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
-pos as (select doc_id, h, unnest(range(1, len(h) // 2 + 1)) i from docs),
-win as (select doc_id, i, md5(substr(h, 2 * i - 1, 200)) s from pos where i <= len(h) // 2 - 99),
+SUFFIX_ARRAY = """with docs as (select doc_id, hex(encode(coalesce(text, ''))) h, strlen(coalesce(text, '')) n from documents),
+piece as (select doc_id, n, k * 250 base, substr(h, k * 500 + 1, 698) p from (select doc_id, n, h, unnest(range(0, (n + 249) // 250)) k from docs)),
+pos as (select doc_id, n, base + j i, p, j from (select doc_id, n, base, p, unnest(range(1, least(250, n - base) + 1)) j from piece)),
+win as (select doc_id, i, md5(substr(p, 2 * j - 1, 200)) s from pos where i <= n - 99),
 rep as (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) rn from win) where rn > 1),
-gone as (select pos.doc_id, pos.i, substr(h, 2 * pos.i - 1, 2) b, coalesce(max(rep.i) over (partition by pos.doc_id order by pos.i) >= pos.i - 99, false) g from pos left join rep on pos.doc_id = rep.doc_id and pos.i = rep.i),
+gone as (select pos.doc_id, pos.i, substr(p, 2 * j - 1, 2) b, coalesce(max(rep.i) over (partition by pos.doc_id order by pos.i) >= pos.i - 99, false) g from pos left join rep on pos.doc_id = rep.doc_id and pos.i = rep.i),
 run as (select *, g and not coalesce(lag(g) over (partition by doc_id order by i), false) s from gone),
 sums as (select doc_id, count(*) filter (g) n_removed, count(*) filter (s) n_spans, string_agg(b, '' order by i) filter (not g) kept from run group by 1)
 select docs.doc_id, (len(h) // 2)::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256 from docs left join sums using (doc_id)"""
