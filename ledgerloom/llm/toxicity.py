@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, id_text, mix, runs, text_buffer, word_bounds, word_hashes
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Lengths in bytes of word beginnings; 0 is the whole word.
 KINDS = (0, 4, 5, 6)
 #: Voters of each kind.
@@ -47,24 +47,47 @@ def terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield i, j - i, np.concatenate(rows), np.concatenate(found)
 
 
-def mined_terms(docs: DataFrame, sample: DataFrame, least: int = 4) -> DataFrame:
-    """(term, toxic, all): in how many sample documents each term occurs; terms in fewer than ``least`` toxic ones are left out."""
+def _document_terms(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, row, term) with each term once a document."""
+    for i, _, row, term in terms(texts):
+        order = np.lexsort((row, term))
+        row, term = row[order], term[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (term[1:] != term[:-1])
+        yield i, row[new], term[new]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def mined_terms(labelled: DataFrame, least: int = 4) -> DataFrame:
+    """(term, toxic, n): in how many of the labelled documents each term occurs, for terms of at least ``least`` toxic ones.
+
+    The toxic documents, the fewer, give the candidates; only those are counted in the rest. Both are bounded with the
+    sample, and so is the table of candidates that tasks receive.
+    """
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch["toxic"].to_numpy()
-            for i, n, row, term in terms(batch["text"]):
-                order = np.lexsort((row, term))
-                row, term = row[order], term[order]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (term[1:] != term[:-1])
-                row, term = row[new], term[new]
+            for _, _, term in _document_terms(batch["text"]):
                 at = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-                of = np.add.reduceat(toxic[i + row].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-                yield pa.record_batch({"term": pa.array(term[at].view(np.int64)), "toxic": pa.array(of), "n": pa.array(np.diff(np.append(at, len(term))))})
+                yield pa.record_batch({"term": pa.array(term[at].view(np.int64)), "toxic": pa.array(np.diff(np.append(at, len(term))))})
+
+    common = labelled.where("toxic = 1").mapInArrow(propose, "term long, toxic long").groupBy("term").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= least).select("term").collect()
+    shared = labelled.sparkSession.sparkContext.broadcast(np.sort(np.array([r.term for r in common], np.int64).view(np.uint64)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        toxic, n = np.zeros(len(table), np.int64), np.zeros(len(table), np.int64)
+        for batch in batches:
+            marked = batch["toxic"].to_numpy()
+            for i, row, term in _document_terms(batch["text"]):
+                if len(table):
+                    place = np.minimum(np.searchsorted(table, term), len(table) - 1)
+                    met = table[place] == term
+                    n += np.bincount(place[met], minlength=len(table))
+                    toxic += np.bincount(place[met & (marked[i + row] == 1)], minlength=len(table))
+        some = np.flatnonzero(n)
+        yield pa.record_batch({"term": pa.array(table[some].view(np.int64)), "toxic": pa.array(toxic[some]), "n": pa.array(n[some])})
 
-    counted = docs.join(F.broadcast(sample), "doc_id").mapInArrow(run, "term long, toxic long, n long")
-    return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).where(F.col("toxic") >= least)
+    return labelled.mapInArrow(count, "term long, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
 
 
 def hits(docs: DataFrame, table: np.ndarray) -> DataFrame:
@@ -154,7 +177,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000,
     docs = id_text(docs)
     fold = f"pmod(crc32(cast(doc_id as string)), {folds})"
     sample = cut(labels.where(f"toxic in (0, 1) and {fold} <> {held_out}").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
-    mined = mined_terms(docs, sample).withColumn("precision", F.expr("(toxic + 0.1) / (n + 1)")).where("precision >= 0.5").orderBy(F.desc("precision"), F.desc("toxic"), "term").limit(lexicon).collect()
+    labelled = cut(docs.join(F.broadcast(sample), "doc_id"))  # fit_rows documents, unless rows share their ids
+    mined = mined_terms(labelled).withColumn("precision", F.expr("(toxic + 0.1) / (n + 1)")).where("precision >= 0.5").orderBy(F.desc("precision"), F.desc("toxic"), "term").limit(lexicon).collect()
     key = np.array([r.term for r in mined], np.int64).view(np.uint64)
     order = np.argsort(key)
     table, precision = key[order], np.array([r.precision for r in mined])[order] if mined else np.zeros(0)
