@@ -34,6 +34,12 @@ def test_csv_encodings_and_skipped_lines(spark, tmp_path):
         readers.load_source(spark, {"source_type": "xlsx", "path": "x"})
 
 
+def test_documents_but_the_index(spark, tmp_path):
+    for name in ("a.md", "INDEX.md", "b.txt", "c.md"):
+        (tmp_path / name).write_text(f"# {name}\nline two\n")
+    assert sorted(rows(readers.read_documents(spark, str(tmp_path)))) == [("a.md", "# a.md\nline two\n"), ("c.md", "# c.md\nline two\n")]
+
+
 def test_jdbc_source_by_query_and_parts(spark):
     url = "jdbc:derby:memory:ledger;create=true"
     driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
