@@ -1,4 +1,6 @@
 
+import hashlib
+
 import numpy as np
 
 import corpus_pipeline
@@ -34,7 +36,7 @@ def test_stages_take_effect(spark):
     hits = find_hits(pa.array([near[i].text for i in ids]), p)
     assert set(clean) == {i for i, h in zip(ids, hits) if not h}
     assert set(masked) == set(clean) and all(not any(s["kind"] != "literal" for s in secret_scan.scan(r.text.replace("[SECRET]", "."))) for r in masked.values())
-    assert set(last) == set(masked) and all(r.round_trip and r.n_tokens == len(r.ids) for r in last.values())
+    assert set(last) == set(masked) and all(r.decoded_sha256 == hashlib.sha256(masked[i].text.encode()).hexdigest() and r.n_tokens == len(r.ids) for i, r in last.items())
 
 
 def test_rejected_by_label_go(spark):
