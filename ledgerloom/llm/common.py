@@ -45,17 +45,17 @@ def scratch(spark: SparkSession) -> str:
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: later stages survive lost executors without recomputing it.
 
-    The shuffle files behind df are garbage from then on; Spark removes them when the driver collects its own, which is
-    asked for here once the listeners have let go of the query.
+    The shuffle files behind df are garbage from then on; Spark removes them when the driver collects its own. After large
+    shuffles ``release`` asks for that at once, when the listeners have let go of the query.
     """
     spark = df.sparkSession
     path, schema = scratch(spark), df.schema
     df.write.parquet(path)
     del df
-    for wait in (0.4, 0.8):
+    for wait in (0.4, 0.8) if release else ():
         time.sleep(wait)
         gc.collect()
         spark.sparkContext._jvm.System.gc()

@@ -335,13 +335,13 @@ def remove_repeats(docs: DataFrame, w: Windows, report: Callable, schema: str) -
         at = sum(map(len, codes))
         codes.append(list(range(at, at + len(step))))
     assert sum(map(len, codes)) <= 256, "too many intervals for a byte"
-    going = cut(repeated(docs.mapInArrow(_anchor_rows(w, n), SCHEMA), n))
+    going = cut(repeated(docs.mapInArrow(_anchor_rows(w, n), SCHEMA), n), release=True)
     found = []
     for k in range(len(plan)):
         last = k == len(plan) - 1
         rows = by_part.groupBy("part").cogroup(going.where("kind = 1").groupBy("part")).applyInArrow(_interval_rows(w, n, k, codes), SCHEMA)
         rows = judge(rows, n, last)
-        going = cut(rows if last else repeated(rows, n))
+        going = cut(rows if last else repeated(rows, n), release=True)
         found.append(going.where("kind = 2"))
     found = functools.reduce(DataFrame.unionByName, found)
 
