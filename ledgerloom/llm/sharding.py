@@ -80,7 +80,7 @@ def minimax_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     """
     spark = docs.sparkSession
     sized = cut(id_text(docs).selectExpr("doc_id", "cast(octet_length(text) + 1 as long) size", "crc32(text) text_crc32", "md5(text) text_key"))
-    firsts = sized.groupBy("text_key").agg(F.min("doc_id").alias("first"))
+    firsts = cut(sized.groupBy("text_key").agg(F.min("doc_id").alias("first")))  # written, so that Spark can split a hot text in the join
     order = ["first", "text_key", "doc_id"]
     # a large group spans several ranges, since doc_id is part of the order
     ranged = cut(cut(sized.join(firsts, "text_key")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("block", F.spark_partition_id()))
