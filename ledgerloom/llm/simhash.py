@@ -126,7 +126,7 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     masks = [sum(((1 << (edge[b + 1] - edge[b])) - 1) << edge[b] for b in chosen) for chosen in combinations(range(blocks), blocks - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)))).alias("k")).select("fp", "k.choice", "k.key")
-    sizes = keyed.groupBy("choice", "key").count().where("count > 1")
+    sizes = cut(keyed.groupBy("choice", "key").count().where("count > 1"))  # written, so that Spark can split a hot key in the join
     keyed = keyed.join(sizes, ["choice", "key"])
     # cells of a large group: pairs of tiles (population count, part) whose counts differ by the radius at most
     tiles = f"cast(ceil(count / {GROUP}d) as int)"
