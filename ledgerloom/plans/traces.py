@@ -66,7 +66,7 @@ _E = f"event_id % 9 <> 0 and event_id % 11 <> 0 and event_id % 5 in (0, 2) and e
 query("exec_check", f"""select event_id trace_id, {_E} "empty", event_id % 6 = 5 and event_id % 5 <> 1 reference, event_id % 9 = 0 or event_id % 11 = 0 or ({_E}) blocked, true vocab, case when event_id % 3 = 0 and (event_id % 9 = 0 or event_id % 11 = 0 or ({_E})) then 'hybrid' when event_id % 3 = 0 then 'agent' else 'data' end mode from events""")(
     lambda s, d: routing.inspect_execution(_traces(s, d), routing.vocabulary(records(s, d))).selectExpr("trace_id", "exec_check.empty `empty`", "exec_check.reference reference", "exec_check.blocked blocked", "exec_check.vocab vocab", "mode").withColumn("reference", F.col("reference"))
 )
-query("build_traces", "select event_id trace_id, round(value / 7, 1) latency_ms, round(value * 2, 1) answer from events")(lambda s, d: routing.build_traces(_traces(s, d)).selectExpr("trace_id", "latency_ms", "stage_timings['answer'] answer"))
+query("build_traces", "select event_id trace_id, round(value, 1) latency_ms, round(value * 2, 1) answer from events")(lambda s, d: routing.build_traces(_traces(s, d).withColumn("latency_ms", F.col("p_top"))).selectExpr("trace_id", "latency_ms", "stage_timings['answer'] answer"))
 query("build_chat", f"select event_id, 0 part, 'user' \"role\", {_SQLQ} content from events union all select event_id, 1, 'assistant', {_SQLA} from events")(
     lambda s, d: routing.build_chat(_traces(s, d).withColumn("session_id", F.col("trace_id"))).select(F.col("session_id").alias("event_id"), "part", "role", "content")
 )
