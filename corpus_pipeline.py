@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerloom.llm.bpe import encode_decode
 from ledgerloom.llm.common import cut, table
 from ledgerloom.llm.decontam import contaminated
+from ledgerloom.llm.near_copies import near_copies
 from ledgerloom.llm.quality import quality_scores
 from ledgerloom.llm.secret_scan import redact
-from ledgerloom.llm.simhash import simhash_dedup
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -29,8 +29,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document of the smallest id."""
-    return _only(docs, simhash_dedup(docs).where("doc_id = component_id"))
+    """Keeps of each group of near copies (similarity of five-word shingles 0.8 or more) the document of the smallest id."""
+    return _only(docs, near_copies(docs).where("doc_id = component_id"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
