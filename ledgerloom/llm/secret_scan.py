@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -28,7 +30,7 @@ _KEYWORD = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_TARGET = re.compile(r"""(?<![\w.\-])["']?([A-Za-z_][\w.\-]{0,80})["']?[ \t]*(?::=|=>|[:=])(?![=/])[ \t]*""", re.A)
+_TARGET = re.compile(r"""(?<![\w.\-])["']?([A-Za-z_][\w.\-]*+)["']?[ \t]*(?::=|=>|[:=])(?![=/])[ \t]*""", re.A)
 _TERM = re.compile(r""""([^"\n]*)"|'([^'\n]*)'|`([^`\n]*)`|((?:\$\{\w+\}|[A-Za-z0-9_$])(?:\$\{\w+\}|[^\s"'`,;()\[\]{}])*)""", re.A)
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*")
 _USES = re.compile(r"\$\{(\w+)\}|\$(\w+)|%\((\w+)\)s|\{(\w+)\}", re.A)
@@ -54,10 +56,45 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """0 to 1 by length and the entropy of its characters."""
-    if len(value) < 6 or PLACEHOLDERS.match(value) or " " in value:
-        return 0.0
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    return min(1.0, entropy / 2.5) * (1.0 if len(value) >= 8 else 0.8)
+    return _Value(len(value), value[:HEAD], value[-1:], Counter(value)).score()
+
+
+#: No placeholder of a fixed text is longer.
+HEAD = 16
+
+
+class _Value(NamedTuple):
+    """What the score needs of a text that may be too long to write out: its size, its first characters, its last and their counts."""
+
+    size: int
+    head: str
+    last: str
+    counts: dict[str, int]
+
+    @staticmethod
+    def joined(parts: list[_Value]) -> _Value:
+        size, head, last, counts = 0, "", "", {}
+        for p in parts:
+            size, head, last = size + p.size, (head + p.head)[:HEAD], p.last or last
+            for c, n in p.counts.items():
+                counts[c] = counts.get(c, 0) + n
+        if size >> 200:  # shares are the same in double precision
+            counts = {c: max(1, n >> 100) for c, n in counts.items()}
+            size = sum(counts.values())
+        return _Value(size, head, last, counts)
+
+    def placeholder(self) -> bool:
+        if self.size <= HEAD:
+            return bool(PLACEHOLDERS.match(self.head))
+        kinds = set(self.counts)
+        return kinds <= {"x", "X"} or kinds == {"*"} or kinds == {"."} or self.head[:5].lower() in ("your_", "your-") or self.head[0] + self.last == "<>"
+
+    def score(self) -> float:
+        if self.size < 6 or self.placeholder() or " " in self.counts:
+            return 0.0
+        shares = [n / self.size for n in self.counts.values()]
+        entropy = -sum(p * math.log2(p) for p in shares if p)
+        return min(1.0, entropy / 2.5) * (1.0 if self.size >= 8 else 0.8)
 
 
 def _pairs(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]:
@@ -83,34 +120,84 @@ def literals(text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
     pairs = _pairs(text)
     if not any(name_score(name) > 0 for name, _ in pairs):
         return []
-    defined: dict[str, list] = {}
-    for name, terms in pairs:
-        defined.setdefault(name, terms)
-
-    def values(terms: list, seen: frozenset) -> tuple[str, list[tuple[int, int]]]:
-        whole, spans = "", []
-        for value, start, end, quoted in terms:
-            used = [value] if not quoted and value in defined else [next(filter(None, g)) for g in _USES.findall(value)]
-            used = [u for u in used if u in defined and u not in seen]
-            if used:
-                for u in used:
-                    v, s = values(defined[u], seen | {u})
-                    whole += v
-                    spans += s
-            else:
-                whole += value
-                spans.append((start, end))
-        return whole, spans
-
-    found: dict[tuple[int, int], float] = {}
-    for name, terms in pairs:
+    places: dict[str, list[int]] = {}
+    for i, (name, _) in enumerate(pairs):
+        places.setdefault(name, []).append(i)
+
+    def defined(name: str, i: int) -> list[int]:
+        """The latest assignment before the i-th, or all others where there is none."""
+        own = places.get(name, [])
+        k = bisect_left(own, i)
+        return own[k - 1 : k] if k else [j for j in own if j != i]
+
+    resolved: dict[int, list[list[list[int]]]] = {}
+
+    def uses(i: int) -> list[list[list[int]]]:
+        """For each term of the i-th assignment the assignments that each name in it stands for."""
+        if i not in resolved:
+            resolved[i] = []
+            for value, _, _, quoted in pairs[i][1]:
+                names = [value] if not quoted and value in places else [next(filter(None, g)) for g in _USES.findall(value)]
+                resolved[i].append([d for d in (defined(u, i) for u in names) if d])
+        return resolved[i]
+
+    known: dict[int, _Value] = {}  # of assignments that no cycle reaches
+
+    def value_of(root: int) -> tuple[_Value, dict[int, list[tuple[int, int]]]]:
+        """The value, and the spans by assignment of references that go round in a circle and so count as text."""
+        own, circles = {}, {}
+        stack, on, tainted, left = [root], {root}, set(), {}
+        while stack:
+            i = stack[-1]
+            if i not in left:
+                left[i] = iter([j for term in uses(i) for d in term for j in d])
+            deeper = next((j for j in left[i] if j not in known and j not in own and j not in on), None)
+            if deeper is not None:
+                stack.append(deeper)
+                on.add(deeper)
+                continue
+            parts = []
+            for term, (value, start, end, _) in zip(uses(i), pairs[i][1]):
+                choices = [[known.get(j) or own[j] for j in d if j not in on] for d in term]
+                if any(j in on or j in tainted for d in term for j in d):
+                    tainted.add(i)
+                choices = [c for c in choices if c]
+                if choices:
+                    parts += [max(c, key=_Value.score) for c in choices]
+                else:
+                    parts.append(_Value(len(value), value[:HEAD], value[-1:], Counter(value)))
+                    if term:
+                        circles.setdefault(i, []).append((start, end))
+            (own if i in tainted else known)[i] = _Value.joined(parts)
+            stack.pop()
+            on.discard(i)
+        return known.get(root) or own[root], circles
+
+    scored = []
+    for i, (name, _) in enumerate(pairs):
         weight = name_score(name)
         if weight > 0:
-            value, spans = values(terms, frozenset([name]))
-            score = weight * literal_score(value)
+            value, circles = value_of(i)
+            score = weight * value.score()
             if score >= least:
-                for s in spans:
-                    found[s] = max(found.get(s, 0.0), score)
+                scored.append((score, i, circles))
+    found: dict[tuple[int, int], float] = {}
+    reached: set[int] = set()
+    for score, i, circles in sorted(scored, key=lambda x: -x[0]):  # the first to reach a literal has the best score
+        for k, spans in circles.items():
+            for s in spans:
+                found.setdefault(s, score)
+        stack = [i]
+        while stack:
+            k = stack.pop()
+            if k in reached:
+                continue
+            reached.add(k)
+            for term, (_, start, end, _) in zip(uses(k), pairs[k][1]):
+                if not term:
+                    found.setdefault((start, end), score)
+                for d in term:
+                    stack += [j for j in d if len(d) == 1 or j not in known or not known[j].placeholder()]
     return sorted((a, b, round(s, 4)) for (a, b), s in found.items())
 
 

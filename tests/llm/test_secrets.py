@@ -57,3 +57,17 @@ def test_redaction_leaves_no_span(spark):
         assert not scan(redacted := (r.text or "").replace('"[SECRET]"', '""')) or redacted is None
         assert r.n_chars == (None if r.text is None else len(r.text))
     assert next(r.text for r in rows if r.doc_id == 7) == TEXTS[7]
+
+
+def test_latest_definition_long_names_and_long_chains():
+    found = lambda t: [t[a:b] for a, b, _ in literals(t)]
+    assert found('X = "aaa"\nX = "S3cr3tValue99"\ndb_pwd = X') == ["S3cr3tValue99"]
+    assert found('X = "S3cr3tValue99"\ndb_pwd = X\nX = "other_Value1"') == ["S3cr3tValue99"]
+    assert found('X = "9fK2_x"\nX = X + "Lq77z"\ndb_pwd = X') == ["9fK2_x", "Lq77z"]
+    assert found('db_pwd = X\nX = "S3cr3tValue99"\nX = "T4cr3tValue88"') == ["S3cr3tValue99", "T4cr3tValue88"]
+    assert found(".".join(["section"] * 30) + '.db_pwd = "S3cr3tValue99"') == ["S3cr3tValue99"]
+    chain = 'c0 = "S3cr3tValue99"\n' + "".join(f"c{i} = c{i - 1}\n" for i in range(1, 3000))
+    assert found(chain + "db_pwd = c2999") == ["S3cr3tValue99"]
+    double = 'c0 = "S3cr3tValue99"\n' + "".join(f"c{i} = c{i - 1} + c{i - 1}\n" for i in range(1, 2000))
+    assert found(double + "db_pwd = c1999") == ["S3cr3tValue99"]
+    assert found('Y = X + "S3cr3tValue99"\nX = Y\npin_name = Y\ndb_pwd = X')[-1] == "S3cr3tValue99"
