@@ -30,13 +30,9 @@ def normal(text: str) -> bytes:
 
 
 @dataclass
-class Passages:
-    """A block of passages and the sorted hashes of their q-grams."""
+class Grams:
+    """The sorted hashes of q-grams, with the passage and the place of each."""
 
-    ids: list[int]
-    texts: list[bytes]
-    budget: np.ndarray
-    bound: np.ndarray
     key: np.ndarray
     item: np.ndarray
     place: np.ndarray
@@ -44,13 +40,10 @@ class Passages:
     q: int
 
     @staticmethod
-    def of(ids: list[int], texts: list[str], q: int, rate: float) -> Passages:
-        pairs = sorted({i: t for i, x in zip(ids, texts) if len(t := normal(x)) >= q}.items())
-        ids, kept = [i for i, _ in pairs], [t for _, t in pairs]
-        size = np.array([len(t) for t in kept], np.int64)
-        budget = np.minimum((size * rate).astype(np.int64), (size - q) // q)  # as many edits as the lemma can answer for
+    def of(texts: list[bytes], chosen: np.ndarray, q: int) -> Grams:
         key, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for n, t in enumerate(kept):
+        for n in chosen.tolist():
+            t = texts[n]
             own = span_hash(levels(byte_tokens(np.frombuffer(t, np.uint8)), q), np.arange(len(t) - q + 1), q)
             key.append(own)
             item.append(np.full(len(own), n))
@@ -59,7 +52,30 @@ class Passages:
         order = np.argsort(key, kind="stable")
         some = np.zeros(1 << BITS, bool)
         some[(key & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
-        return Passages(ids, kept, budget, size + 1 - q - budget * q, key[order], item[order], place[order], some, q)
+        return Grams(key[order], item[order], place[order], some, q)
+
+
+@dataclass
+class Passages:
+    """A block of passages and their q-grams; passages too short for q to answer for the budget have shorter ones."""
+
+    ids: list[int | None]
+    texts: list[bytes]
+    budget: np.ndarray
+    bound: np.ndarray
+    grams: list[Grams]
+
+    @staticmethod
+    def of(ids: list[int | None], texts: list[str], q: int, rate: float) -> Passages:
+        pairs = sorted({(i, t) for i, x in zip(ids, texts) if len(t := normal(x)) >= q}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        ids, kept = [i for i, _ in pairs], [t for _, t in pairs]
+        size = np.array([len(t) for t in kept], np.int64)
+        budget = np.minimum((size * rate).astype(np.int64), size - 1)
+        most = size // (budget + 1)  # the longest q-grams of which one is left after as many edits
+        short = most < q
+        own = np.where(short, most[short].min(initial=q), q)
+        grams = [Grams.of(kept, np.flatnonzero(own == k), k) for k in np.unique(own).tolist()]
+        return Passages(ids, kept, budget, size + 1 - own - budget * own, grams)
 
 
 def align(passage: bytes, region: bytes, budget: int) -> tuple[int, int, int] | None:
@@ -85,23 +101,23 @@ def align(passage: bytes, region: bytes, budget: int) -> tuple[int, int, int] |
     return int(cost[end]), int(start[end]), end
 
 
-def regions(key: np.ndarray, at: np.ndarray, p: Passages) -> Iterator[tuple[int, int, int, int]]:
+def regions(key: np.ndarray, at: np.ndarray, p: Passages, g: Grams) -> Iterator[tuple[int, int, int, int]]:
     """(row, passage, first, last diagonal) of the bands that meet the bound; key: hashes of all places, at: text offsets."""
-    near = np.flatnonzero(p.some[(key & np.uint64((1 << BITS) - 1)).astype(np.int64)])
-    lo, hi = np.searchsorted(p.key, key[near], "left"), np.searchsorted(p.key, key[near], "right")
+    near = np.flatnonzero(g.some[(key & np.uint64((1 << BITS) - 1)).astype(np.int64)])
+    lo, hi = np.searchsorted(g.key, key[near], "left"), np.searchsorted(g.key, key[near], "right")
     near, lo, n = near[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
     if not len(near):
         return
     row = np.searchsorted(at, near, "right") - 1
-    inside = near + p.q <= at[row + 1]
+    inside = near + g.q <= at[row + 1]
     near, lo, n, row = near[inside], lo[inside], n[inside], row[inside]
     entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
     place, row = np.repeat(near - at[row], n), np.repeat(row, n)
-    item, diagonal = p.item[entry], place - p.place[entry]
+    item, diagonal = g.item[entry], place - g.place[entry]
     width = 2 * (2 * p.budget[item] + 1)
     base = diagonal + (1 << 20)
     bands = np.concatenate([2 * (base // width), 2 * ((base + width // 2) // width) + 1])
-    row, item, diagonal, own = np.tile(row, 2), np.tile(item, 2), np.tile(diagonal, 2), np.tile(p.place[entry], 2)
+    row, item, diagonal, own = np.tile(row, 2), np.tile(item, 2), np.tile(diagonal, 2), np.tile(g.place[entry], 2)
     order = np.lexsort((own, bands, item, row))
     row, item, bands, diagonal, own = row[order], item[order], bands[order], diagonal[order], own[order]
     new = np.ones(len(row), bool)
@@ -111,8 +127,8 @@ def regions(key: np.ndarray, at: np.ndarray, p: Passages) -> Iterator[tuple[int,
     fresh[1:] |= own[1:] != own[:-1]
     count = np.add.reduceat(fresh.astype(np.int64), first)
     least, most = np.minimum.reduceat(diagonal, first), np.maximum.reduceat(diagonal, first)
-    for g in np.flatnonzero(count >= p.bound[item[first]]).tolist():
-        yield int(row[first[g]]), int(item[first[g]]), int(least[g]), int(most[g])
+    for n in np.flatnonzero(count >= p.bound[item[first]]).tolist():
+        yield int(row[first[n]]), int(item[first[n]]), int(least[n]), int(most[n])
 
 
 def find_hits(texts: pa.Array, p: Passages) -> list[list[dict]]:
@@ -125,22 +141,26 @@ def find_hits(texts: pa.Array, p: Passages) -> list[list[dict]]:
     for i, j in runs(offsets, CHUNK):
         at = offsets[i : j + 1]
         piece, at = data[at[0] : at[-1]], at - at[0]
-        if len(piece) < p.q:
-            continue
-        key = span_hash(levels(byte_tokens(piece), p.q), np.arange(len(piece) - p.q + 1), p.q)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for row, item, least, most in regions(key, at, p):
-            text, passage, k = whole[i + row], p.texts[item], int(p.budget[item])
-            if (row, item) in best and best[row, item][0] == 0:
+        for g in p.grams:
+            if len(piece) < g.q:
                 continue
-            lo, hi = max(0, least - k), min(len(text), most + len(passage) + k)
-            exact = text.find(passage, lo, hi)
-            found = (0, exact - lo, exact - lo + len(passage)) if exact >= 0 else align(passage, text[lo:hi], k)
-            if found:
-                found = (found[0], lo + found[1], lo + found[2])
-                best[row, item] = min(found, best.get((row, item), found))
-        for (row, item), (edits, start, end) in sorted(best.items()):
-            out[i + row].append({"item_id": p.ids[item], "edits": edits, "start": start, "end": end})
+            key = span_hash(levels(byte_tokens(piece), g.q), np.arange(len(piece) - g.q + 1), g.q)
+            for row, item, least, most in regions(key, at, p, g):
+                text, passage, k = whole[i + row], p.texts[item], int(p.budget[item])
+                if (row, item) in best and best[row, item][0] == 0:
+                    continue
+                lo, hi = max(0, least - k), min(len(text), most + len(passage) + k)
+                exact = text.find(passage, lo, hi)
+                found = (0, exact - lo, exact - lo + len(passage)) if exact >= 0 else align(passage, text[lo:hi], k)
+                if found:
+                    found = (found[0], lo + found[1], lo + found[2])
+                    best[row, item] = min(found, best.get((row, item), found))
+        of_id: dict[tuple[int, int | None], tuple[int, int, int]] = {}
+        for (row, item), found in sorted(best.items()):
+            of_id[row, p.ids[item]] = min(found, of_id.get((row, p.ids[item]), found))
+        for (row, item_id), (edits, start, end) in of_id.items():
+            out[i + row].append({"item_id": item_id, "edits": edits, "start": start, "end": end})
     return out
 
 
@@ -148,12 +168,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float
     """doc_id and hits (item_id, edits, and start and end in bytes of the normal text) for each row with an id.
 
     A passage is held if some place of the document equals it up to ``rate`` edits a character. Passages shorter than q
-    characters are not searched for, null and empty texts hold none, rows that share an item_id count as one passage. The
-    benchmark is sent to the tasks ``block`` items at a time, each block meeting all documents.
+    characters are not searched for, null and empty texts hold none. Of rows that share an item_id, or have none, each text is
+    searched for and the best hit is given. The benchmark is sent to the tasks ``block`` rows at a time, each block meeting all
+    documents.
     """
     spark = docs.sparkSession
     docs = id_text(docs)
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = -(-items.count() // block) or 1
 
     def search(p: Passages) -> DataFrame:
@@ -167,11 +188,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float
 
     found = None
     for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         rows = own.collect()  # about ``block`` rows
         part = search(Passages.of([r.item_id for r in rows], [r.text for r in rows], q, rate))
         found = part if found is None else found.unionByName(part)
-    return found if blocks == 1 else found.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    if blocks == 1:
+        return found
+    merged = found.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    return merged.withColumn("hits", F.expr("filter(hits, (h, i) -> i = 0 or not h.item_id <=> hits[i - 1].item_id)"))
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -50,3 +50,16 @@ def test_alignment():
     assert align(b"hello world", b"say hello world now", 1) == (0, 4, 15)
     assert align(b"hello world", b"say helo wxorld now", 2) == (2, 4, 15)
     assert align(b"hello world", b"nothing like it", 3) is None
+
+
+def test_texts_of_one_id_missing_ids_and_short_passages(spark):
+    first, second, third = "the first of two texts of one item of the set", "quite another wording under that same item", "a passage that came without any number"
+    short = ["abcdefghijklm", "abcdefghijklmnopqrstuvwxy", "abcdefghijklmnopqrstuvwxyz0123456789-+"]
+    bench = spark.createDataFrame([(1, first), (1, second), (None, third), *((10 + i, t[::-1]) for i, t in enumerate(short))], "item_id long, text string")
+    changed = [t[::-1].replace("g", "#") if n == 1 else t[::-1].replace("f", "#").replace("q", "#") if n == 2 else t[::-1].replace("f", "#").replace("q", "#").replace("1", "#") for n, t in enumerate(short, 1)]
+    texts = {1: first, 2: second, 3: third, 4: first + " " + second, **{10 + i: "so: " + t for i, t in enumerate(changed)}, 20: "none of these"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (20000, 2):
+        got = {x.doc_id: {h.item_id: h.edits for h in x.hits} for x in contaminated(frame, bench, block=block).collect()}
+        assert {i: got[i] for i in (1, 2, 3, 4, 20)} == {1: {1: 0}, 2: {1: 0}, 3: {None: 0}, 4: {1: 0}, 20: {}}
+        assert [got[10 + i].get(10 + i) for i in range(3)] == [1, 2, 3]
