@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, id_text, runs, text_buffer, word_hashes
 
-#: Slots of the token table and length of a vector: the table has 4 bytes x SLOTS x DIM, whatever the corpus.
+#: Slots of the token table and length of a vector: the table of sums has 8 bytes x SLOTS x DIM, whatever the corpus.
 SLOTS, DIM, NONZERO, REACH = 1 << 15, 32, 4, 2
 BLOCK = 1 << 9
 CHUNK = 1 << 19
@@ -64,7 +64,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit word vectors of all slots, from every document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS * DIM, np.int32)
+        total = np.zeros(SLOTS * DIM, np.int64)
         for batch in batches:
             for _, _, slot, at in _slots(batch):
                 doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -72,23 +72,23 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 of = np.concatenate([x for a, b in pairs for x in (a, b)])
                 near = np.concatenate([x for a, b in pairs for x in (b, a)])
                 place = ((of * DIM).astype(np.int32)[:, None] + _PLACE[near]).ravel()
-                total += np.bincount(place, _SIGN[near].ravel(), SLOTS * DIM).astype(np.int32)
+                total += np.bincount(place, _SIGN[near].ravel(), SLOTS * DIM).astype(np.int64)
         blocks = total.reshape(-1, BLOCK * DIM)
         some = np.flatnonzero(blocks.any(1))
         salt = TaskContext.get().partitionId() % 256
         yield pa.record_batch({"block": pa.array(some, pa.int32()), "salt": pa.array(np.full(len(some), salt), pa.int32()), "sums": pa.array([blocks[i].tobytes() for i in some], pa.binary())})
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK * DIM, np.int32)
+        total = np.zeros(BLOCK * DIM, np.int64)
         for x in group["sums"]:
-            total += np.frombuffer(x.as_buffer(), np.int32)
+            total += np.frombuffer(x.as_buffer(), np.int64)
         return pa.table({"block": pa.array([group["block"][0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     schema = "block int, salt int, sums binary"
     sums = docs.mapInArrow(count, schema).groupBy("block", "salt").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
     vectors = np.zeros((SLOTS // BLOCK, BLOCK * DIM), np.float32)
     for r in sums.collect():  # SLOTS / BLOCK rows
-        vectors[r.block] = np.frombuffer(r.sums, np.int32)
+        vectors[r.block] = np.frombuffer(r.sums, np.int64)
     vectors = vectors.reshape(SLOTS, DIM)
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1)
 

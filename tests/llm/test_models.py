@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
+from ledgerloom.llm import quality
 from ledgerloom.llm.quality import fit, quality_scores, tokens
 from ledgerloom.llm.toxicity import label_model, toxicity_scores
 
@@ -73,3 +74,10 @@ def test_label_model_discounts_copies():
     v = np.stack([noisy] * 10 + good, 1).astype(float)
     given = np.where(r.random(4000) < 0.8, y, 1 - y)
     assert ((label_model(v, given, 0.8) > 0.5) == y).mean() > 0.9
+
+
+def test_word_vectors_of_large_sums(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "pear fig " * 40), (2, "pear pear pear fig")], "doc_id long, text string").repartition(2)
+    want = quality.word_vectors(docs)
+    monkeypatch.setattr(quality, "_SIGN", quality._SIGN * 2**30)
+    assert np.allclose(quality.word_vectors(docs), want, atol=1e-6)
