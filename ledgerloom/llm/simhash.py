@@ -26,6 +26,13 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np
 _XX = xxhash.xxh64_intdigest
 
 
+def bit_majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes; of none, zero."""
+    planes = hashes.astype(">u8").view(np.uint8).reshape(-1, 8).T
+    ones = np.concatenate([np.bincount(plane, minlength=256) @ _BITS for plane in planes])
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     words = text.lower().split()
     if not words:
@@ -33,10 +40,7 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     joined = b" ".join(words)
     ends = list(accumulate((len(w) + 1 for w in words), initial=0))
     k = min(shingle, len(words))
-    hashes = np.array([_XX(joined[a : b - 1], seed) for a, b in zip(ends, ends[k:])], np.uint64)
-    planes = hashes.astype(">u8").view(np.uint8).reshape(-1, 8).T
-    ones = np.concatenate([np.bincount(plane, minlength=256) @ _BITS for plane in planes])
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    return bit_majority(np.array([_XX(joined[a : b - 1], seed) for a, b in zip(ends, ends[k:])], np.uint64))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
