@@ -1,10 +1,12 @@
 """Benchmark decontamination by the q-gram lemma.
 
-A passage of m characters that a document holds with at most k edits shares m + 1 - q - k q of its
-q-grams with the document, all on diagonals within k of one another. Shared q-grams are counted in
-bands of diagonals that overlap by half, so one band holds them all; bands below the bound are
-dropped, the rest are verified by a banded alignment of the whole passage. Documents and passages
-are compared in lower case with runs of white space as one space.
+A passage of m characters that a document holds with at most k edits loses at most k q of its q-grams, so of R q-grams that are
+looked for R - k q are left, all on diagonals within k of one another. Shared q-grams are counted in bands of diagonals that
+overlap by half, so one band holds them all; bands below the bound are dropped, the rest are verified by a banded alignment of
+the whole passage. The order of the filter follows how many passages share a q-gram: a passage is looked for by q-grams that
+few others have, of the largest q for which the bound holds with those alone, so passages with a common opening do not meet
+wherever it stands. A passage for which no q gives a bound has all its q-grams looked for. Documents and passages are
+compared in lower case with runs of white space as one space; sizes and places are in characters of that.
 """
 
 from __future__ import annotations
@@ -16,166 +18,259 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_tokens, id_text, mix, runs, text_buffer
+from .common import id_text, mix, runs
 from .repeats import levels, span_hash
 
 SCHEMA = "doc_id long, hits array<struct<item_id:long,edits:int,start:int,end:int>>"
 _HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 CHUNK = 1 << 20
 BITS = 20
+#: A q-gram of more passages than this is common; passages with common q-grams only are searched in groups of GROUP.
+COMMON, GROUP = 64, 256
+#: Places of q-grams that are expanded at once.
+EXPAND = 1 << 22
+#: Candidates aligned at once.
+BATCH = 512
+_KEYS = mix(np.arange(1, 0x110001, dtype=np.uint64))
 
 
-def normal(text: str) -> bytes:
-    return " ".join(text.lower().split()).encode()
+def normal(text: str) -> str:
+    return " ".join(text.lower().split())
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 @dataclass
 class Grams:
-    """The sorted hashes of q-grams, with the passage and the place of each."""
+    """The sorted hashes of q-grams, with the passage and the place of each, and how many of a passage's must be met."""
 
+    q: int
     key: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    bound: np.ndarray
     some: np.ndarray
-    q: int
 
     @staticmethod
-    def of(texts: list[bytes], chosen: np.ndarray, q: int) -> Grams:
-        key, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for n in chosen.tolist():
-            t = texts[n]
-            own = span_hash(levels(byte_tokens(np.frombuffer(t, np.uint8)), q), np.arange(len(t) - q + 1), q)
-            key.append(own)
-            item.append(np.full(len(own), n))
-            place.append(np.arange(len(own)))
-        key, item, place = map(np.concatenate, (key, item, place))
+    def of(q: int, key: np.ndarray, item: np.ndarray, place: np.ndarray, bound: np.ndarray) -> Grams:
         order = np.argsort(key, kind="stable")
         some = np.zeros(1 << BITS, bool)
         some[(key & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
-        return Grams(key[order], item[order], place[order], some, q)
+        return Grams(q, key[order], item[order], place[order], bound, some)
+
+
+def _common(key: np.ndarray, item: np.ndarray, most: int) -> np.ndarray:
+    """Whether more than ``most`` items have the key."""
+    order = np.lexsort((item, key))
+    k, i = key[order], item[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    group = np.cumsum(new) - 1
+    fresh = new.copy()
+    fresh[1:] |= i[1:] != i[:-1]
+    out = np.empty(len(k), bool)
+    out[order] = np.bincount(group, fresh)[group] > most if len(k) else False
+    return out
 
 
 @dataclass
 class Passages:
-    """A block of passages and their q-grams; passages too short for q to answer for the budget have shorter ones."""
+    """A block of different passages with the ids of each, and the q-grams by which they are looked for."""
 
-    ids: list[int | None]
-    texts: list[bytes]
+    ids: list[list[int | None]]
+    texts: list[str]
+    codes: np.ndarray
+    at: np.ndarray
     budget: np.ndarray
-    bound: np.ndarray
     grams: list[Grams]
 
     @staticmethod
     def of(ids: list[int | None], texts: list[str], q: int, rate: float) -> Passages:
-        pairs = sorted({(i, t) for i, x in zip(ids, texts) if len(t := normal(x)) >= q}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-        ids, kept = [i for i, _ in pairs], [t for _, t in pairs]
+        ids_of: dict[str, set[int | None]] = {}
+        for i, x in zip(ids, texts):
+            if t := normal(x):
+                ids_of.setdefault(t, set()).add(i)
+        kept = sorted(ids_of)
+        codes = codes_of("".join(kept))
         size = np.array([len(t) for t in kept], np.int64)
-        budget = np.minimum((size * rate).astype(np.int64), size - 1)
-        most = size // (budget + 1)  # the longest q-grams of which one is left after as many edits
-        short = most < q
-        own = np.where(short, most[short].min(initial=q), q)
-        grams = [Grams.of(kept, np.flatnonzero(own == k), k) for k in np.unique(own).tolist()]
-        return Passages(ids, kept, budget, size + 1 - own - budget * own, grams)
-
-
-def align(passage: bytes, region: bytes, budget: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best place of the whole passage in the region, if its edits are within the budget."""
-    b = np.frombuffer(region, np.uint8)
-    n = len(b)
-    across = np.arange(n + 1)
-    cost, start = np.zeros(n + 1, np.int64), across.copy()
-    for i, c in enumerate(passage):
-        swap = cost[:-1] + (b != c)
-        drop = cost + 1
-        new, begin = drop.copy(), start.copy()
-        better = swap < new[1:]
-        new[1:][better], begin[1:][better] = swap[better], start[:-1][better]
-        # characters of the region between two of the passage: running least of cost - column
-        low = np.minimum.accumulate(new - across)
-        first = np.maximum.accumulate(np.where(new - across == low, across, 0))
-        new, begin = low + across, begin[first]
-        cost, start = new, begin
-        if cost.min() > budget:
-            return None
-    end = int(cost.argmin())
-    return int(cost[end]), int(start[end]), end
-
-
-def regions(key: np.ndarray, at: np.ndarray, p: Passages, g: Grams) -> Iterator[tuple[int, int, int, int]]:
-    """(row, passage, first, last diagonal) of the bands that meet the bound; key: hashes of all places, at: text offsets."""
-    near = np.flatnonzero(g.some[(key & np.uint64((1 << BITS) - 1)).astype(np.int64)])
-    lo, hi = np.searchsorted(g.key, key[near], "left"), np.searchsorted(g.key, key[near], "right")
-    near, lo, n = near[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-    if not len(near):
-        return
-    row = np.searchsorted(at, near, "right") - 1
-    inside = near + g.q <= at[row + 1]
-    near, lo, n, row = near[inside], lo[inside], n[inside], row[inside]
+        at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        budget = np.minimum((size * rate + 1e-9).astype(np.int64), np.maximum(size - 1, 0))
+        hashes = levels(_KEYS[codes], q)
+
+        def places(width: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            each = np.maximum(size[chosen] + 1 - width, 0)
+            item = np.repeat(chosen, each)
+            place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            return span_hash(hashes, at[item] + place, width), item, place
+
+        left, grams = np.arange(len(kept)), []
+        for width in range(q, 0, -1):
+            if not len(left):
+                break
+            key, item, place = places(width, left)
+            rare = ~_common(key, item, COMMON)
+            bound = np.bincount(item[rare], minlength=len(kept)) - budget * width
+            own = bound[left] > 0
+            if own.any():
+                use = rare & (bound[item] > 0)
+                grams.append(Grams.of(width, key[use], item[use], place[use], bound))
+                left = left[~own]
+        width_of = np.minimum(q, size // (budget + 1))  # the longest q-grams of which one is left after as many edits
+        for width in np.unique(width_of[left]).tolist():
+            same = left[width_of[left] == width]
+            for i in range(0, len(same), GROUP):
+                grams.append(Grams.of(width, *places(width, same[i : i + GROUP]), size + 1 - width - budget * width))
+        return Passages([sorted(ids_of[t], key=lambda i: (i is not None, i or 0)) for t in kept], kept, codes, at, budget, grams)
+
+
+def bands(near: np.ndarray, lo: np.ndarray, n: np.ndarray, row: np.ndarray, at: np.ndarray, p: Passages, g: Grams) -> np.ndarray:
+    """Rows (text, passage, first diagonal, last diagonal) of the bands that meet the bound."""
     entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
     place, row = np.repeat(near - at[row], n), np.repeat(row, n)
-    item, diagonal = g.item[entry], place - g.place[entry]
+    item, own = g.item[entry], g.place[entry]
+    diagonal = place - own
     width = 2 * (2 * p.budget[item] + 1)
-    base = diagonal + (1 << 20)
-    bands = np.concatenate([2 * (base // width), 2 * ((base + width // 2) // width) + 1])
-    row, item, diagonal, own = np.tile(row, 2), np.tile(item, 2), np.tile(diagonal, 2), np.tile(g.place[entry], 2)
-    order = np.lexsort((own, bands, item, row))
-    row, item, bands, diagonal, own = row[order], item[order], bands[order], diagonal[order], own[order]
+    base = diagonal + (1 << 30)
+    band = np.concatenate([2 * (base // width), 2 * ((base + width // 2) // width) + 1])
+    row, item, diagonal, own = (np.tile(x, 2) for x in (row, item, diagonal, own))
+    order = np.lexsort((own, band, item, row))
+    row, item, band, diagonal, own = (x[order] for x in (row, item, band, diagonal, own))
     new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (bands[1:] != bands[:-1])
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
     first = np.flatnonzero(new)
     fresh = new.copy()  # a q-gram of the passage counts once in a band
     fresh[1:] |= own[1:] != own[:-1]
-    count = np.add.reduceat(fresh.astype(np.int64), first)
+    met = np.add.reduceat(fresh.astype(np.int64), first) >= g.bound[item[first]]
     least, most = np.minimum.reduceat(diagonal, first), np.maximum.reduceat(diagonal, first)
-    for n in np.flatnonzero(count >= p.bound[item[first]]).tolist():
-        yield int(row[first[n]]), int(item[first[n]]), int(least[n]), int(most[n])
+    return np.stack([row[first], item[first], least, most])[:, met]
+
+
+def candidates(key: np.ndarray, at: np.ndarray, p: Passages, g: Grams) -> Iterator[np.ndarray]:
+    """``bands`` of a piece of text, a part at a time; key: hashes of all places, at: text offsets.
+
+    Parts overlap by the longest place that a passage can take, so each such place lies within one part.
+    """
+    near = np.flatnonzero(g.some[(key & np.uint64((1 << BITS) - 1)).astype(np.int64)])
+    lo, hi = np.searchsorted(g.key, key[near], "left"), np.searchsorted(g.key, key[near], "right")
+    row = np.searchsorted(at, near, "right") - 1
+    keep = (hi > lo) & (near + g.q <= at[row + 1])
+    near, lo, n, row = near[keep], lo[keep], (hi - lo)[keep], row[keep]
+    if not len(near):
+        return
+    reach = int((np.diff(p.at) + 2 * p.budget).max())
+    total = np.concatenate([[0], np.cumsum(n)])
+    i = 0
+    while i < len(near):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + EXPAND, "right")) - 1)
+        j = max(j, int(np.searchsorted(near, near[i] + 2 * reach, "left")))
+        yield bands(near[i:j], lo[i:j], n[i:j], row[i:j], at, p, g)
+        if j >= len(near):
+            return
+        i = max(i + 1, int(np.searchsorted(near, near[j - 1] - reach, "left")))
+
+
+def align(text: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, least: np.ndarray, most: np.ndarray, p: Passages) -> np.ndarray:
+    """Rows (edits, start, end) of the best place of each passage between its diagonals; edits above the budget are -1.
+
+    begin, end: where each candidate's text lies in ``text``; starts and ends count from its beginning.
+    """
+    out = np.full((3, len(item)), -1, np.int64)
+    many = 1 << 20
+    left = np.arange(len(item))
+    size, budget = np.diff(p.at)[item], p.budget[item]
+    low = least - budget
+    width = int((most + budget - low).max()) + 1
+    across = np.arange(width)
+    length = end - begin
+    at = low[:, None] + across  # place in the text
+    beyond = (at < 0) | (at > length[:, None]) | (across > (most + budget - low)[:, None])
+    cost, start = np.where(beyond, many, 0), at.copy()
+    for i in range(int(size.max())):
+        at = low[left, None] + i + across
+        held = (at >= 0) & (at < length[left, None]) & (across <= (most + budget - low)[left, None])
+        letter = text[np.clip(begin[left, None] + at, 0, max(0, len(text) - 1))] if len(text) else np.zeros(at.shape, np.uint32)
+        new = np.where(held, cost + (letter != p.codes[p.at[item[left]] + i][:, None]), many)
+        begun = start
+        drop = np.full_like(cost, many)
+        drop[:, :-1] = cost[:, 1:] + 1  # a character of the passage that the text lacks
+        better = drop < new
+        new, begun = np.where(better, drop, new), np.where(better, np.pad(start[:, 1:], ((0, 0), (0, 1))), begun)
+        # characters of the text between two of the passage: running least of cost - column
+        slope = new - across
+        running = np.minimum.accumulate(slope, axis=1)
+        from_ = np.maximum.accumulate(np.where(slope == running, across, 0), axis=1)
+        cost = np.where((at + 1 >= 0) & (at + 1 <= length[left, None]), running + across, many)
+        start = np.take_along_axis(begun, from_, 1)
+        best = cost.min(1)
+        done = size[left] == i + 1
+        for k in np.flatnonzero(done & (best <= budget[left])).tolist():
+            w = int(cost[k].argmin())
+            out[:, left[k]] = cost[k, w], start[k, w], low[left[k]] + i + 1 + w
+        stay = ~done & (best <= budget[left])
+        if not stay.all():
+            left, cost, start = left[stay], cost[stay], start[stay]
+            if not len(left):
+                break
+    return out
 
 
 def find_hits(texts: pa.Array, p: Passages) -> list[list[dict]]:
-    """For each text the best place of each passage that it holds."""
+    """For each text the best place of each item's passages that it holds."""
     whole = [normal(t or "") for t in texts.to_pylist()]
     out: list[list[dict]] = [[] for _ in whole]
     if not p.ids:
         return out
-    data, offsets = text_buffer(pa.array(whole, pa.large_binary()).cast(pa.large_string()))
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in whole])]).astype(np.int64)
     for i, j in runs(offsets, CHUNK):
-        at = offsets[i : j + 1]
-        piece, at = data[at[0] : at[-1]], at - at[0]
+        piece, at = codes_of("".join(whole[i:j])), offsets[i : j + 1] - offsets[i]
+        hashes = levels(_KEYS[piece], max(g.q for g in p.grams))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for g in p.grams:
             if len(piece) < g.q:
                 continue
-            key = span_hash(levels(byte_tokens(piece), g.q), np.arange(len(piece) - g.q + 1), g.q)
-            for row, item, least, most in regions(key, at, p, g):
-                text, passage, k = whole[i + row], p.texts[item], int(p.budget[item])
-                if (row, item) in best and best[row, item][0] == 0:
-                    continue
-                lo, hi = max(0, least - k), min(len(text), most + len(passage) + k)
-                exact = text.find(passage, lo, hi)
-                found = (0, exact - lo, exact - lo + len(passage)) if exact >= 0 else align(passage, text[lo:hi], k)
-                if found:
-                    found = (found[0], lo + found[1], lo + found[2])
-                    best[row, item] = min(found, best.get((row, item), found))
+            key = span_hash(hashes, np.arange(len(piece) - g.q + 1), g.q)
+            for found in candidates(key, at, p, g):
+                rest = []
+                for k, (row, item, least, most) in enumerate(found.T.tolist()):
+                    if (row, item) in best and best[row, item][0] == 0:
+                        continue
+                    edits, size = int(p.budget[item]), len(p.texts[item])
+                    exact = whole[i + row].find(p.texts[item], max(0, least - edits), most + size + edits)
+                    if exact >= 0:
+                        best[row, item] = (0, exact, exact + size)
+                    elif edits:
+                        rest.append(k)
+                rest = sorted(rest, key=lambda k: len(p.texts[found[1, k]]))
+                for b in range(0, len(rest), BATCH):
+                    row, item, least, most = found[:, rest[b : b + BATCH]]
+                    for r, n, edits, start, end in zip(row.tolist(), item.tolist(), *align(piece, at[row], at[row + 1], item, least, most, p).tolist()):
+                        if edits >= 0:
+                            best[r, n] = min((edits, start, end), best.get((r, n), (edits, start, end)))
         of_id: dict[tuple[int, int | None], tuple[int, int, int]] = {}
-        for (row, item), found in sorted(best.items()):
-            of_id[row, p.ids[item]] = min(found, of_id.get((row, p.ids[item]), found))
-        for (row, item_id), (edits, start, end) in of_id.items():
+        for (row, item), found in best.items():
+            for item_id in p.ids[item]:
+                of_id[row, item_id] = min(found, of_id.get((row, item_id), found))
+        for (row, item_id), (edits, start, end) in sorted(of_id.items(), key=lambda x: (x[0][0], x[0][1] is not None, x[0][1] or 0)):
             out[i + row].append({"item_id": item_id, "edits": edits, "start": start, "end": end})
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, block: int = 20_000) -> DataFrame:
-    """doc_id and hits (item_id, edits, and start and end in bytes of the normal text) for each row with an id.
+def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, block: int = 20_000, block_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id and hits (item_id, edits, and start and end in characters of the normal text) for each row with an id.
 
-    A passage is held if some place of the document equals it up to ``rate`` edits a character. Passages shorter than q
-    characters are not searched for, null and empty texts hold none. Of rows that share an item_id, or have none, each text is
-    searched for and the best hit is given. The benchmark is sent to the tasks ``block`` rows at a time, each block meeting all
-    documents.
+    A passage is held if some place of the document equals it up to ``rate`` edits a character, rounded down; one too short for
+    an edit must be there as it is. Null and empty passages are not looked for, null and empty texts hold none, rows that
+    share an id are reported each, a text of any length is searched whole. Of rows of the benchmark that share an item_id,
+    or have none, each text is looked for and the best hit is given. The benchmark is sent to the tasks in blocks of about
+    ``block`` rows and ``block_bytes``, each block meeting all documents.
     """
     spark = docs.sparkSession
     docs = id_text(docs)
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = -(-items.count() // block) or 1
+    rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-rows // block), -(-size // block_bytes))
 
     def search(p: Passages) -> DataFrame:
         shared = spark.sparkContext.broadcast(p)
@@ -189,7 +284,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float
     found = None
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        rows = own.collect()  # about ``block`` rows
+        rows = own.collect()  # about ``block`` rows, about ``block_bytes``
         part = search(Passages.of([r.item_id for r in rows], [r.text for r in rows], q, rate))
         found = part if found is None else found.unionByName(part)
     if blocks == 1:

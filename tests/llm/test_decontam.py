@@ -1,6 +1,15 @@
 import random
+import time
 
-from ledgerloom.llm.decontam import Passages, align, contaminated, digests, normal
+import numpy as np
+import pyarrow as pa
+
+from ledgerloom.llm import decontam
+from ledgerloom.llm.decontam import Passages, align, codes_of, contaminated, digests, find_hits, normal
+
+
+def budget(text):
+    return min(len(text) * 8 // 100, max(len(text) - 1, 0))
 
 
 def distance(passage, text):
@@ -34,22 +43,81 @@ def test_equals_brute_force(spark):
     docs |= {200: None, 201: "", 202: "say Twelve \n Chars again", 203: items[3][: len(items[3]) // 2]}
     frame = spark.createDataFrame([(i, t, "x") for i, t in docs.items()], "doc_id long, text string, item_id string").repartition(3)
     bench = spark.createDataFrame([*items.items(), (0, items[0])], "item_id long, text string")
-    p = Passages.of(list(items), [t or "" for t in items.values()], 10, 0.08)
+    known = {i: normal(t) for i, t in items.items() if t}
     for block in (20000, 5):
         got = {x.doc_id: {h.item_id: h.edits for h in x.hits} for x in contaminated(frame, bench, block=block).collect()}
         want = {}
         for d, t in docs.items():
-            found = {i: distance(x, normal(t or "")) for i, x in zip(p.ids, p.texts)}
-            want[d] = {i: e for (i, e), k in zip(found.items(), p.budget.tolist()) if e <= k}
+            found = {i: distance(x, normal(t or "")) for i, x in known.items()}
+            want[d] = {i: e for i, e in found.items() if e <= budget(known[i])}
         assert got == want
     assert digests(contaminated(frame.where("false"), bench)).count() == 0
     assert digests(contaminated(frame, bench.where("false"))).where("contaminated").count() == 0
 
 
 def test_alignment():
-    assert align(b"hello world", b"say hello world now", 1) == (0, 4, 15)
-    assert align(b"hello world", b"say helo wxorld now", 2) == (2, 4, 15)
-    assert align(b"hello world", b"nothing like it", 3) is None
+    p = Passages.of([1], ["hello world"], 10, 0.2)
+
+    def at(region, k):
+        p.budget[:] = k
+        text = codes_of(region)
+        out = align(text, *(np.array([x]) for x in (0, len(text), 0, -11, len(text))), p)
+        return tuple(out[:, 0].tolist()) if out[0, 0] >= 0 else None
+
+    assert at("say hello world now", 1) == (0, 4, 15)
+    assert at("say helo wxorld now", 2) == (2, 4, 15)
+    assert at("nothing like it", 3) is None
+    assert at("", 3) is None
+
+
+def brute(texts, passages):
+    out = []
+    for t in texts:
+        found = {i: distance(normal(x), normal(t)) for i, x in passages.items()}
+        out.append({i: e for i, e in found.items() if e <= budget(normal(passages[i]))})
+    return out
+
+
+def test_passages_that_share_text(monkeypatch):
+    """Common openings, passages that differ in a few letters only, repeated letters, and parts of a text that overlap."""
+    r = random.Random(4)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n)).strip() or "a"
+    opening = letters(40)
+    passages = {i: opening + letters(60) for i in range(30)}
+    base = letters(70)
+    passages |= {100 + i: edited(r, base, 2) for i in range(30)} | {200: "a" * 50, 201: "ab" * 20, 202: "a" * 9, 203: "b"}
+    texts = [opening * 3, letters(50) + edited(r, passages[3], 4) + letters(20), base + " " + base, edited(r, base, 6), "a" * 200, "ab" * 60 + "b" * 40, "aaaa", "", letters(300), edited(r, passages[7], 9)]
+    for common, group, expand in ((64, 256, 1 << 22), (5, 7, 500)):
+        monkeypatch.setattr(decontam, "COMMON", common)
+        monkeypatch.setattr(decontam, "GROUP", group)
+        monkeypatch.setattr(decontam, "EXPAND", expand)
+        p = Passages.of(list(passages), list(passages.values()), 10, 0.08)
+        got = [{h["item_id"]: h["edits"] for h in hits} for hits in find_hits(pa.array(texts), p)]
+        assert got == brute(texts, passages)
+
+
+def test_many_passages_of_one_opening_end_in_seconds():
+    r = random.Random(9)
+    opening = "".join(r.choice("abcdefghijklmnop ") for _ in range(60))
+    passages = [opening + "".join(r.choice("abcdefghijklmnop ") for _ in range(80)) for _ in range(20_000)]
+    began = time.time()
+    p = Passages.of(list(range(len(passages))), passages, 10, 0.08)
+    hits = find_hits(pa.array([opening * 16_000, passages[77] + " " + opening * 100]), p)
+    assert hits[0] == [] and [h["item_id"] for h in hits[1]] == [77]
+    assert time.time() - began < 60
+
+
+def test_characters_long_texts_and_repeated_rows(spark):
+    chinese = "数据质量的规则由部门负责人每月复核一次并且记录在案以备后续检查使用"
+    assert len(chinese) == 33
+    wrong = chinese[:9] + "错" + chinese[10:20] + "误" + chinese[21:]
+    worse = wrong[:28] + "了" + wrong[29:]
+    filler = "lorem ipsum dolor sit amet " * 60_000
+    rows = [(1, wrong), (2, worse), (3, filler + wrong + " " + filler), (3, filler), (4, None), (4, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, chinese), (8, "tiny"), (9, "")], "item_id long, text string")
+    got = sorted((x.doc_id, [(h.item_id, h.edits) for h in x.hits]) for x in contaminated(frame, bench).collect())
+    assert got == [(1, [(7, 2)]), (2, []), (3, []), (3, [(7, 2)]), (4, []), (4, [])]
 
 
 def test_texts_of_one_id_missing_ids_and_short_passages(spark):
