@@ -179,13 +179,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, t
     """doc_id, held_out, score and predicted (1 if score >= threshold) for each row with an id.
 
     Learns from at most ``fit_rows`` labelled rows (those of the smallest hashes) of the folds other than ``held_out``; the
-    word vectors come from all documents. Null and empty texts have zero features and are scored too. Without labels of
-    both kinds each score is their base rate.
+    word vectors come from all documents. A document that any of its labels calls bad counts as bad. Null and empty texts
+    have zero features and are scored too; texts of any length are read whole; rows that share an id are scored each.
+    Without labels of both kinds each score is their base rate.
     """
     docs = id_text(docs)
     fold = f"pmod(crc32(cast(doc_id as string)), {folds})"
     features = cut(pooled(docs, word_vectors(docs)))
-    sample = labels.where(f"quality in (0, 1) and {fold} <> {held_out}").select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    sample = labels.where(f"quality in (0, 1) and {fold} <> {held_out}").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = features.join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).collect()  # broadcast: fit_rows rows
     x = np.array([np.frombuffer(r.features, np.float32) for r in rows], np.float64).reshape(-1, N_FEATURES)
     net = fit(x, np.array([r.quality for r in rows], np.float64))

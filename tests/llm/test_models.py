@@ -69,11 +69,13 @@ def test_label_model_discounts_copies():
     """Ten copies of a poor voter do not outvote two independent good ones."""
     r = np.random.default_rng(2)
     y = (r.random(4000) < 0.3).astype(int)
-    noisy = np.where(r.random(4000) < 0.65, y, 1 - y)
-    good = [np.where(r.random(4000) < 0.9, y, 1 - y) for _ in range(3)]
-    v = np.stack([noisy] * 10 + good, 1).astype(float)
-    given = np.where(r.random(4000) < 0.8, y, 1 - y)
-    assert ((label_model(v, given, 0.8) > 0.5) == y).mean() > 0.9
+    fires = lambda hit, false: np.where(y > 0, r.random(4000) < hit, r.random(4000) < false).astype(float)
+    noisy = fires(0.3, 0.2)
+    v = np.stack([noisy] * 10 + [fires(0.8, 0.02) for _ in range(3)], 1)
+    v = np.hstack([v, (v[:, 10:].sum(1, keepdims=True) == 0)])
+    known = np.arange(4000) < 300
+    post = label_model(v[~known], v[known].sum(0), y[known] @ v[known], 0.3)
+    assert ((post > 0.5) == y[~known]).mean() > 0.95
 
 
 def test_word_vectors_of_large_sums(spark, monkeypatch):
@@ -81,3 +83,14 @@ def test_word_vectors_of_large_sums(spark, monkeypatch):
     want = quality.word_vectors(docs)
     monkeypatch.setattr(quality, "_SIGN", quality._SIGN * 2**30)
     assert np.allclose(quality.word_vectors(docs), want, atol=1e-6)
+
+
+def test_labels_that_disagree(spark):
+    """Any label that calls a document bad or toxic decides, whatever the order of rows."""
+    docs, labels, _ = corpus(spark, 300)
+    plain = labels.where("doc_id is not null and quality is not null").dropDuplicates(["doc_id"])
+    marked = plain.selectExpr("doc_id", "if(doc_id % 10 = 0, 0, quality) quality", "if(doc_id % 10 = 0, 1, toxic) toxic")
+    other = marked.selectExpr("doc_id", "if(doc_id % 10 = 0, 1, quality) quality", "if(doc_id % 10 = 0, 0, toxic) toxic")
+    for f in (quality_scores, toxicity_scores):
+        a, b = ({r.doc_id: round(r.score, 6) for r in f(docs, x).collect()} for x in (marked, other.union(marked)))
+        assert a == b
