@@ -1,16 +1,17 @@
 """Secret scans with assignment-aware lexing.
 
-Base patterns find keyword assignments, access keys and long hex runs. Beyond them, source and
-configuration syntax (``name = "x" + OTHER``, ``"name": "x"``, ``name: x``, ``export NAME=x``) is
-read into name-literal pairs, constants are carried to the names that use them, and each literal
-is scored by the names that it reaches: a literal is a secret if a sensitive name gets it.
+Base patterns find keyword assignments, access keys and long hex runs. Beyond them, source and configuration syntax is read
+into name-literal pairs: ``name = "x" + OTHER``, ``"name": "x"``, ``name: x``, ``export NAME=x``, ``set("NAME", "x")``,
+``<name>x</name>``, with quotes that are escaped, tripled or of any kind. Constants are carried to the names that use them, and
+each literal is scored by the names that it reaches: a literal is a secret if a sensitive name gets it. Calls, subscripts and
+dotted identifiers are code, not literals.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -30,8 +31,29 @@ _KEYWORD = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_TARGET = re.compile(r"""(?<![\w.\-])["']?([A-Za-z_][\w.\-]*+)["']?[ \t]*(?::=|=>|[:=])(?![=/])[ \t]*""", re.A)
-_TERM = re.compile(r""""([^"\n]*)"|'([^'\n]*)'|`([^`\n]*)`|((?:\$\{\w+\}|[A-Za-z0-9_$])(?:\$\{\w+\}|[^\s"'`,;()\[\]{}])*)""", re.A)
+_TARGET = re.compile(r"""(?<![\w.\-])(?:\\?["'])?([A-Za-z_][\w.\-]*+)(?:\\?["'])?[ \t]*(?::=|=>|[:=])(?![=/])[ \t]*""", re.A)
+#: A call that gives a quoted name a value: setenv("NAME", "x"), put('name', 'x').
+_CALL = re.compile(r"""(?<=[(,])[ \t]*(["'])([A-Za-z_][\w.\-]*+)\1[ \t]*,[ \t]*(?=["'])""", re.A)
+_TAG = re.compile(r"""<([A-Za-z_][\w.\-]*+)(?:[ \t][^<>\n]*)?>([^<>\n]+)</\1>""", re.A)
+_TERM = re.compile(
+    "|".join(
+        (
+            r'[rbuf]{0,2}"{3}((?:[^"\\]|\\.|"(?!""))*+)"{3}',
+            r"[rbuf]{0,2}'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}",
+            r'[rbuf]{0,2}"((?:[^"\\\n]|\\.)*+)"',
+            r"[rbuf]{0,2}'((?:[^'\\\n]|\\.)*+)'",
+            r"`([^`\n]*+)`",
+            r'\\"([^"\\\n]*+)\\"',
+            r"\\'([^'\\\n]*+)\\'",
+            r"""((?:\$\{\w+\}|[A-Za-z0-9_$])(?:\$\{\w+\}|[^\s"'`,;()<>\[\]{}])*)""",
+        )
+    ),
+    re.A | re.S,
+)
+#: The group of a term without quotes.
+BARE = _TERM.groups
+#: Unquoted text that is code: a dotted identifier, or one that is called or subscripted.
+_CODE = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$", re.A)
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*")
 _USES = re.compile(r"\$\{(\w+)\}|\$(\w+)|%\((\w+)\)s|\{(\w+)\}", re.A)
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -90,29 +112,45 @@ class _Value(NamedTuple):
         return kinds <= {"x", "X"} or kinds == {"*"} or kinds == {"."} or self.head[:5].lower() in ("your_", "your-") or self.head[0] + self.last == "<>"
 
     def score(self) -> float:
-        if self.size < 6 or self.placeholder() or " " in self.counts:
+        if self.size < 6 or self.placeholder() or self.counts.get(" ", 0) * 3 > self.size:
             return 0.0
         shares = [n / self.size for n in self.counts.values()]
         entropy = -sum(p * math.log2(p) for p in shares if p)
         return min(1.0, entropy / 2.5) * (1.0 if self.size >= 8 else 0.8)
 
 
-def _pairs(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]:
-    """(name, terms) of each assignment; a term is (text, start, end, quoted)."""
+def _terms(text: str, at: int) -> tuple[list[tuple[str, int, int, bool | None]] | None, int]:
+    """Terms (text, start, end, quoted) of a sum; quoted is None for code, whose value is not known. None if there is no value."""
+    terms = None
+    while t := _TERM.match(text, at):
+        k = t.lastindex
+        code = k == BARE and (_CODE.match(t[k]) or text[t.end() : t.end() + 1] in ("(", "["))
+        terms = [*(terms or []), (t[k], t.start(k), t.end(k), None if code else k < BARE)]
+        at = t.end()
+        plus = _PLUS.match(text, at)
+        if not plus:
+            break
+        at = plus.end()
+    return terms, at
+
+
+def _pairs(text: str) -> list[tuple[str, list[tuple[str, int, int, bool | None]]]]:
+    """(name, terms) of each assignment in the order of the text. A term that is code stays only where its text is a name that is assigned."""
     out, at = [], 0
     while m := _TARGET.search(text, at):
-        at, terms = m.end(), []
-        while t := _TERM.match(text, at):
-            k = t.lastindex
-            terms.append((t[k], t.start(k), t.end(k), k < 4))
-            at = t.end()
-            plus = _PLUS.match(text, at)
-            if not plus:
-                break
-            at = plus.end()
-        if terms:
-            out.append((m[1], terms))
-    return out
+        terms, at = _terms(text, m.end())
+        if terms is not None:
+            out.append((m.start(), m[1], terms))
+    if "(" in text:
+        at = 0
+        while m := _CALL.search(text, at):
+            terms, at = _terms(text, m.end())
+            if terms is not None:
+                out.append((m.start(), m[2], terms))
+    if "</" in text:
+        out += [(m.start(), m[1], [(m[2], m.start(2), m.end(2), True)]) for m in _TAG.finditer(text)]
+    names = {name for _, name, _ in out}
+    return [(name, [t for t in terms if t[3] is not None or t[0] in names]) for _, name, terms in sorted(out, key=lambda x: x[0])]
 
 
 def literals(text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
@@ -210,13 +248,21 @@ def scan(text: str, least: float = 0.5) -> list[dict]:
         base += [(m.start(), 1, m.end(), 1.0) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     base += [(m.start(), 2, m.end(), 1.0) for m in _HEX.finditer(text)]
     more = []
-    if "=" in text or ":" in text:
-        more = [(a, 3, b, s) for a, b, s in literals(text, least) if not any(x <= a and b <= y for x, _, y, _ in base)]
+    if "=" in text or ":" in text or "(" in text or "</" in text:
+        starts, furthest = [], []
+        for x, _, y, _ in sorted(base):
+            starts.append(x)
+            furthest.append(max(y, furthest[-1] if furthest else 0))
+        within = lambda a, b: (k := bisect_right(starts, a)) > 0 and b <= furthest[k - 1]
+        more = [(a, 3, b, s) for a, b, s in literals(text, least) if not within(a, b)]
     return [{"kind": KINDS[k], "start": a, "end": b, "score": s} for a, k, b, s in sorted(base + more)]
 
 
 def find_secrets(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """doc_id and spans (kind, start, end in code points, score) for each row with an id; null and empty texts have none."""
+    """doc_id and spans (kind, start, end in code points, score) for each row with an id; null and empty texts have none.
+
+    Texts of any length are read whole, in time that grows with their size; rows that share an id are reported each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from ledgerloom.llm.secret_scan import digests, find_secrets, literals, redact, scan
 
@@ -71,3 +72,31 @@ def test_latest_definition_long_names_and_long_chains():
     double = 'c0 = "S3cr3tValue99"\n' + "".join(f"c{i} = c{i - 1} + c{i - 1}\n" for i in range(1, 2000))
     assert found(double + "db_pwd = c1999") == ["S3cr3tValue99"]
     assert found('Y = X + "S3cr3tValue99"\nX = Y\npin_name = Y\ndb_pwd = X')[-1] == "S3cr3tValue99"
+
+
+def test_syntax_of_many_kinds():
+    found = lambda t: [t[a:b] for a, b, _ in literals(t)]
+    assert found('K = "firstValue88"; K = "secondVal77"; secret_key = K') == ["secondVal77"]
+    assert found(r'secret_key = "ab\"cD9xZq"') == [r'ab\"cD9xZq']
+    assert found('secret_key = """aQ7z\nLm2x99"""') == ["aQ7z\nLm2x99"]
+    assert found("client_secret = r'aQ7zLm2x99'") == ["aQ7zLm2x99"]
+    assert found('setenv("SECRET_KEY", "aQ7zLm2x99")') == ["aQ7zLm2x99"]
+    assert found("<secret_key>aQ7zLm2x99</secret_key>") == ["aQ7zLm2x99"]
+    assert found('passphrase = "correct horse battery staple"') == ["correct horse battery staple"]
+    assert found('{\\"db_pwd\\": \\"aQ7zLm2x99\\"}') == ["aQ7zLm2x99"]
+    for code in ('secret_key = os.environ["HOME"]', "auth = request.headers", "access_key = settings.access_key", "db_pwd = load(1)", 'X = "aQ7zLm2x99"\nX = os.getenv("A")\ndb_pwd = X'):
+        assert found(code) == []
+    assert found('app.key = "aQ7zLm2x99"\ndb_pwd = app.key') == ["aQ7zLm2x99"]
+
+
+def test_long_texts_end_in_seconds(spark):
+    began = time.time()
+    chain = 'c0 = "S3cr3tValue99"\n' + "".join(f"c{i} = c{i - 1}\n" for i in range(1, 100_000)) + "db_pwd = c99999\n"
+    double = 'c0 = "S3cr3tValue99"\n' + "".join(f"c{i} = c{i - 1} + c{i - 1}\n" for i in range(1, 60)) + "db_pwd = c59\n"
+    many = "secret_key: abcdefgh1234 " * 20_000
+    for t in (chain, double):
+        assert [t[a:b] for a, b, _ in literals(t)] == ["S3cr3tValue99"]
+    assert len([x for x in scan(many) if x["kind"] == "assign"]) == 0 and len(scan(many)) == 20_000
+    frame = spark.createDataFrame([(1, "token=abcdef12 " * 50_000), (1, "token=abcdef12"), (1, "token=abcdef12"), (2, "")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_assign) for r in digests(find_secrets(frame)).collect()) == [(1, 1), (1, 1), (1, 50_000), (2, 0)]
+    assert time.time() - began < 60
