@@ -1,9 +1,10 @@
 """SimHash near-dedup by tiled exact comparison of fingerprints.
 
-Tiles are compared with exclusive-or and bit counts, and tile pairs whose population counts differ
-beyond the radius are never met. So that the work follows the input, tiles are laid within groups
-that share some blocks of bits: with the 64 bits cut into m blocks, fingerprints that differ in 4
-bits share m - 4 whole blocks, so comparing within each choice of m - 4 blocks loses no link.
+All pairs are decided by tiles: rows in the order of their population counts, compared with exclusive-or and bit counts, where
+tile pairs whose population counts differ beyond the radius are never met. Tiles over all fingerprints would grow with the
+square of the input, so they are laid within groups that share some blocks of bits: with the 64 bits cut into m blocks,
+fingerprints that differ in 4 bits share m - 4 whole blocks, so tiles within each choice of m - 4 blocks lose no link. Groups
+of few rows are one tile each and are compared many at a time.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .components import components
 
 #: Rows of a tile; a group of more than GROUP rows is cut into cells of tile pairs that tasks share.
 TILE, GROUP = 1024, 8192
+#: Groups of no more rows are stacked, and cells of a stack that are compared at once.
+STACK, CELLS = 32, 1 << 20
 #: The bits of each byte.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _XX = xxhash.xxh64_intdigest
@@ -98,21 +101,27 @@ def links(groups: pa.Table, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect, within each group (choice, key, cell), what fingerprints within the radius connect."""
     key = [groups[c].to_numpy() for c in ("choice", "key", "cell")]
     fp = groups["fp"].to_numpy().view(np.uint64)
-    order = np.lexsort((fp, *key))
+    order = np.lexsort((fp, np.bitwise_count(fp), *key))
     key, fp = [k[order] for k in key], fp[order]
     new = np.ones(len(fp), bool)
     new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(fp)))
-    of = np.repeat(np.arange(len(at)), size)
-    small = size <= 16
     left, right = [], []
-    for d in range(1, int(size[small].max(initial=1))):
-        i = np.flatnonzero((of[:-d] == of[d:]) & small[of[:-d]])
-        i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
-        left.append(fp[i])
-        right.append(fp[i + d])
-    for g in np.flatnonzero(~small):
+    side = 2
+    while side <= STACK:
+        chosen = np.flatnonzero((size > side // 2) & (size <= side) & (size > 1))
+        upper = np.triu(np.ones((side, side), bool), 1)
+        for i in range(0, len(chosen), max(1, CELLS // side**2)):
+            own = chosen[i : i + max(1, CELLS // side**2)]
+            inside = np.arange(side) < size[own, None]
+            tile = fp[np.minimum(at[own, None] + np.arange(side), len(fp) - 1)]
+            near = (np.bitwise_count(tile[:, :, None] ^ tile[:, None, :]) <= radius) & inside[:, :, None] & inside[:, None, :] & upper
+            g, x, y = np.nonzero(near)
+            left.append(tile[g, x])
+            right.append(tile[g, y])
+        side *= 2
+    for g in np.flatnonzero(size > STACK):
         own = fp[at[g] : at[g] + size[g]]
         root = own[_forest(own, radius)]
         left.append(own[own != root])
@@ -142,23 +151,33 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     celled = keyed.withColumn("cell", F.explode(F.expr(cells))).select("choice", "key", "cell", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        if batches:
-            u, v = links(pa.Table.from_batches(batches), radius)
+        held = None  # rows of the last group, which the next batch may go on with
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            key = [rows[c].to_numpy() for c in ("choice", "key", "cell")]
+            same = np.logical_and.reduce([k == k[-1] for k in key]) if rows.num_rows else np.zeros(0, bool)
+            whole = int(rows.num_rows - np.argmin(same[::-1])) if not same.all() else 0
+            held = rows.slice(whole)
+            if whole:
+                u, v = links(rows.slice(0, whole), radius)
+                yield pa.record_batch({"u": u, "v": v})
+        if held is not None and held.num_rows:
+            u, v = links(held, radius)
             yield pa.record_batch({"u": u, "v": v})
 
-    return celled.repartition("choice", "key", "cell").mapInArrow(run, "u long, v long")
+    return celled.repartition("choice", "key", "cell").sortWithinPartitions("choice", "key", "cell").mapInArrow(run, "u long, v long")
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links of ``radius`` differing bits or fewer reach.
 
-    Null and empty texts have fingerprint zero, which is linked like any other; each row with an id is returned.
+    Null and empty texts have fingerprint zero, which is linked like any other; a text of any length is read whole. Each row
+    with an id is returned, as often as it is given; rows that share an id have a fingerprint each.
     """
     marks = cut(fingerprints(docs, shingle, seed))
     firsts = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = cut(components(near_links(firsts.select("fp"), radius)))
     named = firsts.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = cut(named.groupBy("root").agg(F.min("first").alias("component_id")))  # written, so that Spark knows its size
     class_of = named.join(least, "root").select("fp", "component_id")
     return marks.join(class_of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
