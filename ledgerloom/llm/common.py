@@ -7,9 +7,7 @@ empty texts.
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -45,27 +43,27 @@ def scratch(spark: SparkSession) -> str:
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, release: bool = False) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later stages survive lost executors without recomputing it.
-
-    The shuffle files behind df are garbage from then on; Spark removes them when the driver collects its own. After large
-    shuffles ``release`` asks for that at once, when the listeners have let go of the query.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it back: later stages survive lost executors without recomputing it."""
     spark = df.sparkSession
     path, schema = scratch(spark), df.schema
     df.write.parquet(path)
-    del df
-    for wait in (0.4, 0.8) if release else ():
-        time.sleep(wait)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
-def parts(docs: DataFrame, each: int = 2 << 20) -> int:
-    """Number of buckets for packed data: one for each 2 MiB of text, up to four for each shuffle partition."""
+def cut_by(df: DataFrame, column: str, n: int) -> DataFrame:
+    """``cut`` into n buckets of a column, so that later groupings by it don't shuffle this side again."""
+    spark, name = df.sparkSession, f"cut_{uuid.uuid4().hex}"
+    df.repartition(n, column).write.bucketBy(n, column).option("path", scratch(spark)).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")  # the files stay: the table is external
+    return out
+
+
+def parts(docs: DataFrame, least: int = 8 << 20, most: int = 64 << 20, good: int = 20_000) -> int:
+    """Number of buckets of documents: one for each ``least`` bytes of text; from ``good`` buckets on they grow up to ``most`` bytes first."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, size // each + 1)
+    return size // min(most, max(least, size // good)) + 1
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -11,8 +11,8 @@ windows (difference_cover) settles. Passes, from the most significant digit to t
    those alone in their group are dropped, the rest are cut into smaller intervals.
 3. At intervals of one start the groups are exactly the repeated windows.
 
-Items travel packed in binary columns, a bucket of the key's range at a time; documents travel as compressed Arrow streams. A task first
-groups its own items, so of a text that makes up a third of all rows each task sends one item,
+Items travel packed in binary columns, a bucket of the key's range at a time; documents are bucketed once, as compressed Arrow
+streams, and are not shuffled again. Removed text is judged by hashes of 128 bits of all that a window spans. A task first groups its own items, so of a text that makes up a third of all rows each task sends one item,
 and the bucket of that text is no larger than others. Nothing is capped, and no pairs are made.
 """
 
@@ -27,12 +27,13 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
-from .common import cut, id_text, join_hash, mix, parts, runs, text_buffer
+from .common import cut, cut_by, id_text, join_hash, mix, parts, runs, text_buffer
 
 #: kind: 0 a key's item still to be grouped, 1 an item that goes on, 2 an item found to be removed text.
-SCHEMA = "part int, kind int, n int, key binary, nec binary, doc binary, ref binary, many binary"
-_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("key", "nec", "doc", "ref", "many"))])
-_KINDS = {"key": np.uint64, "nec": np.uint64, "doc": np.int64, "ref": np.int64, "many": np.uint8}
+SCHEMA = "part int, kind int, n int, key binary, sec binary, nec binary, doc binary, ref binary, many binary"
+_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("key", "sec", "nec", "doc", "ref", "many"))])
+_KINDS = {"key": np.uint64, "sec": np.uint64, "nec": np.uint64, "doc": np.int64, "ref": np.int64, "many": np.uint8}
+_OTHER = np.uint64(0x8BB84B93962EACC9)
 #: Bytes of text worked on at once in a task.
 CHUNK = 1 << 19
 #: Items kept in a task before they are grouped and sent.
@@ -91,15 +92,18 @@ def _key_part(key: np.ndarray, n: int) -> np.ndarray:
 
 
 def doc_part(doc: np.ndarray, n: int) -> np.ndarray:
-    return (doc % n).astype(np.int32)
+    return (mix(doc.view(np.uint64) + np.uint64(1)) % np.uint64(n)).astype(np.int32)
 
 
-def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stable order by key, whether each is its group's first, and the group's size."""
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
+def _groups(key: np.ndarray, sec: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stable order by key, whether each is its group's first, and the group's size. With ``sec`` a key has 128 bits."""
+    order = np.argsort(key, kind="stable") if sec is None else np.lexsort((sec, key))
     first = np.ones(len(key), bool)
+    ordered = key[order]
     first[1:] = ordered[1:] != ordered[:-1]
+    if sec is not None:
+        ordered = sec[order]
+        first[1:] |= ordered[1:] != ordered[:-1]
     at = np.flatnonzero(first)
     size = np.diff(np.append(at, len(key)))
     return order, first, size
@@ -118,13 +122,15 @@ def send_repeats(key: np.ndarray, doc: np.ndarray, ref: np.ndarray, n: int, know
     return _rows(_key_part(key[sent], n), 0, key=key[sent], doc=doc[sent], ref=ref[sent], many=many[first].astype(np.uint8)) + _rows(doc_part(doc[rest], n), 1, doc=doc[rest], ref=ref[rest])
 
 
-def send_firsts(key: np.ndarray, nec: np.ndarray, doc: np.ndarray, ref: np.ndarray, n: int) -> list[dict]:
+def send_firsts(key: np.ndarray, sec: np.ndarray, nec: np.ndarray | None, doc: np.ndarray, ref: np.ndarray, n: int) -> list[dict]:
     """Rows for ``judge``: of items that are equal here only the first is sent, the others are removed text."""
     order = _by_place(doc, ref)
-    key, nec, doc, ref = key[order], nec[order], doc[order], ref[order]
-    order, first, _ = _groups(key)
+    key, sec, doc, ref = key[order], sec[order], doc[order], ref[order]
+    more = {} if nec is None else {"nec": nec[order]}
+    order, first, _ = _groups(key, sec)
     sent, rest = order[first], order[~first]
-    return _rows(_key_part(key[sent], n), 0, key=key[sent], nec=nec[sent], doc=doc[sent], ref=ref[sent]) + _rows(doc_part(doc[rest], n), 2, doc=doc[rest], ref=ref[rest])
+    more = {c: x[sent] for c, x in more.items()}
+    return _rows(_key_part(key[sent], n), 0, key=key[sent], sec=sec[sent], doc=doc[sent], ref=ref[sent], **more) + _rows(doc_part(doc[rest], n), 2, doc=doc[rest], ref=ref[rest])
 
 
 def _passed(data: pa.Table) -> pa.Table:
@@ -150,14 +156,14 @@ def judge(items: DataFrame, n: int, last: bool) -> DataFrame:
     """Of items of kind 0 with equal keys all but the first become kind 2; the firsts go on to ``repeated`` by their other key, unless this is the last pass."""
 
     def reduce(data: pa.Table) -> pa.Table:
-        key, nec, doc, ref = _read(data, 0, "key", "nec", "doc", "ref")
-        order = _by_place(doc, ref)
-        key, nec, doc, ref = key[order], nec[order], doc[order], ref[order]
-        order, first, _ = _groups(key)
+        key, sec, doc, ref = _read(data, 0, "key", "sec", "doc", "ref")
+        place = _by_place(doc, ref)
+        key, sec, doc, ref = key[place], sec[place], doc[place], ref[place]
+        order, first, _ = _groups(key, sec)
         sent, rest = order[first], order[~first]
         rows = _rows(doc_part(doc[rest], n), 2, doc=doc[rest], ref=ref[rest])
         if not last:
-            rows += send_repeats(nec[sent], doc[sent], ref[sent], n)
+            rows += send_repeats(_read(data, 0, "nec")[0][place][sent], doc[sent], ref[sent], n)
         return pa.concat_tables([_passed(data).cast(_ARROW), _batch(rows)])
 
     return items.groupBy("part").applyInArrow(reduce, SCHEMA)
@@ -217,6 +223,7 @@ def _interval_rows(w: Windows, n: int, k: int, codes: list[list[int]]) -> Callab
     """Pass k: cuts each item of the pass before into intervals and hashes their texts."""
     spans = [x for step in w.intervals() for x in step]
     back = np.array([b for _, b in spans])
+    last = k == len(w.steps) - 1
     inside = {c: [d for d in codes[k] if spans[c][0] <= spans[d][0] and spans[d][1] <= spans[c][1]] for c in (codes[k - 1] if k else [0])}
 
     def run(packed: pa.Table, items: pa.Table) -> pa.Table:
@@ -232,6 +239,7 @@ def _interval_rows(w: Windows, n: int, k: int, codes: list[list[int]]) -> Callab
             own = np.concatenate([ref[i:j] for i, j in zip(lo, hi)])
             code, place = (own & 255, (own >> 8) + back[own & 255]) if k else (np.zeros(len(own), np.int64), own)
             grams = levels(tokens, w.size + w.steps[k] - 1)
+            other = levels(mix(tokens ^ _OTHER), w.size + w.steps[k] - 1)
             for c in np.unique(code):
                 pick = np.flatnonzero(code == c)
                 for d in inside[int(c)]:
@@ -244,17 +252,19 @@ def _interval_rows(w: Windows, n: int, k: int, codes: list[list[int]]) -> Callab
                     fits = (start >= at[which]) & (start + length <= at[which + 1])
                     r = ((start - at[which]) << 8) | d
                     key = mix(mix(ids[which].view(np.uint64)) ^ r.view(np.uint64))  # of its own, where the span leaves the document
+                    sec = key.copy()
                     key[fits] = span_hash(grams, start[fits], length)
+                    sec[fits] = span_hash(other, start[fits], length)
                     nec = span_hash(grams, x - a, w.size - (b - a)) if a < b else key
-                    held.append((key, nec, ids[which], r, np.full(len(r), length)))
+                    held.append((key, sec, nec, ids[which], r, np.full(len(r), length)))
         if not held:
             return _batch([])
-        key, nec, who, r, length = (np.concatenate(x) for x in zip(*held))
+        key, sec, nec, who, r, length = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((length, r >> 8, who))  # one item for a span that several anchors propose
         same = np.zeros(len(order), bool)
         same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (who, r >> 8, length)])
         order = order[~same]
-        return _batch(send_firsts(key[order], nec[order], who[order], r[order], n))
+        return _batch(send_firsts(key[order], sec[order], None if last else nec[order], who[order], r[order], n))
 
     return run
 
@@ -288,7 +298,7 @@ def _pack_docs(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             docs = pa.Table.from_batches(held)
-            part = docs["doc_id"].to_numpy() % n
+            part = doc_part(docs["doc_id"].to_numpy(), n)
             order = np.argsort(part, kind="stable")
             docs, part = docs.take(pa.array(order)), part[order]
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
@@ -329,19 +339,19 @@ def remove_repeats(docs: DataFrame, w: Windows, report: Callable, schema: str) -
     """report(doc ids, texts, spans of a doc id) makes the pyarrow table of ``schema`` for a bucket of documents."""
     docs = id_text(docs)
     n = parts(docs)
-    by_part = cut(docs.mapInArrow(_pack_docs(n), "part int, data binary"))
+    by_part = cut_by(docs.mapInArrow(_pack_docs(n), "part int, data binary"), "part", n)
     plan, codes = w.intervals(), []
     for step in plan:
         at = sum(map(len, codes))
         codes.append(list(range(at, at + len(step))))
     assert sum(map(len, codes)) <= 256, "too many intervals for a byte"
-    going = cut(repeated(docs.mapInArrow(_anchor_rows(w, n), SCHEMA), n), release=True)
+    going = cut(repeated(docs.mapInArrow(_anchor_rows(w, n), SCHEMA), n))
     found = []
     for k in range(len(plan)):
         last = k == len(plan) - 1
         rows = by_part.groupBy("part").cogroup(going.where("kind = 1").groupBy("part")).applyInArrow(_interval_rows(w, n, k, codes), SCHEMA)
         rows = judge(rows, n, last)
-        going = cut(rows if last else repeated(rows, n), release=True)
+        going = cut(rows if last else repeated(rows, n))
         found.append(going.where("kind = 2"))
     found = functools.reduce(DataFrame.unionByName, found)
 

@@ -52,7 +52,7 @@ def suffix_array_dedup(docs: DataFrame, size: int = 100, gram: int = 32) -> Data
 
     Returns doc_id, n_bytes, kept (the remaining bytes) and spans (maximal removed runs) for each row with an id.
     Null and empty texts have no bytes; texts shorter than ``size`` keep all theirs; rows that share a doc_id count
-    as one document. Strings are judged on the input. Strings are compared by 64-bit hashes of their whole text.
+    as one document. Strings are judged on the input. Strings are compared by 128-bit hashes of their whole text.
     """
     most = size - gram + 1
 
