@@ -124,9 +124,13 @@ def hits(docs: DataFrame, table: np.ndarray) -> DataFrame:
 def shouts(texts: pa.Array) -> np.ndarray:
     """The share of capitals and exclamation marks among the letters and marks of each text."""
     data, offsets = text_buffer(texts)
-    loud = np.concatenate([[0], np.cumsum(((data >= 65) & (data <= 90)) | (data == 33))])
-    size = np.concatenate([[0], np.cumsum(data > 32)])
-    return (loud[offsets[1:]] - loud[offsets[:-1]]) / np.maximum(size[offsets[1:]] - size[offsets[:-1]], 1)
+    out = np.zeros(len(offsets) - 1)
+    for i, j in runs(offsets, CHUNK):
+        piece, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        loud = np.concatenate([[0], np.cumsum(((piece >= 65) & (piece <= 90)) | (piece == 33), dtype=np.int32)])
+        size = np.concatenate([[0], np.cumsum(piece > 32, dtype=np.int32)])
+        out[i:j] = (loud[at[1:]] - loud[at[:-1]]) / np.maximum(size[at[1:]] - size[at[:-1]], 1)
+    return out
 
 
 def votes(found: list[np.ndarray], shout: np.ndarray, voter_of: np.ndarray, voters: int) -> np.ndarray:
