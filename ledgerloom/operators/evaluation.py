@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -13,8 +14,10 @@ WEIGHTS = {"intent": 0.25, "tools": 0.25, "semantic": 0.15, "quality": 0.35}
 ESCALATION_COST, MISS_COST = 1.0, 4.0
 BINS = (0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 1.01)
 TOOLS = ("query_cleaned_records", "get_summary_stats", "get_anomaly_details", "search_documents")
+#: Rows of a staff list that one pattern takes.
+STAFF = 10_000
 INTENTS = ("data_query", "doc_query", "hybrid")
-STOP_PHRASES = ("请问", "请", "帮我", "一下", "查询", "告诉我", "我想知道")
+STOP_PHRASES = ("是多少", "有多少", "多少", "怎么样", "是什么", "有哪些", "哪些", "分别", "一共", "总共", "的", "了", "吗", "呢", "啊", "呀", "请问", "帮我", "查一下", "看一下", "统计", "情况")
 
 
 def _ratio(a: Column, b: Column, digits: int = 6) -> Column:
@@ -250,7 +253,8 @@ def assemble_sets(blocks: DataFrame, quotas: DataFrame) -> DataFrame:
 
 
 def normal_question(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "|".join(STOP_PHRASES), ""), r"[\s，。、？?！!,.]+", "")
+    """A question without stop phrases, blanks and marks: what is left of two wordings of one fact is equal."""
+    return F.regexp_replace(c, "(?U)" + "|".join(STOP_PHRASES) + r"|[\s，。？！,?!、]+", "")
 
 
 def near_duplicates(ds: DataFrame, least: int = 3) -> DataFrame:
@@ -280,12 +284,15 @@ def field_checks(ds: DataFrame) -> DataFrame:
 def entity_checks(ds: DataFrame, emp_dept: DataFrame, exclusions: tuple[str, ...] = ()) -> DataFrame:
     """(id, problem): one known employee with a foreign department, or a department-like name that is not known, in data rows.
 
-    emp_dept (employee, department) is a staff list; it is matched through one alternation.
+    emp_dept (employee, department) is a staff list of at most STAFF rows, which are matched through one alternation; a
+    longer list is an error.
     """
-    staff = emp_dept.collect()  # a staff list named in a dataset: tens of rows
+    staff = emp_dept.where("employee is not null").limit(STAFF + 1).collect()
+    if len(staff) > STAFF:
+        raise ValueError(f"the staff list has more than {STAFF} rows")
     of = {r.employee: r.department for r in staff}
     known = F.array(*(F.lit(x) for x in sorted({r.department for r in staff} | set(exclusions))))
-    people = F.array_distinct(F.regexp_extract_all("question", F.lit(f"({'|'.join(sorted(of))})")))
+    people = F.array_distinct(F.regexp_extract_all("question", F.lit(f"({'|'.join(re.escape(x) for x in sorted(of, key=lambda x: (-len(x), x))) or '(?!)'})")))
     named = F.array_distinct(F.regexp_extract_all("question", F.lit("([\\x{4e00}-\\x{9fff}]{2}部)")))
     home = F.create_map(*(F.lit(x) for kv in sorted(of.items()) for x in kv)).getItem(F.get(people, F.lit(0)))
     foreign = (F.size(people) == 1) & (F.size(F.array_intersect(named, known)) > 0) & ~F.array_contains(named, home)

@@ -135,14 +135,24 @@ def compress_history(chat: DataFrame, recent: int = 8, each: int = 500, most: in
     return out.withColumn("summary", F.when(F.length("transcript") > fallback, F.concat(F.substring("transcript", 1, fallback), F.lit("……"))).otherwise(F.col("transcript")))
 
 
+def _newest(feedback: DataFrame, traces: DataFrame, keys: list[str]) -> DataFrame:
+    """(id, trace_id): the last trace of the same keys at or before each feedback, by day, so that one key is many groups."""
+    rows = feedback.select("id", F.lit(None).cast("long").alias("trace_id"), "at", *keys).unionByName(traces.select(F.lit(None).cast("long").alias("id"), "trace_id", "at", *keys)).withColumn("day", F.to_date("at"))
+    within = Window.partitionBy(*keys, "day").orderBy("at", F.col("id").isNotNull(), "trace_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = rows.withColumn("near", F.last("trace_id", ignorenulls=True).over(within)).where("id is not null")
+    days = rows.groupBy(*keys, "day").agg(F.max_by(F.when(F.col("id").isNull(), F.col("trace_id")), F.when(F.col("id").isNull(), F.struct("at", "trace_id"))).alias("newest"))
+    before = days.withColumn("before", F.last("newest", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1))).drop("newest")
+    return near.join(before, [*keys, "day"]).select("id", F.coalesce("near", "before").alias("trace_id"))
+
+
 def link_feedback(feedback: DataFrame, traces: DataFrame) -> DataFrame:
     """The newest trace of the same question (and session, when given) at or before the feedback, else null.
 
-    Traces meet feedback on the question's hash; one aggregation keeps the newest.
+    Rows of both are put in the order of time by question's hash and day; no pairs are made.
     """
-    f = feedback.select(F.col("id").alias("_f"), question_hash(F.col("question")).alias("_h"), F.col("session_id").alias("_s"), F.col("created_at").alias("_at"))
-    t = traces.select(F.col("id").alias("_t"), question_hash(F.col("question")).alias("_h"), F.col("session_id").alias("_ts"), F.col("created_at").alias("_tat"))
-    hit = f.join(t, "_h").where((F.col("_s").isNull() | (F.col("_s") == F.col("_ts"))) & (F.col("_tat") <= F.col("_at"))).groupBy(F.col("_f").alias("id")).agg(F.max_by("_t", F.struct("_tat", "_t")).alias("trace_id"))
+    f = feedback.select("id", question_hash(F.col("question")).alias("_h"), F.col("session_id").alias("_s"), F.col("created_at").alias("at"))
+    t = traces.select(F.col("id").alias("trace_id"), question_hash(F.col("question")).alias("_h"), F.col("session_id").alias("_s"), F.col("created_at").alias("at"))
+    hit = _newest(f.where("_s is null and _h is not null"), t.where("_h is not null"), ["_h"]).unionByName(_newest(f.where("_s is not null and _h is not null"), t.where("_s is not null and _h is not null"), ["_h", "_s"]))
     return feedback.drop("trace_id").join(hit, "id", "left")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch
@@ -39,11 +41,21 @@ def _skip(s, d):
     return readers.read_csv_source(s, path, skip_rows=2)
 
 
-@query("read_documents", "select concat('doc_', doc_id, '.md') file_name, count(*) over () n from documents where doc_id % 50 = 1")
+@query("read_documents", "select concat('doc_', doc_id, '.md') file_name, length(text) n, md5(text) h from documents where text <> ''")
 def _docs(s, d):
-    from ..operators.documents import adapter
+    """Each document as a Markdown file, beside an index and a file of another kind, which are passed over."""
+    path, docs = scratch(s), table(s, d, "documents").where("text <> ''")
+    others = s.createDataFrame([("INDEX.md", "index"), ("notes.txt", "notes")], "file_name string, text string")
+    landing.write_documents(docs.selectExpr("concat('doc_', doc_id, '.md') file_name", "text").union(others), path)
+    return readers.read_documents(s, path).selectExpr("file_name", "length(text) n", "md5(text) h")
+
 
-    return adapter(table(s, d, "documents")).select("file_name").where("file_name rlike '^doc_[0-9]*[05]1.md$' or file_name = 'doc_1.md'").withColumn("n", F.expr("count(*) over ()"))
+@query("read_jdbc_source", "select c_custkey, c_name, c_nationkey from customer")
+def _jdbc(s, d):
+    """Customers through an embedded database, read in parts by key."""
+    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    table(s, d, "customer").select("c_custkey", "c_name", "c_nationkey").write.format("jdbc").option("url", url).options(**driver).option("dbtable", "customer").save()
+    return readers.read_jdbc_source(s, url, 'select "c_custkey", "c_name", "c_nationkey" from customer', driver, ("c_custkey", 0, 20_000, 4))
 
 
 query("land_raw", "select 2 source_id, 'batch_1_2' batch_id, o_orderkey source_row_index, cast(o_custkey as varchar) cust, o_orderpriority prio, 'raw' status from orders")(
@@ -72,17 +84,17 @@ query("parse_route_log", "select date_trunc('second', ts) logged_at, substr(sha2
 )
 
 
-@query("read_eval_dataset", "select event_id id, concat('q', user_id) question, event_type expected_intent, concat('original_', event_id) source from events where event_id % 100 = 3")
+@query("read_eval_dataset", "select event_id id, concat('q', user_id) question, event_type expected_intent, concat('original_', event_id) source from events")
 def _eval(s, d):
     path = scratch(s)
-    table(s, d, "events").where("event_id % 100 = 3").selectExpr("event_id id", "concat('q', user_id) question", "event_type expected_intent", "concat('original_', event_id) source").groupBy(F.expr("id % 4").alias("p")).agg(F.to_json(F.collect_list(F.struct("id", "question", "expected_intent", "source"))).alias("value")).write.partitionBy("p").text(path)
+    table(s, d, "events").selectExpr("event_id id", "concat('q', user_id) question", "event_type expected_intent", "concat('original_', event_id) source").groupBy(F.expr("id div 2000").alias("p")).agg(F.to_json(F.collect_list(F.struct("id", "question", "expected_intent", "source"))).alias("value")).write.partitionBy("p").text(path)
     return readers.read_eval_dataset(s, path).select("id", "question", "expected_intent", "source")
 
 
-@query("read_eval_report", "select event_id id, event_type predicted from events where event_id % 100 = 4")
+@query("read_eval_report", "select event_id id, event_type predicted from events")
 def _report(s, d):
     path = scratch(s)
-    table(s, d, "events").where("event_id % 100 = 4").groupBy(F.expr("event_id % 7").alias("meta")).agg(F.collect_list(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("predicted"))).alias("intent")).select("meta", F.to_json(F.struct("intent")).alias("value")).write.partitionBy("meta").text(path)
+    table(s, d, "events").groupBy(F.expr("event_id div 2000").alias("meta")).agg(F.collect_list(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("predicted"))).alias("intent")).select("meta", F.to_json(F.struct("intent")).alias("value")).write.partitionBy("meta").text(path)
     return readers.read_eval_report(s, path, "intent").select("id", "predicted")
 
 
@@ -108,9 +120,21 @@ query("align_headers", f"""with h as (select event_type source_id, {_HEADS} head
  case when count(*) filter (hit) / count(*) >= 0.9 then 'high' when count(*) filter (hit) / count(*) >= 0.7 then 'medium' else 'low' end band from r group by 1""")(
     lambda s, d: align.align_headers(_headers(s, d), align.synonyms(s)).select("source_id", F.size("mapping").cast("long").alias("mapped"), F.array_join("unmapped", ",").alias("unmapped"), "confidence", align.confidence_band(F.col("confidence")).alias("band"))
 )
-query("standard_fields", "select 'attendance' t, count(*) n from events where event_id < 8 union all select 'all', count(*) from events where event_id < 22")(
-    lambda s, d: align.standard_fields(s, "attendance").agg(F.lit("attendance").alias("t"), F.count("*").alias("n")).union(align.standard_fields(s, "?").agg(F.lit("all"), F.count("*")))
-)
+# each event carries one header, of which the type that its user belongs to knows some
+_FIELD = "case event_id % 6 when 0 then 'overtime_hours' when 1 then 'order_amount' when 2 then 'customer_name' when 3 then 'metric_value' when 4 then 'department' else 'other' end"
+_KIND = "case user_id % 5 when 0 then 'attendance' when 1 then 'sales' when 2 then 'customer' when 3 then 'operation' else 'unknown' end"
+
+
+@query("standard_fields", f"""with e as (select {_KIND} kind, {_FIELD} field from events) select kind, field, count(*) n from e
+ where field = 'department' or kind = 'attendance' and field = 'overtime_hours' or kind = 'sales' and field in ('order_amount', 'customer_name') or kind = 'customer' and field = 'customer_name' or kind = 'operation' and field = 'metric_value' or kind = 'unknown' and field <> 'other' group by 1, 2""")
+def _standard(s, d):
+    known = None
+    for kind in ("attendance", "sales", "customer", "operation", "unknown"):
+        own = align.standard_fields(s, kind).select(F.lit(kind).alias("kind"), "field")
+        known = own if known is None else known.union(own)
+    return table(s, d, "events").selectExpr(f"{_KIND} kind", f"{_FIELD} field").join(known, ["kind", "field"]).groupBy("kind", "field").agg(F.count("*").alias("n"))
+
+
 _MAPS = ["event_id id", "user_id source_id", "map('a', event_type) mapping_data", "event_id % 3 = 0 manual_reviewed", "ts created_at"]
 query("latest_mapping", "select source_id, id, manual_reviewed from (select user_id source_id, event_id id, event_id % 3 = 0 manual_reviewed, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events) where rn = 1")(
     lambda s, d: align.latest_mapping(table(s, d, "events").selectExpr(*_MAPS)).select("source_id", "id", "manual_reviewed")

@@ -66,7 +66,7 @@ _E = f"event_id % 9 <> 0 and event_id % 11 <> 0 and event_id % 5 in (0, 2) and e
 query("exec_check", f"""select event_id trace_id, {_E} "empty", event_id % 6 = 5 and event_id % 5 <> 1 reference, event_id % 9 = 0 or event_id % 11 = 0 or ({_E}) blocked, true vocab, case when event_id % 3 = 0 and (event_id % 9 = 0 or event_id % 11 = 0 or ({_E})) then 'hybrid' when event_id % 3 = 0 then 'agent' else 'data' end mode from events""")(
     lambda s, d: routing.inspect_execution(_traces(s, d), routing.vocabulary(records(s, d))).selectExpr("trace_id", "exec_check.empty `empty`", "exec_check.reference reference", "exec_check.blocked blocked", "exec_check.vocab vocab", "mode").withColumn("reference", F.col("reference"))
 )
-query("build_traces", "select event_id trace_id, round(value, 1) latency_ms, round(value * 2, 1) answer from events")(lambda s, d: routing.build_traces(_traces(s, d).withColumn("latency_ms", F.col("p_top"))).selectExpr("trace_id", "latency_ms", "stage_timings['answer'] answer"))
+query("build_traces", "select event_id trace_id, round(value / 7.001::double, 1) latency_ms, round(value * 2, 1) answer from events")(lambda s, d: routing.build_traces(_traces(s, d).withColumn("latency_ms", F.col("p_top") / 7.001)).selectExpr("trace_id", "latency_ms", "stage_timings['answer'] answer"))
 query("build_chat", f"select event_id, 0 part, 'user' \"role\", {_SQLQ} content from events union all select event_id, 1, 'assistant', {_SQLA} from events")(
     lambda s, d: routing.build_chat(_traces(s, d).withColumn("session_id", F.col("trace_id"))).select(F.col("session_id").alias("event_id"), "part", "role", "content")
 )
@@ -77,10 +77,11 @@ query("history_window", f"""with {_CHAT}, g as (select conv_id session_id, count
     lambda s, d: routing.compress_history(table(s, d, "conversations").selectExpr("conv_id session_id", "turn id", "role", "text content", "timestampadd(minute, cast(turn as int), timestamp '2024-01-01') created_at"), 3, 100, 300, 50).select("session_id", F.size("recent").cast("long").alias("recent"), F.md5("transcript").alias("transcript"), F.md5("summary").alias("summary"))
 )
 _FB = ["event_id id", "if(event_id % 2 = 0, null, concat('s', user_id % 20)) session_id", "concat('q', user_id) question", "if(event_id % 3 = 0, 1, -1) rating", "ts created_at", "concat('c', event_id) comment", "cast(null as long) trace_id"]
-query("link_feedback", """with f as (select event_id id, case when event_id % 2 = 0 then null else concat('s', user_id % 20) end session_id, user_id u, ts from events where event_id % 50 = 7),
- t as (select event_id id, concat('s', user_id % 20) session_id, user_id u, ts from events where event_id % 3 = 1)
- select f.id, (select t.id from t where t.u = f.u and (f.session_id is null or f.session_id = t.session_id) and t.ts <= f.ts order by t.ts desc, t.id desc limit 1) trace_id from f""")(
-    lambda s, d: routing.link_feedback(table(s, d, "events").where("event_id % 50 = 7").selectExpr(*_FB), table(s, d, "events").where("event_id % 3 = 1").selectExpr("event_id id", "concat('s', user_id % 20) session_id", "concat('q', user_id) question", "ts created_at")).select("id", "trace_id")
+# every event is a trace, up to eleven hours later, and feedback on an earlier one
+query("link_feedback", """with f as (select event_id id, event_id % 2 = 0 any_session, user_id % 50 u, event_id % 5 s, ts from events), t as (select event_id id, user_id % 50 u, event_id % 5 s, ts + to_hours((event_id % 12)::int) ts from events),
+ a as (select u, ts, max(id) id from t group by 1, 2), b as (select u, s, ts, max(id) id from t group by 1, 2, 3)
+ select f.id, a.id trace_id from f asof left join a on f.u = a.u and f.ts >= a.ts where any_session union all select f.id, b.id from f asof left join b on f.u = b.u and f.s = b.s and f.ts >= b.ts where not any_session""")(
+    lambda s, d: routing.link_feedback(table(s, d, "events").selectExpr("event_id id", "if(event_id % 2 = 0, null, concat('s', event_id % 5)) session_id", "concat('q', user_id % 50) question", "ts created_at"), table(s, d, "events").selectExpr("event_id id", "concat('s', event_id % 5) session_id", "concat('q', user_id % 50) question", "timestampadd(HOUR, cast(event_id % 12 as int), ts) created_at")).select("id", "trace_id")
 )
 query("list_feedback", "select event_id id from events where event_id % 3 <> 0 order by ts desc, event_id desc limit 50")(lambda s, d: routing.list_feedback(table(s, d, "events").selectExpr(*_FB), -1).select("id"))
 query("trace_usage", "select event_type intent, case when event_id % 3 = 0 then 'agent' else 'data' end mode, case when event_id % 4 = 0 then 'rule' else 'logprobs' end route_path, count(*) n, round(avg(event_id % 7), 4) iterations, round(avg(value / 7), 4) latency_ms, round(quantile_cont(value / 7, 0.9), 4) p90 from events where event_id % 8 <> 0 group by 1, 2, 3")(lambda s, d: routing.trace_usage(_traces(s, d)))
@@ -146,8 +147,8 @@ query("flat_region", f"with {_SCAN} select threshold, cost, (select min(cost) fr
 _CAL = f"""{_EV}, cb as (select case when confidence >= 0.9 then 0.9 when confidence >= 0.8 then 0.8 when confidence >= 0.7 then 0.7 when confidence >= 0.6 then 0.6 when confidence >= 0.5 then 0.5 else 0.0 end::double bin, count(*) n, round(avg(confidence), 6) confidence, round(avg(correct::int), 6) accuracy from er group by 1)"""
 query("calibration", f"with {_CAL} select *, round(confidence - accuracy, 6) gap from cb")(lambda s, d: ev.calibration(_real(s, d)))
 query("calibration_summary", f"with {_CAL} select (select round(sum(abs(round(confidence - accuracy, 6)) * n) / sum(n), 4) from cb) ece, (select count(*) from cb) bins, count(distinct confidence) \"values\", min(confidence) low, median(confidence) middle, max(confidence) high from er")(lambda s, d: ev.calibration_summary(_real(s, d)))
-query("join_signals", """with l as (select substr(sha256(concat('q', user_id)), 1, 16) h, min_by(value, ts) v from events where event_id % 5 = 0 and ts >= timestamp '2024-01-03' group by 1) select event_id id, v p_top from events left join l on h = substr(sha256(concat('q', user_id % 60)), 1, 16) where event_id % 9 = 0""")(
-    lambda s, d: ev.join_signals(table(s, d, "events").where("event_id % 9 = 0").selectExpr("event_id id", "concat('q', user_id % 60) question"), table(s, d, "events").where("event_id % 5 = 0").selectExpr("substr(sha2(concat('q', user_id), 256), 1, 16) q_hash", "value p_top", "value label_mass", "value margin", "ts logged_at"), F.lit("2024-01-03").cast("timestamp")).select("id", "p_top")
+query("join_signals", """with l as (select substr(sha256(concat('q', user_id)), 1, 16) h, min_by(value, ts) v from events where ts >= timestamp '2024-01-03' group by 1) select event_id id, v p_top from events left join l on h = substr(sha256(concat('q', user_id % 60)), 1, 16)""")(
+    lambda s, d: ev.join_signals(table(s, d, "events").selectExpr("event_id id", "concat('q', user_id % 60) question"), table(s, d, "events").selectExpr("substr(sha2(concat('q', user_id), 256), 1, 16) q_hash", "value p_top", "value label_mass", "value margin", "ts logged_at"), F.lit("2024-01-03").cast("timestamp")).select("id", "p_top")
 )
 query("signal_separation", f"with {_EV} select 'confidence' signal, list_sort(list(confidence) filter (not correct))[len(list(confidence) filter (not correct)) // 2 + 1] wrong, list_sort(list(confidence) filter (correct))[len(list(confidence) filter (correct)) // 2 + 1] \"right\", round(list_sort(list(confidence) filter (correct))[len(list(confidence) filter (correct)) // 2 + 1] - list_sort(list(confidence) filter (not correct))[len(list(confidence) filter (not correct)) // 2 + 1], 6) difference from er")(lambda s, d: ev.signal_separation(_real(s, d), ("confidence",)))
 query("signal_sweep", f"with {_EV}, th as (select unnest({_TH})::double threshold) select threshold, round(count(*) filter (confidence < threshold) / count(*), 6) escalated, round(count(*) filter (confidence < threshold and not correct) / count(*) filter (not correct), 6) caught from er, th group by 1")(lambda s, d: ev.signal_sweep(_real(s, d), "confidence", _TH))
@@ -163,9 +164,9 @@ query("parse_self_report", "select event_id, case event_id % 5 when 0 then 'hybr
 )
 
 # Datasets: documents' first words as questions, in blocks by source, variants of every fourth.
-_DS = ["doc_id id", "concat(left(split_part(text, '\n', 1), 12 + cast(doc_id % 3 as int)), if(doc_id % 2 = 0, '？', '')) question", "if(doc_id % 4 = 1, concat('variant_of_', doc_id - 1), concat('original_', doc_id)) source", "source block", "case doc_id % 5 when 0 then 'edge' when 1 then 'hybrid' when 2 then 'doc_query' else 'data_query' end category",
+_DS = ["doc_id id", "concat(left(split_part(text, '\n', 1), 12 + cast(doc_id % 3 as int)), case doc_id % 4 when 0 then '是多少？' when 1 then '' when 2 then '有多少的情况？' else '，查一下' end) question", "if(doc_id % 4 = 1, concat('variant_of_', doc_id - 1), concat('original_', doc_id)) source", "source block", "case doc_id % 5 when 0 then 'edge' when 1 then 'hybrid' when 2 then 'doc_query' else 'data_query' end category",
        "if(doc_id % 7 = 0, '', case doc_id % 5 when 1 then 'hybrid' when 2 then 'doc_query' else 'data_query' end) expected_intent", "if(doc_id % 11 = 0, array('other_tool'), array('search_documents')) expected_tools", "if(doc_id % 4 = 0, array('k'), cast(null as array<string>)) keywords", "if(doc_id % 6 = 0, array('k'), cast(null as array<string>)) expected_doc_keywords"]
-_DSQL = """ds as (select doc_id id, concat(left(split_part(text, chr(10), 1), 12 + (doc_id % 3)::int), case when doc_id % 2 = 0 then '？' else '' end) question, doc_id % 4 = 1 variant, source block,
+_DSQL = """ds as (select doc_id id, concat(left(split_part(text, chr(10), 1), 12 + (doc_id % 3)::int), case doc_id % 4 when 0 then '是多少？' when 1 then '' when 2 then '有多少的情况？' else '，查一下' end) question, doc_id % 4 = 1 variant, source block,
  case doc_id % 5 when 0 then 'edge' when 1 then 'hybrid' when 2 then 'doc_query' else 'data_query' end category, case when doc_id % 7 = 0 then '' else case doc_id % 5 when 1 then 'hybrid' when 2 then 'doc_query' else 'data_query' end end expected_intent from documents)"""
 
 
@@ -184,7 +185,7 @@ query("error_balance", f"with {_DSQL}, g as (select case when variant then ds.id
 query("assemble_sets", "select source block, count(*) items, 60 quota, greatest(0, 60 - count(*)) missing from documents group by 1 union all select 'none', 0, 60, 60")(
     lambda s, d: ev.assemble_sets(table(s, d, "documents").selectExpr("source block"), table(s, d, "documents").selectExpr("source block").distinct().union(s.sql("select 'none'")).withColumn("quota", F.lit(60)))
 )
-_NQ = r"regexp_replace(regexp_replace(lower(question), '请问|请|帮我|一下|查询|告诉我|我想知道', '', 'g'), '[\s，。、？?！!,.]+', '', 'g')"
+_NQ = r"regexp_replace(question, '是多少|有多少|多少|怎么样|是什么|有哪些|哪些|分别|一共|总共|的|了|吗|呢|啊|呀|请问|帮我|查一下|看一下|统计|情况|[\s，。？！,?!、]+', '', 'g')"
 query("near_duplicates", f"with {_DSQL}, g as (select {_NQ} t, count(*) n, count(distinct block) b, count(distinct question) q from ds group by 1) select md5(t) h, n, b \"blocks\", case when q = 1 then 'exact' when b = 1 then 'in_block' else 'cross_block' end kind from g where n > 1 and length(t) >= 3")(lambda s, d: ev.near_duplicates(_ds(s, d)).select(F.md5("text").alias("h"), "n", "blocks", "kind"))
 query("set_overlap", f"with {_DSQL} select md5(t) h from (select {_NQ} t from ds where id % 2 = 0 intersect select {_NQ} from ds where id % 2 = 1)")(lambda s, d: ev.set_overlap(_ds(s, d).where("id % 2 = 0"), _ds(s, d).where("id % 2 = 1")).select(F.md5("text").alias("h")))
 query("field_checks", f"with {_DSQL} select id, 'edge_with_intent' problem from ds where category = 'edge' and expected_intent <> '' union all select id, 'intent_differs' from ds where category <> 'edge' and expected_intent <> category union all select id, 'unknown_tool' from ds where id % 11 = 0 union all select id, 'keywords_missing' from ds where category in ('doc_query', 'hybrid') and id % 6 <> 0")(lambda s, d: ev.field_checks(_ds(s, d)))
@@ -195,8 +196,8 @@ query("entity_checks", "select doc_id id, case doc_id % 4 when 0 then 'foreign_d
 query("backfill_keywords", "select doc_id id, case when doc_id % 4 = 0 then 'k' when doc_id % 4 = 1 then 'k' when doc_id % 4 = 2 and doc_id % 3 = 0 then 's' end keyword, (doc_id % 4 = 3 or (doc_id % 4 = 2 and doc_id % 3 <> 0)) and doc_id % 5 in (1, 2) gap from documents")(
     lambda s, d: ev.backfill_keywords(_ds(s, d), table(s, d, "documents").where("doc_id % 3 = 0 and doc_id % 4 <> 3").selectExpr("doc_id id", "array('s') keywords")).selectExpr("id", "keywords[0] keyword", "gap")
 )
-query("parse_variants", "with o as (select doc_id, unnest([1, 2]) nth from documents where doc_id % 10 = 0) select (select max(doc_id) from documents) + row_number() over (order by doc_id, nth) id, concat('variant_of_', doc_id) source, concat('variant ', nth, ' of ', doc_id) question from o")(
-    lambda s, d: ev.parse_variants(table(s, d, "documents").where("doc_id % 10 = 0").selectExpr("doc_id id", "concat('1. \"variant 1 of ', doc_id, '\"\n\n2) x\n- variant 2 of ', doc_id, '\n3、variant 3 of ', doc_id) text"), _ds(s, d), 2).select("id", "source", "question")
+query("parse_variants", "with o as (select doc_id, unnest([1, 2]) nth from documents) select (select max(doc_id) from documents) + row_number() over (order by doc_id, nth) id, concat('variant_of_', doc_id) source, concat('variant ', nth, ' of ', doc_id) question from o")(
+    lambda s, d: ev.parse_variants(table(s, d, "documents").selectExpr("doc_id id", "concat('1. \"variant 1 of ', doc_id, '\"\n\n2) x\n- variant 2 of ', doc_id, '\n3、variant 3 of ', doc_id) text"), _ds(s, d), 2).select("id", "source", "question")
 )
 query("export_candidates", "with b as (select concat('q', user_id) question, max(ts) created_at, max_by(concat('c', event_id), ts) \"comment\", max(event_id) feedback_id from events where event_id % 3 <> 0 group by 1) select *, case when feedback_id % 2 = 0 then 'hybrid' else '' end expected_intent, case when feedback_id % 2 = 0 then 'ready' else 'pending' end status from b where question not in (select concat('q', user_id) from events where user_id % 7 = 0)")(
     lambda s, d: _candidates(s, d)

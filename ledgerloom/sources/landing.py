@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyarrow import fs
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def land_raw(df: DataFrame, source_id: int, batch_id: str, index_col: str | None = None) -> DataFrame:
@@ -18,14 +20,30 @@ def land_raw(df: DataFrame, source_id: int, batch_id: str, index_col: str | None
     return df.select(F.lit(source_id).alias("source_id"), F.lit(batch_id).alias("batch_id"), index.alias("source_row_index"), F.create_map(*pairs).alias("raw_data"), F.lit("raw").alias("status"))
 
 
+def write_documents(docs: DataFrame, path: str) -> int:
+    """Writes each (file_name, text) as a file of its own below ``path``, a URI that all executors share; how many there are."""
+    where = path if ":" in path else f"file://{path}"
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(where)
+        store.create_dir(root)
+        for batch in batches:
+            for name, text in zip(batch["file_name"], batch["text"]):
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write((text or "").encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return docs.select("file_name", "text").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def collect_batch(spark: SparkSession, sources: Iterable[dict], load: Callable[[SparkSession, dict], DataFrame], write: Callable[[DataFrame], None], stamp: str) -> DataFrame:
     """Lands each source; one that fails does not stop the rest. A row for each source, with its count or error."""
     out = []
     for source in sources:
         try:
-            landed = land_raw(load(spark, source), source["id"], f"batch_{stamp}_{source['id']}")
-            write(landed)
-            out.append((source["id"], f"batch_{stamp}_{source['id']}", "active", landed.count(), None))
+            counted = Observation()
+            write(land_raw(load(spark, source), source["id"], f"batch_{stamp}_{source['id']}").observe(counted, F.count("*").alias("n")))
+            out.append((source["id"], f"batch_{stamp}_{source['id']}", "active", counted.get["n"], None))
         except Exception as error:  # reported, not swallowed
             out.append((source["id"], None, "error", 0, f"{type(error).__name__}: {str(error)[:200]}"))
     return spark.createDataFrame(out, "source_id int, batch_id string, status string, rows long, message string")
