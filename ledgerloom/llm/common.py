@@ -60,7 +60,7 @@ def cut_by(df: DataFrame, column: str, n: int) -> DataFrame:
     return out
 
 
-def parts(docs: DataFrame, least: int = 8 << 20, most: int = 64 << 20, good: int = 20_000) -> int:
+def parts(docs: DataFrame, least: int = 4 << 20, most: int = 64 << 20, good: int = 20_000) -> int:
     """Number of buckets of documents: one for each ``least`` bytes of text; from ``good`` buckets on they grow up to ``most`` bytes first."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return size // min(most, max(least, size // good)) + 1
