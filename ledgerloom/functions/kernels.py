@@ -121,6 +121,10 @@ def chunks(text: str, limit: int = MAX_CHUNK) -> list[dict]:
     return out
 
 
+#: Scores held at once in a task.
+CELLS = 1 << 22
+
+
 def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, block: int = 20_000) -> DataFrame:
     """(query_id, id, similarity, rank): the k rows of largest cosine for each query, ties by id.
 
@@ -144,13 +148,26 @@ def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, block: int = 20_00
             for rows in batches:
                 if not len(rows) or not len(ids):
                     continue
+                rows = rows.sort_values("id")
                 m = np.array(rows["embedding"].tolist(), float)
-                score = q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)).T
-                if pools is not None:
-                    score = np.where(np.array(pools, object)[:, None] == rows["pool"].to_numpy(object)[None, :], score, -np.inf)
-                order = np.lexsort((np.broadcast_to(rows["id"].to_numpy(), score.shape), -np.round(score, 9)), axis=1)[:, :k]
-                found = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": rows["id"].to_numpy()[order].ravel(), "similarity": np.take_along_axis(score, order, 1).ravel()})
-                yield found[np.isfinite(found["similarity"])]
+                m = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)).T
+                own, each = rows["id"].to_numpy(), max(1, CELLS // len(rows))
+                pool = None if pools is None else rows["pool"].to_numpy(object)
+                for i in range(0, len(ids), each):
+                    score = q[i : i + each] @ m
+                    if pool is not None:
+                        score = np.where(np.array(pools[i : i + each], object)[:, None] == pool[None, :], score, -np.inf)
+                    key = np.round(score, 9)
+                    if k < len(own):  # all that are as good as the k-th, then the first k of them by id
+                        least = np.partition(key, len(own) - k, axis=1)[:, len(own) - k, None]
+                        line, place = np.nonzero((key >= least) & np.isfinite(score))
+                    else:
+                        line, place = np.nonzero(np.isfinite(score))
+                    order = np.lexsort((own[place], -key[line, place], line))
+                    line, place = line[order], place[order]
+                    nth = np.arange(len(line)) - np.searchsorted(line, line)
+                    line, place = line[nth < k], place[nth < k]
+                    yield pd.DataFrame({"query_id": ids[i + line], "id": own[place], "similarity": score[line, place]})
 
         part = rows.select("id", "embedding", *(["pool"] if pooled else [])).mapInPandas(best, "query_id long, id long, similarity double")
         out = part if out is None else out.unionByName(part)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.kernels import cosine_top_k
+from ..functions.scratch import cut
 from .documents import UNTITLED
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -23,29 +24,50 @@ def tokenize(text: Column) -> Column:
 
 
 def bm25_index(chunks: DataFrame, text: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings (token, id, tf, length), weights (token, idf) and totals (n, average length) of chunks (id, text)."""
+    """Postings (token, id, tf, length), weights (token, df, idf) and totals (n, average length) of chunks (id, text).
+
+    The postings are written once, so texts are not split again by what uses them.
+    """
     tokens = chunks.select("id", tokenize(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    lengths = tokens.select("id", F.size("t").alias("length"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-    postings = tokens.select("id", F.size("t").alias("length"), F.explode("t").alias("token")).groupBy("token", "id", "length").agg(F.count("*").alias("tf"))
+    tokens = tokens.select("id", F.size("t").alias("length"), F.explode_outer("t").alias("token"))
+    postings = cut(tokens.groupBy("token", "id", "length").agg(F.count("*").alias("tf")))
+    lengths = postings.groupBy("id").agg(F.max("length").alias("length"))
+    totals = cut(lengths.agg(F.count("*").alias("n"), F.avg("length").alias("average")))
+    postings = postings.where("token is not null")
     df = postings.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # totals: one row
-    raw = df.select("token", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    raw = cut(df.select("token", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
-    weights = raw.crossJoin(F.broadcast(floor)).select("token", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    weights = raw.crossJoin(F.broadcast(floor)).select("token", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     return postings, weights, totals
 
 
-def bm25_search(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, ids: DataFrame, k: int = 20) -> DataFrame:
+def bm25_search(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, ids: DataFrame, k: int = 20, rare: float = 0.02) -> DataFrame:
     """(query_id, id, score, rank): query tokens count as often as they occur; lists are filled up in id order with score 0.
 
-    queries (query_id, text), ids: all chunk ids. Only tokens that some query asks for are joined.
+    queries (query_id, text), ids: all chunk ids. First only tokens that at most a share ``rare`` of the chunks hold meet
+    their postings. The k-th best of what they give bounds a query's list from below; where its common tokens together
+    cannot lift a chunk beyond that, they are counted for the chunks found so far that can still reach it. Queries whose bound
+    is too low meet all their postings, so lists are the same as without the bound.
     """
     postings, weights, totals = index
+    one = totals.first()
+    n, average = one.n, one.average or 1.0
     asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    scored = asked.join(weights, "token").join(postings, "token").crossJoin(F.broadcast(totals)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    terms = cut(asked.join(weights, "token").select("query_id", "token", "df", (F.col("times") * F.col("idf") * (K1 + 1)).alias("most")))
+    own = postings.join(terms.select("token").distinct(), "token", "left_semi")
+    part = F.sum(F.col("most") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(average))))
+    few, common = terms.where(F.col("df") <= rare * n), terms.where(F.col("df") > rare * n)
+    first = cut(few.join(own, "token").groupBy("query_id", "id").agg(part.alias("s")))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "id"))
+    kth = first.withColumn("r", nth).where(F.col("r") == k).select("query_id", F.col("s").alias("kth"))
+    rest = terms.groupBy("query_id").agg(*(F.sum(F.when(F.col("df") > rare * n, f(F.lit(0.0), F.col("most"))).otherwise(0.0)).alias(c) for c, f in (("up", F.greatest), ("down", F.least))))
+    bound = cut(rest.join(kth, "query_id", "left").withColumn("sure", F.coalesce(F.col("kth") + F.col("down") > F.col("up") + 1e-5, F.lit(False))))
+    found = first.join(bound.where("sure"), "query_id").where(F.col("s") + F.col("up") >= F.col("kth") + F.col("down") - 1e-5).select("query_id", "id", "s")
+    more = found.select("query_id", "id").join(common, "query_id").join(own, ["token", "id"]).groupBy("query_id", "id").agg(part.alias("s"))
+    whole = terms.join(bound.where("not sure"), "query_id", "left_semi").join(own, "token").groupBy("query_id", "id").agg(part.alias("s"))
+    scored = found.unionByName(more).unionByName(whole).groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = cut(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
     short = queries.select("query_id").join(top.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").na.fill(0, ["have"]).where(F.col("have") < k)
     lowest = ids.select("id").orderBy("id").limit(k)  # k rows: as many unmatched ids as any query can lack
     fill = short.crossJoin(F.broadcast(lowest)).join(top.select("query_id", "id"), ["query_id", "id"], "left_anti")
