@@ -37,7 +37,7 @@ _OTHER = np.uint64(0x8BB84B93962EACC9)
 #: Bytes of text worked on at once in a task.
 CHUNK = 1 << 19
 #: Items kept in a task before they are grouped and sent.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -293,7 +293,7 @@ def covered(n: int, start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def _pack_docs(n: int) -> Callable:
-    """Rows (part, data): the documents of a part, about 16 MB of a task's texts at a time, as a compressed Arrow stream."""
+    """Rows (part, data): the documents of a part, about 8 MB of a task's texts at a time, as a compressed Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -315,7 +315,7 @@ def _pack_docs(n: int) -> Callable:
             if batch.num_rows:
                 held.append(batch)
                 size += batch.nbytes
-            if size > 16 << 20:
+            if size > 8 << 20:
                 yield flush(held)
                 held, size = [], 0
         if held:
