@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.kernels import cosine_top_k
@@ -20,7 +22,9 @@ def tokenize(text: Column) -> Column:
         pairs = F.when(F.length(run) >= 2, F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))).otherwise(F.expr("cast(array() as array<string>)"))
         return F.when(run.rlike(f"^{_CJK}"), F.concat(pairs, F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: F.substring(run, i, F.lit(1))))).otherwise(F.array(F.lower(run)))
 
-    return F.flatten(F.transform(runs, split))
+    small = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    words = F.regexp_extract_all(small, F.lit("[a-z0-9]+"), F.lit(0))
+    return F.when(text.rlike(_CJK), F.flatten(F.transform(runs, split))).otherwise(words)  # most texts need no second look at a run
 
 
 def bm25_index(chunks: DataFrame, text: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
