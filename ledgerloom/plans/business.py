@@ -54,6 +54,9 @@ _MARK = f"""{_VERD}, lastv as (select * from (select *, row_number() over (parti
  mk as (select ff.batch_id, ff.record_index, coalesce(is_anomaly and not pending_review, false) is_anomaly, case when pending_review then 'pending_review' when is_anomaly then 'confirmed' else 'normal' end anomaly_status, reason anomaly_reason
  from ff left join lastv using (batch_id, record_index))"""
 
+query("find_key_columns", "select min(o_orderkey) o_orderkey, o_orderdate from orders group by o_orderdate")(
+    lambda s, d: clean.dedup_keep_first(table(s, d, "orders"), clean.find_key_columns(table(s, d, "orders").columns), "o_orderkey").select("o_orderkey", "o_orderdate")
+)
 query("dedup_keep_first", f"with {_DEDUP} select batch_id, record_index, emp \"员工编号\", dt \"考勤日期\", hrs \"加班时长\", late \"迟到次数\" from dd")(_deduped)
 query("dedup_lineitem", "select l_orderkey, l_linenumber, max(l_extendedprice) l_extendedprice, count(*) n from lineitem group by 1, 2")(
     lambda s, d: clean.dedup_keep_first(table(s, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_extendedprice", "-l_extendedprice ord", "count(*) over (partition by l_orderkey, l_linenumber) n"), ["l_orderkey", "l_linenumber"], "ord").drop("ord")

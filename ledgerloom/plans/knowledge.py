@@ -54,7 +54,20 @@ query("unique_keys", "select doc_id, case when rn = 1 then concat('k', doc_id %
     lambda s, d: docs.unique_keys(table(s, d, "documents").selectExpr("doc_id", "source file_name", "concat('k', doc_id % 7) key_base", "doc_id chunk_index")).select("doc_id", "chunk_key")
 )
 query("chunk_length_report", "select source file_name, count(*) chunks, min(length(text)) shortest, max(length(text)) longest, count(*) filter (length(text) > 600) \"over\" from documents group by 1")(lambda s, d: docs.chunk_length_report(table(s, d, "documents").selectExpr("source file_name", "text content")))
-query("chunk_audit", "select unnest(['key_missing', 'key_repeated', 'two_chapters', 'clause_number_lost', 'clause_without_chunk', 'clause_count_differs', 'body_lost']) \"check\", 0::bigint violations from documents where doc_id = 0")(lambda s, d: docs.audit_chunks(_loaded(s, d), _chunks(s, d)))
+query("chunk_audit_clean", "select k.k \"check\", 0::bigint violations from (values ('key_missing'), ('key_repeated'), ('two_chapters'), ('clause_number_lost'), ('clause_without_chunk'), ('clause_count_differs'), ('body_lost')) k(k), (select count(*) n from documents) c where c.n > 0")(lambda s, d: docs.audit_chunks(_loaded(s, d), _chunks(s, d)))
+
+
+@query("chunk_audit", """with n as (select doc_id % 8 k from documents) select 'key_missing' "check", count(*) filter (k = 1) violations from n union all select 'key_repeated', count(*) filter (k = 2) from n union all select 'two_chapters', count(*) filter (k = 3) from n
+ union all select 'clause_number_lost', count(*) filter (k = 4) from n union all select 'clause_without_chunk', count(*) filter (k = 5) from n union all select 'clause_count_differs', count(*) filter (k in (2, 5)) from n union all select 'body_lost', count(*) filter (k = 6) from n""")
+def _broken(s, d):
+    """One clause for each document; its chunk breaks the rule that the document's number names."""
+    t = table(s, d, "documents").selectExpr("concat('f', doc_id) file_name", "concat('body ', md5(text)) t", "doc_id % 8 k")
+    own = t.where("k <> 5").withColumn("copy", F.explode(F.expr("if(k = 2, array(1, 2), array(1))")))
+    chunks = own.selectExpr("file_name", "if(k = 1, '', concat('clause:', 7)) chunk_key", "'第7条 规定' section", "if(k = 4, '', '第7条') clause_no",
+                            "concat('## 总则\n\n### 第7条 规定\n\n', if(k = 6, 'other', t), if(k = 3, '\n## 附则\n', '')) content")
+    return docs.audit_chunks(t.selectExpr("file_name", "concat('## 总则\n### 第7条 规定\n', t) body"), chunks)
+
+
 _HASH = "md5(concat(text, chr(1), '{\"lang\":\"', lang, '\",\"source\":\"', source, '\"}', chr(1), 'clause-1'))"
 query("doc_checksum", f"select doc_id, {_HASH} h, md5(text) c from documents")(
     lambda s, d: table(s, d, "documents").selectExpr("doc_id", "text body", "text content", "map('source', source, 'lang', lang) metadata").select("doc_id", docs.doc_checksum().alias("h"), docs.chunk_checksum().alias("c"))
@@ -76,8 +89,9 @@ def _old_chunks(s, d):
 query("vector_reuse", "select cast(vec_id as varchar) chunk_key, vec_id % 3 <> 0 reused, vec_id % 3 <> 0 has_vector, timestamp '2024-01-01' created_at, case when vec_id % 3 <> 0 then timestamp '2024-01-01' else timestamp '2024-06-01' end updated_at from embeddings")(
     lambda s, d: docs.plan_reuse(table(s, d, "embeddings").selectExpr("cast(vec_id % 50 as string) file_name", "cast(vec_id as string) chunk_key", "md5(cast(vec_id as string)) content_hash"), _old_chunks(s, d), F.lit("2024-06-01").cast("timestamp")).select("chunk_key", "reused", F.col("embedding").isNotNull().alias("has_vector"), "created_at", "updated_at")
 )
-query("embed", "select doc_id, true unit from documents")(
-    lambda s, d: docs.embed(table(s, d, "documents"), lambda texts: [[1.0 + len(t), t.count("e"), t.count(" ")] for t in texts], "text").select("doc_id", F.expr("abs(aggregate(embedding, 0d, (a, x) -> a + x * x) - 1) < 1e-5").alias("unit"))
+query("embed", """with v as (select doc_id, 1.0::double + length(text) a, (length(text) - length(replace(text, 'e', '')))::double b, (length(text) - length(replace(text, ' ', '')))::double c from documents)
+ select doc_id, round(a / sqrt(a * a + b * b + c * c), 4) a, round(b / sqrt(a * a + b * b + c * c), 4) b, round(c / sqrt(a * a + b * b + c * c), 4) c from v""")(
+    lambda s, d: docs.embed(table(s, d, "documents"), lambda texts: [[1.0 + len(t), t.count("e"), t.count(" ")] for t in texts], "text").select("doc_id", *(F.round(F.col("embedding")[i].cast("double"), 4).alias(c) for i, c in enumerate("abc")))
 )
 
 
@@ -141,20 +155,33 @@ query("hybrid_retrieve")(lambda s, d: retrieval.hybrid_retrieve(_corpus(s, d).jo
 
 
 def _chunk_table(s, d):
-    """Lines of documents as chunks of a chapter for every ten."""
-    return table(s, d, "documents").selectExpr("source file_name", "doc_id id", "concat('chapter:', doc_id % 200 div 10) parent_key", "cast(doc_id as int) chunk_index", "concat('第', doc_id % 200 div 10, '章') chapter", "if(doc_id % 10 = 0, '', concat('第', doc_id % 10, '条')) section", "concat('## 第', doc_id % 200 div 10, '章\\n\\n', left(text, 150)) content", "source doc_title")
+    """Whole documents as chunks; those of a source among a hundred neighbours are a chapter."""
+    return table(s, d, "documents").selectExpr("source file_name", "doc_id id", "concat('chapter:', doc_id div 100) parent_key", "cast(doc_id as int) chunk_index", "concat('第', doc_id div 100, '章') chapter", "if(doc_id % 10 = 0, '', concat('第', doc_id % 10, '条')) section", "concat('## 第', doc_id div 100, '章\\n\\n', text) content", "source doc_title")
 
 
 def _hits(s, d):
     return retrieval.bm25_search(retrieval.bm25_index(_corpus(s, d)), _asked(s, d), _corpus(s, d), 5)
 
 
-_CH = "ch as (select source file_name, doc_id id, concat('chapter:', doc_id % 200 // 10) parent_key, doc_id chunk_index, case when doc_id % 10 = 0 then '' else concat('第', doc_id % 10, '条') end section from documents)"
+_CH = "ch as (select source file_name, doc_id id, concat('chapter:', doc_id // 100) parent_key, doc_id chunk_index, case when doc_id % 10 = 0 then '' else concat('第', doc_id % 10, '条') end section from documents)"
 query("parent_chunks", f"with {_BM}, {_CH}, k as (select distinct file_name, parent_key from bm join ch using (id) where rank <= 5) select file_name, parent_key, id from ch where (file_name, parent_key) in (select (file_name, parent_key) from k)")(
     lambda s, d: retrieval.parent_chunks(_hits(s, d).join(_chunk_table(s, d), "id"), _chunk_table(s, d)).select("file_name", "parent_key", "id")
 )
 query("build_context")(lambda s, d: retrieval.build_context(_hits(s, d), _chunk_table(s, d)))
-query("audit_context", "select item_id query_id, 0::bigint lost from benchmark")(lambda s, d: retrieval.audit_context(retrieval.build_context(_hits(s, d), _chunk_table(s, d)), _hits(s, d), _chunk_table(s, d)).drop("length"))
+query("audit_context_clean", "select item_id query_id, 0::bigint lost from benchmark")(lambda s, d: retrieval.audit_context(retrieval.build_context(_hits(s, d), _chunk_table(s, d)), _hits(s, d), _chunk_table(s, d)).drop("length"))
+
+
+@query("audit_context", """select doc_id query_id, case doc_id % 5 when 1 then 1 when 2 then 1 when 3 then 1 when 4 then 2 else 0 end::bigint lost, case doc_id % 5 when 0 then 78 when 1 then 72 when 2 then 77 when 3 then 84 else 1 end::bigint length from documents""")
+def _damaged(s, d):
+    """Two hits for each document; by its number the context lost a mark, lost text, repeats a mark or lost all."""
+    t = table(s, d, "documents").selectExpr("doc_id", "md5(text) a", "md5(concat(text, 'b')) b")
+    chunks = t.selectExpr("2 * doc_id id", "a content").union(t.selectExpr("2 * doc_id + 1", "b"))
+    hits = t.selectExpr("doc_id query_id", "2 * doc_id id", "1 rank").union(t.selectExpr("doc_id", "2 * doc_id + 1", "2"))
+    whole = "concat('[来源1] ', a, '\n\n[来源2] ', b)"
+    contexts = t.selectExpr("doc_id query_id", f"case doc_id % 5 when 0 then {whole} when 1 then concat('[来源1] ', a, '\n\n', b) when 2 then concat('[来源1] ', substr(a, 2), '\n\n[来源2] ', b) when 3 then concat({whole}, ' [来源1]') else '-' end context")
+    return retrieval.audit_context(contexts, hits, chunks)
+
+
 query("extract_sources", f"with {_BM} select query_id, rank, round(score, 3) score, source doc_title from bm join documents on id = doc_id where rank <= 5")(lambda s, d: retrieval.extract_sources(_hits(s, d), _chunk_table(s, d)).select("query_id", "rank", F.round("score", 3).alias("score"), "doc_title"))
 query("calibrate_floor", f"""with best as (select q.vec_id, q.vec_id % 40 = 0 is_on, max(round(0.5 + {_DOT} / 2, 4)) score from embeddings q, embeddings e where q.vec_id % 20 = 0 and e.vec_id % 20 <> 0 group by 1, 2), f as (select unnest([0.6, 0.65, 0.7])::double floor)
  select floor, count(*) filter (is_on and score < floor) lost, count(*) filter (not is_on and score < floor) blocked, min(score) filter (is_on) min_on, max(score) filter (not is_on) max_off, round(min(score) filter (is_on) - max(score) filter (not is_on), 4) gap from best, f group by floor""")(
