@@ -45,3 +45,34 @@ def test_stitching_equals_one_reading():
             chunks = [(s, v.boundaries(text[s : s + chunk + overlap])) for s in range(0, len(text), chunk)]
             assert stitch(text, chunks, v) == v.find(text)
 
+
+
+def merged(piece, ranks):
+    """Merging written out: the neighbours of the lowest rank become one, until none has a rank."""
+    parts = [bytes([b]) for b in piece]
+    while True:
+        best = min((ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate([*zip(parts, parts[1:]), (b"", b"")]))
+        if best[0] == 1 << 40 or len(parts) < 2:
+            return [ranks[p] for p in parts]
+        i = best[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_merging_equals_a_plain_loop(spark):
+    v = vocabulary(PATH, P.PATTERN)
+    pieces = {p for t in texts() for p in v.find(t)} | {"ß" * 40, "strengthlessness", " Donaudampfschiff", "\u0301\u0301"}
+    for piece in pieces:
+        if len(piece) <= 500:
+            own = piece.encode()
+            assert list(v[piece]) == ([v.rank[own]] if own in v.rank else merged(own, v.rank))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    known = {r.doc_id: r.text or "" for r in docs.collect()}
+    memo = {}
+    for r in encode_decode(docs).collect():
+        ids = []
+        for piece in v.find(known[r.doc_id]):
+            if piece not in memo:
+                own = piece.encode()
+                memo[piece] = [v.rank[own]] if own in v.rank else merged(own, v.rank)
+            ids += memo[piece]
+        assert r.ids == ids and bytes(r.decoded).decode() == known[r.doc_id]

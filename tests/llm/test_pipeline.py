@@ -42,3 +42,24 @@ def test_rejected_by_label_go(spark):
     kept = {r.doc_id for r in corpus_pipeline.keep_quality(spark, docs, SF).collect()}
     known = [(i in kept) == bool(q) for i, q in labels.items()]
     assert np.mean(known) > 0.9
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, clashing extra columns and empty tables."""
+    long = " ".join(f"word{i} is here" for i in range(40_000))
+    rows = [(1, "plain words of a short text that nobody has seen", "en", "s", 48, 1, 0.5), (1, "plain words of a short text that nobody has seen", "en", "s", 48, 1, 0.5), (2, None, None, None, None, None, None), (3, "", "", "", 0, 0, 0.0), (4, long, "en", "s", len(long), 1, 0.1), (5, "token=abcdef123 stays out of it", "en", "s", 31, 2, 0.2), (None, "no id", "en", "s", 5, 3, 0.3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fp long, score double")
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, frame, SF), stage(spark, frame.where("false"), SF)
+        assert none.count() == 0
+        got = out.collect()
+        ids = sorted(r.doc_id for r in got if r.doc_id is not None)
+        assert set(ids) <= {1, 2, 3, 4, 5}
+        if name == "simhash_near_dedup":
+            assert ids == [1, 1, 2, 4, 5]  # the empty text is a copy of the missing one; rows that share an id stay together
+        if name in ("benchmark_decontamination", "secret_scan", "byte_bpe"):
+            assert ids == [1, 1, 2, 3, 4, 5]
+        if name == "secret_scan":
+            assert {r.doc_id: r.text for r in got}[5] == "[SECRET] stays out of it" and {r.doc_id: r.text for r in got}[2] is None
+        if name != "byte_bpe":
+            assert out.columns == frame.columns
