@@ -7,6 +7,7 @@ empty texts.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,7 +40,10 @@ def scratch(spark: SparkSession) -> str:
     """A new path in the shared checkpoint folder; a local one is set only where the cluster names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
