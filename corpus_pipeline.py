@@ -3,6 +3,10 @@
 Each stage works on all that the one before kept and returns the columns of documents; the last
 returns ids. Every stage's result is written as Parquet and read again, so a lost executor costs at
 most one stage.
+
+In every stage null texts count as empty, texts of any length are read whole, extra columns stay, and an empty table gives an
+empty table. Rows that share a doc_id stay or go together where a stage decides by id. Rows without an id go in the stages
+that decide by id and in the last; the masking stage keeps them.
 """
 
 from __future__ import annotations
@@ -24,12 +28,16 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects."""
+    """Drops the documents that the quality classifier rejects; empty texts are scored like others."""
     return _only(docs, quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies (similarity of five-word shingles 0.8 or more) the document of the smallest id."""
+    """Keeps of each group of near copies (similarity of five-word shingles 0.8 or more) the document of the smallest id.
+
+    The links of the SimHash operator's search and MinHash bands propose pairs, the exact similarity decides. Empty and null
+    texts are copies of one another.
+    """
     return _only(docs, near_copies(docs).where("doc_id = component_id"))
 
 
@@ -39,12 +47,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces each secret in the texts; no document goes."""
+    """Replaces each secret in the texts; no document goes, null texts stay null."""
     return redact(docs)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the hash of the bytes that they decode to; only long texts are shuffled."""
+    """doc_id, n_tokens, ids and the hash of the bytes that they decode to; only long texts are shuffled, empty ones have no ids."""
     return encode_decode(docs).selectExpr("doc_id", "cast(size(ids) as long) n_tokens", "ids", "sha2(decoded, 256) decoded_sha256")
 
 
