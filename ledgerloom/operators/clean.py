@@ -57,12 +57,14 @@ def missing_stats(before: DataFrame, after: DataFrame, cols: list[str], batch: s
     return count(before, "missing_before").join(count(after, "missing_after").drop("rows"), batch).withColumn("missing_rate", F.col("missing_before") / (F.col("rows") * F.lit(len(cols))))
 
 
-def iqr_candidates(df: DataFrame, cols: list[str], index: str = "record_index", batch: str = "batch_id", digits: int = 2) -> DataFrame:
+def iqr_candidates(df: DataFrame, cols: list[str], index: str = "record_index", batch: str = "batch_id", digits: int = 2, approx: bool = False) -> DataFrame:
     """Values strictly outside Q1 - 1.5 IQR .. Q3 + 1.5 IQR of their batch and column; columns of IQR 0 are passed over.
 
-    Quartiles go back to the rows as one wide row for each batch, so only outliers become rows of their own.
+    Quartiles go back to the rows as one wide row for each batch, so only outliers become rows of their own. ``approx``
+    bounds the memory of quartiles over very many distinct values; they are then values of the column.
     """
-    quarters = df.groupBy(batch).agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in cols))
+    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    quarters = df.groupBy(batch).agg(*((F.percentile_approx(F.col(c).cast("double"), at) if approx else F.percentile(c, at)).alias(f"_q_{c}") for c in cols))
 
     def outlier(pos: int, c: str) -> Column:
         v, q = F.col(c).cast("double"), F.col(f"_q_{c}")
@@ -84,10 +86,11 @@ def severity_band(deviation: Column) -> Column:
     return F.when(deviation >= 3, "extreme").when(deviation >= 2, "high").when(deviation >= 1.5, "medium").otherwise("low")
 
 
-def basic_stats(df: DataFrame, cols: list[str], batch: str = "batch_id") -> DataFrame:
-    """Mean, median, least and largest of each numeric column, rounded to one place."""
+def basic_stats(df: DataFrame, cols: list[str], batch: str = "batch_id", approx: bool = False) -> DataFrame:
+    """Mean, median, least and largest of each numeric column, rounded to one place; ``approx`` bounds the median's memory."""
+    middle = (lambda c: F.percentile_approx(c, 0.5)) if approx else F.median
     long = df.select(batch, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in cols))).alias("x")).select(batch, "x.*").where("v is not null")
-    return long.groupBy(batch, "field").agg(*(F.round(f("v"), 1).alias(n) for n, f in (("mean", F.avg), ("median", F.median), ("low", F.min), ("high", F.max))))
+    return long.groupBy(batch, "field").agg(*(F.round(f("v"), 1).alias(n) for n, f in (("mean", F.avg), ("median", middle), ("low", F.min), ("high", F.max))))
 
 
 def judge_batches(ranked: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:

@@ -188,7 +188,7 @@ query("calibrate_floor", f"""with best as (select q.vec_id, q.vec_id % 40 = 0 is
     lambda s, d: retrieval.calibrate_floor(_vec_asked(s, d).where("query_id % 40 = 0"), _vec_asked(s, d).where("query_id % 40 <> 0"), _vectors(s, d).where("id % 20 <> 0"), [0.6, 0.65, 0.7]).drop("median_on", "median_off")
 )
 
-# rules: vectors are rules; every twentieth is new
+# rules: vectors are rules; for every twentieth a new one comes, whose vector is its reverse
 _R = ["vec_id id", "concat('rule ', vec_id % 97, '。') content", "embedding", "if(vec_id % 3 = 0, 'department', 'global') scope", "if(vec_id % 3 = 0, concat('D', vec_id % 4), null) department", "if(vec_id % 5 = 0, 'candidate', 'active') status", "concat('s', vec_id % 11) session_id",
       "if(vec_id % 6 = 0, null, date_add(date '2024-01-01', cast(vec_id % 300 as int))) effective_from", "if(vec_id % 7 = 0, date_add(date '2024-06-01', cast(vec_id % 100 as int)), null) effective_until", "timestamp '2024-01-01' created_at", "timestamp '2024-01-01' updated_at", "timestampadd(day, cast(vec_id % 200 as int), timestamp '2024-01-01') last_accessed"]
 _RSQL = """ru as (select vec_id id, concat('rule ', vec_id % 97, '。') content, embedding, case when vec_id % 3 = 0 then 'department' else 'global' end scope, case when vec_id % 3 = 0 then concat('D', vec_id % 4) end department, case when vec_id % 5 = 0 then 'candidate' else 'active' end status, concat('s', vec_id % 11) session_id,
@@ -204,17 +204,22 @@ def _day():
     return F.lit("2024-06-30").cast("date")
 
 
+def _arriving(s, d):
+    return _rules(s, d).where("id % 20 = 0").withColumns({"id": F.col("id") + 10_000_000, "embedding": F.reverse("embedding")})
+
+
 def _nearest(s, d):
-    return rules.nearest_rule(_rules(s, d).where("id % 20 = 1"), _rules(s, d).where("id % 20 <> 1"), _day())
+    return rules.nearest_rule(_arriving(s, d), _rules(s, d), _day())
 
 
 def _decided(s, d):
     near = _nearest(s, d).withColumn("score", F.col("score") + 0.2)
-    return rules.decide_rule(near, _rules(s, d), near.selectExpr("id", "if(id % 40 = 1, 'update', 'different') verdict"))
+    return rules.decide_rule(near, _rules(s, d), near.selectExpr("id", "if(id % 40 = 0, 'update', 'different') verdict"))
 
 
-_NEAR = f"""{_RSQL}, ne as (select q.id, q.content, q.scope, q.department, e.id old_id, e.content old_content, round(0.5 + ({_DOT}) / 2, 6) score, row_number() over (partition by q.id order by round({_DOT}, 9) desc, e.id) rn from (select * from ru where id % 20 = 1) q join (select * from fo where id % 20 <> 1) e on q.scope = e.scope and q.department is not distinct from e.department qualify rn = 1)"""
-_DEC = f"""{_NEAR}, de as (select *, case when score + 0.2 >= 0.9 and content = old_content then 'touch' when score + 0.2 >= 0.95 then 'supersede' when score + 0.2 >= 0.9 and id % 40 = 1 then 'supersede' else 'new' end decision from ne)"""
+_NEW = "nw as (select id + 10000000 id, content, list_reverse(embedding) embedding, scope, department from ru where id % 20 = 0)"
+_NEAR = f"""{_RSQL}, {_NEW}, ne as (select q.id, q.content, q.scope, q.department, e.id old_id, e.content old_content, round(0.5 + ({_DOT}) / 2, 6) score, row_number() over (partition by q.id order by round({_DOT}, 9) desc, e.id) rn from nw q join fo e on q.scope = e.scope and q.department is not distinct from e.department qualify rn = 1)"""
+_DEC = f"""{_NEAR}, de as (select *, case when score + 0.2 >= 0.9 and content = old_content then 'touch' when score + 0.2 >= 0.95 then 'supersede' when score + 0.2 >= 0.9 and id % 40 = 0 then 'supersede' else 'new' end decision from ne)"""
 query("rule_hints", "select conv_id, turn, turn % 3 = 0 hint from conversations")(lambda s, d: table(s, d, "conversations").select("conv_id", "turn", rules.has_rule_hint(F.expr("concat(text, if(turn % 3 = 0, ' 记住这个', ''))")).alias("hint")))
 _LINES = "concat('- 通用|', left(replace(text, '|', ' '), 20), '\n', case turn % 4 when 0 then '部门:销售部| 按签约额算' when 1 then '会话|本次只统计' when 2 then '部门:|x' else '无' end, '\n* plain ', turn, '\n\n部门:财务|') text"
 query("parse_rule_lines", """select conv_id, turn, 'global' as scope, null department, trim(regexp_replace(left(replace(text, '|', ' '), 20), chr(10) || '[^z]*', '')) content, 0 line_no from conversations where false
@@ -224,16 +229,16 @@ query("parse_rule_lines", """select conv_id, turn, 'global' as scope, null depar
 query("admit_rules", "select item_id, case when item_id % 3 = 1 then 'D' end department from benchmark where item_id % 5 <> 0 and item_id % 3 <> 2")(
     lambda s, d: rules.admit_rules(table(s, d, "benchmark").selectExpr("item_id", "if(item_id % 5 = 0, '  ', text) content", "case item_id % 3 when 0 then 'global' else 'department' end scope", "if(item_id % 3 = 1, ' D ', ' ') department")).select("item_id", "department")
 )
-query("already_documented", f"with {_RSQL}, n as (select q.id, 0.5 + {_DOT} / 2 score, row_number() over (partition by q.id order by round({_DOT}, 9) desc, e.id) rn from (select * from ru where id % 20 = 1 and scope = 'global') q, (select * from ru where id % 20 <> 1) e qualify rn <= 3) select distinct id from n where score >= 0.72")(
-    lambda s, d: rules.already_documented(_rules(s, d).where("id % 20 = 1"), _vectors(s, d).where("id % 20 <> 1"))
+query("already_documented", f"with {_RSQL}, {_NEW}, n as (select q.id, 0.5 + {_DOT} / 2 score, row_number() over (partition by q.id order by round({_DOT}, 9) desc, e.id) rn from (select * from nw where scope = 'global') q, ru e qualify rn <= 3) select distinct id from n where score >= 0.72")(
+    lambda s, d: rules.already_documented(_arriving(s, d), _vectors(s, d))
 )
 query("skip_documented", "select vec_id id from embeddings where vec_id % 20 <> 1")(lambda s, d: rules.skip_documented(_rules(s, d), _rules(s, d).where("id % 20 = 1").select("id")).select("id"))
 query("nearest_rule", f"with {_NEAR} select id, old_id, score from ne")(lambda s, d: _nearest(s, d).where("old_id is not null").select("id", "old_id", "score"))
 query("decide_rule", f"with {_DEC} select id, old_id, decision from de")(lambda s, d: _decided(s, d).where("old_id is not null").select("id", "old_id", "decision"))
 query("supersede_rules", f"""with {_DEC}, d2 as (select *, case when decision = 'supersede' and row_number() over (partition by old_id, decision order by id desc) > 1 then 'new' else decision end d from de)
- select id, status, effective_until, scope from (select ru.id, ru.status, case when ru.id in (select old_id from d2 where d = 'supersede') then date '2024-06-29' else ru.effective_until end effective_until, ru.scope from ru where id % 20 <> 1)
+ select id, status, effective_until, scope from (select ru.id, ru.status, case when ru.id in (select old_id from d2 where d = 'supersede') then date '2024-06-29' else ru.effective_until end effective_until, ru.scope from ru)
  union all select d2.id, case when d = 'supersede' then o.status else 'candidate' end, null, d2.scope from d2 left join ru o on o.id = old_id where d in ('supersede', 'new')""")(
-    lambda s, d: rules.apply_rules(_rules(s, d).where("id % 20 <> 1"), _decided(s, d).where("old_id is not null"), F.lit("2024-06-30 10:00:00").cast("timestamp")).select("id", "status", "effective_until", "scope")
+    lambda s, d: rules.apply_rules(_rules(s, d), _decided(s, d).where("old_id is not null"), F.lit("2024-06-30 10:00:00").cast("timestamp")).select("id", "status", "effective_until", "scope")
 )
 query("demote_over_quota", f"with {_RSQL} select id, case when scope = 'department' and status = 'active' and row_number() over (partition by department, scope = 'department' and status = 'active' order by last_accessed desc, id desc) > 5 then 'candidate' else status end status from ru")(lambda s, d: rules.demote_over_quota(_rules(s, d), 5).select("id", "status"))
 query("purge_candidates", f"with {_RSQL} select id from ru where status <> 'candidate' union all (select id from ru where status = 'candidate' and last_accessed >= date '2024-06-30' - 90 order by last_accessed desc, id desc limit 20)")(lambda s, d: rules.purge_candidates(_rules(s, d), _day(), quota=20).select("id"))

@@ -80,6 +80,21 @@ def test_quartiles_of_the_worked_example(spark):
     assert [(x.record_index, x.q1, x.q3, x.iqr, x.deviation) for x in r] == [(4, 2.0, 10.0, 8.0, 9.5)]
 
 
+def test_bounded_quartiles_are_near_the_exact_ones(spark):
+    df = spark.range(1001).selectExpr("'b' batch_id", "id record_index", "cast(if(id = 1000, 99999, id) as double) v")
+    for approx in (False, True):
+        got = clean.iqr_candidates(df, ["v"], approx=approx).collect()
+        assert [r.record_index for r in got] == [1000] and abs(got[0].q1 - 250) <= 1 and abs(got[0].q3 - 750) <= 1
+        assert abs(clean.basic_stats(df, ["v"], approx=approx).first()["median"] - 500) <= 1
+
+
+def test_feedback_of_other_days_and_hot_questions(spark):
+    traces = spark.createDataFrame([(1, "s1", "q", "2024-01-01 10:00:00"), (2, "s2", "q", "2024-01-03 10:00:00"), (3, "s1", "q", "2024-01-03 10:00:00"), (4, "s1", "other", "2024-01-02 10:00:00")], "id long, session_id string, question string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    feedback = spark.createDataFrame([(10, None, "q", "2024-01-02 00:00:00"), (11, "s1", "q", "2024-01-09 00:00:00"), (12, None, "q", "2024-01-03 10:00:00"), (13, "s9", "q", "2024-01-09 00:00:00"), (14, None, "q", "2023-01-01 00:00:00"), (15, "s2", "q", "2024-01-03 09:59:59"), (16, None, None, "2024-01-09 00:00:00")], "id long, session_id string, question string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    got = {r.id: r.trace_id for r in routing.link_feedback(feedback, traces).collect()}
+    assert got == {10: 1, 11: 3, 12: 3, 13: None, 14: None, 15: None, 16: None}
+
+
 def test_first_row_stays_and_gaps_are_filled(spark):
     df = spark.createDataFrame([("b", 2, None, 9.0, "z"), ("b", 1, None, 1.0, "y"), ("b", 3, "k", None, None), ("b", 4, "m", 5.0, "y"), ("c", 1, None, None, None)], "batch_id string, record_index long, key string, v double, t string")
     kept = clean.dedup_keep_first(df, ["key"], "record_index")
