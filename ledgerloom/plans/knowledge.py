@@ -89,9 +89,11 @@ def _old_chunks(s, d):
 query("vector_reuse", "select cast(vec_id as varchar) chunk_key, vec_id % 3 <> 0 reused, vec_id % 3 <> 0 has_vector, timestamp '2024-01-01' created_at, case when vec_id % 3 <> 0 then timestamp '2024-01-01' else timestamp '2024-06-01' end updated_at from embeddings")(
     lambda s, d: docs.plan_reuse(table(s, d, "embeddings").selectExpr("cast(vec_id % 50 as string) file_name", "cast(vec_id as string) chunk_key", "md5(cast(vec_id as string)) content_hash"), _old_chunks(s, d), F.lit("2024-06-01").cast("timestamp")).select("chunk_key", "reused", F.col("embedding").isNotNull().alias("has_vector"), "created_at", "updated_at")
 )
-query("embed", """with v as (select doc_id, 1.0::double + length(text) a, (length(text) - length(replace(text, 'e', '')))::double b, (length(text) - length(replace(text, ' ', '')))::double c from documents)
- select doc_id, round(a / sqrt(a * a + b * b + c * c), 4) a, round(b / sqrt(a * a + b * b + c * c), 4) b, round(c / sqrt(a * a + b * b + c * c), 4) c from v""")(
-    lambda s, d: docs.embed(table(s, d, "documents"), lambda texts: [[1.0 + len(t), t.count("e"), t.count(" ")] for t in texts], "text").select("doc_id", *(F.round(F.col("embedding")[i].cast("double"), 4).alias(c) for i, c in enumerate("abc")))
+# a vector of unit length from which the counts that made it are read back
+query("embed", "select doc_id, length(text) - length(replace(text, 'e', '')) n_e, length(text) - length(replace(text, ' ', '')) n_space, true unit from documents")(
+    lambda s, d: docs.embed(table(s, d, "documents"), lambda texts: [[1.0 + len(t), t.count("e"), t.count(" ")] for t in texts], "text").select(
+        "doc_id", *(F.expr(f"cast(round(cast(embedding[{i}] as double) / embedding[0] * (1 + length(text))) as long)").alias(c) for i, c in ((1, "n_e"), (2, "n_space"))), F.expr("abs(aggregate(embedding, 0d, (a, x) -> a + x * x) - 1) < 1e-5").alias("unit")
+    )
 )
 
 
