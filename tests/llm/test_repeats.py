@@ -71,3 +71,31 @@ def test_rows_that_share_an_id_and_empty_tables(spark):
         rows = sorted((r.doc_id, len(r.spans) > 0) for r in f(docs).collect())
         assert rows == [(1, False), (1, False), (2, True)]
         assert f(docs.where("false")).count() == 0
+
+
+def test_very_long_texts_and_a_hot_text(spark):
+    """Texts above the size that a task works on at once, with repeats across its pieces, and one text that is most rows."""
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9))) for _ in range(5000)]
+    words = [r.choice(vocabulary) for _ in range(100_000)]
+    other = list(words)
+    for _ in range(900):
+        other[r.randrange(len(other))] = "changed"
+    hot = " ".join(words[500:560])
+    docs = {1: " ".join(words), 2: " ".join(words[:300] + other[40_000:] + words[:300])} | {i: hot for i in range(10, 400)} | {500: None}
+    assert len(docs[1]) > 1 << 19
+    for digests, f, size, split, join in (
+        (suffix_array.digests, suffix_array_dedup, 100, lambda t: t.encode(), bytes),
+        (difference_cover.digests, difference_cover_dedup, 20, lambda t: [x.encode() for x in t.split(" ") if x], b" ".join),
+    ):
+        seen, want = set(), {}
+        for i, t in sorted(docs.items()):
+            tokens = split(t or "")
+            gone = bytearray(len(tokens))
+            for k in range(len(tokens) - size + 1):
+                window = hash(tokens[k : k + size] if isinstance(tokens, bytes) else tuple(tokens[k : k + size]))
+                if window in seen:
+                    gone[k : k + size] = b"\1" * size
+                seen.add(window)
+            want[i] = (sum(gone), hashlib.sha256(join([x for x, g in zip(tokens, gone) if not g])).hexdigest())
+        assert {x.doc_id: (x.n_removed, x.kept_sha256) for x in digests(f(frame(spark, docs))).collect()} == want

@@ -99,3 +99,14 @@ def test_shards_are_minimax_and_atomic(spark, monkeypatch):
             for s in range(shards):
                 assert sorted(x.slot for x in rows if x.shard == s) == list(range(sum(x.shard == s for x in rows)))
     assert minimax_shards(frame.where("false")).count() == 0
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    """A long text is measured and placed whole, and columns that bear the names of measures don't matter."""
+    long = "many different words " * 30_000 + "\n" + " ".join(f"w{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, long, "en", -1, True), (2, "one two", "en", -1, True), (3, None, None, None, None)], "doc_id long, text string, lang string, n_symbols long, kept boolean").withColumn("n_words", F.lit("clash")).withColumn("size", F.lit(7)).withColumn("shard", F.lit(9))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    rows = {r.doc_id: r for r in quality_rules(docs, labels).collect()}
+    assert (rows[1].n_words, rows[1].n_symbols, rows[1].n_repeat_words) == (110_000, 0, 90_000) and rows[1].base_failed and rows[2].n_words == 2 and rows[3].n_words == 0
+    placed = {r.doc_id: r for r in minimax_shards(docs, 2).collect()}
+    assert placed[1]["size"] == len(long.encode()) + 1 and placed[3]["size"] == 1 and placed[1].shard != placed[2].shard
