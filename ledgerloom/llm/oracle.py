@@ -56,3 +56,16 @@ limits as (select stratum, rule, min(cutoff) cutoff from tail where pr <= {delta
 failed as (select distinct doc_id from m join limits using (stratum) where (case rule {measure} end) > cutoff),
 verdict as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (select doc_id from failed) kept from verdict"""
+
+FILTER_AUDIT = """with d as (select row_number() over () r, doc_id, coalesce(lang, '') part, coalesce(text, '') t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '') w from documents),
+f as (select part, doc_id in (select doc_id from labels where quality = 1) good, doc_id in (select doc_id from labels where toxic = 1) toxic,
+ {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': exists (select 1 from d e where e.t = d.t and e.doc_id < d.doc_id)} x from d),
+doc as (select part, coalesce(good, false) good, coalesce(toxic, false) toxic, concat(case when x.A then 'A' else '' end, case when x.B then 'B' else '' end, case when x.C then 'C' else '' end, case when x.D then 'D' else '' end, case when x.E then 'E' else '' end) fails from f),
+l(c) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+orders as (select concat(a.c, b.c, c.c, d.c, e.c) o from l a, l b, l c, l d, l e where len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+kinds as (select part, good, toxic, fails, count(*)::bigint n from doc group by all),
+gone as (select part, good, toxic, fails, n, o, case when fails = '' then 6 else list_min([instr(o, x) for x in string_split(fails, '')]) end place from kinds, orders),
+steps as (select distinct part, o, k::int k, o[k] c from gone, range(1, 6) r(k)),
+sums as (select s.part, s.o, s.k, s.c, coalesce(sum(n) filter (place > s.k), 0)::bigint kept, coalesce(sum(n) filter (place = s.k), 0)::bigint removed, coalesce(sum(n) filter (place < s.k and contains(fails, s.c)), 0)::bigint redundant,
+ coalesce(sum(n) filter (fails = s.c), 0)::bigint unique_fails, coalesce(sum(n) filter (place = s.k and good), 0)::bigint good_lost, coalesce(sum(n) filter (place = s.k and toxic), 0)::bigint toxic_lost from steps s join gone g on g.part = s.part and g.o = s.o group by 1, 2, 3, 4)
+select part, o filter_order, k step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, c))::bigint shapley from sums"""
