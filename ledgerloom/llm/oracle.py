@@ -69,3 +69,31 @@ steps as (select distinct part, o, k::int k, o[k] c from gone, range(1, 6) r(k))
 sums as (select s.part, s.o, s.k, s.c, coalesce(sum(n) filter (place > s.k), 0)::bigint kept, coalesce(sum(n) filter (place = s.k), 0)::bigint removed, coalesce(sum(n) filter (place < s.k and contains(fails, s.c)), 0)::bigint redundant,
  coalesce(sum(n) filter (fails = s.c), 0)::bigint unique_fails, coalesce(sum(n) filter (place = s.k and good), 0)::bigint good_lost, coalesce(sum(n) filter (place = s.k and toxic), 0)::bigint toxic_lost from steps s join gone g on g.part = s.part and g.o = s.o group by 1, 2, 3, 4)
 select part, o filter_order, k step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, c))::bigint shapley from sums"""
+
+CONVERSATIONS = """with recursive tab as (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) t8),
+raw as (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text, hex(encode(concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' ')))) h from conversations),
+crc as (select conv_id, turn, role, text, xor(list_reduce(list_transform(range(1, len(h) // 2 + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::bigint), lambda c, b: xor(c >> 8, t8[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 z from raw, tab),
+hit as (select conv_id, turn, case z when 4 then 'user' else role end as role, case z when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case z when 3 then 2 else 1 end)) copy from crc where z <> 0),
+conv as (select row_number() over () g, conv_id from (select distinct conv_id from conversations)),
+rows as (select g, turn, role, text, left(role, 1) c, row_number() over (partition by g order by turn nulls first, role, text, copy) i, rtrim(text, e' \\t\\n\\x0b\\f\\r') body from hit join conv on hit.conv_id is not distinct from conv.conv_id),
+f as (select *, body = '' blank, body <> '' and row_number() over (partition by g, role, text order by i) > 1 dup, body <> '' and right(body, 1) not in ('.', '!', '?') trunc, lag(c) over (partition by g order by i) b from rows),
+r as (select *, blank or dup del, case when trunc then 5 else 0 end t from f),
+n as (select g, max(i) n from r group by 1),
+v as (select g, n + 1 i, 0::bigint v0, 10::bigint vs, 5::bigint vu, 0::bigint va from n union all
+ select g, i, least(e0, 5 + eu, 10 + ea), least(es, 5 + eu, 10 + ea), least(eu, 5 + ea, 10 + es), least(ea, 5 + eu) from (select r.g, r.i, least(2 + v0, case when not del and c = 's' then t + vs end, case when not del then t + (c <> 'u')::int + vu end) e0,
+ least(2 + vs, case when not del then t + (c <> 'u')::int + vu end) es, least(2 + vu, case when not del then t + (c <> 'a')::int + va end) eu, least(2 + va, case when not del then t + (c <> 'u')::int + vu end) ea from v join r on r.g = v.g and r.i = v.i - 1)),
+w as (select g, 1::bigint i, '0' q, '' audit, []::varchar[] lines, false fin from n union all
+ select g, case e when 'I' then i when '' then i else i + 1 end, case e when 'D' then q when '' then q when 'K' then c else case q when 'u' then 'a' else 'u' end end, audit || e,
+ case e when 'D' then lines when '' then lines when 'K' then list_append(lines, role || ':' || text) when 'R' then list_append(lines, case q when 'u' then 'assistant' else 'user' end || ':' || text) else list_append(lines, case q when 'u' then 'assistant:' else 'user:' end) end, e = ''
+ from (select w.*, r.role, r.text, r.c, case when r.i is null then case when q in ('0', 'a') then '' else 'I' end
+  when 2 + here(x.v0, x.vs, x.vu, x.va, q) = here(v.v0, v.vs, v.vu, v.va, q) then 'D'
+  when 5 + case q when 'u' then v.va else v.vu end = here(v.v0, v.vs, v.vu, v.va, q) then 'I'
+  when q = '0' and c = 's' and not del and t + x.vs = v.v0 then 'K'
+  when c = case q when 'u' then 'a' else 'u' end and not del and t + case q when 'u' then x.va else x.vu end = here(v.v0, v.vs, v.vu, v.va, q) then 'K' else 'R' end e
+  from w join v on v.g = w.g and v.i = w.i left join r on r.g = w.g and r.i = w.i left join v x on x.g = w.g and x.i = w.i + 1 where not fin)),
+sums as (select g, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (blank) blank, count(*) filter (dup) dup, count(*) filter (trunc and not dup) trunc, count(*) filter (i > 1 and concat(b, c) not in ('su', 'ua', 'au')) illegal from r group by 1)
+select conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint blank, coalesce(dup, 0)::bigint duplicate, coalesce(trunc, 0)::bigint truncated, coalesce(illegal, 0)::bigint illegal, coalesce(v.v0, 0)::bigint as cost, coalesce(audit, '') audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) repaired_sha256
+from conv left join sums using (g) left join v on v.g = conv.g and v.i = 1 left join w on w.g = conv.g and w.fin"""
+#: The cost in state q.
+for _a in ("x", "v"):
+    CONVERSATIONS = CONVERSATIONS.replace(f"here({_a}.v0, {_a}.vs, {_a}.vu, {_a}.va, q)", f"(case q when '0' then {_a}.v0 when 's' then {_a}.vs when 'u' then {_a}.vu else {_a}.va end)")

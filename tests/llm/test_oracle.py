@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = registry.queries()[name](spark, SF)
     cols = sorted(df.columns)
@@ -22,4 +22,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 13))
