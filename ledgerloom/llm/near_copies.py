@@ -67,15 +67,16 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def cell_links(same: np.ndarray, root: np.ndarray, n: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[list[tuple[int, int, bool]], int]:
+def cell_links(same: np.ndarray, root: np.ndarray, n: np.ndarray, sets: list[np.ndarray], least: float, near: np.ndarray | None = None) -> tuple[list[tuple[int, int, bool]], int]:
     """Links (u, v, whether sure) that join rows of different roots, and how many pairs were met.
 
     Pairs of whole sets are decided here. Where a sketch stands for a set, pairs within five standard errors of
-    ``least`` are left to be verified.
+    ``least`` are left to be verified. near: the pairs that may be links at all.
     """
     shared = shared_counts(sets)
     size = np.array([len(s) for s in sets])
     apart = np.triu(root[:, None] != root[None, :], 1) & (np.minimum(n[:, None], n[None, :]) >= least * np.maximum(n[:, None], n[None, :]))
+    apart = apart if near is None else apart & near
     whole = n == size
     sure = whole[:, None] & whole[None, :]
     linked = apart & sure & (shared >= least * (size[:, None] + size[None, :] - shared))

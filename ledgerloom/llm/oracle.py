@@ -97,3 +97,10 @@ from conv left join sums using (g) left join v on v.g = conv.g and v.i = 1 left
 #: The cost in state q.
 for _a in ("x", "v"):
     CONVERSATIONS = CONVERSATIONS.replace(f"here({_a}.v0, {_a}.vs, {_a}.vu, {_a}.va, q)", f"(case q when '0' then {_a}.v0 when 's' then {_a}.vs when 'u' then {_a}.vu else {_a}.va end)")
+
+NEAR_COPIES = """with recursive d as (select row_number() over () r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '') w from documents),
+s as (select r, doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) end) x from d),
+e as (select r, len(x) n, unnest(x) k from s),
+links as (select a.r u, b.r v from e a join e b on a.k = b.k and a.r <> b.r group by a.r, b.r, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach as (select r u, r v from s union select reach.u, links.v from reach join links on links.u = reach.v)
+select s.doc_id, len(any_value(s.x))::bigint n_shingles, min(t.doc_id) component_id, s.doc_id = min(t.doc_id) kept from s join reach on reach.u = s.r join s t on t.r = reach.v group by s.r, s.doc_id"""

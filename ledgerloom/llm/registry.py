@@ -10,6 +10,7 @@ from . import bpe, decontam, difference_cover, oracle, secret_scan, suffix_array
 from .common import table
 from .conversation_repair import damage, repair
 from .filter_audit import filter_interactions
+from .minhash import minhash_dedup
 from .quality import quality_scores
 from .rules import quality_rules
 from .sharding import minimax_shards
@@ -31,8 +32,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_bpe_encode_decode": lambda s, d: bpe.digests(bpe.encode_decode(table(s, d, "documents"))),
         "op11_filter_interactions": lambda s, d: filter_interactions(table(s, d, "documents"), table(s, d, "labels")),
         "op12_conversation_repair": lambda s, d: repair(damage(table(s, d, "conversations"))),
+        "op13_minhash_near_dedup": lambda s, d: minhash_dedup(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_array_dedup": oracle.SUFFIX_ARRAY, "op5_quality_rules": oracle.quality_rules(), "op6_substring_dedup": oracle.SUBSTRINGS, "op7_sharding": oracle.sharding(), "op11_filter_interactions": oracle.FILTER_AUDIT, "op12_conversation_repair": oracle.CONVERSATIONS}
+    return {"op1_suffix_array_dedup": oracle.SUFFIX_ARRAY, "op5_quality_rules": oracle.quality_rules(), "op6_substring_dedup": oracle.SUBSTRINGS, "op7_sharding": oracle.sharding(), "op11_filter_interactions": oracle.FILTER_AUDIT, "op12_conversation_repair": oracle.CONVERSATIONS, "op13_minhash_near_dedup": oracle.NEAR_COPIES}
