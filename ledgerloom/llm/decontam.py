@@ -52,13 +52,15 @@ class Grams:
     place: np.ndarray
     bound: np.ndarray
     some: np.ndarray
+    reach: int
 
     @staticmethod
-    def of(q: int, key: np.ndarray, item: np.ndarray, place: np.ndarray, bound: np.ndarray) -> Grams:
+    def of(q: int, key: np.ndarray, item: np.ndarray, place: np.ndarray, bound: np.ndarray, reach: int) -> Grams:
+        """reach: the longest place that one of the passages can take."""
         order = np.argsort(key, kind="stable")
         some = np.zeros(1 << BITS, bool)
         some[(key & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
-        return Grams(q, key[order], item[order], place[order], bound, some)
+        return Grams(q, key[order], item[order], place[order], bound, some, reach)
 
 
 def _common(key: np.ndarray, item: np.ndarray, most: int) -> np.ndarray:
@@ -105,6 +107,9 @@ class Passages:
             place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
             return span_hash(hashes, at[item] + place, width), item, place
 
+        # passages are looked for with others of about their length, as the longest decides how much text is met at once
+        reach = size + 2 * budget
+        long = np.maximum(0, (np.ceil(np.log2(size + 1)).astype(np.int64) - 7) // 4)
         left, grams = np.arange(len(kept)), []
         for width in range(q, 0, -1):
             if not len(left):
@@ -113,20 +118,23 @@ class Passages:
             rare = ~_common(key, item, COMMON)
             bound = np.bincount(item[rare], minlength=len(kept)) - budget * width
             own = bound[left] > 0
-            if own.any():
-                use = rare & (bound[item] > 0)
-                grams.append(Grams.of(width, key[use], item[use], place[use], bound))
-                left = left[~own]
+            for c in np.unique(long[left[own]]).tolist():
+                use = rare & (bound[item] > 0) & (long[item] == c)
+                grams.append(Grams.of(width, key[use], item[use], place[use], bound, int(reach[left[own & (long[left] == c)]].max())))
+            left = left[~own]
         width_of = np.minimum(q, size // (budget + 1))  # the longest q-grams of which one is left after as many edits
-        for width in np.unique(width_of[left]).tolist():
-            same = left[width_of[left] == width]
+        for width, c in sorted(set(zip(width_of[left].tolist(), long[left].tolist()))):
+            same = left[(width_of[left] == width) & (long[left] == c)]
             for i in range(0, len(same), GROUP):
-                grams.append(Grams.of(width, *places(width, same[i : i + GROUP]), size + 1 - width - budget * width))
+                grams.append(Grams.of(width, *places(width, same[i : i + GROUP]), size + 1 - width - budget * width, int(reach[same[i : i + GROUP]].max())))
         return Passages([sorted(ids_of[t], key=lambda i: (i is not None, i or 0)) for t in kept], kept, codes, at, budget, grams)
 
 
 def bands(near: np.ndarray, lo: np.ndarray, n: np.ndarray, row: np.ndarray, at: np.ndarray, p: Passages, g: Grams) -> np.ndarray:
-    """Rows (text, passage, first diagonal, last diagonal) of the bands that meet the bound."""
+    """Rows (text, passage, first diagonal, last diagonal, least edits) of the bands that meet the bound.
+
+    Least edits: each edit loses at most q of the q-grams that a band lacks.
+    """
     entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
     place, row = np.repeat(near - at[row], n), np.repeat(row, n)
     item, own = g.item[entry], g.place[entry]
@@ -142,9 +150,10 @@ def bands(near: np.ndarray, lo: np.ndarray, n: np.ndarray, row: np.ndarray, at:
     first = np.flatnonzero(new)
     fresh = new.copy()  # a q-gram of the passage counts once in a band
     fresh[1:] |= own[1:] != own[:-1]
-    met = np.add.reduceat(fresh.astype(np.int64), first) >= g.bound[item[first]]
+    count, bound = np.add.reduceat(fresh.astype(np.int64), first), g.bound[item[first]]
+    met, fewest = count >= bound, np.maximum(0, -((count - bound - p.budget[item[first]] * g.q) // g.q))
     least, most = np.minimum.reduceat(diagonal, first), np.maximum.reduceat(diagonal, first)
-    return np.stack([row[first], item[first], least, most])[:, met]
+    return np.stack([row[first], item[first], least, most, fewest])[:, met]
 
 
 def candidates(key: np.ndarray, at: np.ndarray, p: Passages, g: Grams) -> Iterator[np.ndarray]:
@@ -159,7 +168,7 @@ def candidates(key: np.ndarray, at: np.ndarray, p: Passages, g: Grams) -> Iterat
     near, lo, n, row = near[keep], lo[keep], (hi - lo)[keep], row[keep]
     if not len(near):
         return
-    reach = int((np.diff(p.at) + 2 * p.budget).max())
+    reach = g.reach
     total = np.concatenate([[0], np.cumsum(n)])
     i = 0
     while i < len(near):
@@ -216,6 +225,62 @@ def align(text: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray
     return out
 
 
+def settle(found: np.ndarray, texts: list[str], piece: np.ndarray, at: np.ndarray, p: Passages, best: dict[tuple[int, int], tuple[int, int, int]], tried: dict[int, tuple[int, int, int]]) -> None:
+    """Enters the best place of each (text, passage) of the candidates into ``best``.
+
+    A pair's candidates are aligned one after another, those of the fewest possible edits first, until the rest can be no
+    better; a passage is aligned once with equal stretches of text, whichever text they stand in. tried: edits, start and end
+    of such alignments, from the beginning of the stretch.
+    """
+    waiting: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+    for row, item, least, most, fewest in zip(*found.tolist()):
+        waiting.setdefault((row, item), []).append((fewest, least - int(p.budget[item]), most, least))
+    for own in waiting.values():
+        own.sort(reverse=True)
+
+    def enter(pair: tuple[int, int], edits: int, start: int, end: int) -> None:
+        if edits >= 0:
+            best[pair] = min((edits, start, end), best.get(pair, (edits, start, end)))
+
+    while waiting:
+        batch: dict[int, tuple[tuple[int, int], int, int]] = {}
+        for pair in list(waiting):
+            (row, item), own = pair, waiting[pair]
+            text, passage, edits = texts[row], p.texts[item], int(p.budget[item])
+            while own:
+                fewest, low, most, least = own[-1]
+                known = best.get(pair)
+                if known is not None and (fewest, max(0, low)) >= known[:2]:
+                    own.pop()
+                    continue
+                if fewest == 0 and (exact := text.find(passage, max(0, low), most + len(passage) + edits)) >= 0:
+                    enter(pair, 0, exact, exact + len(passage))
+                    own.pop()
+                    continue
+                if not edits:
+                    own.pop()
+                    continue
+                key = hash((item, most - low, min(low, 0), text[max(0, low) : most + edits + len(passage)]))
+                if key in tried:
+                    e, start, end = tried[key]
+                    enter(pair, e, low + start, low + end)
+                    own.pop()
+                elif key in batch:
+                    break
+                else:
+                    batch[key] = (pair, least, most)
+                    break
+            if not own:
+                del waiting[pair]
+        order = sorted(batch.items(), key=lambda x: len(p.texts[x[1][0][1]]))
+        for b in range(0, len(order), BATCH):
+            part = order[b : b + BATCH]
+            row, item = np.array([pair for _, (pair, _, _) in part]).T
+            least, most = np.array([x[1:] for _, x in part]).T
+            for (key, _), n, low, e, start, end in zip(part, item.tolist(), (least - p.budget[item]).tolist(), *align(piece, at[row], at[row + 1], item, least, most, p).tolist()):
+                tried[key] = (e, start - low, end - low)
+
+
 def find_hits(texts: pa.Array, p: Passages) -> list[list[dict]]:
     """For each text the best place of each item's passages that it holds."""
     whole = [normal(t or "") for t in texts.to_pylist()]
@@ -227,27 +292,13 @@ def find_hits(texts: pa.Array, p: Passages) -> list[list[dict]]:
         piece, at = codes_of("".join(whole[i:j])), offsets[i : j + 1] - offsets[i]
         hashes = levels(_KEYS[piece], max(g.q for g in p.grams))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        tried: dict[int, tuple[int, int, int]] = {}
         for g in p.grams:
             if len(piece) < g.q:
                 continue
             key = span_hash(hashes, np.arange(len(piece) - g.q + 1), g.q)
             for found in candidates(key, at, p, g):
-                rest = []
-                for k, (row, item, least, most) in enumerate(found.T.tolist()):
-                    if (row, item) in best and best[row, item][0] == 0:
-                        continue
-                    edits, size = int(p.budget[item]), len(p.texts[item])
-                    exact = whole[i + row].find(p.texts[item], max(0, least - edits), most + size + edits)
-                    if exact >= 0:
-                        best[row, item] = (0, exact, exact + size)
-                    elif edits:
-                        rest.append(k)
-                rest = sorted(rest, key=lambda k: len(p.texts[found[1, k]]))
-                for b in range(0, len(rest), BATCH):
-                    row, item, least, most = found[:, rest[b : b + BATCH]]
-                    for r, n, edits, start, end in zip(row.tolist(), item.tolist(), *align(piece, at[row], at[row + 1], item, least, most, p).tolist()):
-                        if edits >= 0:
-                            best[r, n] = min((edits, start, end), best.get((r, n), (edits, start, end)))
+                settle(found, whole[i:j], piece, at, p, best, tried)
         of_id: dict[tuple[int, int | None], tuple[int, int, int]] = {}
         for (row, item), found in best.items():
             for item_id in p.ids[item]:
@@ -263,12 +314,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float
     A passage is held if some place of the document equals it up to ``rate`` edits a character, rounded down; one too short for
     an edit must be there as it is. Null and empty passages are not looked for, null and empty texts hold none, rows that
     share an id are reported each, a text of any length is searched whole. Of rows of the benchmark that share an item_id,
-    or have none, each text is looked for and the best hit is given. The benchmark is sent to the tasks in blocks of about
+    or have none, each text is looked for and the best hit is given; repeated rows are merged before they are sent. The benchmark is sent to the tasks in blocks of about
     ``block`` rows and ``block_bytes``, each block meeting all documents.
     """
     spark = docs.sparkSession
     docs = id_text(docs)
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-rows // block), -(-size // block_bytes))
 

@@ -96,15 +96,61 @@ def test_passages_that_share_text(monkeypatch):
         assert got == brute(texts, passages)
 
 
-def test_many_passages_of_one_opening_end_in_seconds():
+def counted(monkeypatch):
+    """How many candidates are aligned from now on."""
+    n, plain = [0], decontam.align
+
+    def align(text, begin, end, item, *more):
+        n[0] += len(item)
+        return plain(text, begin, end, item, *more)
+
+    monkeypatch.setattr(decontam, "align", align)
+    return n
+
+
+def test_many_passages_of_one_opening_end_in_seconds(monkeypatch):
     r = random.Random(9)
     opening = "".join(r.choice("abcdefghijklmnop ") for _ in range(60))
     passages = [opening + "".join(r.choice("abcdefghijklmnop ") for _ in range(80)) for _ in range(20_000)]
+    aligned = counted(monkeypatch)
     began = time.time()
     p = Passages.of(list(range(len(passages))), passages, 10, 0.08)
     hits = find_hits(pa.array([opening * 16_000, passages[77] + " " + opening * 100]), p)
     assert hits[0] == [] and [h["item_id"] for h in hits[1]] == [77]
-    assert time.time() - began < 60
+    assert aligned[0] < 500 and time.time() - began < 60
+
+
+def test_passages_that_differ_in_three_letters(monkeypatch):
+    r = random.Random(3)
+    base = "".join(r.choice("abcdefghijklmnop ") for _ in range(140))
+
+    def variant():
+        t = list(base)
+        for i in r.sample(range(140), 3):
+            t[i] = r.choice("xyzw")
+        return "".join(t)
+
+    passages = [variant() for _ in range(4000)]
+    aligned = counted(monkeypatch)
+    began = time.time()
+    p = Passages.of(list(range(4000)), passages, 10, 0.08)
+    text = " ".join([base] * 20)
+    hits = find_hits(pa.array([text]), p)[0]
+    assert {h["item_id"] for h in hits} == set(range(4000))
+    for h in r.sample(hits, 40):
+        assert h["edits"] == distance(normal(passages[h["item_id"]]), normal(text[:500]))
+    assert aligned[0] < 8000 and time.time() - began < 30
+
+
+def test_long_passages_beside_short_ones_and_many_repeated_rows(spark):
+    r = random.Random(12)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n)).strip()
+    long, short = letters(40_000), letters(90)
+    changed = edited(r, long, 300)
+    bench = spark.createDataFrame([(1, long), (2, short)] * 3000, "item_id long, text string").repartition(4)
+    frame = spark.createDataFrame([(1, letters(500) + changed + letters(300)), (2, letters(200) + edited(r, short, 3)), (3, long[:20_000])], "doc_id long, text string")
+    got = {x.doc_id: [h.item_id for h in x.hits] for x in contaminated(frame, bench).collect()}
+    assert got == {1: [1], 2: [2], 3: []}
 
 
 def test_characters_long_texts_and_repeated_rows(spark):
