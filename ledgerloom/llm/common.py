@@ -13,6 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
@@ -55,8 +56,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Buckets of a table; Spark takes no more than 100,000. Beyond that a bucket holds several parts, met one after another.
+BUCKETS = 50_000
+
+
 def cut_by(df: DataFrame, column: str, n: int) -> DataFrame:
-    """``cut`` into n buckets of a column, so that later groupings by it don't shuffle this side again."""
+    """``cut`` into buckets of a column of n values, so that later groupings by it don't shuffle this side again."""
+    n = min(n, BUCKETS)
     spark, name = df.sparkSession, f"cut_{uuid.uuid4().hex}"
     df.repartition(n, column).write.bucketBy(n, column).option("path", scratch(spark)).format("parquet").saveAsTable(name)
     out = spark.table(name)
@@ -64,12 +70,15 @@ def cut_by(df: DataFrame, column: str, n: int) -> DataFrame:
     return out
 
 
-def parts(docs: DataFrame, least: int = 4 << 20, most: int = 64 << 20, good: int = 20_000) -> int:
-    """Number of buckets of documents: one for each ``least`` bytes of text; from ``good`` buckets on they grow up to ``most`` bytes first."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def parts_of(size: int, least: int = 4 << 20, most: int = 128 << 20, good: int = 20_000) -> int:
+    """Number of parts of ``size`` bytes of text: one for each ``least`` bytes; from ``good`` parts on they grow up to ``most`` bytes first."""
     return size // min(most, max(least, size // good)) + 1
 
 
+def parts(docs: DataFrame) -> int:
+    return parts_of(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, and n + 1 offsets."""
     if isinstance(column, pa.ChunkedArray):
@@ -147,3 +156,29 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_KEYS[data] * p[:-1], out=total[1:])
     return mix((total[ends] - total[starts]) * inv[starts])
+
+
+#: Longer words are hashed one by one.
+_LONG = 128
+_SEEDS = (0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127)
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each byte range, each mixed anew from its bytes, eight at a time, so that words that meet in one do not meet in both."""
+    lanes = np.ndarray((len(data) + 1,), "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    size = ends - starts
+    out = [mix(size.astype(np.uint64) + np.uint64(seed)) for seed in _SEEDS]
+    live = np.flatnonzero(size <= _LONG)
+    at = 0
+    while len(live):
+        left = size[live] - at
+        lane = lanes[starts[live] + at] & _LANE[np.minimum(left, 8)]
+        out[0][live] = mix(out[0][live] ^ lane)
+        out[1][live] = mix((out[1][live] + lane) * _K1)
+        at += 8
+        live = live[left > 8]
+    for k in np.flatnonzero(size > _LONG).tolist():
+        digest = xxhash.xxh3_128_intdigest(data[starts[k] : ends[k]].tobytes())
+        out[0][k], out[1][k] = digest >> 64, digest & (2**64 - 1)
+    return out[0], out[1]

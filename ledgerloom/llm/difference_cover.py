@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_buffer, word_bounds, word_hashes
+from .common import text_buffer, word_bounds, word_marks
 from .repeats import Windows, covered, remove_repeats, runs_of
 
 #: Perfect difference sets: every rest modulo the period is a difference of two members.
@@ -23,9 +23,10 @@ SCHEMA = "doc_id long, n_words long, kept string, spans array<struct<start:int,e
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
 
-def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, at = word_bounds(data, offsets)
-    return word_hashes(data, starts, ends), at
+    first, second = word_marks(data, starts, ends)
+    return first, at, second
 
 
 def _on_cover(period: int) -> Callable:

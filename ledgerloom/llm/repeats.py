@@ -36,8 +36,11 @@ _KINDS = {"key": np.uint64, "sec": np.uint64, "nec": np.uint64, "doc": np.int64,
 _OTHER = np.uint64(0x8BB84B93962EACC9)
 #: Bytes of text worked on at once in a task.
 CHUNK = 1 << 19
-#: Items kept in a task before they are grouped and sent.
-FLUSH = 1 << 18
+
+
+def kept_items(n: int) -> int:
+    """Items kept in a task before they are grouped and sent to n parts: enough for rows of several items each, 50 MB at most."""
+    return min(1 << 21, max(1 << 18, 8 * n))
 
 
 @dataclass(frozen=True)
@@ -47,7 +50,7 @@ class Windows:
     size: int
     gram: int
     steps: tuple[int, ...]
-    tokens: Callable  # (bytes, offsets) -> tokens, offsets of the texts in tokens, spans in bytes or None
+    tokens: Callable  # (bytes, offsets) -> tokens, offsets of the texts in tokens, and hashes of the tokens' own where equal tokens may differ
     anchors: Callable  # (grams, offsets, Windows) -> positions
 
     def intervals(self) -> list[list[tuple[int, int]]]:
@@ -184,13 +187,13 @@ def span_hash(grams: list[np.ndarray], start: np.ndarray, length: int) -> np.nda
 
 
 def _chunks(ids: np.ndarray, text: pa.ChunkedArray, make: Callable) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """ids, bytes, byte offsets, tokens and token offsets of chunks of texts."""
+    """ids, bytes, byte offsets, tokens, token offsets and maybe second hashes of chunks of texts."""
     data, offsets = text_buffer(text)
     for i, j in runs(offsets, CHUNK):
         at = offsets[i : j + 1]
         piece, at = data[at[0] : at[-1]], at - at[0]
-        tokens, token_at, *spans = make(piece, at)
-        yield ids[i:j], piece, at, tokens, token_at, *spans
+        tokens, token_at, *second = make(piece, at)
+        yield ids[i:j], piece, at, tokens, token_at, *second
 
 
 def _anchor_rows(w: Windows, n: int) -> Callable:
@@ -211,7 +214,7 @@ def _anchor_rows(w: Windows, n: int) -> Callable:
                 place, of = place[whole], of[whole]
                 if len(place):
                     held.append((mix(grams[place]), ids[of], place - at[of]))
-                if sum(len(x[0]) for x in held) > FLUSH:
+                if sum(len(x[0]) for x in held) > kept_items(n):
                     yield from flush().to_batches()
         if held:
             yield from flush().to_batches()
@@ -233,13 +236,13 @@ def _interval_rows(w: Windows, n: int, k: int, codes: list[list[int]]) -> Callab
         docs = _unpack_docs(packed)
         docs = docs.filter(pa.compute.is_in(docs["doc_id"], pa.array(np.unique(doc), pa.int64())))
         held = []
-        for ids, _, _, tokens, at, *_ in _chunks(docs["doc_id"].to_numpy(), docs["text"], w.tokens):
+        for ids, _, _, tokens, at, *second in _chunks(docs["doc_id"].to_numpy(), docs["text"], w.tokens):
             lo, hi = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
             of = np.repeat(np.arange(len(ids)), hi - lo)
             own = np.concatenate([ref[i:j] for i, j in zip(lo, hi)])
             code, place = (own & 255, (own >> 8) + back[own & 255]) if k else (np.zeros(len(own), np.int64), own)
             grams = levels(tokens, w.size + w.steps[k] - 1)
-            other = levels(mix(tokens ^ _OTHER), w.size + w.steps[k] - 1)
+            other = levels(second[0] if second else mix(tokens ^ _OTHER), w.size + w.steps[k] - 1)
             for c in np.unique(code):
                 pick = np.flatnonzero(code == c)
                 for d in inside[int(c)]:

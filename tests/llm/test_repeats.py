@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from ledgerloom.llm import difference_cover, suffix_array
+import numpy as np
+
+from ledgerloom.llm import common, difference_cover, repeats, suffix_array
 from ledgerloom.llm.difference_cover import difference_cover_dedup
 from ledgerloom.llm.suffix_array import suffix_array_dedup
 
@@ -99,3 +101,48 @@ def test_very_long_texts_and_a_hot_text(spark):
                 seen.add(window)
             want[i] = (sum(gone), hashlib.sha256(join([x for x, g in zip(tokens, gone) if not g])).hexdigest())
         assert {x.doc_id: (x.n_removed, x.kept_sha256) for x in digests(f(frame(spark, docs))).collect()} == want
+
+
+def test_words_that_meet_in_a_polynomial_hash_are_not_equal(spark):
+    """Words of 1,024 letters, one the complement of the other in Thue-Morse order."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    first, second = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    common = " ".join(f"w{i}" for i in range(19))
+    for shorten in (1024, 128, 96):
+        frame = spark.createDataFrame([(1, f"{common} {first[:shorten]}"), (2, f"{common} {second[:shorten]}"), (3, f"{common} {first[:shorten]}")], "doc_id long, text string")
+        got = {r.doc_id: r.n_removed for r in difference_cover.digests(difference_cover.difference_cover_dedup(frame)).collect()}
+        assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_word_marks_are_of_the_bytes_alone():
+    r = random.Random(6)
+    words = [bytes(r.choice(b"ab\xc3\xa9z") for _ in range(r.choice([1, 2, 7, 8, 9, 16, 17, 127, 128, 129, 700]))) for _ in range(3000)]
+    words = words + words[::-1]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    a, b = common.word_marks(data, starts, ends)
+    for marks in (a, b):
+        known = {}
+        for w, m in zip(words, marks.tolist()):
+            assert known.setdefault(w, m) == m
+        assert len(set(known.values())) == len(known)
+    assert (a != b).all()
+
+
+def test_number_of_parts():
+    assert common.parts_of(0) == 1 and common.parts_of(170 << 20) == 43
+    assert 20_000 <= common.parts_of(80 << 30) <= 20_480
+    assert common.parts_of(10**14) < 800_000 and 10**14 // common.parts_of(10**14) <= 128 << 20
+
+
+def test_more_parts_than_buckets(spark, monkeypatch):
+    monkeypatch.setattr(common, "BUCKETS", 3)
+    monkeypatch.setattr(repeats, "parts", lambda docs: 17)
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abcd") for _ in range(r.choice([5, 40, 90]))) for _ in range(60)]
+    texts += texts[:20]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few = {x.doc_id: x.kept_sha256 for x in difference_cover.digests(difference_cover.difference_cover_dedup(frame)).collect()}
+    monkeypatch.undo()
+    assert few == {x.doc_id: x.kept_sha256 for x in difference_cover.digests(difference_cover.difference_cover_dedup(frame)).collect()}
