@@ -2,9 +2,10 @@
 
 Base patterns find keyword assignments, access keys and long hex runs. Beyond them, source and configuration syntax is read
 into name-literal pairs: ``name = "x" + OTHER``, ``"name": "x"``, ``name: x``, ``export NAME=x``, ``set("NAME", "x")``,
-``<name>x</name>``, with quotes that are escaped, tripled or of any kind. Constants are carried to the names that use them, and
-each literal is scored by the names that it reaches: a literal is a secret if a sensitive name gets it. Calls, subscripts and
-dotted identifiers are code, not literals.
+``<name>x</name>``, ``--name x``, blocks of lines after ``name: |``, values in parentheses over lines and the alternatives of a
+condition, with quotes that are escaped, tripled or of any kind. Constants are carried to the names that use them, and
+each literal is scored by the names that it reaches: a literal is a secret if a sensitive name gets it. Calls, subscripts,
+dotted identifiers and plain words after a colon are code or prose, not literals.
 """
 
 from __future__ import annotations
@@ -32,6 +33,18 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _TARGET = re.compile(r"""(?<![\w.\-])(?:\\?["'])?([A-Za-z_][\w.\-]*+)(?:\\?["'])?[ \t]*(?::=|=>|[:=])(?![=/])[ \t]*""", re.A)
+#: A flag of a command: --name value, --name=value.
+_FLAG = re.compile(r"""(?<![\w\-])--?([A-Za-z][\w\-]*+)(?:=|[ \t]+)(?=[^\s\-=|&;<>])""", re.A)
+#: The head of a block of lines: name: |
+_BLOCK = re.compile(r"[|>][+\-\d]*[ \t]*(?:#[^\n]*)?\n")
+_LINE = re.compile(r"([ \t]*)([^\n]*)(?:\n|\Z)")
+_OPEN = re.compile(r"\(\s*(?=[rbuf]{0,2}[\"'])")
+#: What joins the values within parentheses.
+_WITHIN = re.compile(r"\s*(?:\+\s*)?(?=[rbuf]{0,2}[\"'])")
+#: What stands between alternatives of a value.
+_ELSE = re.compile(r"""[ \t]+if\b(?:[^\n"'=:]|[=!<>]=|"[^"\n]*"|'[^'\n]*')*?\belse[ \t]+|[ \t]*(?:\bor\b|\|\||\?\?|\?|(?<=["'])[ \t]+:)[ \t]*""")
+#: A plain word, which after a colon is prose.
+_PROSE = re.compile(r"[A-Za-z][a-z]*[.!?,;]*$")
 #: A call that gives a quoted name a value: setenv("NAME", "x"), put('name', 'x').
 _CALL = re.compile(r"""(?<=[(,])[ \t]*(["'])([A-Za-z_][\w.\-]*+)\1[ \t]*,[ \t]*(?=["'])""", re.A)
 _TAG = re.compile(r"""<([A-Za-z_][\w.\-]*+)(?:[ \t][^<>\n]*)?>([^<>\n]+)</\1>""", re.A)
@@ -59,7 +72,7 @@ _USES = re.compile(r"\$\{(\w+)\}|\$(\w+)|%\((\w+)\)s|\{(\w+)\}", re.A)
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 #: How much a part of a name says that its value is secret.
-SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.7, "bearer": 0.9, "private": 0.6, "signing": 0.6, "pin": 0.4}
+SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.7, "bearer": 0.9, "pass": 0.8, "private": 0.6, "signing": 0.6, "pin": 0.6}
 #: Parts that make "key" sensitive.
 KEY_OF = {"api", "access", "private", "secret", "signing", "encryption", "master", "auth", "account"}
 #: Values that stand for none.
@@ -119,123 +132,201 @@ class _Value(NamedTuple):
         return min(1.0, entropy / 2.5) * (1.0 if self.size >= 8 else 0.8)
 
 
-def _terms(text: str, at: int) -> tuple[list[tuple[str, int, int, bool | None]] | None, int]:
-    """Terms (text, start, end, quoted) of a sum; quoted is None for code, whose value is not known. None if there is no value."""
-    terms = None
+class _Term(NamedTuple):
+    """A part of a value. quoted is None for code and prose, whose value is not known."""
+
+    text: str
+    start: int
+    end: int
+    quoted: bool | None
+
+
+def _terms(text: str, at: int, colon: bool, glue: re.Pattern = _PLUS) -> tuple[list[_Term] | None, int]:
+    """Terms of a sum. None if there is no value."""
+    terms: list[_Term] = []
     while t := _TERM.match(text, at):
         k = t.lastindex
-        code = k == BARE and (_CODE.match(t[k]) or text[t.end() : t.end() + 1] in ("(", "["))
-        terms = [*(terms or []), (t[k], t.start(k), t.end(k), None if code else k < BARE)]
+        code = k == BARE and (_CODE.match(t[k]) or text[t.end() : t.end() + 1] in ("(", "[") or (colon and _PROSE.match(t[k])))
+        terms.append(_Term(t[k], t.start(k), t.end(k), None if code else k < BARE))
         at = t.end()
-        plus = _PLUS.match(text, at)
+        plus = glue.match(text, at)
         if not plus:
             break
         at = plus.end()
-    return terms, at
-
-
-def _pairs(text: str) -> list[tuple[str, list[tuple[str, int, int, bool | None]]]]:
+    return terms or None, at
+
+
+def _block(text: str, at: int, key: int) -> tuple[list[_Term] | None, int]:
+    """The lines below ``name: |`` that are deeper than the line of the name, as one term."""
+    begin = text.rfind("\n", 0, key) + 1
+    depth = len(text[begin:key]) - len(text[begin:key].lstrip(" \t-"))
+    first, last = None, at
+    while at < len(text):
+        line = _LINE.match(text, at)
+        if line[2].strip():
+            if len(line[1]) <= depth:
+                break
+            first, last = line.start(2) if first is None else first, line.end(2)
+        at = line.end()
+    return (None if first is None else [_Term(text[first:last].rstrip(), first, first + len(text[first:last].rstrip()), True)]), at
+
+
+def _values(text: str, m: re.Match, colon: bool) -> tuple[list[list[_Term]], int]:
+    """The values that may be given after a name: one, or the alternatives of a condition."""
+    at, out = m.end(), []
+    if colon and (head := _BLOCK.match(text, at)):
+        terms, at = _block(text, head.end(), m.start())
+        return [terms] if terms else [], at
+    while True:
+        head = _OPEN.match(text, at)
+        terms, at = _terms(text, head.end(), colon, _WITHIN) if head else _terms(text, at, colon)
+        if terms is None:
+            return out, at
+        out.append(terms)
+        more = _ELSE.match(text, at)
+        if not more:
+            return out, at
+        at = more.end()
+
+
+def _pairs(text: str) -> list[tuple[str, list[_Term]]]:
     """(name, terms) of each assignment in the order of the text. A term that is code stays only where its text is a name that is assigned."""
     out, at = [], 0
     while m := _TARGET.search(text, at):
-        terms, at = _terms(text, m.end())
-        if terms is not None:
-            out.append((m.start(), m[1], terms))
+        values, at = _values(text, m, text[m.end(1) : m.end()].strip(" \t\\\"'") == ":")
+        out += [(m.start(), m[1], terms) for terms in values]
+    if "--" in text or " -" in text:
+        at = 0
+        while m := _FLAG.search(text, at):
+            terms, at = _terms(text, m.end(), True)
+            if terms is not None:
+                out.append((m.start(), m[1], terms))
     if "(" in text:
         at = 0
         while m := _CALL.search(text, at):
-            terms, at = _terms(text, m.end())
+            terms, at = _terms(text, m.end(), False)
             if terms is not None:
                 out.append((m.start(), m[2], terms))
     if "</" in text:
-        out += [(m.start(), m[1], [(m[2], m.start(2), m.end(2), True)]) for m in _TAG.finditer(text)]
+        out += [(m.start(), m[1], [_Term(m[2], m.start(2), m.end(2), True)]) for m in _TAG.finditer(text)]
     names = {name for _, name, _ in out}
-    return [(name, [t for t in terms if t[3] is not None or t[0] in names]) for _, name, terms in sorted(out, key=lambda x: x[0])]
+    return [(name, [t for t in terms if t.quoted is not None or t.text in names]) for _, name, terms in sorted(out, key=lambda x: x[0])]
 
 
-def literals(text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
-    """(start, end, score) of literals that reach a sensitive name."""
-    pairs = _pairs(text)
-    if not any(name_score(name) > 0 for name, _ in pairs):
-        return []
+def _uses(pairs: list[tuple[str, list[_Term]]]) -> tuple[list[list[list[int]]], list[list[int]]]:
+    """For each term of each assignment the nodes that its names stand for, and the successors of each node.
+
+    Nodes are the assignments, of which a use takes the latest before it, and one node for each name that is used before it is
+    assigned, which stands for all its assignments.
+    """
     places: dict[str, list[int]] = {}
     for i, (name, _) in enumerate(pairs):
         places.setdefault(name, []).append(i)
-
-    def defined(name: str, i: int) -> list[int]:
-        """The latest assignment before the i-th, or all others where there is none."""
-        own = places.get(name, [])
-        k = bisect_left(own, i)
-        return own[k - 1 : k] if k else [j for j in own if j != i]
-
-    resolved: dict[int, list[list[list[int]]]] = {}
-
-    def uses(i: int) -> list[list[list[int]]]:
-        """For each term of the i-th assignment the assignments that each name in it stands for."""
-        if i not in resolved:
-            resolved[i] = []
-            for value, _, _, quoted in pairs[i][1]:
-                names = [value] if not quoted and value in places else [next(filter(None, g)) for g in _USES.findall(value)]
-                resolved[i].append([d for d in (defined(u, i) for u in names) if d])
-        return resolved[i]
-
-    known: dict[int, _Value] = {}  # of assignments that no cycle reaches
-
-    def value_of(root: int) -> tuple[_Value, dict[int, list[tuple[int, int]]]]:
-        """The value, and the spans by assignment of references that go round in a circle and so count as text."""
-        own, circles = {}, {}
-        stack, on, tainted, left = [root], {root}, set(), {}
+    late: dict[str, int] = {}
+    after: list[list[int]] = [[] for _ in pairs]
+    of_terms = []
+    for i, (_, terms) in enumerate(pairs):
+        own = []
+        for value, _, _, quoted in terms:
+            nodes = []
+            for u in [value] if not quoted and value in places else [next(filter(None, g)) for g in _USES.findall(value)]:
+                at = places.get(u, [])
+                k = bisect_left(at, i)
+                if k:
+                    nodes.append(at[k - 1])
+                elif at and at != [i]:
+                    if u not in late:
+                        late[u] = len(after)
+                        after.append(at)
+                    nodes.append(late[u])
+            own.append(nodes)
+            after[i] += nodes
+        of_terms.append(own)
+    return of_terms, after
+
+
+def _circles(after: list[list[int]]) -> list[list[int]]:
+    """Strongly connected components, each after those that it refers to."""
+    order, low, found, on = [-1] * len(after), [0] * len(after), [], [False] * len(after)
+    held: list[int] = []
+    n = 0
+    for root in range(len(after)):
+        if order[root] >= 0:
+            continue
+        stack = [(root, iter(after[root]))]
+        order[root] = low[root] = n
+        n += 1
+        held.append(root)
+        on[root] = True
         while stack:
-            i = stack[-1]
-            if i not in left:
-                left[i] = iter([j for term in uses(i) for d in term for j in d])
-            deeper = next((j for j in left[i] if j not in known and j not in own and j not in on), None)
-            if deeper is not None:
-                stack.append(deeper)
-                on.add(deeper)
+            i, left = stack[-1]
+            for j in left:
+                if order[j] < 0:
+                    order[j] = low[j] = n
+                    n += 1
+                    held.append(j)
+                    on[j] = True
+                    stack.append((j, iter(after[j])))
+                    break
+                if on[j]:
+                    low[i] = min(low[i], order[j])
+            else:
+                stack.pop()
+                if stack:
+                    low[stack[-1][0]] = min(low[stack[-1][0]], low[i])
+                if low[i] == order[i]:
+                    own = []
+                    while True:
+                        j = held.pop()
+                        on[j] = False
+                        own.append(j)
+                        if j == i:
+                            break
+                    found.append(own)
+    return found
+
+
+def literals(text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
+    """(start, end, score) of literals that reach a sensitive name, in time that grows with the text.
+
+    Names that use each other in a circle share one value, made of all that any of them adds.
+    """
+    pairs = _pairs(text)
+    weights = [name_score(name) for name, _ in pairs]
+    if not any(weights):
+        return []
+    terms_of, after = _uses(pairs)
+    value: list[_Value | None] = [None] * len(after)
+    for own in _circles(after):
+        inside, parts = set(own), []
+        for i in sorted(own):
+            if i >= len(pairs):  # a name that is used before it is assigned: the best of its values
+                known = [value[j] for j in after[i] if j not in inside and value[j] is not None]
+                parts += [max(known, key=_Value.score)] if known else []
                 continue
-            parts = []
-            for term, (value, start, end, _) in zip(uses(i), pairs[i][1]):
-                choices = [[known.get(j) or own[j] for j in d if j not in on] for d in term]
-                if any(j in on or j in tainted for d in term for j in d):
-                    tainted.add(i)
-                choices = [c for c in choices if c]
-                if choices:
-                    parts += [max(c, key=_Value.score) for c in choices]
-                else:
-                    parts.append(_Value(len(value), value[:HEAD], value[-1:], Counter(value)))
-                    if term:
-                        circles.setdefault(i, []).append((start, end))
-            (own if i in tainted else known)[i] = _Value.joined(parts)
-            stack.pop()
-            on.discard(i)
-        return known.get(root) or own[root], circles
-
-    scored = []
-    for i, (name, _) in enumerate(pairs):
-        weight = name_score(name)
-        if weight > 0:
-            value, circles = value_of(i)
-            score = weight * value.score()
-            if score >= least:
-                scored.append((score, i, circles))
+            for nodes, (part, _, _, _) in zip(terms_of[i], pairs[i][1]):
+                known = [value[j] for j in nodes if j not in inside and value[j] is not None]
+                parts += known or ([] if nodes else [_Value(len(part), part[:HEAD], part[-1:], Counter(part))])
+        shared = _Value.joined(parts) if parts else None
+        for i in own:
+            value[i] = shared
+    scored = [(w * value[i].score(), i) for i, w in enumerate(weights) if w > 0 and value[i] is not None and value[i].size]
     found: dict[tuple[int, int], float] = {}
-    reached: set[int] = set()
-    for score, i, circles in sorted(scored, key=lambda x: -x[0]):  # the first to reach a literal has the best score
-        for k, spans in circles.items():
-            for s in spans:
-                found.setdefault(s, score)
-        stack = [i]
+    reached = [False] * len(after)
+    for score, root in sorted((x for x in scored if x[0] >= least), key=lambda x: -x[0]):  # the first to reach a literal has the best score
+        stack = [root]
         while stack:
-            k = stack.pop()
-            if k in reached:
+            i = stack.pop()
+            if reached[i]:
+                continue
+            reached[i] = True
+            if i >= len(pairs):
+                stack += [j for j in after[i] if len(after[i]) == 1 or value[j] is None or not value[j].size or not value[j].placeholder()]
                 continue
-            reached.add(k)
-            for term, (_, start, end, _) in zip(uses(k), pairs[k][1]):
-                if not term:
+            for nodes, (_, start, end, _) in zip(terms_of[i], pairs[i][1]):
+                if not nodes:
                     found.setdefault((start, end), score)
-                for d in term:
-                    stack += [j for j in d if len(d) == 1 or j not in known or not known[j].placeholder()]
+                stack += nodes
     return sorted((a, b, round(s, 4)) for (a, b), s in found.items())
 
 
@@ -248,7 +339,7 @@ def scan(text: str, least: float = 0.5) -> list[dict]:
         base += [(m.start(), 1, m.end(), 1.0) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     base += [(m.start(), 2, m.end(), 1.0) for m in _HEX.finditer(text)]
     more = []
-    if "=" in text or ":" in text or "(" in text or "</" in text:
+    if "=" in text or ":" in text or "(" in text or "</" in text or "-" in text:
         starts, furthest = [], []
         for x, _, y, _ in sorted(base):
             starts.append(x)

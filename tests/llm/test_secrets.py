@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import time
 
@@ -100,3 +101,65 @@ def test_long_texts_end_in_seconds(spark):
     frame = spark.createDataFrame([(1, "token=abcdef12 " * 50_000), (1, "token=abcdef12"), (1, "token=abcdef12"), (2, "")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_assign) for r in digests(find_secrets(frame)).collect()) == [(1, 1), (1, 1), (1, 50_000), (2, 0)]
     assert time.time() - began < 60
+
+
+def test_forms_of_values_and_prose():
+    found = lambda t: [t[a:b] for a, b, _ in literals(t)]
+    assert found("db:\n  private_key: |\n    aQ7zLm2x99\n\n    Bk3+Zz81Qp\n  host: here\n") == ["aQ7zLm2x99\n\n    Bk3+Zz81Qp"]
+    assert found('my_pass = "tr0ub4dor&3"') == ["tr0ub4dor&3"]
+    assert found('pin_code = "12345678"') == ["12345678"]
+    assert found('secret_key = (\n    "aQ7z"\n    "Lm2x99"\n)\n') == ["aQ7z", "Lm2x99"]
+    assert found("run --auth-key aQ7zLm2x99 --verbose") == ["aQ7zLm2x99"]
+    assert found("run --auth-key=aQ7zLm2x99") == ["aQ7zLm2x99"]
+    assert found('db_pwd = x if env == "prod" else "aQ7zLm2x99"') == ["aQ7zLm2x99"]
+    assert found('db_pwd = given || "aQ7zLm2x99"') == ["aQ7zLm2x99"]
+    assert found('const db_pwd = prod ? "aQ7zLm2x99" : "Bk3Zz81Qp7"') == ["aQ7zLm2x99", "Bk3Zz81Qp7"]
+    for prose in ("The auth: required login page", "Pass: the committee agreed.", "a well-known auth -- see below", "private: true", "sign-in - password later"):
+        assert found(prose) == []
+
+
+def plain(assignments):
+    """For (name, terms) with terms ("lit", text) or ("use", name): literals that a name like db_pwd reaches, by walking every path."""
+    places = {}
+    for i, (name, _) in enumerate(assignments):
+        places.setdefault(name, []).append(i)
+    out = set()
+
+    def walk(i, seen):
+        for kind, x in assignments[i][1]:
+            if kind == "lit":
+                out.add(x)
+            else:
+                before = [j for j in places[x] if j < i]
+                for j in before[-1:] or [j for j in places[x] if j != i]:
+                    if j not in seen:
+                        walk(j, seen | {j})
+
+    for i, (name, _) in enumerate(assignments):
+        if "pwd" in name:
+            walk(i, {i})
+    return out
+
+
+def test_constants_against_walking_every_path():
+    r = random.Random(7)
+    for _ in range(400):
+        names = [f"n{k}" for k in range(5)] + ["db_pwd"]
+        assignments = [(r.choice(names), [("lit", "".join(r.choice("aQ7zLm2x9Bk3") for _ in range(12))) if r.random() < 0.5 else ("use", r.choice(names)) for _ in range(r.randint(1, 2))]) for _ in range(r.randint(1, 8))]
+        known = {n for n, _ in assignments}
+        assignments = [(n, [t for t in terms if t[0] == "lit" or t[1] in known and t[1] != n]) for n, terms in assignments]
+        assignments = [(n, terms or [("lit", "Zz81QpBk3x99")]) for n, terms in assignments]
+        text = "\n".join(f"{n} = " + " + ".join(f'"{x}"' if kind == "lit" else x for kind, x in terms) for n, terms in assignments)
+        assert {text[a:b] for a, b, _ in literals(text)} == plain(assignments), text
+
+
+def test_names_used_before_they_are_assigned_and_long_sums_take_time_that_grows_with_the_text():
+    began = time.time()
+    n = 100_000
+    text = "".join(f"secret_key{i} = K\n" for i in range(n)) + "".join(f'K = "S3cr3tValue{i}"\n' for i in range(n))
+    assert len(literals(text)) == n
+    total = "db_pwd = " + " + ".join(f'"S3cr3t{i}"' for i in range(n))
+    assert len(literals(total)) == n
+    ring = "".join(f"c{i} = c{(i + 1) % n}\n" for i in range(n)) + "".join(f"pwd{i} = c{i}\n" for i in range(n))
+    assert literals(ring) == []
+    assert time.time() - began < 60
