@@ -32,9 +32,10 @@ def front_matter(text: str) -> tuple[dict[str, str], str]:
 
 
 def clean_body(text: str) -> str:
-    body = re.sub(r"[ \t\r\f\v]+$", "", text, flags=re.M)
-    body = re.sub(r"\A(?:\s*(?:---)?\n)+|(?:\n\s*(?:---)?)+\Z", "", f"\n{body}\n")
-    return re.sub(r"\n{3,}", "\n\n", "" if body.strip() == "---" else body).strip()
+    """Right-trimmed lines, no blank or rule lines at the ends, at most one blank line between others. Blank is what Unicode calls so."""
+    lines = [line.rstrip() for line in text.split("\n")]
+    kept = [i for i, line in enumerate(lines) if line.lstrip() not in ("", "---")]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines[kept[0] : kept[-1] + 1])).strip() if kept else ""
 
 
 def sentences(text: str) -> list[str]:

@@ -53,11 +53,14 @@ def split_headings(text: Column) -> Column:
     return run(text)
 
 
-def clean_body(c: Column) -> Column:
-    """Right-trimmed lines, no blank or rule lines at the ends, at most one blank line between others."""
-    trimmed = F.regexp_replace(c, r"(?m)[ \t\r\f]+$", "")
-    ends = F.regexp_replace(F.concat(F.lit("\n"), trimmed, F.lit("\n")), r"\A(?:\s*(?:---)?\n)+|(?:\n\s*(?:---)?)+\z", "")
-    return F.trim(F.regexp_replace(F.when(F.trim(ends) == "---", "").otherwise(ends), r"\n{3,}", "\n\n"))
+def clean_body(text: Column) -> Column:
+    """Right-trimmed lines, no blank or rule lines at the ends, at most one blank line between others; null stays null."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else kernels.clean_body(t))
+
+    return run(text)
 
 
 def clause_no(heading: Column) -> Column:

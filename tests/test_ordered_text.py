@@ -3,12 +3,14 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from ledgerloom import registry
+from ledgerloom.functions import kernels
 from ledgerloom.operators import documents
 
 SF = "/root/testdata/sf0.001"
@@ -29,8 +31,8 @@ def run(spark, name):
     return registry.queries()[name](spark, SF).collect()
 
 
-def clean(text, blank=" \t\r\f\v"):
-    lines = [x.rstrip(blank) for x in text.split("\n")]
+def clean(text):
+    lines = [x.rstrip() for x in text.split("\n")]
     for end in (0, -1):
         while lines and lines[end].strip() in ("", "---"):
             lines.pop(end)
@@ -124,7 +126,22 @@ def test_split_headings(spark, bodies):
 
 def test_clean_body(spark, docs):
     got = {r.doc_id: r.body for r in run(spark, "clean_body")}
-    assert got == {i: clean("\n---\n\n" + t + "  \n\n\n\nend\n---\n", " \t\r\f") for i, t in docs.items()}
+    assert got == {i: clean("\n---\n\n" + t + "  \n\n\n\nend\n---\n") for i, t in docs.items()}
+
+
+def test_clean_body_knows_every_blank_and_takes_time_that_grows_with_the_text(spark):
+    blanks = [c for c in map(chr, range(0x10000)) if not c.strip() and c != "\n"]
+    assert "\u3000" in blanks and "\xa0" in blanks
+    texts = ["", "---", " \n---\n", "a\u3000\n\u3000\n\n\nb", "\u3000---\u3000\na\n---"]
+    texts += [f"{b}\n---{b}\n\nfirst{b}\n{b}\n{b}\n  second {b}\n---\n---\nthird\n{b}---\n{b}" for b in blanks]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "id int, text string")
+    got = {r.id: r.t for r in frame.select("id", documents.clean_body("text").alias("t")).collect()}
+    assert got == {i: clean(t) for i, t in enumerate(texts)} | {len(texts): None}
+    assert got[3] == "a\n\nb"
+    began = time.time()
+    assert kernels.clean_body("a\n" + "\n" * 1_000_000 + "b" + "\n \n---" * 200_000) == "a\n\nb"
+    assert [c["preamble"] for c in kernels.headings("## 总则\n第一段" + "\n" * 40 + "第二段\n")] == ["第一段\n\n第二段"]
+    assert time.time() - began < 5
 
 
 def test_split_sentences(spark, docs):
