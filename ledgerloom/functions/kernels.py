@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MAX_CHUNK = 600
 _HEADING = re.compile(r"^(#{2,3})[ \t]+(\S.*)(?:\n|\Z)", re.M)
@@ -122,55 +122,102 @@ def chunks(text: str, limit: int = MAX_CHUNK) -> list[dict]:
     return out
 
 
-#: Scores held at once in a task.
-CELLS = 1 << 22
+#: Scores held at once in a task, and bytes of query vectors sent to it at once.
+CELLS, QUERY_BYTES = 1 << 22, 64 << 20
+
+
+def unit_rows(column: pd.Series) -> np.ndarray:
+    m = np.array(column.tolist(), float)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+
+
+def has_vector(column: str = "embedding") -> Column:
+    """Rows without a vector, or with an empty one or nulls in it, take no part in a search."""
+    return F.col(column).isNotNull() & (F.size(column) > 0) & ~F.exists(column, lambda x: x.isNull())
+
+
+def first_k(line: np.ndarray, key: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k entries of largest key for each line, ties by id, in that order."""
+    order = np.lexsort((ids, -key, line))
+    own = line[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own) < k]
+
+
+def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, place) of the k best finite scores of each line, ties by id."""
+    key = np.round(score, 9)
+    if k < len(ids):  # all that are as good as the k-th, then the first k of them by id
+        least = np.partition(key, len(ids) - k, axis=1)[:, len(ids) - k, None]
+        line, place = np.nonzero((key >= least) & np.isfinite(score))
+    else:
+        line, place = np.nonzero(np.isfinite(score))
+    chosen = first_k(line, key[line, place], ids[place], k)
+    return line[chosen], place[chosen]
+
+
+class RunningBest:
+    """The k best hits of each query among all rows met so far."""
+
+    def __init__(self, k: int, queries: int):
+        self.k, self.most = k, max(1 << 16, 4 * k * queries)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        self.held.append((query, ids, score))
+        self.size += len(query)
+        if self.size > self.most:
+            self.held = [self.all()]
+            self.size = len(self.held[0][0])
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, ids, score = (np.concatenate(x) for x in zip(*self.held)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        chosen = first_k(query, np.round(score, 9), ids, self.k)
+        return query[chosen], ids[chosen], score[chosen]
+
+
+def ranked_hits(hits: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, block: int = 20_000) -> DataFrame:
-    """(query_id, id, similarity, rank): the k rows of largest cosine for each query, ties by id.
+    """(query_id, id, similarity, rank): the k rows of largest cosine for each query, ties by id; every row is met.
 
-    rows (id, embedding), queries (query_id, embedding), and both may carry a ``pool``, which must then be equal. Queries
-    are sent to the tasks ``block`` at a time; each Arrow batch gives its own best k, so what is shuffled is small.
+    rows (id, embedding), queries (query_id, embedding), and both may carry a ``pool``, which must then be equal. Queries are
+    sent to the tasks in blocks of at most ``block`` rows and 64 MB; a task keeps the best k of all its rows, so what is
+    shuffled grows with the tasks, not with the rows. Rows and queries without a vector take no part.
     """
     pooled = "pool" in rows.columns
-    n = queries.count()
+    extra = ["pool"] if pooled else []
+    rows, queries = rows.where(has_vector()).select("id", "embedding", *extra), queries.where(has_vector()).select("query_id", "embedding", *extra)
+    n, size = queries.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    blocks = max(1, -(-n // min(block, max(1, QUERY_BYTES // (8 * size)))))
     out = None
-    blocks = max(1, -(-n // block))
     for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        asked = own.select("query_id", "embedding", *(["pool"] if pooled else [])).collect()
+        asked = (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries).collect()
         ids = np.array([r.query_id for r in asked], np.int64)
-        q = np.array([r.embedding for r in asked], float).reshape(len(asked), -1)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
+        q = unit_rows(pd.Series([r.embedding for r in asked])) if asked else np.zeros((0, 1))
         shared = rows.sparkSession.sparkContext.broadcast((ids, q, [r.pool for r in asked] if pooled else None))
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q, pools = shared.value
+            kept = RunningBest(k, len(ids))
             for rows in batches:
                 if not len(rows) or not len(ids):
                     continue
-                rows = rows.sort_values("id")
-                m = np.array(rows["embedding"].tolist(), float)
-                m = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)).T
-                own, each = rows["id"].to_numpy(), max(1, CELLS // len(rows))
+                m, own = unit_rows(rows["embedding"]).T, rows["id"].to_numpy()
                 pool = None if pools is None else rows["pool"].to_numpy(object)
+                each = max(1, CELLS // len(rows))
                 for i in range(0, len(ids), each):
                     score = q[i : i + each] @ m
                     if pool is not None:
                         score = np.where(np.array(pools[i : i + each], object)[:, None] == pool[None, :], score, -np.inf)
-                    key = np.round(score, 9)
-                    if k < len(own):  # all that are as good as the k-th, then the first k of them by id
-                        least = np.partition(key, len(own) - k, axis=1)[:, len(own) - k, None]
-                        line, place = np.nonzero((key >= least) & np.isfinite(score))
-                    else:
-                        line, place = np.nonzero(np.isfinite(score))
-                    order = np.lexsort((own[place], -key[line, place], line))
-                    line, place = line[order], place[order]
-                    nth = np.arange(len(line)) - np.searchsorted(line, line)
-                    line, place = line[nth < k], place[nth < k]
-                    yield pd.DataFrame({"query_id": ids[i + line], "id": own[place], "similarity": score[line, place]})
-
-        part = rows.select("id", "embedding", *(["pool"] if pooled else [])).mapInPandas(best, "query_id long, id long, similarity double")
+                    line, place = best_of(score, own, k)
+                    kept.add(i + line, own[place], score[line, place])
+            line, found, score = kept.all()
+            yield pd.DataFrame({"query_id": ids[line], "id": found, "similarity": score})
+
+        part = rows.mapInPandas(best, "query_id long, id long, similarity double")
         out = part if out is None else out.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked_hits(out, k)

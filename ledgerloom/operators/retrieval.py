@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.kernels import cosine_top_k
+from ..functions.kernels import CELLS, RunningBest, best_of, cosine_top_k
 from ..functions.scratch import cut
 from .documents import UNTITLED
+from .vector_index import VectorIndex, search_index
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Chunks of a cell, about.
+CELL = 512
 _CJK = "[\\x{4e00}-\\x{9fff}]"
 
 
@@ -27,51 +35,145 @@ def tokenize(text: Column) -> Column:
     return F.when(text.rlike(_CJK), F.flatten(F.transform(runs, split))).otherwise(words)  # most texts need no second look at a run
 
 
-def bm25_index(chunks: DataFrame, text: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings (token, id, tf, length), weights (token, df, idf) and totals (n, average length) of chunks (id, text).
+@dataclass(frozen=True)
+class Bm25Index:
+    """Postings in blocks, weights (token, df, idf), and how many chunks there are and how long they are on average.
 
-    The postings are written once, so texts are not split again by what uses them.
+    A block (token, cell, top_tf, least_length, ids, tfs, lengths) holds a token's postings, by id, among the chunks of a cell, about
+    512 chunks by the hash of their ids. Its most frequent count and its shortest chunk bound what any of its postings gives,
+    whatever the average length, so blocks outlive changes of the corpus around them.
     """
-    tokens = chunks.select("id", tokenize(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    tokens = tokens.select("id", F.size("t").alias("length"), F.explode_outer("t").alias("token"))
-    postings = cut(tokens.groupBy("token", "id", "length").agg(F.count("*").alias("tf")))
-    lengths = postings.groupBy("id").agg(F.max("length").alias("length"))
-    totals = cut(lengths.agg(F.count("*").alias("n"), F.avg("length").alias("average")))
-    postings = postings.where("token is not null")
-    df = postings.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # totals: one row
-    raw = cut(df.select("token", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
-    floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
-    weights = raw.crossJoin(F.broadcast(floor)).select("token", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return postings, weights, totals
-
-
-def bm25_search(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, ids: DataFrame, k: int = 20, rare: float = 0.02) -> DataFrame:
+
+    blocks: DataFrame
+    weights: DataFrame
+    n: int
+    average: float
+
+
+def bm25_index(chunks: DataFrame, text: str = "content") -> Bm25Index:
+    """Index of chunks (id, text), written once, in each file by token; null texts have no tokens but count as chunks."""
+    n = chunks.count()
+    cell = F.pmod(F.xxhash64("id"), F.lit(n // CELL + 1)).cast("int")
+
+    # texts are dealt by cell once; terms are counted and gathered where they lie, so postings are not shuffled
+    dealt = chunks.select(F.col("id").cast("long").alias("id"), cell.alias("cell"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition("cell")
+    tokens = dealt.select("cell", "id", tokenize(F.col("text")).alias("t")).select("cell", "id", F.size("t").alias("length"), F.explode("t").alias("token"))
+    postings = tokens.groupBy("token", "cell", "id", "length").agg(F.count("*").cast("int").alias("tf"))
+    blocks = postings.groupBy("token", "cell").agg(F.max("tf").alias("top_tf"), F.min("length").alias("least_length"), F.array_sort(F.collect_list(F.struct("id", "tf", "length"))).alias("p"))
+    blocks = cut(blocks.select("token", "cell", "top_tf", "least_length", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths")).sortWithinPartitions("token", "cell"))
+    size = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
+    df = cut(blocks.groupBy("token").agg(F.sum(F.size("ids")).alias("df"), F.sum(size).alias("times")))
+    total = df.agg(F.sum("times")).first()[0] or 0
+    raw = df.select("token", "df", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    floor = (raw.agg(F.avg("raw")).first()[0] or 0.0) * EPSILON
+    return Bm25Index(blocks, raw.select("token", "df", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf")), n, total / n if n else 1.0)
+
+
+class Asked(NamedTuple):
+    """Queries as the tasks hold them: ids, and for each token the queries that ask for it and its weight in them."""
+
+    ids: np.ndarray
+    queries: dict[str, np.ndarray]
+    weights: dict[str, np.ndarray]
+
+    @staticmethod
+    def of(terms: list) -> Asked:
+        ids = np.unique(np.array([t.query_id for t in terms], np.int64))
+        queries: dict[str, list] = {}
+        for t in terms:
+            queries.setdefault(t.token, []).append((np.searchsorted(ids, t.query_id), t.weight))
+        return Asked(ids, {w: np.array([q for q, _ in x]) for w, x in queries.items()}, {w: np.array([v for _, v in x]) for w, x in queries.items()})
+
+
+class Top:
+    """What a task knows of the best hits of each query."""
+
+    def __init__(self, k: int, queries: int):
+        self.best, self.scores, self.met = RunningBest(k, queries), np.full((queries, k), -np.inf), np.zeros(queries, np.int64)
+
+    def kth(self) -> np.ndarray:
+        return self.scores[:, -1]
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Hits by query, each query's in falling order, k of each at most."""
+        self.best.add(query, ids, score)
+        some, first = np.unique(query, return_index=True)
+        new = np.full((len(some), self.scores.shape[1]), -np.inf)
+        at = np.searchsorted(some, query)
+        new[at, np.arange(len(query)) - first[at]] = score
+        self.scores[some] = -np.sort(-np.concatenate([self.scores[some], new], 1), 1)[:, : new.shape[1]]
+
+
+def score_cell(blocks: list[dict], asked: Asked, average: float, top: Top) -> None:
+    """Adds the best hits of a cell; queries that its blocks cannot lift to their k-th score so far do not meet its postings."""
+    most = np.zeros(len(asked.ids))
+    for b in blocks:
+        bound = b["top_tf"] / (b["top_tf"] + K1 * (1 - B + B * b["least_length"] / average))
+        most[asked.queries[b["token"]]] += np.maximum(asked.weights[b["token"]], 0) * bound
+    asking = np.zeros(len(asked.ids), bool)
+    for b in blocks:
+        asking[asked.queries[b["token"]]] = True
+    live = np.flatnonzero(asking & (most >= top.kth() - 1e-5))
+    if not len(live):
+        return
+    ids = np.unique(np.concatenate([b["ids"] for b in blocks]))
+    place = np.full(len(asked.ids), -1)
+    each = max(1, CELLS // len(ids))
+    for i in range(0, len(live), each):
+        own = live[i : i + each]
+        place[:] = -1
+        place[own] = np.arange(len(own))
+        score, hit = np.zeros((len(own), len(ids))), np.zeros((len(own), len(ids)), bool)
+        for b in blocks:
+            queries = place[asked.queries[b["token"]]]
+            here = queries >= 0
+            if here.any():
+                at = np.ix_(queries[here], np.searchsorted(ids, b["ids"]))
+                score[at] += asked.weights[b["token"]][here, None] * (b["tfs"] / (b["tfs"] + K1 * (1 - B + B * b["lengths"] / average)))
+                hit[at] = True
+                top.met[own[queries[here]]] += len(b["ids"])
+        score = np.round(score, 6)
+        line, column = best_of(np.where(hit, score, -np.inf), ids, top.best.k)
+        top.add(own[line], ids[column], score[line, column])
+
+
+def bm25_search(index: Bm25Index, queries: DataFrame, ids: DataFrame, k: int = 20, block: int = 200_000) -> DataFrame:
     """(query_id, id, score, rank): query tokens count as often as they occur; lists are filled up in id order with score 0.
 
-    queries (query_id, text), ids: all chunk ids. First only tokens that at most a share ``rare`` of the chunks hold meet
-    their postings. The k-th best of what they give bounds a query's list from below; where its common tokens together
-    cannot lift a chunk beyond that, they are counted for the chunks found so far that can still reach it. Queries whose bound
-    is too low meet all their postings, so lists are the same as without the bound.
+    queries (query_id, text), ids: all chunk ids. Blocks of the tokens that are asked for meet by cell, each cell in one task, and
+    a query skips the cells whose blocks' bounds together stay below its k-th score among those met in the task. Queries are
+    sent to the tasks in blocks of about ``block`` terms.
     """
-    postings, weights, totals = index
-    one = totals.first()
-    n, average = one.n, one.average or 1.0
     asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    terms = cut(asked.join(weights, "token").select("query_id", "token", "df", (F.col("times") * F.col("idf") * (K1 + 1)).alias("most")))
-    own = postings.join(terms.select("token").distinct(), "token", "left_semi")
-    part = F.sum(F.col("most") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(average))))
-    few, common = terms.where(F.col("df") <= rare * n), terms.where(F.col("df") > rare * n)
-    first = cut(few.join(own, "token").groupBy("query_id", "id").agg(part.alias("s")))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "id"))
-    kth = first.withColumn("r", nth).where(F.col("r") == k).select("query_id", F.col("s").alias("kth"))
-    rest = terms.groupBy("query_id").agg(*(F.sum(F.when(F.col("df") > rare * n, f(F.lit(0.0), F.col("most"))).otherwise(0.0)).alias(c) for c, f in (("up", F.greatest), ("down", F.least))))
-    bound = cut(rest.join(kth, "query_id", "left").withColumn("sure", F.coalesce(F.col("kth") + F.col("down") > F.col("up") + 1e-5, F.lit(False))))
-    found = first.join(bound.where("sure"), "query_id").where(F.col("s") + F.col("up") >= F.col("kth") + F.col("down") - 1e-5).select("query_id", "id", "s")
-    more = found.select("query_id", "id").join(common, "query_id").join(own, ["token", "id"]).groupBy("query_id", "id").agg(part.alias("s"))
-    whole = terms.join(bound.where("not sure"), "query_id", "left_semi").join(own, "token").groupBy("query_id", "id").agg(part.alias("s"))
-    scored = found.unionByName(more).unionByName(whole).groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
+    terms = cut(asked.join(index.weights, "token").select("query_id", "token", (F.col("times") * F.col("idf") * (K1 + 1)).alias("weight")))
+    rounds = max(1, -(-terms.count() // block))
+    average, spark, out = index.average or 1.0, queries.sparkSession, None
+    for r in range(rounds):
+        own = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r) if rounds > 1 else terms
+        shared = spark.sparkContext.broadcast(Asked.of(own.collect()))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, held, cell = shared.value, [], None
+            best = Top(k, len(asked.ids))
+            for batch in batches:
+                arrays = {c: (batch[c].offsets.to_numpy(), batch[c].flatten().to_numpy()) for c in ("ids", "tfs", "lengths")}
+                for i, (token, at, top, least) in enumerate(zip(*(batch[c].to_pylist() for c in ("token", "cell", "top_tf", "least_length")))):
+                    if at != cell and held:
+                        score_cell(held, asked, average, best)
+                        held = []
+                    cell = at
+                    first = arrays["ids"][0][0]
+                    held.append({"token": token, "top_tf": top, "least_length": least} | {c: x[o[i] - first : o[i + 1] - first] for c, (o, x) in arrays.items()})
+            if held:
+                score_cell(held, asked, average, best)
+            query, found, score = best.best.all()
+            yield pa.record_batch({"query_id": pa.array(asked.ids[query], pa.int64()), "id": pa.array(found, pa.int64()), "score": pa.array(score, pa.float64())})
+
+        wanted = index.blocks.join(own.select("token").distinct(), "token", "left_semi").repartition("cell").sortWithinPartitions("cell")
+        part = wanted.mapInArrow(search, "query_id long, id long, score double")
+        out = part if out is None else out.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    top = cut(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    top = cut(out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
     short = queries.select("query_id").join(top.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").na.fill(0, ["have"]).where(F.col("have") < k)
     lowest = ids.select("id").orderBy("id").limit(k)  # k rows: as many unmatched ids as any query can lack
     fill = short.crossJoin(F.broadcast(lowest)).join(top.select("query_id", "id"), ["query_id", "id"], "left_anti")
@@ -79,9 +181,14 @@ def bm25_search(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFram
     return top.select("query_id", "id", "score", "rank").unionByName(fill.select("query_id", "id", F.lit(0.0).alias("score"), F.col("rank").cast("int").alias("rank")))
 
 
-def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, id, score, rank) by cosine; the score 1 - distance / 2 is rounded to four places."""
-    return cosine_top_k(chunks, queries, k).select("query_id", "id", F.round(0.5 + F.col("similarity") / 2, 4).alias("score"), "rank")
+def nearest(chunks: DataFrame | VectorIndex, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, similarity, rank): from an index, or exactly over all rows."""
+    return search_index(chunks, queries, k) if isinstance(chunks, VectorIndex) else cosine_top_k(chunks, queries, k)
+
+
+def vector_search(chunks: DataFrame | VectorIndex, queries: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, id, score, rank) by cosine; the score 1 - distance / 2 is rounded to four places. Null vectors take no part."""
+    return nearest(chunks, queries, k).select("query_id", "id", F.round(0.5 + F.col("similarity") / 2, 4).alias("score"), "rank")
 
 
 def rrf(keyword: DataFrame, vector: DataFrame, ids: DataFrame | None = None, k: int = 60, top_k: int = 5) -> DataFrame:
@@ -95,10 +202,13 @@ def rrf(keyword: DataFrame, vector: DataFrame, ids: DataFrame | None = None, k:
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "id", F.round("raw", 4).alias("score"), "rank")
 
 
-def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, top_k: int = 5, list_k: int = 20) -> DataFrame:
-    """chunks (id, content, embedding), queries (query_id, text, embedding)."""
+def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, top_k: int = 5, list_k: int = 20, vectors: VectorIndex | None = None) -> DataFrame:
+    """chunks (id, content, embedding), queries (query_id, text, embedding); without a vector a row is found by its words alone.
+
+    vectors: an index of the chunks' vectors, which are otherwise all met.
+    """
     keyword = bm25_search(bm25_index(chunks), queries, chunks, list_k)
-    return rrf(keyword, vector_search(chunks, queries, list_k), chunks, top_k=top_k)
+    return rrf(keyword, vector_search(chunks if vectors is None else vectors, queries, list_k), chunks, top_k=top_k)
 
 
 def parent_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -142,7 +252,7 @@ def extract_sources(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(chunks, "id").select("query_id", "rank", "score", F.coalesce(F.nullif("doc_title", F.lit("")), F.lit(UNTITLED)).alias("doc_title"), "file_name", "chapter", "section", "content")
 
 
-def calibrate_floor(on: DataFrame, off: DataFrame, chunks: DataFrame, floors: list[float]) -> DataFrame:
+def calibrate_floor(on: DataFrame, off: DataFrame, chunks: DataFrame | VectorIndex, floors: list[float]) -> DataFrame:
     """For each floor: on-topic queries lost and off-topic ones blocked by it, with the extremes of both best scores."""
     best = lambda q, topic: vector_search(chunks, q, 1).select(F.lit(topic).alias("topic"), "score")
     scores = best(on, "on").unionByName(best(off, "off"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.kernels import cosine_top_k
+from .retrieval import nearest
+from .vector_index import VectorIndex
 
 # Words that hint at a rule, and the thresholds of similarity.
 HINTS = ("指的是", "记住", "口径", "定义", "以后", "叫做", "称为", "我们内部", "约定", "规则")
@@ -38,9 +40,9 @@ def similarity_score(similarity: Column) -> Column:
     return 0.5 + similarity / 2
 
 
-def already_documented(rules: DataFrame, chunks: DataFrame, verdicts: DataFrame | None = None, floor: float = DOCUMENTED) -> DataFrame:
+def already_documented(rules: DataFrame, chunks: DataFrame | VectorIndex, verdicts: DataFrame | None = None, floor: float = DOCUMENTED) -> DataFrame:
     """Global rules (id, embedding) that the corpus states: one of the three nearest chunks scores the floor and, if given, a verdict (rule_id, chunk_id, stated) says so."""
-    near = cosine_top_k(chunks, rules.where("scope = 'global'").select(F.col("id").alias("query_id"), "embedding"), 3).where(similarity_score(F.col("similarity")) >= floor).select(F.col("query_id").alias("rule_id"), F.col("id").alias("chunk_id"))
+    near = nearest(chunks, rules.where("scope = 'global'").select(F.col("id").alias("query_id"), "embedding"), 3).where(similarity_score(F.col("similarity")) >= floor).select(F.col("query_id").alias("rule_id"), F.col("id").alias("chunk_id"))
     near = near.join(verdicts.where("stated"), ["rule_id", "chunk_id"], "left_semi") if verdicts is not None else near
     return near.select(F.col("rule_id").alias("id")).distinct()
 

@@ -214,7 +214,7 @@ def test_tokens(spark):
 def test_bm25_floor_and_padding(spark):
     chunks = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "a d d"), (4, "e")], "id long, content string")
     index = retrieval.bm25_index(chunks)
-    idf = {r.token: r.idf for r in index[1].collect()}
+    idf = {r.token: r.idf for r in index.weights.collect()}
     raw = {t: math.log(4 - n + 0.5) - math.log(n + 0.5) for t, n in {"a": 3, "b": 1, "c": 1, "d": 1, "e": 1}.items()}
     assert raw["a"] < 0 and abs(idf["a"] - 0.25 * sum(raw.values()) / 5) < 1e-9 and abs(idf["b"] - raw["b"]) < 1e-9
     hits = retrieval.bm25_search(index, spark.createDataFrame([(1, "d"), (2, "zzz")], "query_id long, text string"), chunks, 3)

@@ -1,12 +1,10 @@
 """The queries that SQL cannot say, over whole tables, against plain scanners written line by line."""
 
 import hashlib
-import math
 import re
 import time
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 
 from ledgerloom import registry
@@ -178,33 +176,6 @@ def test_chunk_documents(spark, bodies):
     assert got == want and set(keys.values()) == {1}
 
 
-def test_hybrid_retrieve(spark, docs):
-    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
-    vectors = {r.vec_id: np.array(r.embedding, float) / np.linalg.norm(np.array(r.embedding, float)) for r in rows}
-    asked = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.item_id in vectors and r.item_id % 20 == 0}
-    known = sorted(set(docs) & set(vectors))
-    token = {i: Counter(w.lower() for w in re.findall("[a-zA-Z0-9]+", docs[i])) for i in known}
-    size = {i: sum(c.values()) for i, c in token.items()}
-    mean, df = sum(size.values()) / len(known), Counter(w for c in token.values() for w in c)
-    raw = {w: math.log(len(known) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
-    floor = 0.25 * sum(raw.values()) / len(raw)
-    idf = {w: x if x >= 0 else floor for w, x in raw.items()}
-    want = {}
-    for q, text in asked.items():
-        ask = Counter(w.lower() for w in re.findall("[a-zA-Z0-9]+", text))
-        score = {i: sum(n * idf[w] * token[i][w] * 2.5 / (token[i][w] + 1.5 * (0.25 + 0.75 * size[i] / mean)) for w, n in ask.items() if token[i][w]) for i in known}
-        words = sorted((i for i in known if any(token[i][w] for w in ask)), key=lambda i: (-round(score[i], 6), i))[:20]
-        words += [i for i in known if i not in words][: 20 - len(words)]
-        near = sorted(known, key=lambda i: (-round(float(vectors[q] @ vectors[i]), 9), i))[:20]
-        place = {i: (words.index(i) if i in words else 999, near.index(i) if i in near else 999) for i in {*words, *near}}
-        rank = lambda i: sum(1 / (61 + p) for p in place[i] if p < 999)
-        want[q] = [(i, round(rank(i), 4)) for i in sorted(place, key=lambda i: (-round(rank(i), 12), *place[i], i))[:5]]
-    got = defaultdict(list)
-    for r in sorted(run(spark, "hybrid_retrieve"), key=lambda r: r["rank"]):
-        got[r.query_id].append((r.id, r.score))
-    assert got == want
-
-
 def test_build_context(spark, docs):
     """Each hit's whole text stands once under its number; only neighbours are added to long chapters."""
     source = {r.doc_id: r.source for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
