@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.patterns import find_names
 from .routing import parse_model_json, question_hash
 
 # Weights, prices of a threshold scan, calibration bins, tools, stop phrases.
@@ -14,8 +14,8 @@ WEIGHTS = {"intent": 0.25, "tools": 0.25, "semantic": 0.15, "quality": 0.35}
 ESCALATION_COST, MISS_COST = 1.0, 4.0
 BINS = (0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 1.01)
 TOOLS = ("query_cleaned_records", "get_summary_stats", "get_anomaly_details", "search_documents")
-#: Rows of a staff list that one pattern takes.
-STAFF = 10_000
+#: What is no department's name though it ends like one.
+NO_DEPARTMENT = "哪个|哪些|四个|该|全部|各|其他|这|那|本|大|[的了是在有和与或]"
 INTENTS = ("data_query", "doc_query", "hybrid")
 STOP_PHRASES = ("是多少", "有多少", "多少", "怎么样", "是什么", "有哪些", "哪些", "分别", "一共", "总共", "的", "了", "吗", "呢", "啊", "呀", "请问", "帮我", "查一下", "看一下", "统计", "情况")
 
@@ -135,11 +135,6 @@ def join_signals(rows: DataFrame, log: DataFrame, start: Column) -> DataFrame:
     return rows.withColumn("q_hash", question_hash(F.col("question"))).join(first, "q_hash", "left").select("*", "s.*").drop("s")
 
 
-def _upper_median(c: Column) -> Column:
-    values = F.array_sort(F.collect_list(c))
-    return F.when(F.size(values) > 0, F.get(values, F.floor(F.size(values) / 2).cast("int")))
-
-
 def signal_separation(rows: DataFrame, signals: tuple[str, ...] = ("p_top", "label_mass", "margin")) -> DataFrame:
     """Upper median of each signal on wrong and on right rows, and the difference (rank-based, without gathering the values)."""
     long = rows.select(F.col("correct"), F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).alias("v")) for s in signals))).alias("x")).select("correct", "x.*").where("v is not null")
@@ -219,18 +214,17 @@ def dense_ids(ds: DataFrame, start: int = 1) -> DataFrame:
 
 
 def variant_drift(ds: DataFrame, entities: DataFrame | None = None) -> DataFrame:
-    """Variants that lose a number of their original, else keep under half of its entities (at least one)."""
+    """Variants that lose a number of their original, else keep under half of its entities (at least one). entities (name): of any length."""
     own = ds.where("source like 'variant_of_%'").select("id", "question", F.regexp_extract("source", r"variant_of_(\d+)", 1).cast("long").alias("origin"))
     both = own.join(ds.select(F.col("id").alias("origin"), F.col("question").alias("original")), "origin")
     numbers = F.array_distinct(F.regexp_extract_all("original", F.lit(r"(\d+)")))
     lost = F.exists(numbers, lambda n: ~F.contains(F.col("question"), n))
     if entities is None:
         return both.withColumn("reason", F.when(lost, "number_lost")).where("reason is not null").select("id", "origin", "reason")
-    named = F.filter(F.col("names"), lambda e: F.contains(F.col("original"), e))
-    kept = F.size(F.filter(named, lambda e: F.contains(F.col("question"), e)))
-    names = entities.agg(F.array_sort(F.collect_set("name")).alias("names"))  # a short list of departments and people
-    drift = F.when(lost, "number_lost").when((F.size(named) > 0) & (kept < F.greatest(F.lit(1), F.ceil(F.size(named) / 2))), "entity_lost")
-    return both.crossJoin(F.broadcast(names)).withColumn("reason", drift).where("reason is not null").select("id", "origin", "reason")
+    both = find_names(both, entities, "original", out="_named")
+    kept = F.size(F.filter("_named", lambda e: F.contains(F.col("question"), e)))
+    drift = F.when(lost, "number_lost").when((F.size("_named") > 0) & (kept < F.greatest(F.lit(1), F.ceil(F.size("_named") / 2))), "entity_lost")
+    return both.withColumn("reason", drift).where("reason is not null").select("id", "origin", "reason")
 
 
 def dataset_balance(ds: DataFrame) -> DataFrame:
@@ -282,22 +276,20 @@ def field_checks(ds: DataFrame) -> DataFrame:
 
 
 def entity_checks(ds: DataFrame, emp_dept: DataFrame, exclusions: tuple[str, ...] = ()) -> DataFrame:
-    """(id, problem): one known employee with a foreign department, or a department-like name that is not known, in data rows.
+    """(id, problem): one known employee beside departments none of which is theirs, or a department-like name that is not known, in data rows.
 
-    emp_dept (employee, department) is a staff list of at most STAFF rows, which are matched through one alternation; a
-    longer list is an error.
+    emp_dept (employee, department): a staff list of any length; an employee of several departments is at home in each. A name
+    is there if the question contains it.
     """
-    staff = emp_dept.where("employee is not null").limit(STAFF + 1).collect()
-    if len(staff) > STAFF:
-        raise ValueError(f"the staff list has more than {STAFF} rows")
-    of = {r.employee: r.department for r in staff}
-    known = F.array(*(F.lit(x) for x in sorted({r.department for r in staff} | set(exclusions))))
-    people = F.array_distinct(F.regexp_extract_all("question", F.lit(f"({'|'.join(re.escape(x) for x in sorted(of, key=lambda x: (-len(x), x))) or '(?!)'})")))
-    named = F.array_distinct(F.regexp_extract_all("question", F.lit("([\\x{4e00}-\\x{9fff}]{2}部)")))
-    home = F.create_map(*(F.lit(x) for kv in sorted(of.items()) for x in kv)).getItem(F.get(people, F.lit(0)))
-    foreign = (F.size(people) == 1) & (F.size(F.array_intersect(named, known)) > 0) & ~F.array_contains(named, home)
-    invented = (F.col("category") == "data_query") & (F.size(F.array_except(named, known)) > 0)
-    return ds.select("id", F.explode(F.filter(F.array(F.when(foreign, "foreign_department"), F.when(invented, "invented_department")), lambda x: x.isNotNull())).alias("problem"))
+    home = emp_dept.where("employee <> ''").groupBy("employee").agg(F.collect_set("department").alias("_home"))
+    known = emp_dept.select("department").union(ds.sparkSession.createDataFrame([(x,) for x in exclusions], "department string"))
+    rows = find_names(find_names(ds.select("id", "question", "category"), home, "question", "employee", "_people"), known, "question", "department", "_named")
+    alone = rows.where("size(_people) = 1 and size(_named) > 0").withColumn("employee", F.get("_people", F.lit(0))).join(home, "employee")
+    foreign = alone.where(~F.arrays_overlap("_home", "_named")).select("id", F.lit("foreign_department").alias("problem"))
+    like = F.regexp_extract_all("question", F.lit("([\\x{4e00}-\\x{9fa5}]{1,6}部)(?!门)"))
+    strange = F.exists(like, lambda m: ~F.exists("_named", lambda d: F.contains(m, d)) & ~m.rlike(NO_DEPARTMENT))
+    invented = rows.where("category = 'data_query'").where(strange).select("id", F.lit("invented_department").alias("problem"))
+    return foreign.unionByName(invented)
 
 
 def backfill_keywords(ds: DataFrame, seed: DataFrame) -> DataFrame:

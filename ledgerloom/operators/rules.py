@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.kernels import cosine_top_k
+from ..functions.order import rank_in_groups
+from ..functions.patterns import find_names
 from .retrieval import nearest
 from .vector_index import VectorIndex
 
@@ -56,6 +58,27 @@ def in_force(rules: DataFrame, as_of: Column) -> DataFrame:
     return rules.where((F.col("effective_from").isNull() | (F.col("effective_from") <= as_of)) & (F.col("effective_until").isNull() | (F.col("effective_until") >= as_of)))
 
 
+def in_force_at(rules: DataFrame, questions: DataFrame, day: str = "as_of") -> DataFrame:
+    """Each question (with a date of its own) with each rule in force on that day; bounds are inclusive, null ones are open.
+
+    Days are counted from the first that is asked for. A rule's interval is cut into the fewest ranges of 1, 2, 4 ... aligned days,
+    two of a length at most, and a question's day lies in one range of each length, so the two meet by equality, once for
+    each pair. Open ends reach as far as the questions do. A question without a day meets no rule.
+    """
+    first, last = questions.agg(F.min(day), F.max(day)).first()
+    span = (last - first).days + 1 if first else 0
+    lengths = span.bit_length()
+    start = F.greatest(F.lit(0), F.coalesce(F.datediff("effective_from", F.lit(first)), F.lit(0)))
+    end = F.least(F.lit(span), F.coalesce(F.datediff("effective_until", F.lit(first)) + 1, F.lit(span)))
+    piece = lambda odd, at: f"if(s.a < s.b and {odd} % 2 = 1, array(struct(j as length, {at} as place)), array())"
+    ranges = f"""aggregate(sequence(0, {lengths}), struct(_a as a, _b as b, cast(array() as array<struct<length: int, place: int>>) as r),
+        (s, j) -> if(s.a < s.b, struct(shiftright(s.a + 1, 1) as a, shiftright(s.b, 1) as b, concat(s.r, {piece('s.a', 's.a')}, {piece('s.b', 's.b - 1')}) as r), s), s -> s.r)"""
+    cut = rules.withColumns({"_a": start, "_b": end}).where("_a < _b").withColumn("_r", F.explode(F.expr(ranges))).select(*rules.columns, F.col("_r.length").alias("_l"), F.col("_r.place").alias("_p"))
+    asked = questions.where(F.col(day).isNotNull()).withColumn("_d", F.datediff(day, F.lit(first)))
+    asked = asked.select(*questions.columns, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(lengths)), lambda j: F.call_function("shiftright", F.col("_d"), j))).alias("_l", "_p"))
+    return asked.join(cut, ["_l", "_p"]).drop("_l", "_p")
+
+
 def _pool(df: DataFrame) -> DataFrame:
     return df.withColumn("pool", F.concat_ws("\u0001", "scope", F.coalesce("department", F.lit("\u0002"))))
 
@@ -104,10 +127,14 @@ def apply_rules(rules: DataFrame, decisions: DataFrame, now: Column) -> DataFram
 
 
 def demote_over_quota(rules: DataFrame, quota: int = DEPARTMENT_QUOTA) -> DataFrame:
-    """Active department rules beyond the most recently used ``quota`` of their department become candidates."""
-    active = (F.col("scope") == "department") & (F.col("status") == "active")
-    rank = F.row_number().over(Window.partitionBy("department", active).orderBy(F.desc_nulls_last("last_accessed"), F.desc("id")))
-    return rules.withColumn("_r", rank).withColumn("status", F.when(active & (F.col("_r") > quota), "candidate").otherwise(F.col("status"))).drop("_r")
+    """Active department rules beyond the most recently used ``quota`` of their department become candidates.
+
+    Only those are ranked; a department that holds most of them is ranked over many tasks.
+    """
+    active = F.coalesce((F.col("scope") == "department") & (F.col("status") == "active"), F.lit(False))
+    placed = rank_in_groups(rules.where(active), ["department"], [F.desc_nulls_last("last_accessed"), F.desc("id")], "_r")
+    demoted = placed.withColumn("status", F.when(F.col("_r") > quota, "candidate").otherwise(F.col("status")))
+    return rules.where(~active).unionByName(demoted.select(rules.columns))
 
 
 def purge_candidates(rules: DataFrame, now: Column, days: int = CANDIDATE_DAYS, quota: int = CANDIDATE_QUOTA) -> DataFrame:
@@ -117,19 +144,28 @@ def purge_candidates(rules: DataFrame, now: Column, days: int = CANDIDATE_DAYS,
     return rules.where("status <> 'candidate'").unionByName(kept)
 
 
-def visible(rules: DataFrame, questions: DataFrame) -> DataFrame:
-    """(query_id, rule columns): active global rules, active rules of a department that the question names, and candidates of the question's own session.
+def visible_to_all(rules: DataFrame) -> DataFrame:
+    return rules.where("status = 'active' and scope = 'global'")
+
+
+def visible_to_some(rules: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, _q, rule columns): active rules of a department that the question names, and candidates of the question's own session.
 
-    Department rules meet questions through the distinct department names, candidates by session.
+    The names are found by one pass over each question; department rules then join on the name, candidates on the session.
     """
     asked = questions.select("query_id", F.col("session_id").alias("_session"), F.col("text").alias("_text"), F.col("embedding").alias("_q"))
-    active = rules.where("status = 'active'")
-    names = active.where("scope = 'department' and department is not null").select("department").distinct()
-    named = asked.join(F.broadcast(names), F.contains("_text", "department")).join(active.where("scope = 'department'"), "department") if names.count() <= 10_000 else asked.join(names, F.contains("_text", "department")).join(active.where("scope = 'department'"), "department")
+    local = rules.where("status = 'active' and scope = 'department' and department is not null")
+    named = find_names(asked, local, "_text", "department", "_names").withColumn("department", F.explode("_names")).join(local, "department")
     own = asked.join(rules.where("status = 'candidate'"), F.col("_session") == F.col("session_id"))
-    everyone = asked.join(active.where("scope = 'global'"), F.lit(True))
     cols = ["query_id", "_q", *rules.columns]
-    return everyone.select(cols).unionByName(named.select(cols)).unionByName(own.select(cols))
+    return named.select(cols).unionByName(own.select(cols))
+
+
+def visible_counts(rules: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, n): how many rules each question may use, those for all counted once."""
+    shared = visible_to_all(rules).count()
+    own = visible_to_some(rules, questions).groupBy("query_id").agg(F.count("*").alias("n"))
+    return questions.select("query_id").join(own, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) + shared).alias("n"))
 
 
 def recall_rules(questions: DataFrame, rules: DataFrame, as_of: Column, k: int = 3, floor: float = RECALL) -> DataFrame:
@@ -139,8 +175,8 @@ def recall_rules(questions: DataFrame, rules: DataFrame, as_of: Column, k: int =
     """
     current = in_force(rules, as_of)
     asked = questions.select("query_id", "embedding")
-    world = cosine_top_k(current.where("status = 'active' and scope = 'global'"), asked, k).select("query_id", "id", "similarity")
-    narrow = visible(current.where("not (status = 'active' and scope = 'global')"), questions)
+    world = cosine_top_k(visible_to_all(current), asked, k).select("query_id", "id", "similarity")
+    narrow = visible_to_some(current, questions)
     product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     cosine = product("_q", "embedding") / F.sqrt(product("_q", "_q") * product("embedding", "embedding"))
     rows = world.unionByName(narrow.select("query_id", "id", cosine.alias("similarity")))

@@ -44,7 +44,7 @@ query("chapter_counts", r"""with b as (select doc_id, list_filter(string_split(t
     lambda s, d: _loaded(s, d).select("file_name", F.explode(docs.split_headings("body")).alias("c")).groupBy("file_name").agg(F.count("*").alias("chapters"), F.sum(F.size("c.clauses")).cast("long").alias("clauses"))
 )
 query("clean_body")(lambda s, d: table(s, d, "documents").select("doc_id", docs.clean_body(F.concat(F.lit("\n---\n\n"), "text", F.lit("  \n\n\n\nend\n---\n"))).alias("body")))
-query("clause_no", "select doc_id, concat('第', doc_id % 30, '条') clause_no from documents")(lambda s, d: table(s, d, "documents").select("doc_id", docs.clause_no(F.expr("concat('第', doc_id % 30, '条 迟到')")).alias("clause_no")))
+query("clause_no", "select doc_id, case when doc_id % 4 <> 3 then concat('第', doc_id % 30, '条') else '' end clause_no from documents")(lambda s, d: table(s, d, "documents").select("doc_id", docs.clause_no(F.expr("concat(if(doc_id % 4 = 3, '见', ''), '第', doc_id % 30, '条 ', text)")).alias("clause_no")))
 query("split_sentences")(lambda s, d: table(s, d, "documents").select("doc_id", F.size(docs.split_sentences("text")).alias("n")))
 query("pack_paragraphs")(lambda s, d: table(s, d, "documents").select("doc_id", docs.pack_paragraphs(600)("text").alias("p")).selectExpr("doc_id", "size(p) n", "array_max(transform(p, x -> length(x))) longest"))
 query("chunk_documents")(lambda s, d: _chunks(s, d))
@@ -262,6 +262,9 @@ query("supersede_rules", f"""with {_DEC}, d2 as (select *, case when decision =
 query("demote_over_quota", f"with {_RSQL} select id, case when scope = 'department' and status = 'active' and row_number() over (partition by department, scope = 'department' and status = 'active' order by last_accessed desc, id desc) > 5 then 'candidate' else status end status from ru")(lambda s, d: rules.demote_over_quota(_rules(s, d), 5).select("id", "status"))
 query("purge_candidates", f"with {_RSQL} select id from ru where status <> 'candidate' union all (select id from ru where status = 'candidate' and last_accessed >= date '2024-06-30' - 90 order by last_accessed desc, id desc limit 20)")(lambda s, d: rules.purge_candidates(_rules(s, d), _day(), quota=20).select("id"))
 query("in_force", f"with {_RSQL} select id from fo")(lambda s, d: rules.in_force(_rules(s, d), _day()).select("id"))
+query("in_force_at", f"with {_RSQL}, q as (select vec_id query_id, date '2023-12-01' + (vec_id * 7 % 420)::int d from embeddings) select query_id, count(*) n, sum(id)::bigint ids from q join ru on (effective_from is null or effective_from <= d) and (effective_until is null or effective_until >= d) group by 1")(
+    lambda s, d: rules.in_force_at(_rules(s, d), table(s, d, "embeddings").selectExpr("vec_id query_id", "date_add(date '2023-12-01', cast(vec_id * 7 % 420 as int)) as_of")).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+)
 
 
 def _questions(s, d):
@@ -270,7 +273,7 @@ def _questions(s, d):
 
 _VIS = f"""{_RSQL}, qu as (select vec_id query_id, embedding, concat('what of D', vec_id % 3, '?') text, concat('s', vec_id % 13) session_id from embeddings where vec_id % 20 = 0),
  vi as (select query_id, r.id, qu.embedding qe, r.embedding re from qu join RULES r on (r.status = 'active' and r.scope = 'global') or (r.status = 'active' and r.scope = 'department' and contains(qu.text, r.department)) or (r.status = 'candidate' and r.session_id = qu.session_id))"""
-query("visible_rules", f"with {_VIS.replace('RULES', 'ru')} select query_id, count(*) n from vi group by 1")(lambda s, d: rules.visible(_rules(s, d), _questions(s, d)).groupBy("query_id").agg(F.count("*").alias("n")))
+query("visible_rules", f"with {_VIS.replace('RULES', 'ru')} select query_id, count(*) n from vi group by 1")(lambda s, d: rules.visible_counts(_rules(s, d), _questions(s, d)))
 _REC = f"""{_VIS.replace('RULES', 'fo')}, re as (select query_id, id, round(0.5 + list_dot_product(qe::double[], re::double[]) / sqrt(list_dot_product(qe::double[], qe::double[]) * list_dot_product(re::double[], re::double[])) / 2, 6) score from vi),
  rr as (select *, row_number() over (partition by query_id order by score desc, id) rank from re where score >= 0.6 qualify rank <= 3)"""
 

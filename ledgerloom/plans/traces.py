@@ -191,7 +191,7 @@ query("set_overlap", f"with {_DSQL} select md5(t) h from (select {_NQ} t from ds
 query("field_checks", f"with {_DSQL} select id, 'edge_with_intent' problem from ds where category = 'edge' and expected_intent <> '' union all select id, 'intent_differs' from ds where category <> 'edge' and expected_intent <> category union all select id, 'unknown_tool' from ds where id % 11 = 0 union all select id, 'keywords_missing' from ds where category in ('doc_query', 'hybrid') and id % 6 <> 0")(lambda s, d: ev.field_checks(_ds(s, d)))
 _EQ = "case doc_id % 4 when 0 then '张三在财务部的加班' when 1 then '张三在销售部的加班' when 2 then '火星部的业绩' else '销售部和财务部' end"
 query("entity_checks", "select doc_id id, case doc_id % 4 when 0 then 'foreign_department' else 'invented_department' end problem from documents where doc_id % 4 = 0 or (doc_id % 4 = 2 and doc_id % 3 = 0)")(
-    lambda s, d: ev.entity_checks(table(s, d, "documents").selectExpr("doc_id id", f"{_EQ} question", "if(doc_id % 3 = 0, 'data_query', 'hybrid') category"), s.createDataFrame([("张三", "销售部"), ("李四", "财务部")], "employee string, department string"))
+    lambda s, d: ev.entity_checks(table(s, d, "documents").selectExpr("doc_id id", f"concat({_EQ}, ' ', text) question", "if(doc_id % 3 = 0, 'data_query', 'hybrid') category"), s.createDataFrame([("张三", "销售部"), ("李四", "财务部")], "employee string, department string"))
 )
 query("backfill_keywords", "select doc_id id, case when doc_id % 4 = 0 then 'k' when doc_id % 4 = 1 then 'k' when doc_id % 4 = 2 and doc_id % 3 = 0 then 's' end keyword, (doc_id % 4 = 3 or (doc_id % 4 = 2 and doc_id % 3 <> 0)) and doc_id % 5 in (1, 2) gap from documents")(
     lambda s, d: ev.backfill_keywords(_ds(s, d), table(s, d, "documents").where("doc_id % 3 = 0 and doc_id % 4 <> 3").selectExpr("doc_id id", "array('s') keywords")).selectExpr("id", "keywords[0] keyword", "gap")
