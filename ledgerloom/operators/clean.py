@@ -7,6 +7,9 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.order import rank_in_groups
+from ..functions.quantiles import exact_percentiles
+
 KEY_WORDS = ("id", "编号", "日期", "date", "name", "姓名")
 DATE_WORDS = ("date", "日期", "时间")
 NOT_ANOMALOUS = "复核后判定为正常"
@@ -39,12 +42,15 @@ def _texts(df: DataFrame, cols: list[str] | None, skip: tuple[str, ...]) -> list
 def fill_missing(df: DataFrame, numeric: list[str] | None = None, categorical: list[str] | None = None, skip: tuple[str, ...] = ("batch_id", "record_index"), approx: bool = False, batch: str = "batch_id") -> DataFrame:
     """Median for numbers, most frequent value (the smallest of equals) for text, by batch; columns without values stay.
 
-    One aggregation for all columns. ``approx`` bounds the memory of a median over very many distinct values.
+    Medians are exact at any size of a batch; with ``approx`` they are values of the column, from one aggregation.
     """
     numeric, categorical = _numbers(df, numeric, skip), _texts(df, categorical, skip)
-    median = (lambda c: F.percentile_approx(c, 0.5)) if approx else F.median
-    stats = df.groupBy(batch).agg(*(median(c).alias(f"_fill_{c}") for c in numeric), *(F.mode(c, True).alias(f"_fill_{c}") for c in categorical)) if numeric or categorical else df.select(batch).distinct()
+    medians = [F.percentile_approx(c, 0.5).alias(f"_fill_{c}") for c in numeric] if approx else []
+    modes = [F.mode(c, True).alias(f"_fill_{c}") for c in categorical]
+    stats = df.groupBy(batch).agg(*medians, *modes) if medians or modes else df.select(batch).distinct()
     filled = df.join(stats, batch)
+    if numeric and not approx:
+        filled = filled.join(exact_percentiles(df, [batch], numeric, [0.5]).select(batch, *(F.get(c, F.lit(0)).alias(f"_fill_{c}") for c in numeric)), batch)
     return filled.select(*(F.coalesce(c, f"_fill_{c}").alias(c) if c in numeric or c in categorical else F.col(c) for c in df.columns))
 
 
@@ -60,11 +66,12 @@ def missing_stats(before: DataFrame, after: DataFrame, cols: list[str], batch: s
 def iqr_candidates(df: DataFrame, cols: list[str], index: str = "record_index", batch: str = "batch_id", digits: int = 2, approx: bool = False) -> DataFrame:
     """Values strictly outside Q1 - 1.5 IQR .. Q3 + 1.5 IQR of their batch and column; columns of IQR 0 are passed over.
 
-    Quartiles go back to the rows as one wide row for each batch, so only outliers become rows of their own. ``approx``
-    bounds the memory of quartiles over very many distinct values; they are then values of the column.
+    Quartiles go back to the rows as one wide row for each batch, so only outliers become rows of their own. They are exact
+    at any size of a batch; with ``approx`` they are values of the column, from one aggregation.
     """
-    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quarters = df.groupBy(batch).agg(*((F.percentile_approx(F.col(c).cast("double"), at) if approx else F.percentile(c, at)).alias(f"_q_{c}") for c in cols))
+    at = [0.25, 0.5, 0.75]
+    quarters = df.groupBy(batch).agg(*(F.percentile_approx(F.col(c).cast("double"), at).alias(c) for c in cols)) if approx else exact_percentiles(df, [batch], cols, at)
+    quarters = quarters.select(batch, *(F.col(c).alias(f"_q_{c}") for c in cols))
 
     def outlier(pos: int, c: str) -> Column:
         v, q = F.col(c).cast("double"), F.col(f"_q_{c}")
@@ -77,9 +84,9 @@ def iqr_candidates(df: DataFrame, cols: list[str], index: str = "record_index",
 
 
 def rank_candidates(candidates: DataFrame, size: int = 30, batch: str = "batch_id") -> DataFrame:
-    """Order by deviation (then column, then row) within the batch, and the review batch of ``size`` rows."""
-    order = Window.partitionBy(batch).orderBy(F.desc("deviation"), "col_pos", "record_index")
-    return candidates.withColumn("rank", F.row_number().over(order)).withColumn("review_batch", F.floor((F.col("rank") - 1) / size))
+    """Order by deviation (then column, then row) within the batch, of any size, and the review batch of ``size`` rows."""
+    ranked = rank_in_groups(candidates, [batch], [F.desc("deviation"), "col_pos", "record_index"])
+    return ranked.withColumn("rank", F.col("rank").cast("int")).withColumn("review_batch", F.floor((F.col("rank") - 1) / size))
 
 
 def severity_band(deviation: Column) -> Column:
@@ -87,10 +94,14 @@ def severity_band(deviation: Column) -> Column:
 
 
 def basic_stats(df: DataFrame, cols: list[str], batch: str = "batch_id", approx: bool = False) -> DataFrame:
-    """Mean, median, least and largest of each numeric column, rounded to one place; ``approx`` bounds the median's memory."""
-    middle = (lambda c: F.percentile_approx(c, 0.5)) if approx else F.median
-    long = df.select(batch, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in cols))).alias("x")).select(batch, "x.*").where("v is not null")
-    return long.groupBy(batch, "field").agg(*(F.round(f("v"), 1).alias(n) for n, f in (("mean", F.avg), ("median", middle), ("low", F.min), ("high", F.max))))
+    """Mean, median, least and largest of each numeric column, rounded to one place; with ``approx`` the median is a value of the column."""
+    long = lambda rows, value: rows.select(batch, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), value(c).alias("v")) for c in cols))).alias("x")).select(batch, "x.*").where("v is not null")
+    values = long(df, lambda c: F.col(c).cast("double"))
+    middle = [F.round(F.percentile_approx("v", 0.5), 1).alias("median")] if approx else []
+    out = values.groupBy(batch, "field").agg(F.round(F.avg("v"), 1).alias("mean"), *middle, F.round(F.min("v"), 1).alias("low"), F.round(F.max("v"), 1).alias("high"))
+    if not approx:
+        out = out.join(long(exact_percentiles(df, [batch], cols, [0.5]), lambda c: F.get(c, F.lit(0))).select(batch, "field", F.round("v", 1).alias("median")), [batch, "field"])
+    return out.select(batch, "field", "mean", "median", "low", "high")
 
 
 def judge_batches(ranked: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.order import rank_in_groups
 from ..functions.patterns import find_names
 from .routing import parse_model_json, question_hash
 
@@ -154,17 +155,18 @@ def signal_sweep(rows: DataFrame, signal: str, thresholds: list[float]) -> DataF
 
 
 def run_metrics(run: DataFrame) -> DataFrame:
-    """Accuracy, kinds of error, rule-path rows and latencies of each run; p90 is the value at place int(.9 n)."""
-    e, p = F.col("expected"), F.col("predicted")
-    order = Window.partitionBy("run").orderBy("latency_ms", "id")
-    n = F.count("*").over(Window.partitionBy("run"))
-    rows = run.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", n)
+    """Accuracy, kinds of error, rule-path rows and latencies of each run, of any size; p90 is the value at place int(.9 n)."""
+    e, p, v = F.col("expected"), F.col("predicted"), F.col("latency_ms")
+    sizes = run.groupBy("run").agg(F.count("*").alias("_n"), F.count("latency_ms").alias("_known"))
+    rows = rank_in_groups(run, ["run"], ["latency_ms", "id"], "_i").join(sizes, "run")  # rows without a latency come first
+    i, none = F.col("_i") - 1, F.col("_n") - F.col("_known")
+    low, high = (F.max(F.when(i == none + F.floor((F.col("_known") - d) / 2), v)) for d in (1, 0))
     return rows.groupBy("run").agg(
         F.count("*").alias("n"), F.round(F.avg((e == p).cast("int")), 6).alias("accuracy"),
-        *(F.round(F.avg(F.when(e == i, (e == p).cast("int"))), 6).alias(f"accuracy_{i}") for i in INTENTS),
+        *(F.round(F.avg(F.when(e == k, (e == p).cast("int"))), 6).alias(f"accuracy_{k}") for k in INTENTS),
         F.count_if((e != "hybrid") & (p == "hybrid")).alias("over_escalated"), F.count_if((e == "hybrid") & (p != "hybrid")).alias("missed_hybrid"),
         F.count_if((e == "doc_query") & (p == "data_query")).alias("doc_to_data"), F.count_if(F.col("path") == "rule").alias("rule_path"),
-        F.median("latency_ms").alias("median_ms"), F.max(F.when(F.col("_i") == F.floor(F.col("_n") * 0.9), F.col("latency_ms"))).alias("p90_ms"), F.max("latency_ms").alias("max_ms"),
+        ((low + high) / 2).alias("median_ms"), F.max(F.when(i == F.floor(F.col("_n") * 0.9), v)).alias("p90_ms"), F.max("latency_ms").alias("max_ms"),
     )
 
 

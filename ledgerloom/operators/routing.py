@@ -123,15 +123,22 @@ def question_hash(c: Column) -> Column:
 
 
 def compress_history(chat: DataFrame, recent: int = 8, each: int = 500, most: int = 3000, fallback: int = 200) -> DataFrame:
-    """For each session: the last ``recent`` messages, a transcript of older ones, and a stand-in summary of it."""
-    nth = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("created_at"), F.desc("id")))
+    """For each session: the last ``recent`` messages, a transcript of older ones, and a stand-in summary of it.
+
+    A line has five characters at least, so of the oldest messages only as many are gathered as ``most`` characters can hold; both
+    ends of a session are cut by rank before anything is shuffled, however long it is.
+    """
+    at = lambda *order: F.row_number().over(Window.partitionBy("session_id").orderBy(*order))
+    last = chat.withColumn("_n", at(F.desc("created_at"), F.desc("id"))).where(F.col("_n") <= recent)
     said = F.concat(F.when(F.col("role") == "user", "用户: ").otherwise("助手: "), F.substring(F.trim("content"), 1, each))
-    rows = chat.withColumn("_n", nth).withColumn("_t", F.when((F.col("_n") > recent) & (F.trim("content") != ""), said))
-    line = F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("created_at", "id", "_t"))))
-    out = rows.groupBy("session_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_n") <= recent, F.struct("created_at", "id", "role", "content")))).alias("recent"),
-        F.substring(F.array_join(F.transform(line, lambda x: x["_t"]), "\n"), 1, most).alias("transcript"),
-    )
+    first = chat.where(F.trim("content") != "").withColumn("_n", at("created_at", "id")).where(F.col("_n") <= most // 5 + 1 + recent).select("session_id", "created_at", "id", said.alias("_t"))
+    same = F.expr("a.session_id <=> b.session_id and a.created_at <=> b.created_at and a.id <=> b.id")
+    older = first.alias("a").join(last.select("session_id", "created_at", "id").alias("b"), same, "left_anti")
+    before = F.coalesce(F.sum(F.length("_t") + 1).over(Window.partitionBy("session_id").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    older = older.withColumn("_before", before).where(F.col("_before") <= most)
+    lines = older.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "_t"))).alias("_l")).select(F.col("session_id").alias("_s"), F.substring(F.array_join(F.transform("_l", lambda x: x["_t"]), "\n"), 1, most).alias("transcript"))
+    out = last.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "role", "content"))).alias("recent"))
+    out = out.join(lines, F.col("session_id").eqNullSafe(F.col("_s")), "left").select("session_id", "recent", F.coalesce("transcript", F.lit("")).alias("transcript"))
     return out.withColumn("summary", F.when(F.length("transcript") > fallback, F.concat(F.substring("transcript", 1, fallback), F.lit("……"))).otherwise(F.col("transcript")))
 
 

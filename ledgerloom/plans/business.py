@@ -69,9 +69,10 @@ query("missing_stats", f"""with {_FILL}, b as (select batch_id, count(*) as rows
 query("iqr_candidates", f"with {_IQR} select batch_id, record_index, field, col_pos, round(value, 6) as value, round(q1, 6) q1, round(q3, 6) q3, round(iqr, 6) iqr, deviation from cand")(
     lambda s, d: clean.iqr_candidates(_filled(s, d), NUM).selectExpr("batch_id", "record_index", "field", "col_pos", "round(value, 6) value", "round(q1, 6) q1", "round(q3, 6) q3", "round(iqr, 6) iqr", "deviation")
 )
-query("iqr_orders", """with q as (select quantile_cont(o_totalprice, 0.25) a, median(o_totalprice) m, quantile_cont(o_totalprice, 0.75) b, o_orderpriority p from orders group by p)
- select p batch_id, o_orderkey record_index, 'o_totalprice' field, 0 col_pos, o_totalprice as value, round(a, 4) q1, round(b, 4) q3, round(b - a, 4) iqr, round(abs(o_totalprice - m) / (b - a), 2) deviation from orders join q on p = o_orderpriority where o_totalprice < a - 1.5 * (b - a) or o_totalprice > b + 1.5 * (b - a)""")(
-    lambda s, d: clean.iqr_candidates(table(s, d, "orders").selectExpr("o_orderpriority batch_id", "o_orderkey record_index", "o_totalprice"), ["o_totalprice"]).selectExpr("batch_id", "record_index", "field", "col_pos", "value", "round(q1, 4) q1", "round(q3, 4) q3", "round(iqr, 4) iqr", "deviation")
+# powers of prices, so that large ones stand out
+query("iqr_orders", """with o as (select o_orderpriority p, o_orderkey, (o_totalprice * o_totalprice / 1000000) * (o_totalprice * o_totalprice / 1000000) v from orders), q as (select quantile_cont(v, 0.25) a, median(v) m, quantile_cont(v, 0.75) b, p from o group by p)
+ select p batch_id, o_orderkey record_index, 'v' field, 0 col_pos, v as value, round(a, 4) q1, round(b, 4) q3, round(b - a, 4) iqr, round(abs(v - m) / (b - a), 2) deviation from o join q using (p) where v < a - 1.5 * (b - a) or v > b + 1.5 * (b - a)""")(
+    lambda s, d: clean.iqr_candidates(table(s, d, "orders").selectExpr("o_orderpriority batch_id", "o_orderkey record_index", "(o_totalprice * o_totalprice / 1000000) * (o_totalprice * o_totalprice / 1000000) v"), ["v"]).selectExpr("batch_id", "record_index", "field", "col_pos", "value", "round(q1, 4) q1", "round(q3, 4) q3", "round(iqr, 4) iqr", "deviation")
 )
 query("review_batches", f"with {_IQR} select batch_id, record_index, field, rank, (rank - 1) // 30 review_batch, case when deviation >= 3 then 'extreme' when deviation >= 2 then 'high' when deviation >= 1.5 then 'medium' else 'low' end severity from rk")(
     lambda s, d: _ranked(s, d).select("batch_id", "record_index", "field", "rank", "review_batch", clean.severity_band(F.col("deviation")).alias("severity"))

@@ -63,11 +63,19 @@ query("land_raw", "select 2 source_id, 'batch_1_2' batch_id, o_orderkey source_r
 )
 
 
+@query("land_raw_numbered", "select row_number() over (order by o_orderkey) - 1 source_row_index, cast(o_orderkey as varchar) k from orders")
+def _numbered(s, d):
+    """A source of several files, numbered in the order of the files and of their rows."""
+    path = scratch(s)
+    table(s, d, "orders").select("o_orderkey", "o_orderpriority").repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey").write.csv(path, header=True)
+    return landing.land_raw(readers.read_csv_source(s, path, schema="o_orderkey long, o_orderpriority string"), 3, "batch_1_3").selectExpr("source_row_index", "raw_data['o_orderkey'] k")
+
+
 @query("collect_batch", "select 1 source_id, 'active' status, (select count(*) from orders) as rows, false failed union all select 2, 'error', 0, true union all select 3, 'active', (select count(*) from customer), false union all select 4, 'error', 0, true")
 def _collect(s, d):
     jobs = [{"id": 1, "source_type": "parquet", "path": f"{d}/orders.parquet"}, {"id": 2, "source_type": "parquet", "path": f"{d}/absent.parquet"}, {"id": 3, "source_type": "parquet", "path": f"{d}/customer.parquet"}, {"id": 4, "source_type": "xlsx", "path": "x"}]
     path = scratch(s)
-    return landing.collect_batch(s, jobs, readers.load_source, lambda df: df.write.mode("append").partitionBy("batch_id").parquet(path), "20240101").select("source_id", "status", "rows", F.col("message").isNotNull().alias("failed"))
+    return landing.collect_batch(s, jobs, readers.load_source, lambda df, batch: df.drop("batch_id").write.parquet(f"{path}/batch_id={batch}"), "20240101").select("source_id", "status", "rows", F.col("message").isNotNull().alias("failed"))
 
 
 query("collect_totals", "select 4::bigint sources, 2::bigint succeeded, (select count(*) from orders) + (select count(*) from customer) as rows")(lambda s, d: landing.collect_totals(QUERIES["collect_batch"](s, d)))
@@ -139,6 +147,18 @@ _MAPS = ["event_id id", "user_id source_id", "map('a', event_type) mapping_data"
 query("latest_mapping", "select source_id, id, manual_reviewed from (select user_id source_id, event_id id, event_id % 3 = 0 manual_reviewed, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events) where rn = 1")(
     lambda s, d: align.latest_mapping(table(s, d, "events").selectExpr(*_MAPS)).select("source_id", "id", "manual_reviewed")
 )
+@query("assert_reviewed_blocks", "select count(*) filter (not ok) > 0 blocked, count(*) sources from (select user_id, max_by(event_id % 3 = 0, ts) ok from events group by 1)")
+def _blocks(s, d):
+    """All mappings, of which many are not reviewed, so the batch does not go on."""
+    maps = table(s, d, "events").selectExpr(*_MAPS)
+    try:
+        align.assert_reviewed(maps)
+        blocked = False
+    except ValueError:
+        blocked = True
+    return align.latest_mapping(maps).agg(F.lit(blocked).alias("blocked"), F.count("*").alias("sources"))
+
+
 query("assert_reviewed", "select user_id source_id, max_by(event_id, ts) id from events where event_id % 3 = 0 group by 1")(lambda s, d: align.assert_reviewed(table(s, d, "events").where("event_id % 3 = 0").selectExpr(*_MAPS)).select("source_id", "id"))
 query("review_mapping", "select event_id id, event_id % 3 = 0 or event_id % 5 = 0 manual_reviewed from events")(
     lambda s, d: align.review_mapping(table(s, d, "events").selectExpr(*_MAPS), table(s, d, "events").where("event_id % 5 = 0").selectExpr("event_id id")).select("id", "manual_reviewed")

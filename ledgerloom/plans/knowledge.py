@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import documents as docs, retrieval, rules, vector_index
+from ..functions.scratch import scratch
+from ..operators import documents as docs, retrieval, rules, snapshots, vector_index
 from .adapters import table
 
 QUERIES, ORACLE = {}, {}
@@ -105,6 +106,20 @@ def _apply(s, d):
     return docs.apply_index(old, rebuilt, diff)[0]
 
 
+@query("snapshot_refresh", "select cast(vec_id as varchar) chunk_key, 'v' || case when vec_id % 3 = 0 then case when vec_id % 7 = 0 then 3 else 2 end else case when vec_id % 7 = 0 then 3 else 1 end end made, vec_id % 7 <> 0 reused from embeddings")
+def _refresh(s, d):
+    """Two refreshes of a stored index: the vectors of chunks whose text stays are taken from the version before."""
+    root = scratch(s)
+    texts = lambda n: table(s, d, "embeddings").selectExpr("cast(vec_id % 50 as string) file_name", "cast(vec_id as string) chunk_key", f"md5(concat(vec_id, if({n} >= 2 and vec_id % 3 = 0, 'b', 'a'), if({n} >= 3 and vec_id % 7 = 0, 'c', ''))) content_hash")
+    made, at = lambda n: F.array(F.lit(float(n))), lambda n: F.lit(f"2024-01-0{n}").cast("timestamp")
+    first = texts(1).withColumns({"embedding": made(1), "created_at": at(1), "updated_at": at(1)})
+    snapshots.swap(s, root, snapshots.write_version(first, root, ["file_name", "chunk_key"], 8))
+    for n in (2, 3):
+        planned = docs.plan_reuse(texts(n), snapshots.read_version(s, root), at(n))
+        snapshots.swap(s, root, snapshots.write_version(planned.withColumn("embedding", F.coalesce("embedding", made(n))), root, ["file_name", "chunk_key"], 8))
+    return snapshots.read_version(s, root).selectExpr("chunk_key", "concat('v', cast(embedding[0] as int)) made", "reused")
+
+
 query("live_filter", f"select concat('doc_', doc_id, '.md') file_name from documents where coalesce({_DATE}, date '1900-01-01') <= date '2020-06-30'")(lambda s, d: docs.live(_loaded(s, d), F.lit("2020-06-30").cast("date")).select("file_name"))
 query("document_stats", "select source doc_title, count(*) chunks from documents group by 1 union all select '全部', count(*) from documents")(lambda s, d: docs.document_stats(table(s, d, "documents").withColumnRenamed("source", "doc_title")))
 query("corpus", "select doc_id id, source from documents")(lambda s, d: docs.corpus(table(s, d, "documents").selectExpr("doc_id id", "source")))
@@ -240,10 +255,10 @@ _NEW = "nw as (select id + 10000000 id, content, list_reverse(embedding) embeddi
 _NEAR = f"""{_RSQL}, {_NEW}, ne as (select q.id, q.content, q.scope, q.department, e.id old_id, e.content old_content, round(0.5 + ({_DOT}) / 2, 6) score, row_number() over (partition by q.id order by round({_DOT}, 9) desc, e.id) rn from nw q join fo e on q.scope = e.scope and q.department is not distinct from e.department qualify rn = 1)"""
 _DEC = f"""{_NEAR}, de as (select *, case when score + 0.2 >= 0.9 and content = old_content then 'touch' when score + 0.2 >= 0.95 then 'supersede' when score + 0.2 >= 0.9 and id % 40 = 0 then 'supersede' else 'new' end decision from ne)"""
 query("rule_hints", "select conv_id, turn, turn % 3 = 0 hint from conversations")(lambda s, d: table(s, d, "conversations").select("conv_id", "turn", rules.has_rule_hint(F.expr("concat(text, if(turn % 3 = 0, ' 记住这个', ''))")).alias("hint")))
-_LINES = "concat('- 通用|', left(replace(text, '|', ' '), 20), '\n', case turn % 4 when 0 then '部门:销售部| 按签约额算' when 1 then '会话|本次只统计' when 2 then '部门:|x' else '无' end, '\n* plain ', turn, '\n\n部门:财务|') text"
-query("parse_rule_lines", """select conv_id, turn, 'global' as scope, null department, trim(regexp_replace(left(replace(text, '|', ' '), 20), chr(10) || '[^z]*', '')) content, 0 line_no from conversations where false
- union all select conv_id, turn, 'department', '销售部', '按签约额算', 1 from conversations where turn % 4 = 0 union all select conv_id, turn, 'global', null, 'x', 1 from conversations where turn % 4 = 2 union all select conv_id, turn, 'global', null, concat('plain ', turn), 2 from conversations""")(
-    lambda s, d: rules.parse_rule_lines(table(s, d, "conversations").selectExpr("conv_id", "turn", _LINES.replace("left(replace(text, '|', ' '), 20)", "''").replace("通用|", "通用| "))).select("conv_id", "turn", "scope", "department", "content", "line_no")
+_LINES = "concat('- 通用|', translate(text, '\\n|', '  '), '\\n', case turn % 4 when 0 then '部门:销售部| 按签约额算' when 1 then '会话|本次只统计' when 2 then '部门:|x' else '无' end, '\\n* plain ', turn, '\\n\\n部门:财务|') text"
+query("parse_rule_lines", """select conv_id, turn, 'global' as scope, null department, md5(trim(translate(text, chr(10) || '|', '  '))) content, 0 line_no from conversations where trim(translate(text, chr(10) || '|', '  ')) <> ''
+ union all select conv_id, turn, 'department', '销售部', md5('按签约额算'), 1 from conversations where turn % 4 = 0 union all select conv_id, turn, 'global', null, md5('x'), 1 from conversations where turn % 4 = 2 union all select conv_id, turn, 'global', null, md5(concat('plain ', turn)), 2 from conversations""")(
+    lambda s, d: rules.parse_rule_lines(table(s, d, "conversations").selectExpr("conv_id", "turn", _LINES)).select("conv_id", "turn", "scope", "department", F.md5("content").alias("content"), "line_no")
 )
 query("admit_rules", "select item_id, case when item_id % 3 = 1 then 'D' end department from benchmark where item_id % 5 <> 0 and item_id % 3 <> 2")(
     lambda s, d: rules.admit_rules(table(s, d, "benchmark").selectExpr("item_id", "if(item_id % 5 = 0, '  ', text) content", "case item_id % 3 when 0 then 'global' else 'department' end scope", "if(item_id % 3 = 1, ' D ', ' ') department")).select("item_id", "department")

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from threading import Thread
 
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from ..functions.order import number_rows
+
 
 def land_raw(df: DataFrame, source_id: int, batch_id: str, index_col: str | None = None) -> DataFrame:
     """Rows as payload maps with batch, source and their place in the source; NaN counts as null.
 
-    Without ``index_col`` the place is unique and rising in the source's order, but has gaps between partitions.
+    Without ``index_col`` the places are 0 to n - 1 in the order of the source's files and of the rows in them.
     """
-    index = F.col(index_col).cast("long") if index_col else F.monotonically_increasing_id()
+    if not index_col:
+        index_col = "_row_index"
+        df = number_rows(df, index_col)
+    index = F.col(index_col).cast("long")
     clean = lambda c, t: F.nanvl(F.col(f"`{c}`"), F.lit(None)).cast("string") if t in ("double", "float") else F.col(f"`{c}`").cast("string")
     pairs = [x for c, t in df.dtypes if c != index_col for x in (F.lit(c), clean(c, t))]
     return df.select(F.lit(source_id).alias("source_id"), F.lit(batch_id).alias("batch_id"), index.alias("source_row_index"), F.create_map(*pairs).alias("raw_data"), F.lit("raw").alias("status"))
@@ -36,17 +44,46 @@ def write_documents(docs: DataFrame, path: str) -> int:
     return docs.select("file_name", "text").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def collect_batch(spark: SparkSession, sources: Iterable[dict], load: Callable[[SparkSession, dict], DataFrame], write: Callable[[DataFrame], None], stamp: str) -> DataFrame:
-    """Lands each source; one that fails does not stop the rest. A row for each source, with its count or error."""
-    out = []
-    for source in sources:
+def collect_batch(spark: SparkSession, sources: Iterable[dict], load: Callable[[SparkSession, dict], DataFrame], write: Callable[[DataFrame, str], None], stamp: str, at_once: int = 8, seconds: float = 3600) -> DataFrame:
+    """Lands the sources, ``at_once`` at a time; one that fails or hangs does not stop the rest. A row for each source, with its count or error.
+
+    write: gets the rows of a batch and its name, and writes to a folder of that batch alone, as sources are written at once.
+    A source that takes longer than ``seconds`` is given up: its jobs, which carry a tag of its own, are cancelled, its place goes
+    to the next source, and it writes nothing any more if it comes back.
+    """
+    sc = spark.sparkContext
+    waiting, running, out, lost = list(enumerate(sources)), {}, {}, set()
+
+    def land(k: int, source: dict, tag: str) -> None:
+        batch = f"batch_{stamp}_{source['id']}"
         try:
+            sc.addJobTag(tag)
             counted = Observation()
-            write(land_raw(load(spark, source), source["id"], f"batch_{stamp}_{source['id']}").observe(counted, F.count("*").alias("n")))
-            out.append((source["id"], f"batch_{stamp}_{source['id']}", "active", counted.get["n"], None))
+            landed = land_raw(load(spark, source), source["id"], batch).observe(counted, F.count("*").alias("n"))
+            if tag not in lost:
+                write(landed, batch)
+                found = (source["id"], batch, "active", counted.get["n"], None)
         except Exception as error:  # reported, not swallowed
-            out.append((source["id"], None, "error", 0, f"{type(error).__name__}: {str(error)[:200]}"))
-    return spark.createDataFrame(out, "source_id int, batch_id string, status string, rows long, message string")
+            found = (source["id"], None, "error", 0, f"{type(error).__name__}: {str(error)[:200]}")
+        if tag not in lost:
+            out[k] = found
+
+    while waiting or running:
+        while waiting and len(running) < at_once:
+            k, source = waiting.pop(0)
+            tag = f"collect_{uuid.uuid4().hex}"
+            running[k] = (Thread(target=land, args=(k, source, tag), daemon=True), source, tag, time.monotonic() + seconds)
+            running[k][0].start()
+        for k, (thread, source, tag, end) in list(running.items()):
+            if not thread.is_alive():
+                del running[k]
+            elif time.monotonic() > end:
+                lost.add(tag)
+                sc.cancelJobsWithTag(tag)
+                out[k] = (source["id"], None, "error", 0, f"TimeoutError: not done after {seconds} seconds")
+                del running[k]
+        time.sleep(0.02)
+    return spark.createDataFrame([out[k] for k in sorted(out)], "source_id int, batch_id string, status string, rows long, message string")
 
 
 def collect_totals(results: DataFrame) -> DataFrame:
