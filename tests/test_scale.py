@@ -13,7 +13,8 @@ from ledgerloom.functions.patterns import find_names
 from ledgerloom.functions.quantiles import exact_percentiles
 from ledgerloom.functions.scratch import scratch
 from ledgerloom.operators import evaluation, routing, rules, snapshots
-from ledgerloom.sources import landing
+from ledgerloom.sources import landing, readers
+from ledgerloom.sources.delimited import raw_lines
 
 
 def test_fifty_thousand_names(spark):
@@ -159,3 +160,37 @@ def test_a_long_session_is_cut_before_it_is_gathered(spark):
     assert got == {s: plain([x for x in rows if x[0] == s], 4, 20, 300) for s in ("long", "short", "blank")}
     plan = routing.compress_history(chat, 4, 20, 300)._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "gbk", "latin-1"])
+def test_quoted_line_breaks_over_pieces_of_files(spark, tmp_path, encoding):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice({"utf-8": "数据é ,", "gbk": "数据 ,\"", "latin-1": "éü ,"}[encoding]) for _ in range(r.randint(0, 6)))
+    want = []
+    for f in range(3):
+        rows = [(str(f * 1000 + i), "\n".join(word() for _ in range(r.choice([1, 1, 1, 4]))) or "x", "e" + word()) for i in range(400)]
+        want += [x for x in rows]
+        text = 'a "title\nof two lines, odd quote\n' + "编号,内容,z\r\n".replace("编号,内容", "编号,内容" if encoding != "latin-1" else "k,v")
+        for x in rows:
+            text += ",".join('"' + v.replace('"', '""') + '"' for v in x) + r.choice(["\n", "\r\n", "\n\n"])
+        (tmp_path / f"{f}.csv").write_bytes(text.encode(encoding))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+    before = spark.conf.get("spark.sql.legacy.javaCharsets", None)
+    try:
+        df = readers.read_csv_source(spark, str(tmp_path), skip_rows=2)
+        assert raw_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 5
+        got = sorted(tuple(x) for x in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted(want) and df.columns[2] == "z"
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", None) == before
+
+
+def test_sources_without_a_header_or_with_several(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x\n\n")
+    with pytest.raises(ValueError, match="no header"):
+        readers.read_csv_source(spark, str(tmp_path / "a.csv"), skip_rows=1)
+    (tmp_path / "b.csv").write_text("l\nk,v\n1,2\n")
+    (tmp_path / "c.csv").write_text("l\nk,w\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        readers.read_csv_source(spark, str(tmp_path / "[bc].csv"), skip_rows=1)
