@@ -137,13 +137,12 @@ def join_signals(rows: DataFrame, log: DataFrame, start: Column) -> DataFrame:
 
 
 def signal_separation(rows: DataFrame, signals: tuple[str, ...] = ("p_top", "label_mass", "margin")) -> DataFrame:
-    """Upper median of each signal on wrong and on right rows, and the difference (rank-based, without gathering the values)."""
+    """Upper median of each signal on wrong and on right rows, and the difference; places are counted by ranges of values, over many tasks."""
     long = rows.select(F.col("correct"), F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).alias("v")) for s in signals))).alias("x")).select("correct", "x.*").where("v is not null")
-    counts = long.groupBy("signal", "correct", "v").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("signal", "correct").orderBy("v")
-    upto = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy("signal", "correct")))
-    mid = upto.where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("signal", "correct").agg(F.min("v").alias("m"))
-    out = mid.groupBy("signal").agg(F.max(F.when(~F.col("correct"), F.col("m"))).alias("wrong"), F.max(F.when(F.col("correct"), F.col("m"))).alias("right"))
+    sizes = long.groupBy("signal", "correct").agg(F.count("*").alias("n"))
+    placed = rank_in_groups(long, ["signal", "correct"], ["v"], "place").join(sizes, ["signal", "correct"])  # equal values may stand in any order
+    middle = placed.where(F.col("place") == F.floor(F.col("n") / 2) + 1)
+    out = middle.groupBy("signal").agg(F.max(F.when(~F.col("correct"), F.col("v"))).alias("wrong"), F.max(F.when(F.col("correct"), F.col("v"))).alias("right"))
     return out.withColumn("difference", F.round(F.col("right") - F.col("wrong"), 6))
 
 

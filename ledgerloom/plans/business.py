@@ -96,11 +96,12 @@ def _judge(rows):
 query("mark_anomalies", f"with {_MARK} select batch_id, record_index, is_anomaly, anomaly_status, anomaly_reason from mk")(
     lambda s, d: clean.mark_anomalies(_filled(s, d), _verdicts(s, d)).select("batch_id", "record_index", "is_anomaly", "anomaly_status", "anomaly_reason")
 )
-query("pipeline_log", f"""with {_VERD}, w as (select a.batch_id, n, m, missing_before, coalesce(confirmed, 0) confirmed from (select batch_id, count(*) n from att group by 1) a
- join (select batch_id, count(*) m, sum((emp is null)::int + (dt is null)::int + (hrs is null)::int + (late is null)::int) missing_before from dd group by 1) b using (batch_id)
- left join (select batch_id, count(*) filter (is_anomaly and not pending_review) confirmed from vd group by 1) c using (batch_id))
- select batch_id, 'dedup' step_name, n input_count, m output_count, n - m affected_count from w union all select batch_id, 'fill_missing', m, m, missing_before::bigint from w union all select batch_id, 'anomaly_detect', m, m, confirmed from w""")(
-    lambda s, d: clean.pipeline_log(attendance(s, d), _deduped(s, d), clean.missing_stats(_deduped(s, d), _filled(s, d), NUM + CAT).select("batch_id", "missing_before", "missing_after"), _ranked(s, d), _verdicts(s, d)).drop("details")
+query("pipeline_log", f"""with {_VERD}, w as (select a.batch_id, n, m, missing_before, coalesce(confirmed, 0) confirmed, coalesce(degraded, 0) degraded, coalesce(candidates, 0) candidates, coalesce(batches, 0) batches from (select batch_id, count(*) n from att group by 1) a
+ join (select batch_id, count(*) m, sum((emp is null)::int + (dt is null)::int + (hrs is null)::int + (late is null)::int)::bigint missing_before from dd group by 1) b using (batch_id)
+ left join (select batch_id, count(*) filter (is_anomaly and not pending_review) confirmed, count(distinct (seq - 1) // 30) filter (pending_review) degraded, count(*) candidates, count(distinct (seq - 1) // 30) batches from vd group by 1) c using (batch_id))
+ select batch_id, 'dedup' step_name, n input_count, m output_count, n - m affected_count, concat('n=', n) details from w union all select batch_id, 'fill_missing', m, m, missing_before, concat('missing_after=0,missing_before=', missing_before) from w
+ union all select batch_id, 'anomaly_detect', m, m, confirmed, concat('batches=', batches, ',candidates=', candidates, ',confirmed=', confirmed, ',degraded=', degraded) from w""")(
+    lambda s, d: clean.pipeline_log(attendance(s, d), _deduped(s, d), clean.missing_stats(_deduped(s, d), _filled(s, d), NUM + CAT).select("batch_id", "missing_before", "missing_after"), _ranked(s, d), _verdicts(s, d)).withColumn("details", F.expr("array_join(array_sort(transform(map_entries(details), e -> concat(e.key, '=', e.value))), ',')"))
 )
 query("batch_date_range", f"with {ATT} select batch_id, concat(min(replace(dt, '/', '-')), ' ~ ', max(replace(dt, '/', '-'))) date_range from att group by 1")(lambda s, d: clean.batch_date_range(attendance(s, d)))
 query("clean_summary", f"""with {_MARK} select a.batch_id, input_count, output_count, anomaly_count, pending_count from (select batch_id, count(*) input_count from att group by 1) a
