@@ -194,3 +194,13 @@ def test_sources_without_a_header_or_with_several(spark, tmp_path):
     (tmp_path / "c.csv").write_text("l\nk,w\n1,2\n")
     with pytest.raises(ValueError, match="different headers"):
         readers.read_csv_source(spark, str(tmp_path / "[bc].csv"), skip_rows=1)
+
+
+def test_scratch_is_removed_on_request(spark, monkeypatch):
+    from ledgerloom.functions import scratch as space
+
+    monkeypatch.setattr(space, "_GIVEN", [])
+    kept = space.cut(spark.range(10))
+    assert kept.count() == 10 and space.release(spark) == 1 and space.release(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.exist|no such file|path"):
+        kept.count()
