@@ -24,8 +24,8 @@ from .common import id_text
 
 SCHEMA = "doc_id long, ids array<int>, decoded binary"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
-#: Distinct pieces whose ids a task remembers.
-MEMORY = 1 << 18
+#: Distinct pieces whose ids a task remembers, and characters of the longest of them.
+MEMORY, LONGEST = 1 << 18, 64
 
 
 class Vocabulary(dict):
@@ -42,6 +42,8 @@ class Vocabulary(dict):
         self.iter = regex.compile(pattern).finditer
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(piece) > LONGEST:
+            return tuple(self.merge(piece))
         if len(self) >= MEMORY:
             self.clear()
         ids = self[piece] = tuple(self.merge(piece))
@@ -105,7 +107,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str | None = None, pattern:
     """doc_id, ids and decoded (the bytes of the ids) of each row with an id.
 
     Texts of ``chunk`` characters or fewer are encoded at once, longer ones chunk by chunk. Null and empty texts have no
-    tokens. Special tokens are not known: their names are ordinary text. Tasks read the vocabulary from the installed package.
+    tokens; rows that share an id are encoded each. Special tokens are not known: their names are ordinary text. Tasks read the vocabulary from the installed package.
     """
     if vocabulary_path is None or pattern is None:
         import public_tokenizers

@@ -7,8 +7,6 @@ empty texts.
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -16,6 +14,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.scratch import cut, scratch
+
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(WHITE)] = False
@@ -37,25 +37,6 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id is not null")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared checkpoint folder; a local one is set only where the cluster names none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later stages survive lost executors without recomputing it."""
-    spark = df.sparkSession
-    path, schema = scratch(spark), df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 #: Buckets of a table; Spark takes no more than 100,000. Beyond that a bucket holds several parts, met one after another.
 BUCKETS = 50_000
 

@@ -98,7 +98,8 @@ def admitted(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta:
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, strata_bound: int = 10_000) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and failed_rules for each row with an id.
 
-    Null and empty texts have no words and fail the base rules. A stratum without admitted cutoffs rejects by base rules alone.
+    Null and empty texts have no words and fail the base rules; a text of any length is measured whole within its row; rows
+    that share an id are judged each, and are good documents together if any label of the id says so. A stratum without admitted cutoffs rejects by base rules alone.
     """
     measured = cut(measures(docs))
     limits = cut(admitted(measured, labels, alpha, delta).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits")))

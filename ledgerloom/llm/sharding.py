@@ -76,7 +76,8 @@ def minimax_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law (bytes), shard, slot and grown_shard (null) for each row with an id.
 
     Null texts count as empty ones (size 1). Equal texts share a shard; slots run from 0 in each shard without a gap.
-    With fewer groups than shards, some shards stay empty.
+    With fewer groups than shards, some shards stay empty. A text of any length is an item of its size, which may be most of a
+    shard; rows that share an id each have a slot.
     """
     spark = docs.sparkSession
     sized = cut(id_text(docs).selectExpr("doc_id", "cast(octet_length(text) + 1 as long) size", "crc32(text) text_crc32", "md5(text) text_key"))

@@ -76,3 +76,10 @@ def test_merging_equals_a_plain_loop(spark):
                 memo[piece] = [v.rank[own]] if own in v.rank else merged(own, v.rank)
             ids += memo[piece]
         assert r.ids == ids and bytes(r.decoded).decode() == known[r.doc_id]
+
+
+def test_long_pieces_are_not_remembered():
+    v = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    v.clear()
+    long = "ab" * 5000
+    assert bpe.decode(bpe.encode([long, " word"], v), v) == (long + " word").encode() and set(v) == {" word"}
