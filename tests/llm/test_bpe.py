@@ -6,7 +6,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from ledgerloom.llm.bpe import digests, encode_decode, stitch, vocabulary
+from ledgerloom.llm.bpe import decode, digests, encode, encode_decode, stitch, vocabulary
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 
@@ -79,7 +79,7 @@ def test_merging_equals_a_plain_loop(spark):
 
 
 def test_long_pieces_are_not_remembered():
-    v = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    v = vocabulary(PATH, P.PATTERN)
     v.clear()
     long = "ab" * 5000
-    assert bpe.decode(bpe.encode([long, " word"], v), v) == (long + " word").encode() and set(v) == {" word"}
+    assert decode(encode([long, " word"], v), v) == (long + " word").encode() and set(v) == {" word"}
