@@ -178,7 +178,7 @@ _ASK = "regexp_replace(trim(question), '[？?]+$', '')"
 query("dataset_qa", f"with {_DSQL} select 'id_gaps' \"check\", max(id) - min(id) + 1 - count(distinct id) n from ds union all select 'repeated', count(*) - count(distinct {_ASK}) from ds union all select 'too_short', count(*) filter (length(trim(question)) < 12) from ds union all select 'too_long', count(*) filter (length(trim(question)) > 14) from ds")(lambda s, d: ev.dataset_qa(_ds(s, d), 12, 14))
 query("dataset_fix", f"with {_DSQL}, f as (select {_ASK} a, min(id) old from ds group by 1) select old, row_number() over (order by old) id from f")(lambda s, d: ev.dataset_fix(_ds(s, d).withColumn("old", F.col("id"))).select("old", "id"))
 query("variant_drift", "with v as (select doc_id id, doc_id - 1 origin, concat('n', doc_id % 8) question, concat('n', (doc_id - 1) % 6, ' A') original from documents where doc_id % 4 = 1) select id, origin, case when not contains(question, ((id - 1) % 6)::varchar) then 'number_lost' else 'entity_lost' end reason from v where true")(
-    lambda s, d: ev.variant_drift(table(s, d, "documents").selectExpr("doc_id id", "if(doc_id % 4 = 1, concat('variant_of_', doc_id - 1), 'original_1') source", "if(doc_id % 4 = 1, concat('n', doc_id % 8), concat('n', doc_id % 6, ' A')) question"), s.createDataFrame([("A",)], "name string"))
+    lambda s, d: ev.variant_drift(table(s, d, "documents").selectExpr("doc_id id", "if(doc_id % 4 = 1, concat('variant_of_', doc_id - 1), 'original_1') source", "concat(if(doc_id % 4 = 1, concat('n', doc_id % 8), concat('n', doc_id % 6, ' §A')), ' ', regexp_replace(text, '[0-9]', '')) question"), s.createDataFrame([("§A",)], "name string"))
 )
 query("dataset_balance", f"with {_DSQL} select category, count(*) items, count(distinct case when variant then id - 1 else id end) \"groups\", round(count(*) / count(distinct case when variant then id - 1 else id end), 4) expansion from ds where category <> 'edge' group by 1")(lambda s, d: ev.dataset_balance(_ds(s, d)))
 query("error_balance", f"with {_DSQL}, g as (select case when variant then ds.id - 1 else ds.id end g, count(*) n, count(*) filter (quality = 0) e from ds join labels on doc_id = ds.id where category <> 'edge' group by 1) select round(sum(e) / sum(n), 6) by_item, round(count(*) filter (e > 0) / count(*), 6) by_group from g")(lambda s, d: ev.error_balance(_ds(s, d), table(s, d, "labels").selectExpr("doc_id id", "quality = 1 correct")))
@@ -196,8 +196,8 @@ query("entity_checks", "select doc_id id, case doc_id % 4 when 0 then 'foreign_d
 query("backfill_keywords", "select doc_id id, case when doc_id % 4 = 0 then 'k' when doc_id % 4 = 1 then 'k' when doc_id % 4 = 2 and doc_id % 3 = 0 then 's' end keyword, (doc_id % 4 = 3 or (doc_id % 4 = 2 and doc_id % 3 <> 0)) and doc_id % 5 in (1, 2) gap from documents")(
     lambda s, d: ev.backfill_keywords(_ds(s, d), table(s, d, "documents").where("doc_id % 3 = 0 and doc_id % 4 <> 3").selectExpr("doc_id id", "array('s') keywords")).selectExpr("id", "keywords[0] keyword", "gap")
 )
-query("parse_variants", "with o as (select doc_id, unnest([1, 2]) nth from documents) select (select max(doc_id) from documents) + row_number() over (order by doc_id, nth) id, concat('variant_of_', doc_id) source, concat('variant ', nth, ' of ', doc_id) question from o")(
-    lambda s, d: ev.parse_variants(table(s, d, "documents").selectExpr("doc_id id", "concat('1. \"variant 1 of ', doc_id, '\"\n\n2) x\n- variant 2 of ', doc_id, '\n3、variant 3 of ', doc_id) text"), _ds(s, d), 2).select("id", "source", "question")
+query("parse_variants", "with o as (select doc_id, trim(translate(text, chr(10) || '\"', '  ')) t, unnest([1, 2]) nth from documents) select (select max(doc_id) from documents) + row_number() over (order by doc_id, nth) id, concat('variant_of_', doc_id) source, md5(trim(concat('variant ', nth, ' of ', doc_id, ' ', case when nth = 1 then t else '' end))) question from o")(
+    lambda s, d: ev.parse_variants(table(s, d, "documents").selectExpr("doc_id id", "concat('1. \"variant 1 of ', doc_id, ' ', trim(translate(text, '\n\"', '  ')), '\"\n\n2) x\n- variant 2 of ', doc_id, '\n3、variant 3 of ', doc_id) text"), _ds(s, d), 2).select("id", "source", F.md5("question").alias("question"))
 )
 query("export_candidates", "with b as (select concat('q', user_id) question, max(ts) created_at, max_by(concat('c', event_id), ts) \"comment\", max(event_id) feedback_id from events where event_id % 3 <> 0 group by 1) select *, case when feedback_id % 2 = 0 then 'hybrid' else '' end expected_intent, case when feedback_id % 2 = 0 then 'ready' else 'pending' end status from b where question not in (select concat('q', user_id) from events where user_id % 7 = 0)")(
     lambda s, d: _candidates(s, d)
