@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.kernels import cosine_top_k
@@ -58,14 +61,12 @@ def in_force(rules: DataFrame, as_of: Column) -> DataFrame:
     return rules.where((F.col("effective_from").isNull() | (F.col("effective_from") <= as_of)) & (F.col("effective_until").isNull() | (F.col("effective_until") >= as_of)))
 
 
-def in_force_at(rules: DataFrame, questions: DataFrame, day: str = "as_of") -> DataFrame:
-    """Each question (with a date of its own) with each rule in force on that day; bounds are inclusive, null ones are open.
+def _by_ranges(rules: DataFrame, first: date | None, last: date | None, day: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Rules with the ranges (_l, _p) of days from ``first`` to ``last`` that make up their intervals, and what gives a row with a day its ranges.
 
-    Days are counted from the first that is asked for. A rule's interval is cut into the fewest ranges of 1, 2, 4 ... aligned days,
-    two of a length at most, and a question's day lies in one range of each length, so the two meet by equality, once for
-    each pair. Open ends reach as far as the questions do. A question without a day meets no rule.
+    A rule's interval is cut into the fewest ranges of 1, 2, 4 ... aligned days, two of a length at most, and a day lies in one range
+    of each length, so the two meet by equality, once for each pair. Open ends reach as far as the days do.
     """
-    first, last = questions.agg(F.min(day), F.max(day)).first()
     span = (last - first).days + 1 if first else 0
     lengths = span.bit_length()
     start = F.greatest(F.lit(0), F.coalesce(F.datediff("effective_from", F.lit(first)), F.lit(0)))
@@ -74,9 +75,32 @@ def in_force_at(rules: DataFrame, questions: DataFrame, day: str = "as_of") -> D
     ranges = f"""aggregate(sequence(0, {lengths}), struct(_a as a, _b as b, cast(array() as array<struct<length: int, place: int>>) as r),
         (s, j) -> if(s.a < s.b, struct(shiftright(s.a + 1, 1) as a, shiftright(s.b, 1) as b, concat(s.r, {piece('s.a', 's.a')}, {piece('s.b', 's.b - 1')}) as r), s), s -> s.r)"""
     cut = rules.withColumns({"_a": start, "_b": end}).where("_a < _b").withColumn("_r", F.explode(F.expr(ranges))).select(*rules.columns, F.col("_r.length").alias("_l"), F.col("_r.place").alias("_p"))
-    asked = questions.where(F.col(day).isNotNull()).withColumn("_d", F.datediff(day, F.lit(first)))
-    asked = asked.select(*questions.columns, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(lengths)), lambda j: F.call_function("shiftright", F.col("_d"), j))).alias("_l", "_p"))
-    return asked.join(cut, ["_l", "_p"]).drop("_l", "_p")
+
+    def asked(days: DataFrame) -> DataFrame:
+        numbered = days.where(F.col(day).isNotNull()).withColumn("_d", F.datediff(day, F.lit(first)))
+        return numbered.select(*days.columns, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(lengths)), lambda j: F.call_function("shiftright", F.col("_d"), j))).alias("_l", "_p"))
+
+    return cut, asked
+
+
+def in_force_at(rules: DataFrame, questions: DataFrame, day: str = "as_of") -> DataFrame:
+    """Each question (with a date of its own) with each rule in force on that day; bounds are inclusive, null ones are open.
+
+    As many rows as there are such pairs; ``in_force_totals`` counts and adds without them. A question without a day meets no rule.
+    """
+    cut, asked = _by_ranges(rules, *questions.agg(F.min(day), F.max(day)).first(), day)
+    return asked(questions).join(cut, ["_l", "_p"]).drop("_l", "_p")
+
+
+def in_force_totals(rules: DataFrame, questions: DataFrame, value: str = "id", day: str = "as_of") -> DataFrame:
+    """Each question that meets a rule in force on its day, with how many it meets (n) and the sum of their ``value`` (total).
+
+    Rules are counted and added by ranges of days and the ranges of each day that is asked for are added, so no pairs are made.
+    """
+    cut, asked = _by_ranges(rules.select(F.col(value).alias("_v"), "effective_from", "effective_until"), *questions.agg(F.min(day), F.max(day)).first(), day)
+    sums = cut.groupBy("_l", "_p").agg(F.count("*").alias("_n"), F.sum("_v").alias("_t"))
+    days = asked(questions.select(day).distinct()).join(sums, ["_l", "_p"]).groupBy(day).agg(F.sum("_n").alias("n"), F.sum("_t").alias("total"))
+    return questions.join(days, day)
 
 
 def _pool(df: DataFrame) -> DataFrame:

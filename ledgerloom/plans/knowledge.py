@@ -278,7 +278,7 @@ query("demote_over_quota", f"with {_RSQL} select id, case when scope = 'departme
 query("purge_candidates", f"with {_RSQL} select id from ru where status <> 'candidate' union all (select id from ru where status = 'candidate' and last_accessed >= date '2024-06-30' - 90 order by last_accessed desc, id desc limit 20)")(lambda s, d: rules.purge_candidates(_rules(s, d), _day(), quota=20).select("id"))
 query("in_force", f"with {_RSQL} select id from fo")(lambda s, d: rules.in_force(_rules(s, d), _day()).select("id"))
 query("in_force_at", f"with {_RSQL}, q as (select vec_id query_id, date '2023-12-01' + (vec_id * 7 % 420)::int d from embeddings) select query_id, count(*) n, sum(id)::bigint ids from q join ru on (effective_from is null or effective_from <= d) and (effective_until is null or effective_until >= d) group by 1")(
-    lambda s, d: rules.in_force_at(_rules(s, d), table(s, d, "embeddings").selectExpr("vec_id query_id", "date_add(date '2023-12-01', cast(vec_id * 7 % 420 as int)) as_of")).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    lambda s, d: rules.in_force_totals(_rules(s, d), table(s, d, "embeddings").selectExpr("vec_id query_id", "date_add(date '2023-12-01', cast(vec_id * 7 % 420 as int)) as_of")).groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("total").alias("ids"))
 )
 
 

@@ -52,6 +52,35 @@ def test_rules_in_force_on_many_days(spark):
     assert rules.in_force_at(frame, questions.where("query_id = 1")).count() == sum(q == 1 for q, _ in want)
 
 
+def test_totals_of_rules_in_force_make_no_pairs(spark):
+    r = random.Random(12)
+    day = lambda a, b: None if r.random() < 0.2 else datetime.date(2020, 1, 1) + datetime.timedelta(r.randint(a, b))
+    versions = [(i, day(-300, 900), day(-300, 900)) for i in range(400)]
+    asked = [(i // 2, None if i == 5 else datetime.date(2020, 1, 1) + datetime.timedelta(r.randint(0, 700))) for i in range(300)]
+    frame, questions = spark.createDataFrame(versions, "id long, effective_from date, effective_until date"), spark.createDataFrame(asked, "query_id long, as_of date")
+    met = {(q, d): [i for i, a, b in versions if (a is None or a <= d) and (b is None or b >= d)] for q, d in asked if d}
+    found = rules.in_force_totals(frame, questions)
+    assert sorted((x.query_id, x.as_of, x.n, x.total) for x in found.collect()) == sorted((q, d, len(met[q, d]), sum(met[q, d])) for q, d in asked if d and met[q, d])
+    assert rules.in_force_totals(frame, questions.where("as_of is null")).count() == 0
+    # what is joined are sums by range: more versions of the same intervals make no longer join
+    many = frame.unionByName(frame).unionByName(frame)
+    joined = lambda f: max(n for n in (_join_rows(rules.in_force_totals(f, questions))))
+    assert joined(many) == joined(frame)
+
+
+def _join_rows(df):
+    """Rows that each join of a plan gave."""
+    df.collect()
+    stack, out = [df._jdf.queryExecution().executedPlan()], []
+    while stack:
+        p = stack.pop()
+        if "Join" in p.nodeName():
+            out.append(p.metrics().apply("numOutputRows").value())
+        stack += [p.executedPlan()] if p.nodeName().startswith("AdaptiveSparkPlan") else [p.plan()] if p.nodeName().endswith("QueryStage") else []
+        stack += [p.children().apply(i) for i in range(p.children().size())]
+    return out
+
+
 def test_ranks_where_one_group_holds_most_rows(spark):
     r = random.Random(3)
     rows = [("hot" if r.random() < 0.9 else r.choice([None, "a", "b"]), r.randrange(1000), i) for i in range(6000)]
