@@ -15,6 +15,29 @@ _CLAUSE_NO = re.compile(r"第[一二三四五六七八九十百千\d]+条")
 _SENTENCE = re.compile(r"[^。！？；!?;]*[。！？；!?;]|[^。！？；!?;]+$")
 
 
+#: Characters of text whose results a task holds at once.
+PIECE = 1 << 20
+
+
+def pieces(batches: Iterator[pd.Series], most: int = PIECE) -> Iterator[pd.Series]:
+    """Texts in their order, about ``most`` characters at a time, so what is made of them is not held for a whole batch; a longer text is alone.
+
+    Neither a batch nor a piece is held while the next is read.
+    """
+    for texts in batches:
+        held = texts.to_list()[::-1]
+        del texts
+        while held:
+            piece = [held.pop()]
+            size = len(piece[0] or "")
+            while held and size + len(held[-1] or "") <= most:
+                size += len(held[-1] or "")
+                piece.append(held.pop())
+            piece = pd.Series(piece, dtype=object)
+            yield piece
+            del piece
+
+
 def front_matter(text: str) -> tuple[dict[str, str], str]:
     """Pairs of the 属性 / 内容 table at the top, and the text after it; without such a table the whole text is body."""
     lines = text.strip().split("\n")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import kernels
+from ..functions import kernels, scratch
 
 UNTITLED = "未知文档"
 CHUNKER_VERSION = "clause-1"
@@ -18,8 +18,9 @@ def parse_front_matter(text: Column) -> Column:
     """struct(meta, body) of a document's text."""
 
     @F.pandas_udf("meta map<string,string>, body string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([kernels.front_matter(t or "") for t in texts], columns=["meta", "body"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in kernels.pieces(batches):
+            yield pd.DataFrame([kernels.front_matter(t or "") for t in texts], columns=["meta", "body"])
 
     return run(text)
 
@@ -47,8 +48,9 @@ def split_headings(text: Column) -> Column:
     """Chapters (title, preamble, clauses) of a body."""
 
     @F.pandas_udf("array<struct<title:string,preamble:string,clauses:array<struct<heading:string,body:string>>>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{**c, "clauses": [{"heading": h, "body": b} for h, b in c["clauses"]]} for c in kernels.headings(t or "")])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in kernels.pieces(batches):
+            yield texts.map(lambda t: [{**c, "clauses": [{"heading": h, "body": b} for h, b in c["clauses"]]} for c in kernels.headings(t or "")])
 
     return run(text)
 
@@ -91,7 +93,7 @@ def chunk_documents(docs: DataFrame, limit: int = kernels.MAX_CHUNK, whole_doc_f
 
     @F.pandas_udf(f"array<struct<{', '.join(':'.join(c.split()) for c in CHUNK_SCHEMA.split(', '))}>>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for text in batches:
+        for text in kernels.pieces(batches):
             yield text.map(lambda t: kernels.chunks(t or "", limit) or (kernels.chunks(f"## ​\n{t}", limit) if whole_doc_fallback and t else []))
 
     return docs.select("file_name", F.col("title").alias("doc_title"), "effective_date", F.explode(cut("body")).alias("c")).select("file_name", "doc_title", "effective_date", "c.*")
@@ -112,7 +114,8 @@ def chunk_length_report(chunks: DataFrame, limit: int = kernels.MAX_CHUNK) -> Da
 
 def audit_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """(check, violations) of the invariants that chunking promises."""
-    clauses = docs.select("file_name", F.explode(split_headings("body")).alias("c")).select("file_name", F.explode("c.clauses").alias("k")).select("file_name", "k.*")
+    chunks = scratch.cut(chunks.select("file_name", "chunk_key", "section", "clause_no", "content"))  # six checks read them
+    clauses = scratch.cut(docs.select("file_name", F.explode(split_headings("body")).alias("c")).select("file_name", F.explode("c.clauses").alias("k")).select("file_name", "k.*"))
     own = chunks.where("section <> ''")
     checks = {
         "key_missing": chunks.where("chunk_key is null or chunk_key = ''"),

@@ -5,6 +5,7 @@ import re
 import time
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 
 from ledgerloom import registry
@@ -194,3 +195,10 @@ def test_build_context(spark, docs):
             lines = [(f"[来源{own[i]}] " if i in own else "[上下文] ") + re.sub(r"\A## [^\n]*\n+", "", body[i]).strip(" ") for i in stay]
             blocks.append((min(own[i] for i in members if i in own), key[0], f"## 第{key[1]}章\n" + "\n".join(lines)))
         assert got[q] == "\n---\n".join(t for _, _, t in sorted(blocks))
+
+
+def test_results_of_a_batch_are_not_held_together():
+    texts = ["a" * 40, None, "", "b" * 300, *("c" * 30 for _ in range(20)), "d" * 99]
+    got = list(kernels.pieces(iter([pd.Series(texts), pd.Series([], dtype=object), pd.Series(["e"])]), 100))
+    assert [t for p in got for t in p] == [*texts, "e"] and len(got) > 8
+    assert all(len(p) == 1 or sum(len(t or "") for t in p) <= 100 for p in got)
