@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -145,8 +145,8 @@ def chunks(text: str, limit: int = MAX_CHUNK) -> list[dict]:
     return out
 
 
-#: Scores held at once in a task, and bytes of query vectors sent to it at once.
-CELLS, QUERY_BYTES = 1 << 22, 64 << 20
+#: Scores held at once in a task, scores that a task makes in all, about, and bytes of query vectors sent to it at once.
+CELLS, TASK_SCORES, QUERY_BYTES = 1 << 20, 1 << 27, 64 << 20
 
 
 def unit_rows(column: pd.Series) -> np.ndarray:
@@ -166,9 +166,13 @@ def first_k(line: np.ndarray, key: np.ndarray, ids: np.ndarray, k: int) -> np.nd
     return order[np.arange(len(own)) - np.searchsorted(own, own) < k]
 
 
-def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, place) of the k best finite scores of each line, ties by id."""
-    key = np.round(score, 9)
+def nine_places(score: np.ndarray) -> np.ndarray:
+    return np.round(score, 9)
+
+
+def best_of(score: np.ndarray, ids: np.ndarray, k: int, rounded: Callable[[np.ndarray], np.ndarray] = nine_places) -> tuple[np.ndarray, np.ndarray]:
+    """(line, place) of the k best finite scores of each line, by what ``rounded`` makes of them, ties by id."""
+    key = rounded(score)
     if k < len(ids):  # all that are as good as the k-th, then the first k of them by id
         least = np.partition(key, len(ids) - k, axis=1)[:, len(ids) - k, None]
         line, place = np.nonzero((key >= least) & np.isfinite(score))
@@ -181,8 +185,8 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
 class RunningBest:
     """The k best hits of each query among all rows met so far."""
 
-    def __init__(self, k: int, queries: int):
-        self.k, self.most = k, max(1 << 16, 4 * k * queries)
+    def __init__(self, k: int, queries: int, rounded: Callable[[np.ndarray], np.ndarray] = nine_places):
+        self.k, self.most, self.rounded = k, max(1 << 16, 4 * k * queries), rounded
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
@@ -195,7 +199,7 @@ class RunningBest:
 
     def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         query, ids, score = (np.concatenate(x) for x in zip(*self.held)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        chosen = first_k(query, np.round(score, 9), ids, self.k)
+        chosen = first_k(query, self.rounded(score), ids, self.k)
         return query[chosen], ids[chosen], score[chosen]
 
 
@@ -204,43 +208,53 @@ def ranked_hits(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, block: int = 20_000) -> DataFrame:
-    """(query_id, id, similarity, rank): the k rows of largest cosine for each query, ties by id; every row is met.
+def cosine_hits(rows: DataFrame, queries: DataFrame, k: int, block: int = 20_000, rounded: Callable[[np.ndarray], np.ndarray] = nine_places) -> DataFrame:
+    """(query_id, id, similarity): of each task's rows the k of largest cosine for each query, by ``rounded`` and then by id; not yet ranked.
 
-    rows (id, embedding), queries (query_id, embedding), and both may carry a ``pool``, which must then be equal. Queries are
-    sent to the tasks in blocks of at most ``block`` rows and 64 MB; a task keeps the best k of all its rows, so what is
-    shuffled grows with the tasks, not with the rows. Rows and queries without a vector take no part.
+    rows (id, embedding), queries (query_id, embedding), and both may carry a ``pool``, which must then be equal; a query may
+    stand in several pools. Queries are sent to the tasks in blocks of at most ``block`` rows and 64 MB, and rows are dealt over
+    as many tasks as their pairs deserve. A task meets a pool's rows and queries only, and keeps the best k of all its rows, so
+    what is shuffled grows with the tasks, not with the rows. Rows and queries without a vector take no part.
     """
     pooled = "pool" in rows.columns
     extra = ["pool"] if pooled else []
     rows, queries = rows.where(has_vector()).select("id", "embedding", *extra), queries.where(has_vector()).select("query_id", "embedding", *extra)
     n, size = queries.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
     blocks = max(1, -(-n // min(block, max(1, QUERY_BYTES // (8 * size)))))
+    tasks = -(-rows.count() * -(-n // blocks) // TASK_SCORES)
+    rows = rows.repartition(tasks) if tasks > 1 else rows
     out = None
     for b in range(blocks):
         asked = (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries).collect()
         ids = np.array([r.query_id for r in asked], np.int64)
         q = unit_rows(pd.Series([r.embedding for r in asked])) if asked else np.zeros((0, 1))
-        shared = rows.sparkSession.sparkContext.broadcast((ids, q, [r.pool for r in asked] if pooled else None))
+        places: dict[str | None, list[int]] = {}
+        for i, r in enumerate(asked):
+            places.setdefault(r.pool if pooled else None, []).append(i)
+        shared = rows.sparkSession.sparkContext.broadcast((ids, q, {p: np.array(x) for p, x in places.items()}))
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q, pools = shared.value
-            kept = RunningBest(k, len(ids))
+            ids, q, places = shared.value
+            kept = RunningBest(k, len(ids), rounded)
             for rows in batches:
-                if not len(rows) or not len(ids):
-                    continue
-                m, own = unit_rows(rows["embedding"]).T, rows["id"].to_numpy()
-                pool = None if pools is None else rows["pool"].to_numpy(object)
-                each = max(1, CELLS // len(rows))
-                for i in range(0, len(ids), each):
-                    score = q[i : i + each] @ m
-                    if pool is not None:
-                        score = np.where(np.array(pools[i : i + each], object)[:, None] == pool[None, :], score, -np.inf)
-                    line, place = best_of(score, own, k)
-                    kept.add(i + line, own[place], score[line, place])
+                for pool, at in rows.groupby("pool").indices.items() if pooled else [(None, np.arange(len(rows)))]:
+                    asking = places.get(pool, ())
+                    if not len(at) or not len(asking):
+                        continue
+                    m, own = unit_rows(rows["embedding"].iloc[at]).T, rows["id"].to_numpy()[at]
+                    each = max(1, CELLS // len(at))
+                    for i in range(0, len(asking), each):
+                        score = q[asking[i : i + each]] @ m
+                        line, place = best_of(score, own, k, rounded)
+                        kept.add(asking[i + line], own[place], score[line, place])
             line, found, score = kept.all()
             yield pd.DataFrame({"query_id": ids[line], "id": found, "similarity": score})
 
         part = rows.mapInPandas(best, "query_id long, id long, similarity double")
         out = part if out is None else out.unionByName(part)
-    return ranked_hits(out, k)
+    return out
+
+
+def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, block: int = 20_000) -> DataFrame:
+    """(query_id, id, similarity, rank): the k rows of largest cosine for each query, ties by id; every row is met (see ``cosine_hits``)."""
+    return ranked_hits(cosine_hits(rows, queries, k, block), k)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.kernels import cosine_top_k
+from ..functions.kernels import cosine_hits, cosine_top_k
 from ..functions.order import rank_in_groups
 from ..functions.patterns import find_names
 from .retrieval import nearest
@@ -172,38 +173,41 @@ def visible_to_all(rules: DataFrame) -> DataFrame:
     return rules.where("status = 'active' and scope = 'global'")
 
 
-def visible_to_some(rules: DataFrame, questions: DataFrame) -> DataFrame:
-    """(query_id, _q, rule columns): active rules of a department that the question names, and candidates of the question's own session.
+def _pools(rules: DataFrame, questions: DataFrame) -> tuple[Column, DataFrame]:
+    """The pool of a rule, and (query_id, embedding, pool) of the questions that may use its rules.
 
-    The names are found by one pass over each question; department rules then join on the name, candidates on the session.
+    Active global rules are a pool for all questions, those of a department for questions that name it, and candidates for
+    their own session. The names are found by one pass over each question.
     """
-    asked = questions.select("query_id", F.col("session_id").alias("_session"), F.col("text").alias("_text"), F.col("embedding").alias("_q"))
-    local = rules.where("status = 'active' and scope = 'department' and department is not null")
-    named = find_names(asked, local, "_text", "department", "_names").withColumn("department", F.explode("_names")).join(local, "department")
-    own = asked.join(rules.where("status = 'candidate'"), F.col("_session") == F.col("session_id"))
-    cols = ["query_id", "_q", *rules.columns]
-    return named.select(cols).unionByName(own.select(cols))
+    local = F.expr("status = 'active' and scope = 'department'")
+    pool = F.when(F.expr("status = 'active' and scope = 'global'"), "a").when(local, F.concat(F.lit("d"), "department")).when(F.col("status") == "candidate", F.concat(F.lit("s"), "session_id"))
+    asked = questions.select("query_id", "embedding", F.col("session_id").alias("_session"), F.col("text").alias("_text"))
+    named = find_names(asked, rules.where(local), "_text", "department", "_names")
+    own = F.concat(F.array(F.lit("a"), F.concat(F.lit("s"), "_session")), F.transform("_names", lambda n: F.concat(F.lit("d"), n)))
+    return pool, named.select("query_id", "embedding", F.explode(own).alias("pool")).where("pool is not null")
 
 
 def visible_counts(rules: DataFrame, questions: DataFrame) -> DataFrame:
-    """(query_id, n): how many rules each question may use, those for all counted once."""
+    """(query_id, n): how many rules each question may use; rules are counted by pool, so no pairs are made."""
     shared = visible_to_all(rules).count()
-    own = visible_to_some(rules, questions).groupBy("query_id").agg(F.count("*").alias("n"))
+    pool, asked = _pools(rules, questions)
+    sizes = rules.select(pool.alias("pool")).where("pool <> 'a'").groupBy("pool").agg(F.count("*").alias("_n"))
+    own = asked.select("query_id", "pool").join(sizes, "pool").groupBy("query_id").agg(F.sum("_n").alias("n"))
     return questions.select("query_id").join(own, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) + shared).alias("n"))
 
 
+def _six_places(similarity: np.ndarray) -> np.ndarray:
+    return np.round(0.5 + similarity / 2, 6)
+
+
 def recall_rules(questions: DataFrame, rules: DataFrame, as_of: Column, k: int = 3, floor: float = RECALL) -> DataFrame:
-    """(query_id, id, score, rank): visible rules in force that score the floor, the best k by similarity, ties by id.
+    """(query_id, id, score, rank): visible rules in force that score the floor, the best k by score, ties by id.
 
-    Global rules are searched with the cosine kernel; department and session rules join on their few keys.
+    Every pool is searched with the cosine kernel, which keeps the best k of a task by the same rounded score.
     """
     current = in_force(rules, as_of)
-    asked = questions.select("query_id", "embedding")
-    world = cosine_top_k(visible_to_all(current), asked, k).select("query_id", "id", "similarity")
-    narrow = visible_to_some(current, questions)
-    product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    cosine = product("_q", "embedding") / F.sqrt(product("_q", "_q") * product("embedding", "embedding"))
-    rows = world.unionByName(narrow.select("query_id", "id", cosine.alias("similarity")))
+    pool, asked = _pools(current, questions)
+    rows = cosine_hits(current.withColumn("pool", pool).where("pool is not null"), asked, k, rounded=_six_places)
     scored = rows.withColumn("score", F.round(similarity_score(F.col("similarity")), 6)).where(F.col("score") >= floor)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 

@@ -1,6 +1,7 @@
 """What must hold for groups, lists and sources of any size."""
 
 import datetime
+import math
 import random
 import threading
 import time
@@ -68,6 +69,29 @@ def test_totals_of_rules_in_force_make_no_pairs(spark):
     assert joined(many) == joined(frame)
 
 
+def test_recalled_rules_of_hot_pools(spark):
+    """Rules of one department and of one session are most of the store; they meet in the kernel's tasks, and ties by the rounded score go by id."""
+    r = random.Random(13)
+    vector = lambda a: [math.cos(a), math.sin(a), 0.0]
+    kinds = [("active", "global", None, None), ("active", "department", "D1", None), ("active", "department", None, None), ("candidate", "global", None, "s1"), ("candidate", "department", "D1", None), ("active", "session", None, "s1")]
+    versions = [(i, vector(1e-5 * (200 - i) if i % 2 else r.uniform(0, 3)), *kinds[r.choice([0, 1, 1, 1, 2, 3, 3, 3, 4, 5])]) for i in range(400)]
+    versions.append((400, None, *kinds[0]))
+    asked = [(q, vector(0.0 if q % 2 else r.uniform(0, 3)), r.choice(["", "what of D1 and D2", "D"]), r.choice(["s1", "s2", None])) for q in range(40)]
+    frame = spark.createDataFrame(versions, "id long, embedding array<double>, status string, scope string, department string, session_id string").withColumns({"effective_from": F.lit(None).cast("date"), "effective_until": F.lit(None).cast("date")})
+    questions = spark.createDataFrame(asked, "query_id long, embedding array<double>, text string, session_id string")
+    seen = lambda t, own, st, sc, d, s: (st == "active" and (sc == "global" or (sc == "department" and d is not None and d in t))) or (st == "candidate" and s is not None and s == own)
+    want, counts = [], {}
+    for q, v, t, own in asked:
+        mine = [(i, e) for i, e, *k in versions if seen(t, own, *k)]
+        counts[q] = len(mine)
+        scored = sorted((-round(0.5 + sum(x * y for x, y in zip(v, e)) / 2, 6), i) for i, e in mine if e)
+        want += [(q, i, n + 1) for n, (s, i) in enumerate(x for x in scored if x[0] <= -0.75) if n < 3]
+    found = rules.recall_rules(questions, frame, F.lit("2024-06-30").cast("date"))
+    assert sorted((x.query_id, x.id, x["rank"]) for x in found.collect()) == sorted(want)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {x.query_id: x.n for x in rules.visible_counts(frame, questions).collect()} == counts
+
+
 def _join_rows(df):
     """Rows that each join of a plan gave."""
     df.collect()
