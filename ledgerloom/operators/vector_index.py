@@ -13,13 +13,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.kernels import best_of, cosine_top_k, has_vector, ranked_hits, unit_rows
+from ..functions.kernels import CELLS, RunningBest, best_of, cosine_top_k, has_vector, ranked_hits, unit_rows
 from ..functions.scratch import scratch
 
 #: Bounds of the sample, and of the lists, whose centroids and sizes the driver and every task hold.
 SAMPLE_ROWS, SAMPLE_BYTES, LISTS = 20_000, 64 << 20, 4096
 #: Rows and queries that meet in one task at once; a larger list is dealt over several.
-CELL = 20_000
+CELL, QUERIES = 20_000, 4096
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,7 @@ def build_index(rows: DataFrame, lists: int | None = None, target: float = 0.95,
 
     @F.pandas_udf("int")
     def list_of(vectors: pd.Series) -> pd.Series:
-        return pd.Series((unit_rows(vectors) @ shared.value.T).argmax(1) if len(vectors) else [], dtype="int32")
+        return pd.Series(np.concatenate([np.zeros(0, "int32"), *((unit_rows(v) @ shared.value.T).argmax(1) for v in _slices(vectors, len(shared.value)))]).astype("int32"))
 
     path = scratch(spark)
     rows.withColumn("list", list_of("embedding")).repartitionByRange("list", "id").sortWithinPartitions("list", "id").write.parquet(path)
@@ -88,55 +88,72 @@ def build_index(rows: DataFrame, lists: int | None = None, target: float = 0.95,
     return VectorIndex(stored, centroids, tuple(counts.get(c, 0) for c in range(lists)), probes, recall)
 
 
+def _slices(rows: pd.Series | pd.DataFrame, width: int) -> Iterator[pd.Series | pd.DataFrame]:
+    """Rows as many at a time as may meet ``width`` others at once."""
+    each = max(1, CELLS // width)
+    return (rows.iloc[i : i + each] for i in range(0, len(rows), each))
+
+
 def probed(index: VectorIndex, queries: DataFrame, probes: int | None = None) -> DataFrame:
-    """(list, query_id, embedding): the nearest lists of each query that has a vector."""
+    """(query_id, embedding, lists): the nearest lists of each query that has a vector."""
     shared, n = queries.sparkSession.sparkContext.broadcast(index.centroids), probes or index.probes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for asked in batches:
-            if len(asked):
-                near = np.argsort(-(unit_rows(asked["embedding"]) @ shared.value.T), axis=1)[:, :n]
-                yield asked.loc[asked.index.repeat(near.shape[1])].assign(list=near.ravel().astype("int32"))[["list", "query_id", "embedding"]]
+        for batch in batches:
+            for asked in _slices(batch, len(shared.value)):
+                near = np.argsort(-(unit_rows(asked["embedding"]) @ shared.value.T), axis=1)[:, :n].astype("int32")
+                yield pd.DataFrame({"query_id": asked["query_id"], "embedding": asked["embedding"], "lists": pd.Series(list(near), index=asked.index)})
 
-    return queries.where(has_vector()).select("query_id", "embedding").mapInPandas(run, "list int, query_id long, embedding array<float>")
+    return queries.where(has_vector()).select("query_id", "embedding").mapInPandas(run, "query_id long, embedding array<float>, lists array<int>")
 
 
 def search_index(index: VectorIndex, queries: DataFrame, k: int = 20, probes: int | None = None, exact: bool = False) -> DataFrame:
     """(query_id, id, similarity, rank): the k rows of largest cosine among the lists that each query probes, ties by id.
 
-    ``exact`` meets every row instead. Lists and their queries are dealt in cells of about 20,000 rows and queries, whatever the size
-    of the largest list; only lists that some query probes are read.
+    ``exact`` meets every row instead. Neighbouring lists are bundled up to about 20,000 rows, and a query is sent once to each bundle in
+    which it probes lists; bundles and their queries are dealt in cells of about 20,000 rows and 4,096 queries, whatever the size of
+    the largest list. Only lists that some query probes are read.
     """
     if exact:
         return cosine_top_k(index.rows, queries, k)
-    asked = probed(index, queries, probes).cache()
-    by_list = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}  # as many rows as lists
-    if not by_list:
+    bundles = (np.concatenate([[0], np.cumsum(index.sizes)[:-1]]) // CELL).astype(int)
+    of = F.array(*(F.lit(int(b)) for b in bundles))
+    asked = probed(index, queries, probes).withColumn("bundle", F.explode(F.array_distinct(F.transform("lists", lambda c: of[c]))))
+    asked = asked.withColumn("lists", F.filter("lists", lambda c: of[c] == F.col("bundle"))).cache()
+    per = asked.groupBy("bundle").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set("lists"))).alias("lists")).collect()  # as many rows as bundles
+    if not per:
         return queries.sparkSession.createDataFrame([], "query_id long, id long, similarity double, rank int")
-    parts = lambda sizes: F.array(*(F.lit(max(1, -(-n // CELL))) for n in sizes))
-    row_parts, query_parts = parts(index.sizes), parts([by_list.get(c, 0) for c in range(len(index.sizes))])
-    mine, other = (lambda column, every: F.pmod(F.xxhash64(column), every[F.col("list")]).cast("int")), (lambda every: F.explode(F.sequence(F.lit(0), every[F.col("list")] - 1)))
-    rows = index.rows.where(F.col("list").isin(sorted(by_list))).withColumn("a", mine("id", row_parts)).withColumn("b", other(query_parts))
+    per_bundle, wanted = {r.bundle: r.n for r in per}, sorted({c for r in per for c in r.lists})
+    parts = lambda sizes, most: F.array(*(F.lit(max(1, -(-int(n) // most))) for n in sizes))
+    row_parts = parts(np.bincount(bundles, index.sizes), CELL)
+    query_parts = parts([per_bundle.get(b, 0) for b in range(bundles[-1] + 1)], QUERIES)
+    mine, other = (lambda column, every: F.pmod(F.xxhash64(column), every[F.col("bundle")]).cast("int")), (lambda every: F.explode(F.sequence(F.lit(0), every[F.col("bundle")] - 1)))
+    rows = index.rows.where(F.col("list").isin(wanted)).withColumn("bundle", of[F.col("list")]).withColumn("a", mine("id", row_parts)).withColumn("b", other(query_parts))
     asked = asked.withColumn("b", mine("query_id", query_parts)).withColumn("a", other(row_parts))
 
     def meet(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(asked):
-            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        m, ids, out = unit_rows(rows["embedding"]).T, rows["id"].to_numpy(), []
-        each = max(1, (1 << 22) // len(ids))
-        for i in range(0, len(asked), each):
-            score = unit_rows(asked["embedding"].iloc[i : i + each]) @ m
-            line, place = best_of(score, ids, k)
-            out.append(pd.DataFrame({"query_id": asked["query_id"].to_numpy()[i + line], "id": ids[place], "similarity": score[line, place]}))
-        return pd.concat(out)
-
-    hits = rows.groupBy("list", "a", "b").cogroup(asked.groupBy("list", "a", "b")).applyInPandas(meet, "query_id long, id long, similarity double")
+        kept = RunningBest(k, len(asked))
+        if len(rows) and len(asked):
+            q, ids = unit_rows(asked["embedding"]), rows["id"].to_numpy()
+            probing = pd.DataFrame({"list": np.concatenate(asked["lists"].to_list()), "at": np.repeat(np.arange(len(asked)), asked["lists"].map(len))}).groupby("list")["at"]
+            probing = {c: x.to_numpy() for c, x in probing}
+            for c, at in rows.groupby("list").indices.items():
+                m, asking = unit_rows(rows["embedding"].iloc[at]).T, probing.get(c, ())
+                each = max(1, CELLS // len(at))
+                for i in range(0, len(asking), each):
+                    score = q[asking[i : i + each]] @ m
+                    line, place = best_of(score, ids[at], k)
+                    kept.add(asking[i + line], ids[at][place], score[line, place])
+        query, found, score = kept.all()
+        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[query], "id": found, "similarity": score})
+
+    hits = rows.groupBy("bundle", "a", "b").cogroup(asked.groupBy("bundle", "a", "b")).applyInPandas(meet, "query_id long, id long, similarity double")
     return ranked_hits(hits, k)
 
 
 def rows_met(index: VectorIndex, queries: DataFrame, probes: int | None = None) -> int:
     """How many pairs of a row and a query a search scores."""
-    by_list = probed(index, queries, probes).groupBy("list").count().collect()
+    by_list = probed(index, queries, probes).select(F.explode("lists").alias("list")).groupBy("list").count().collect()
     return sum(index.sizes[r["list"]] * r["count"] for r in by_list)
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 
+from ledgerloom.functions import kernels
 from ledgerloom.functions.kernels import cosine_top_k
 from ledgerloom.operators import retrieval, vector_index
 from ledgerloom.operators.retrieval import Asked, Top, score_cell
@@ -112,3 +113,26 @@ def test_a_token_in_every_chunk_and_an_empty_corpus(spark):
     assert [got[2, n] for n in (1, 2, 3)] == [3, 10, 17]
     empty = frame.where("false")
     assert retrieval.bm25_search(retrieval.bm25_index(empty), asked, empty, 3).count() == 0
+
+
+def test_a_query_is_sent_once_to_each_bundle_of_lists(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    m = r.normal(size=(700, 8))
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<float>")
+    asked = frame.where("id % 7 = 0").withColumnRenamed("id", "query_id")
+    index = vector_index.build_index(frame, 30, k=10)
+    assert vector_index.probed(index, asked, 30).count() == 100  # a row for each query, not for each list
+    truth = hits(cosine_top_k(frame, asked, 10))
+    for cell, queries, scores in ((20_000, 4096, 1 << 20), (50, 9, 64)):  # several bundles, parts and slices give the same
+        monkeypatch.setattr(vector_index, "CELL", cell)
+        monkeypatch.setattr(vector_index, "QUERIES", queries)
+        monkeypatch.setattr(vector_index, "CELLS", scores)
+        assert hits(vector_index.search_index(index, asked, 10, 30)) == truth
+
+
+def test_rows_are_dealt_by_the_pairs_that_they_make(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, [float(i % 7), 1.0 + i % 5]) for i in range(200)], "id long, embedding array<float>").coalesce(1)
+    asked = frame.limit(30).withColumnRenamed("id", "query_id")
+    whole = hits(cosine_top_k(frame, asked, 4))
+    monkeypatch.setattr(kernels, "TASK_SCORES", 1000)
+    assert kernels.cosine_hits(frame, asked, 4).rdd.getNumPartitions() == 6 and hits(cosine_top_k(frame, asked, 4)) == whole
