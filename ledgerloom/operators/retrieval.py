@@ -17,8 +17,8 @@ from .documents import UNTITLED
 from .vector_index import VectorIndex, search_index
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Chunks of a cell, about.
-CELL = 512
+#: Chunks of a cell, and bytes of text and cells that a task takes, about.
+CELL, TEXT_BYTES, TASK_CELLS = 512, 4 << 20, 8
 _CJK = "[\\x{4e00}-\\x{9fff}]"
 
 
@@ -52,11 +52,11 @@ class Bm25Index:
 
 def bm25_index(chunks: DataFrame, text: str = "content") -> Bm25Index:
     """Index of chunks (id, text), written once, in each file by token; null texts have no tokens but count as chunks."""
-    n = chunks.count()
+    n, size = chunks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     cell = F.pmod(F.xxhash64("id"), F.lit(n // CELL + 1)).cast("int")
 
-    # texts are dealt by cell once; terms are counted and gathered where they lie, so postings are not shuffled
-    dealt = chunks.select(F.col("id").cast("long").alias("id"), cell.alias("cell"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition("cell")
+    # texts are dealt by cell once, over tasks by their size; terms are counted and gathered where they lie, so postings are not shuffled
+    dealt = chunks.select(F.col("id").cast("long").alias("id"), cell.alias("cell"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition(size // TEXT_BYTES + 1, "cell")
     tokens = dealt.select("cell", "id", tokenize(F.col("text")).alias("t")).select("cell", "id", F.size("t").alias("length"), F.explode("t").alias("token"))
     postings = tokens.groupBy("token", "cell", "id", "length").agg(F.count("*").cast("int").alias("tf"))
     blocks = postings.groupBy("token", "cell").agg(F.max("tf").alias("top_tf"), F.min("length").alias("least_length"), F.array_sort(F.collect_list(F.struct("id", "tf", "length"))).alias("p"))
@@ -169,7 +169,7 @@ def bm25_search(index: Bm25Index, queries: DataFrame, ids: DataFrame, k: int = 2
             query, found, score = best.best.all()
             yield pa.record_batch({"query_id": pa.array(asked.ids[query], pa.int64()), "id": pa.array(found, pa.int64()), "score": pa.array(score, pa.float64())})
 
-        wanted = index.blocks.join(own.select("token").distinct(), "token", "left_semi").repartition("cell").sortWithinPartitions("cell")
+        wanted = index.blocks.join(own.select("token").distinct(), "token", "left_semi").repartition(index.n // (CELL * TASK_CELLS) + 1, "cell").sortWithinPartitions("cell")
         part = wanted.mapInArrow(search, "query_id long, id long, score double")
         out = part if out is None else out.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -202,10 +202,11 @@ def rrf(keyword: DataFrame, vector: DataFrame, ids: DataFrame | None = None, k:
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "id", F.round("raw", 4).alias("score"), "rank")
 
 
-def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, top_k: int = 5, list_k: int = 20, vectors: VectorIndex | None = None) -> DataFrame:
+def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, top_k: int = 5, list_k: int = 20, vectors: DataFrame | VectorIndex | None = None) -> DataFrame:
     """chunks (id, content, embedding), queries (query_id, text, embedding); without a vector a row is found by its words alone.
 
-    vectors: an index of the chunks' vectors, which are otherwise all met.
+    vectors: an index of the chunks' vectors, or a table (id, embedding) of them, so that texts need not be joined; either is
+    otherwise taken from the chunks, which are all met.
     """
     keyword = bm25_search(bm25_index(chunks), queries, chunks, list_k)
     return rrf(keyword, vector_search(chunks if vectors is None else vectors, queries, list_k), chunks, top_k=top_k)
@@ -224,7 +225,7 @@ def build_context(hits: DataFrame, chunks: DataFrame, limit: int = 2000) -> Data
     longer than ``limit`` only its preamble and the neighbours of hits are added; hits without a parent come last.
     """
     found = hits.select("query_id", "rank", "id").join(chunks, "id")
-    wanted = found.where("parent_key <> ''").groupBy("query_id", "file_name", "parent_key").agg(F.min("rank").alias("first"))
+    wanted = cut(found.where("parent_key <> ''").groupBy("query_id", "file_name", "parent_key").agg(F.min("rank").alias("first")))  # few beside the chunks
     rows = wanted.join(chunks.where("parent_key <> ''"), ["file_name", "parent_key"]).join(hits.select("query_id", "id", "rank"), ["query_id", "id"], "left")
     group = Window.partitionBy("query_id", "file_name", "parent_key")
     near = group.orderBy("chunk_index", "id")
@@ -243,7 +244,7 @@ def build_context(hits: DataFrame, chunks: DataFrame, limit: int = 2000) -> Data
 def audit_context(contexts: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """For each query: how many of its hits' texts the context does not hold exactly once, and the context's length."""
     body = F.trim(F.regexp_replace("content", r"\A## [^\n]*\n+", ""))
-    held = hits.select("query_id", "id", "rank").join(chunks.select("id", body.alias("body")), "id").join(contexts, "query_id")
+    held = hits.select("query_id", "id", "rank").join(chunks.select("id", "content"), "id").select("query_id", "rank", body.alias("body")).join(contexts, "query_id")
     once = F.size(F.split("context", F.concat(F.lit("\\[来源"), F.col("rank"), F.lit("\\]")), -1)) == 2
     return held.groupBy("query_id").agg(F.count_if(~(once & F.contains("context", "body"))).alias("lost"), F.max(F.length("context")).alias("length"))
 

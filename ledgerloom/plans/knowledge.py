@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scratch import scratch
+from ..functions.scratch import cut, scratch
 from ..operators import documents as docs, retrieval, rules, snapshots, vector_index
 from .adapters import table
 
@@ -194,7 +194,7 @@ def _chunk_table(s, d):
 
 
 def _hits(s, d):
-    return retrieval.bm25_search(retrieval.bm25_index(_corpus(s, d)), _asked(s, d), _corpus(s, d), 5)
+    return cut(retrieval.bm25_search(retrieval.bm25_index(_corpus(s, d)), _asked(s, d), _corpus(s, d), 5))  # found once, small
 
 
 _CH = "ch as (select source file_name, doc_id id, concat('chapter:', doc_id // 100) parent_key, doc_id chunk_index, case when doc_id % 10 = 0 then '' else concat('第', doc_id % 10, '条') end section from documents)"
@@ -202,7 +202,7 @@ query("parent_chunks", f"with {_BM}, {_CH}, k as (select distinct file_name, par
     lambda s, d: retrieval.parent_chunks(_hits(s, d).join(_chunk_table(s, d), "id"), _chunk_table(s, d)).select("file_name", "parent_key", "id")
 )
 query("build_context")(lambda s, d: retrieval.build_context(_hits(s, d), _chunk_table(s, d)))
-query("audit_context_clean", "select item_id query_id, 0::bigint lost from benchmark")(lambda s, d: retrieval.audit_context(retrieval.build_context(_hits(s, d), _chunk_table(s, d)), _hits(s, d), _chunk_table(s, d)).drop("length"))
+query("audit_context_clean", "select item_id query_id, 0::bigint lost from benchmark")(lambda s, d: retrieval.audit_context(retrieval.build_context(hits := _hits(s, d), _chunk_table(s, d)), hits, _chunk_table(s, d)).drop("length"))
 
 
 @query("audit_context", """select doc_id query_id, case doc_id % 5 when 1 then 1 when 2 then 1 when 3 then 1 when 4 then 2 else 0 end::bigint lost, case doc_id % 5 when 0 then 78 when 1 then 72 when 2 then 77 when 3 then 84 else 1 end::bigint length from documents""")

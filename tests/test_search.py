@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 
+from ledgerloom import registry
 from ledgerloom.functions import kernels
 from ledgerloom.functions.kernels import cosine_top_k
 from ledgerloom.operators import retrieval, vector_index
@@ -136,3 +137,27 @@ def test_rows_are_dealt_by_the_pairs_that_they_make(spark, monkeypatch):
     whole = hits(cosine_top_k(frame, asked, 4))
     monkeypatch.setattr(kernels, "TASK_SCORES", 1000)
     assert kernels.cosine_hits(frame, asked, 4).rdd.getNumPartitions() == 6 and hits(cosine_top_k(frame, asked, 4)) == whole
+
+
+def test_texts_are_dealt_by_their_size(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, f"w{i % 13} w{i % 5} common") for i in range(300)], "id long, content string")
+    asked = spark.createDataFrame([(q, f"w{q} common") for q in range(5)], "query_id long, text string")
+    whole = hits(retrieval.bm25_search(retrieval.bm25_index(frame), asked, frame, 7))
+    monkeypatch.setattr(retrieval, "CELL", 5)
+    monkeypatch.setattr(retrieval, "TEXT_BYTES", 200)
+    index = retrieval.bm25_index(frame)
+    assert len(index.blocks.inputFiles()) > 8  # more than the session's shuffle partitions
+    assert hits(retrieval.bm25_search(index, asked, frame, 7)) == whole
+
+
+def test_one_index_for_a_context_and_its_audit(spark, monkeypatch):
+    made, build = [], retrieval.bm25_index
+    monkeypatch.setattr(retrieval, "bm25_index", lambda *a: made.append(1) or build(*a))
+    assert registry.queries()["audit_context_clean"](spark, "/root/testdata/sf0.001").where("lost > 0").count() == 0 and len(made) == 1
+
+
+def test_vectors_beside_the_texts(spark):
+    frame = spark.createDataFrame([(i, f"w{i % 4} w{i % 3}", [float(i), 3.0] if i % 5 else None) for i in range(60)], "id long, content string, embedding array<float>")
+    asked = spark.createDataFrame([(q, f"w{q}", [1.0, float(q)]) for q in range(4)], "query_id long, text string, embedding array<float>")
+    got = retrieval.hybrid_retrieve(frame.select("id", "content"), asked, vectors=frame.select("id", "embedding"))
+    assert sorted(got.collect()) == sorted(retrieval.hybrid_retrieve(frame, asked).collect())
