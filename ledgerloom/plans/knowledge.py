@@ -172,7 +172,7 @@ _RRF = """u as (select query_id, id, max(a) a, max(b) b from (select query_id, i
  select query_id, id, round(raw, 4) score, row_number() over (partition by query_id order by round(raw, 12) desc, a nulls last, b nulls last, id) rank from (select *, coalesce(1.0::double / (60 + a), 0) + coalesce(1.0::double / (60 + b), 0) raw from u) qualify rank <= 5"""
 # all documents and all passages; those whose number no vector has are found by their words alone
 query("hybrid_retrieve", f"with {_BM}, {_VEC.replace('embeddings q, embeddings e where q.vec_id % 20 = 0', 'embeddings q, embeddings e where q.vec_id in (select item_id from benchmark) and e.vec_id in (select doc_id from documents)')}, {_RRF}")(
-    lambda s, d: retrieval.hybrid_retrieve(_corpus(s, d).join(_vectors(s, d), "id", "left"), _asked(s, d).join(_vectors(s, d).withColumnRenamed("id", "query_id"), "query_id", "left"))
+    lambda s, d: retrieval.hybrid_retrieve(_corpus(s, d), _asked(s, d).join(_vectors(s, d).withColumnRenamed("id", "query_id"), "query_id", "left"), vectors=_vectors(s, d).join(_corpus(s, d).select("id"), "id", "left_semi"))
 )
 # every list probed is the exact answer; with the lists that were measured to suffice, nine in ten true neighbours are found
 query("vector_index_all_lists", f"with {_VEC} select * from vec")(
