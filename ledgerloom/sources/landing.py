@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from threading import Thread
 
@@ -28,16 +29,25 @@ def land_raw(df: DataFrame, source_id: int, batch_id: str, index_col: str | None
     return df.select(F.lit(source_id).alias("source_id"), F.lit(batch_id).alias("batch_id"), index.alias("source_row_index"), F.create_map(*pairs).alias("raw_data"), F.lit("raw").alias("status"))
 
 
-def write_documents(docs: DataFrame, path: str) -> int:
-    """Writes each (file_name, text) as a file of its own below ``path``, a URI that all executors share; how many there are."""
+def write_documents(docs: DataFrame, path: str, folders: int = 0) -> int:
+    """Writes each (file_name, text) as a file of its own below ``path``, a URI that all executors share; how many there are.
+
+    With ``folders`` the files are spread over so many folders by their names, so that none gets too many; read_documents finds
+    them at a depth of 1.
+    """
     where = path if ":" in path else f"file://{path}"
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(where)
         store.create_dir(root)
+        made = {""}
         for batch in batches:
             for name, text in zip(batch["file_name"], batch["text"]):
-                with store.open_output_stream(f"{root}/{name}") as out:
+                folder = f"/{zlib.crc32(name.encode()) % folders:05d}" if folders else ""
+                if folder not in made:
+                    store.create_dir(root + folder)
+                    made.add(folder)
+                with store.open_output_stream(f"{root}{folder}/{name}") as out:
                     out.write((text or "").encode())
             yield pd.DataFrame({"n": [len(batch)]})
 

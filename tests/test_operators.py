@@ -40,6 +40,20 @@ def test_documents_but_the_index(spark, tmp_path):
     assert sorted(rows(readers.read_documents(spark, str(tmp_path)))) == [("a.md", "# a.md\nline two\n"), ("c.md", "# c.md\nline two\n")]
 
 
+def test_documents_by_folder_pattern_and_file(spark, tmp_path):
+    path = tmp_path / "a b é%20x"
+    (path / "in" / "below").mkdir(parents=True)
+    (path / "folder.md").mkdir()
+    files = {"a.md": b"x\r\ny", "bad.md": b"\xff\xfez", "bom.md": b"\xef\xbb\xbfq", "s p+%20é#.md": b"s", "_p=q.md": b"p"}
+    passed = {"INDEX.md": b"i", "empty.md": b"", "_u.md": b"u", ".h.md": b"h", "B.MD": b"n", "in/c.txt": b"t", "in/below/d.md": b"d"}
+    for name, content in (files | passed | {"in/e.md": b"e"}).items():
+        (path / name).write_bytes(content)
+    got = lambda *x: sorted((r[0], bytes(r[1])) for r in readers.read_documents(spark, *x).selectExpr("file_name", "cast(text as binary)").collect())
+    assert got(str(path)) == got(f"{path}/*.md") == sorted(files.items())
+    assert got(str(path), 1) == [("e.md", b"e")] and got(str(path / "a.md")) == [("a.md", b"x\r\ny")]
+    assert got(str(path / "in" / "below"), 1) == []
+
+
 def test_jdbc_source_by_query_and_parts(spark):
     url = "jdbc:derby:memory:ledger;create=true"
     driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}

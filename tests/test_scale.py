@@ -257,3 +257,16 @@ def test_scratch_is_removed_on_request(spark, monkeypatch):
     assert kept.count() == 10 and space.release(spark) == 1 and space.release(spark) == 0
     with pytest.raises(Exception, match="(?i)not.exist|no such file|path"):
         kept.count()
+
+
+def test_small_files_are_read_many_to_a_task(spark, tmp_path):
+    docs = spark.range(5000).selectExpr("concat('doc_', id, '.md') file_name", "concat('文', id) text").coalesce(2)
+    want = sorted((f"doc_{i}.md", f"文{i}") for i in range(5000))
+    assert landing.write_documents(docs, str(tmp_path / "flat")) == 5000
+    flat = readers.read_documents(spark, str(tmp_path / "flat"))
+    assert flat.rdd.getNumPartitions() <= 4  # 157 with 32 files in each
+    assert sorted(map(tuple, flat.collect())) == want
+    assert landing.write_documents(docs, str(tmp_path / "deep"), folders=7) == 5000
+    assert len(list((tmp_path / "deep").iterdir())) == 7
+    deep = readers.read_documents(spark, str(tmp_path / "deep"), depth=1)
+    assert deep.rdd.getNumPartitions() <= 8 and sorted(map(tuple, deep.collect())) == want
